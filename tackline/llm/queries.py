@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tackline.llm import quality, repetition, secrets
+import public_tokenizers
+
+from tackline.llm import mixing, neighbours, packing, pii, quality, repetition, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,18 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     return quality.fit(docs, labels.where(~_held_out(F.col("doc_id"))))
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality_model(spark, docs, sf_dir))
@@ -34,13 +48,68 @@ def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+#: (list, domain, day, action) as a list's history would tell it.
+URL_EVENTS = [
+    ("spam", "spam-farm.example.org", "2023-02-01", "add"), ("spam", "spam-farm.example.org", "2023-09-15", "remove"), ("spam", "spam-farm.example.org", "2024-01-10", "add"),
+    ("pharmacy", "cheap-pills.example.net", "2023-03-05", "add"), ("pharmacy", "cheap-pills.example.com", "2023-03-05", "add"), ("pharmacy", "cheap-pills.example.com", "2024-03-01", "remove"),
+    ("gambling", "casino-win.example.net", "2023-01-01", "add"), ("gambling", "free-bets.example.net", "2023-06-01", "add"), ("gambling", "free-bets.example.net", "2023-06-20", "remove"),
+    ("adult", "adult-x.example.com", "2022-11-01", "add"), ("tracking", "ads-track.example.com", "2023-12-31", "add"),
+    ("review", "tionsh.example.net", "2023-07-01", "add"), ("review", "blog.tionsh.example.net", "2023-04-01", "add"), ("review", "tionsh.example.net", "2023-08-01", "remove"),
+]
+
+
+def op6_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no fetch date: the page id tells the day, over two years."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(730)).cast("int")).alias("fetched_on"))
+    events = spark.createDataFrame(URL_EVENTS, "list_name string, domain string, day string, action string").withColumn("day", F.col("day").cast("date"))
+    found = urls.evaluate(pages, events)
+    return found.select("page_id", "host", F.date_format("fetched_on", "yyyy-MM-dd").alias("fetched_on"), "blocked", "n_matches", "matched")
+
+
+_URL_VALUES = ", ".join(f"('{a}', '{b}', DATE '{c}', '{d}')" for a, b, c, d in URL_EVENTS)
+OP6_SQL = f"""
+WITH events(list_name, domain, day, action) AS (VALUES {_URL_VALUES}),
+held AS (
+  SELECT a.list_name, a.domain, a.day AS valid_from,
+         coalesce((SELECT min(r.day) FROM events r WHERE r.list_name = a.list_name AND r.domain = a.domain AND r.action = 'remove' AND r.day > a.day), DATE '9999-12-31') AS valid_to
+  FROM events a WHERE a.action = 'add'
+), captures AS (
+  SELECT page_id, DATE '2023-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS fetched_on,
+         nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#@]*@)?([^/:?#]+)', 2), '') AS host
+  FROM pages
+)
+SELECT c.page_id, c.host, strftime(c.fetched_on, '%Y-%m-%d') AS fetched_on, count(h.domain) > 0 AS blocked, count(h.domain) AS n_matches,
+       coalesce(string_agg(h.list_name || ':' || h.domain, ',' ORDER BY h.list_name || ':' || h.domain), '') AS matched
+FROM captures c LEFT JOIN held h ON (c.host = h.domain OR ends_with(c.host, '.' || h.domain)) AND h.valid_from <= c.fetched_on AND c.fetched_on < h.valid_to
+GROUP BY c.page_id, c.host, c.fetched_on
+"""
+
+
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.probabilities(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pack_windows": op1_pack_windows,
+    "op2_simhash_trie": op2_simhash_trie,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_suffix_repetition": op5_suffix_repetition,
+    "op6_url_temporal_lists": op6_url_temporal_lists,
+    "op7_contextual_pii": op7_contextual_pii,
     "op8_secret_scan": op8_secret_scan,
+    "op9_multiprobe_neighbours": op9_multiprobe_neighbours,
+    "op10_raked_mixture": op10_raked_mixture,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_url_temporal_lists": OP6_SQL}
