@@ -84,6 +84,10 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.length(_digits(hit)).between(8, 15)
 
 
+def _keeps(kind: str):
+    return lambda x: _valid(kind, x["hit"])
+
+
 #: Each kind's pattern, and a cheap test that a text with a match passes.
 _FINDERS = {"email": (_EMAIL, "@"), "ip": (_IP, "."), "card": (_CARD, ""), "phone": (_PHONE, "+")}
 
@@ -116,7 +120,7 @@ def _joined(spans: Column) -> Column:
 
 
 def _named(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["hit"].alias("hit")))
 
 
 def trusted_patterns(edges: DataFrame, rounds: int, min_seeds: int, threshold: float) -> DataFrame:
@@ -145,18 +149,21 @@ def find(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, threshold: float
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"))
     finders = {k: _parts(F.col("t"), p, F.contains(F.col("t"), F.lit(needs))) for k, (p, needs) in _FINDERS.items()} | {"tokens": _parts(F.col("t"), _TOKEN, F.col("t").rlike("[0-9]"))}
     read = read.select("doc_id", F.xxhash64("t").alias("h"), F.length("t").alias("n"), *[c.alias(f"{k}_{part}") for k, both in finders.items() for part, c in zip(("gaps", "hits"), both, strict=True)])
-    spans = {k: F.filter(_spans(F.col(f"{k}_gaps"), F.col(f"{k}_hits")), lambda x, k=k: _valid(k, x["hit"])) for k in KINDS}
+    spans = {k: F.filter(_spans(F.col(f"{k}_gaps"), F.col(f"{k}_hits")), _keeps(k)) for k in KINDS}
     read = read.select("doc_id", "h", "n", *[c.alias(k) for k, c in spans.items()], _tokens(F.col("tokens_gaps"), F.col("tokens_hits")).alias("tokens"))
     base = F.concat(*[_named(F.col(k), k) for k in KINDS])
     read = written(read.select("doc_id", "h", "n", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), "tokens"))
 
     at = read.where(F.size("tokens") > 0).select("doc_id", "h", "n", "base", F.explode("tokens").alias("x"))
-    covered = F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
-    at = at.where("x.e > x.s").select("doc_id", "h", "n", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.token").alias("instance"), covered.alias("seed"), F.explode("x.patterns").alias("pattern"))
+    # a token that a base span begins in stands for the whole span; tokens further on in it stand for nothing
+    covering = F.get(F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"])), F.lit(0))
+    at = at.where("x.e > x.s").withColumn("b", covering).where("b is null or x.s <= b.s")
+    at = at.select("doc_id", "h", "n", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.coalesce(F.lower("b.hit"), "x.token").alias("instance"), F.col("b").isNotNull().alias("seed"), F.explode("x.patterns").alias("pattern"))
     edges = at.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     trusted = checkpointed(trusted_patterns(edges, rounds, min_seeds, threshold))
     more = at.where("not seed").join(trusted, "pattern", "left_semi").groupBy("doc_id", "h", "n").agg(F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), "s", "e"))).alias("context"))
     own = more.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("n").alias("_n"), "context")
     out = read.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")), "left")
     context = F.coalesce("context", F.array().cast("array<struct<kind:string,s:int,e:int>>"))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", context)).alias("spans"), F.size(context).cast("long").alias("n_context"))
+    plain = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e")))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(plain), 256).alias("base_sha256"), _joined(F.concat(plain, context)).alias("spans"), F.size(context).cast("long").alias("n_context"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tackline.llm import mixing, neighbours, packing, pii, quality, repetition, secrets, simhash, urls
+from tackline.llm import mixing, neighbours, packing, paragraphs, pii, quality, repetition, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality_model(spark, docs, sf_dir))
@@ -104,6 +108,7 @@ def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack_windows": op1_pack_windows,
     "op2_simhash_trie": op2_simhash_trie,
+    "op3_paragraph_minhash": op3_paragraph_minhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_suffix_repetition": op5_suffix_repetition,
     "op6_url_temporal_lists": op6_url_temporal_lists,

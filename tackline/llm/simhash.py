@@ -21,9 +21,10 @@ ids are all null has a null id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tackline.llm.components import connected_components
@@ -227,3 +228,37 @@ def near_duplicates(docs: DataFrame, budget: int = 3, width: int = 3, seed: int
     least = linked.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     own = classes.join(linked, "fp", "left").join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return prints.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids up to this many are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, budget: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns unchanged, of one document of each component: the smallest id, then the smallest fingerprint.
+
+    Rows without an id, which nothing can tell apart, all stay. Rows that share an id are told apart by their fingerprints, and of those that share both one stays.
+    """
+    found = checkpointed(near_duplicates(docs.where(F.col(id_col).isNotNull()), budget, width, seed, None, id_col, text_col))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("least")).select("least.*")
+    repeated = checkpointed(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    gone = checkpointed(found.join(kept, ["doc_id", "fingerprint"], "left_anti").select(F.col("doc_id").alias("__id")).union(repeated).distinct())
+
+    def small(ids):
+        return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+    same = F.col(id_col).cast("long") == F.col("__id")
+    once = docs.join(small(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return once
+
+    @F.pandas_udf("string")
+    def hexadecimal(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: f"{fingerprint(t, width, seed):016x}")
+
+    again = docs.join(small(repeated), same, "left_semi").withColumn("__print", hexadecimal(F.col(text_col).cast("string")))
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__kept"))
+    again = again.join(kept, same & (F.col("__print") == F.col("__kept")), "left_semi")
+    first = Window.partitionBy(id_col, "__print").orderBy(F.length(text_col), text_col)
+    again = again.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth", "__print")
+    return once.unionByName(again)

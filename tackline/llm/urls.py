@@ -61,9 +61,10 @@ def evaluate(captures: DataFrame, events: DataFrame, url_col: str = "url", day_c
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = keys.select("host", "_day", _month(F.col("_day")).alias("month"), F.explode(suffixes).alias("domain"))
     # months outside those that captures span are never asked for
-    span = keys.agg(F.min("_day").alias("first"), F.max("_day").alias("last")).where("first is not null")
-    held = validity_intervals(events).join(F.broadcast(span), F.expr("valid_from <= last and valid_to > first"))
-    held = held.withColumn("month", F.explode(F.sequence(_month(F.greatest("valid_from", "first")), _month(F.least("valid_to", "last"))))).drop("first", "last")
+    first, last = keys.agg(F.min("_day"), F.max("_day")).first()
+    first, last = (F.lit(x or "1970-01-01").cast("date") for x in (first, last))
+    held = validity_intervals(events).where((F.col("valid_from") <= last) & (F.col("valid_to") > first))
+    held = held.withColumn("month", F.explode(F.sequence(_month(F.greatest("valid_from", first)), _month(F.least("valid_to", last)))))
     found = asked.join(held, ["domain", "month"]).where("valid_from <= _day and _day < valid_to")
     entry = F.concat_ws(":", "list_name", "domain")
     verdicts = found.groupBy("host", "_day").agg(F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("matched")).withColumnRenamed("host", "_host")
