@@ -14,18 +14,22 @@ id are kept or dropped together, rows with null ids by their text; columns
 whose names are used here for results are replaced by them in :func:`probabilities` and
 kept as they are in :func:`sample`; an empty table gives an empty result.
 Targets without any cell are left out and the others scaled up. Where margins
-contradict each other, raking stops at ``most_rounds`` with the last margin
+contradict each other, raking stops at ``MOST_ROUNDS`` with the last margin
 holding.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tackline.llm.durable import checkpointed
 
-#: Cells up to this many are broadcast; more are joined by shuffle.
-BROADCAST_CELLS = 200_000
+#: Cells up to this many are raked in one task and broadcast; more are raked by joins and joined by shuffle.
+FEW_CELLS = 100_000
+#: Raking ends when no margin is off by more than this share, or after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-6, 50
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -50,51 +54,87 @@ def tokens_of(text: Column) -> Column:
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """Target shares of a margin: the natural shares to a power, scaled to 1."""
     sums = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).withColumn("t", F.pow("t", F.lit(power)))
-    total = sums.agg(F.sum("t").alias("total"))
-    return sums.join(F.broadcast(total)).select(F.col(dim).alias("value"), (F.col("t") / F.col("total")).alias("target"))
+    total = sums.agg(F.sum("t")).first()[0] or 1.0
+    return sums.select(F.col(dim).alias("value"), (F.col("t") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], most_rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
-    """The cells with ``weight``: tokens scaled until each dimension's shares are its targets (value, target).
+def _present_targets(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> dict[str, DataFrame]:
+    """Each margin's targets (value, target) in tokens, of values that have cells."""
+    spark, out = cells.sparkSession, {}
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    for dim in DIMENSIONS:
+        here = tempered(cells, dim, powers[dim])
+        if dim in targets:
+            stated = spark.createDataFrame([(v, float(t)) for v, t in targets[dim].items()], "value string, target double").where("target > 0")
+            here = here.drop("target").join(stated.withColumnRenamed("value", "_v"), F.col("value").eqNullSafe(F.col("_v"))).drop("_v")
+        whole = here.agg(F.sum("target")).first()[0] or 1.0
+        out[dim] = checkpointed(here.select("value", (F.col("target") / whole * total).alias("target")))
+    return out
+
+
+def rake_many(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> DataFrame:
+    """The cells with ``weight``, raked by joins: for more cells than one task should hold.
 
     Sums are taken by margin with partial aggregation, never by bringing a margin's cells together.
     """
-    dims = list(targets)
-    total = cells.agg(F.sum("tokens")).first()[0]
+    fixed = _present_targets(cells, powers, targets)
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    if not total:
-        return now
-    fixed = {}
-    for dim, target in targets.items():
-        present = cells.select(F.col(dim).alias("value")).distinct()
-        here = target.join(present, target["value"].eqNullSafe(present["value"]), "left_semi").where("target > 0")
-        whole = here.agg(F.sum("target").alias("whole"))
-        fixed[dim] = checkpointed(here.join(F.broadcast(whole)).select("value", (F.col("target") / F.col("whole") * total).alias("target")))
-    for k in range(most_rounds):
-        off = None
-        for dim in dims:
+    for _ in range(MOST_ROUNDS):
+        off = F.lit(0.0)
+        for dim in DIMENSIONS:
             sums = now.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("has"))
             want = fixed[dim].withColumnRenamed("value", "_v")
             ratio = sums.join(want, sums["value"].eqNullSafe(want["_v"]), "left").select(F.col("value").alias("_value"), F.coalesce(F.col("target"), F.lit(0.0)).alias("want"), "has")
             now = now.join(ratio, now[dim].eqNullSafe(ratio["_value"])).withColumn("weight", F.when(F.col("has") > 0, F.col("weight") * F.col("want") / F.col("has")).otherwise(0.0))
             gap = F.when(F.col("want") > 0, F.abs(F.col("has") / F.col("want") - 1)).otherwise(F.when(F.col("has") > 0, 1.0).otherwise(0.0))
-            off = gap if off is None else F.greatest(F.col("_off"), gap)
-            now = now.withColumn("_off", off).drop("_value", "want", "has")
+            now = now.withColumn("_off", F.greatest(off, gap)).drop("_value", "want", "has")
+            off = F.col("_off")
         now = checkpointed(now)
         worst = now.agg(F.max("_off")).first()[0]
         now = now.drop("_off")
-        if worst is None or worst < tolerance:
+        if worst is None or worst < TOLERANCE:
             break
     return now
 
 
-def cell_probabilities(docs: DataFrame, topic: Column, powers: dict[str, float], targets: dict[str, DataFrame] | None = None, text_col: str = "text") -> DataFrame:
-    """(source, lang, topic, tokens, weight, probability) of every cell."""
-    rows = docs.select(F.col("source"), F.col("lang"), topic.alias("topic"), tokens_of(F.col(text_col)).alias("tokens"))
+def rake_few(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> DataFrame:
+    """The same by arrays in one task, for at most ``FEW_CELLS`` cells."""
+    schema = T.StructType([*cells.select(*DIMENSIONS, "tokens").schema.fields, T.StructField("weight", T.DoubleType())])
+
+    def run(batches):
+        table = pd.concat(list(batches) or [pd.DataFrame(columns=[*DIMENSIONS, "tokens"])], ignore_index=True)
+        # rows come in any order; sums are taken in one
+        table = table.sort_values(list(DIMENSIONS), na_position="first", ignore_index=True)
+        weight, margins = table.tokens.to_numpy(float), []
+        for dim in DIMENSIONS:
+            code, values = pd.factorize(table[dim], use_na_sentinel=False)
+            has = np.bincount(code, weight, len(values))
+            stated = targets.get(dim)
+            want = np.array([stated.get(None if pd.isna(v) else v, 0.0) for v in values]) if stated is not None else has ** powers[dim]
+            margins.append((code, want / max(want.sum(), 1e-300) * weight.sum()))
+        for _ in range(MOST_ROUNDS):
+            worst = 0.0
+            for code, want in margins:
+                has = np.bincount(code, weight, len(want))
+                ratio = np.divide(want, has, out=np.zeros_like(want), where=has > 0)
+                worst = max(worst, np.abs(np.where(want > 0, np.divide(has, want, out=np.zeros_like(want), where=want > 0) - 1, (has > 0).astype(float))).max(initial=0))
+                weight = weight * ratio[code]
+            if worst < TOLERANCE:
+                break
+        yield table.assign(weight=weight)[[*DIMENSIONS, "tokens", "weight"]]
+
+    return cells.select(*DIMENSIONS, "tokens").repartition(1).mapInPandas(run, schema)
+
+
+def cell_probabilities(docs: DataFrame, topic: Column, powers: dict[str, float], targets: dict[str, dict] | None = None, text_col: str = "text", few: int | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, weight, probability) of every cell. ``targets`` states shares by dimension and value; other margins are tempered."""
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.alias("topic"), tokens_of(F.col(text_col)).alias("tokens"))
     cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    weighted = rake(cells, {d: (targets or {}).get(d) or tempered(cells, d, powers[d]) for d in DIMENSIONS})
-    most = weighted.agg(F.max(F.col("weight") / F.col("tokens")).alias("most"))
-    return checkpointed(weighted.join(F.broadcast(most)).select(*DIMENSIONS, "tokens", "weight", F.coalesce(F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.col("most")), F.lit(0.0)).alias("probability")))
+    few = FEW_CELLS if few is None else few
+    weighted = (rake_few if cells.limit(few + 1).count() <= few else rake_many)(cells, powers, targets or {})
+    weighted = checkpointed(weighted)
+    most = weighted.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
+    return weighted.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / most).alias("probability"))
 
 
 def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
@@ -105,26 +145,26 @@ def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
 def _with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """rows has __mix_source, __mix_lang and __mix_topic; adds __mix_probability."""
     cells = cells.select(*[F.col(d).alias(f"__cell_{d}") for d in DIMENSIONS], F.col("probability").alias("__mix_probability"))
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+    if cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS:
         cells = F.broadcast(cells)
     on = [F.col(f"__mix_{d}").eqNullSafe(F.col(f"__cell_{d}")) for d in DIMENSIONS]
     return rows.join(cells, on[0] & on[1] & on[2]).drop(*[f"__cell_{d}" for d in DIMENSIONS])
 
 
-def probabilities(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None, seed: int = 17, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def probabilities(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None, seed: int = 17, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, source, lang, topic, tokens, probability, kept."""
     topic = layout_topic(F.col(text_col)) if topic is None else topic
     cells = cell_probabilities(docs, topic, powers or POWERS, targets, text_col)
     u = _uniform(F.col(id_col), F.col(text_col), seed)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col("source").alias("__mix_source"), F.col("lang").alias("__mix_lang"), topic.alias("__mix_topic"), tokens_of(F.col(text_col)).alias("tokens"), u.alias("__mix_u"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("__mix_source"), F.col("lang").cast("string").alias("__mix_lang"), topic.alias("__mix_topic"), tokens_of(F.col(text_col)).alias("tokens"), u.alias("__mix_u"))
     return _with_probability(rows, cells).select("doc_id", *[F.col(f"__mix_{d}").alias(d) for d in DIMENSIONS], "tokens", F.col("__mix_probability").alias("probability"), (F.col("__mix_u") < F.col("__mix_probability")).alias("kept"))
 
 
-def sample(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None, seed: int = 17, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None, seed: int = 17, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept, with the columns that they had."""
     topic = layout_topic(F.col(text_col)) if topic is None else topic
     cells = cell_probabilities(docs, topic, powers or POWERS, targets, text_col)
-    rows = docs.withColumns({"__mix_source": F.col("source"), "__mix_lang": F.col("lang"), "__mix_topic": topic, "__mix_u": _uniform(F.col(id_col), F.col(text_col), seed)})
+    rows = docs.withColumns({"__mix_source": F.col("source").cast("string"), "__mix_lang": F.col("lang").cast("string"), "__mix_topic": topic, "__mix_u": _uniform(F.col(id_col), F.col(text_col), seed)})
     return _with_probability(rows, cells).where("__mix_u < __mix_probability").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
