@@ -185,7 +185,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, projection
     steps = perturbations(projections, fit_probes(chosen, index, k, recall))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 4 * parts
+    shards = parts
     held = T.StructType([T.StructField("shard", T.LongType()), T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
     asked = T.StructType([T.StructField("shard", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("keys", T.ArrayType(T.LongType()))])
     key_of = T.StructType([T.StructField("key", T.LongType())])
@@ -195,7 +195,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, projection
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(index.buckets(_unit(_vectors(b.column(0)))).ravel())], schema=to_arrow_schema(key_of))
 
-    # buckets of over a shard's mean share are dealt over several shards; there are at most shards * 2 of them
+    # buckets of over a shard's mean share are dealt over several shards; there are at most twice as many as shards
     sizes = data.select("v").mapInArrow(keys_only, key_of).groupBy("key").count()
     limit = max(2_000, data.count() * tables // (2 * shards))
     hot = {r["key"]: int(-(-r["count"] // limit)) for r in sizes.where(F.col("count") > limit).collect()}
