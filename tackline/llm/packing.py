@@ -36,40 +36,89 @@ from tackline.llm.texts import id_and_text
 SENTENCE, INSIDE = 2, 24
 #: Ids settled together, and the most ids between two places where a cut may be.
 BLOCK, REACH = 131_072, 256
-_CACHE = 250_000
+_CACHE = 500_000
 _CHUNK_WORDS = 100_000
 
 
+#: Marks that end a word without being part of it; after a letter or digit they are tokens of their own.
+_TAIL = b".,;:!?$#*%&"
+#: A word between words that the tokenizer reads together, and how many it reads so.
+_BETWEEN, _TOGETHER = "\x01", 2_000
+
+
+def _core(word: bytes) -> bytes | None:
+    """The word before its closing marks, ASCII letters in lower case; None where it can't be taken apart."""
+    core = word.rstrip(_TAIL)
+    if not core or len(core) == len(word) or b"<|" in word:
+        return None
+    last = core[-1:]
+    return core.lower() if last.isalnum() or last > b"\x7f" and core.decode("utf-8", "replace")[-1].isalpha() else None
+
+
 class WordIds:
-    """Ids of texts, word by word, with the cache that makes that cheap."""
+    """Ids of texts, word by word, with the cache that makes that cheap.
+
+    The tokenizer reads lower case, splits letters from marks and never joins words, so the ids of a word with closing marks
+    are those of the word and of the marks.
+    """
 
     def __init__(self, path: str, end_id: int, reach: int = REACH):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.reach = Tokenizer.from_file(path), end_id, reach
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self):
         # word 0 is the end of a document
         self.known, self.used, self.count = {}, 1, 1
         self.pool = np.full(1 << 20, self.end_id, np.uint32)
-        self.at, self.size = np.zeros(_CACHE * 2, np.int64), np.ones(_CACHE * 2, np.int64)
-        self.stops = np.zeros(_CACHE * 2, bool)
+        self.at, self.size, self.stops = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(words)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.count + n > len(self.at):
+            self.at, self.size, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.stops))
+        self.pool[self.used : self.used + len(ids)] = ids
+        rows = slice(self.count, self.count + n)
+        self.at[rows], self.size[rows] = self.used + np.cumsum(size) - size, size
+        self.stops[rows] = [w.rstrip(b"\"')]*_")[-1:] in (b".", b"!", b"?", b":", b";") for w in words]
+        self.known.update(zip(words, range(self.count, self.count + n), strict=True))
+        self.count += n
+        self.used += len(ids)
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Ids of whole words, many to a call, told apart by a word between them that no other text has."""
+        odd = [w for w in words if b"\x01" in w or b"<|" in w]
+        if odd or len(self.between) != 1:
+            alone = odd if len(self.between) == 1 else words
+            codes = [c.ids for c in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)]
+            self._store(alone, np.array([i for c in codes for i in c], np.uint32), np.array([len(c) for c in codes], np.int64))
+            words = [w for w in words if w not in self.known]
+        if words:
+            parts = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
+            between = f" {_BETWEEN} "
+            for part, code in zip(parts, self.tokenizer.encode_batch_fast([between.join([w.decode("utf-8", "replace") for w in p]) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(code.ids, np.uint32)
+                cut = ids == self.between[0]
+                ends = np.append(np.flatnonzero(cut), len(ids))
+                self._store(part, ids[~cut], np.diff(ends, prepend=-1) - 1)
 
     def _learn(self, words: list[bytes]) -> None:
-        for word, code in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
-            ids = code.ids
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            if self.count == len(self.at):
-                self.at, self.size, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.stops))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.at[self.count], self.size[self.count] = self.used, len(ids)
-            self.stops[self.count] = word.rstrip(b"\"')]*_")[-1:] in (b".", b"!", b"?", b":", b";")
-            self.known[word] = self.count
-            self.count += 1
-            self.used += len(ids)
+        cores = [_core(w) for w in words]
+        plain = dict.fromkeys(p for w, c in zip(words, cores, strict=True) for p in ((w,) if c is None else (c, w[len(c) :])) if p not in self.known)
+        if plain:
+            self._encode(list(plain))
+        pairs = [(w, c) for w, c in zip(words, cores, strict=True) if c is not None]
+        if pairs:
+            index = np.array([(self.known[c], self.known[w[len(c) :]]) for w, c in pairs]).ravel()
+            size = self.size[index]
+            ends = np.cumsum(size)
+            ids = self.pool[np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1])]
+            self._store([w for w, _ in pairs], ids, size.reshape(-1, 2).sum(axis=1))
 
     def _chunk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, each word's end among them, and which words end a sentence. An empty word ends a document."""
@@ -191,6 +240,18 @@ def _powers_of(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
+_READERS: dict[tuple, WordIds] = {}
+
+
+def word_ids(path: str, end_id: int, reach: int) -> WordIds:
+    """The reader of this Python worker; its cache serves task after task and changes no result."""
+    key = (path, end_id, reach)
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = WordIds(path, end_id, reach)
+    return _READERS[key]
+
+
 class Packer:
     """A stream of documents to pieces (doc, start, length, checksum, doc length, sequence, offset, ids)."""
 
@@ -264,7 +325,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches):
-        words = WordIds(tokenizer_path, end_id, max(1, min(REACH, window // 2)))
+        words = word_ids(tokenizer_path, end_id, max(1, min(REACH, window // 2)))
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
