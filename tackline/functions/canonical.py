@@ -6,7 +6,7 @@ platforms agree bit for bit; a missing value stays missing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Decimal places by quantity.
 PLACES = {"degrees": 9, "knots": 6, "metres": 3, "ratio": 6, "env": 2, "env_degrees": 1}
@@ -19,9 +19,12 @@ def col(x) -> Column:
 
 
 def rounded(x, places: int) -> Column:
-    """Half away from zero at ``places``; values from 1e15 up are kept as they are, and -0 becomes 0."""
-    x, scale = col(x), float(10**places)
-    return F.when(F.abs(x) >= 1e15, x).otherwise(F.round(x * scale) / scale + 0.0)
+    """Half away from zero at ``places``, for values below 1e15; -0 becomes 0.
+
+    These functions name their argument once where they can: the optimizer may write an argument out wherever it is named.
+    """
+    scale = float(10**places)
+    return F.round(col(x) * scale) / scale + 0.0
 
 
 def knots(x) -> Column:
@@ -33,10 +36,8 @@ def degrees(x) -> Column:
 
 
 def wrap_360(x) -> Column:
-    """[0, 360); what is already there stays bit for bit."""
-    x = col(x)
-    turned = F.pmod(x, F.lit(360.0))
-    return F.when((x >= 0) & (x < 360), x).otherwise(F.when(turned >= 360, 0.0).otherwise(turned))
+    """[0, 360); what is already there stays bit for bit. The second remainder turns a 360 that rounding made into 0."""
+    return F.pmod(F.pmod(col(x), F.lit(360.0)), F.lit(360.0))
 
 
 def wrap_lon(x) -> Column:
@@ -46,15 +47,12 @@ def wrap_lon(x) -> Column:
 
 
 def angle_between(a, b) -> Column:
-    """[0, 180]."""
+    """The unsigned angle between two directions, [0, 180]."""
     d = wrap_360(col(a) - col(b))
-    return F.when(d > 180, 360.0 - d).otherwise(d)
+    return F.least(d, 360.0 - d)
 
 
-def angle_off(a, b) -> Column:
-    """The unsigned angle between two directions, [0, 180], by remainder."""
-    d = F.pmod(col(a) - col(b), F.lit(360.0))
-    return F.when(d > 180, 360.0 - d).otherwise(d)
+angle_off = angle_between
 
 
 def holds(condition: Column) -> Column:
@@ -66,3 +64,13 @@ def is_zero_row(twa) -> Column:
     """0 and 360 degrees: a boat makes no way head to wind, so these rows are no evidence."""
     twa = col(twa)
     return (F.abs(twa) <= ON_AXIS) | (F.abs(twa - 360.0) <= ON_AXIS)
+
+
+def settled(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds or replaces columns as one row of one struct.
+
+    A predicate on them stays above this step. Through plain projections it would be pushed with its columns written out,
+    and long chains of arithmetic grow with every step.
+    """
+    keep = [c for c in frame.columns if c not in columns]
+    return frame.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))

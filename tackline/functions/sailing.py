@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tackline.functions.canonical import angle_off, col, degrees, knots, rounded, wrap_360
+from tackline.functions.canonical import angle_off, col, degrees, knots, rounded, settled, wrap_360
 
 #: Knots in one unit of each.
 KNOTS_PER = {"kn": 1.0, "m/s": 3600.0 / 1852.0, "km/h": 1000.0 / 1852.0, "mph": 1609.344 / 1852.0}
@@ -21,8 +21,7 @@ def to_knots(x, unit: str) -> Column:
 
 def compass(east, north) -> Column:
     """The direction that a vector points to, [0, 360)."""
-    d = F.pmod(F.degrees(F.atan2(col(east), col(north))), F.lit(360.0))
-    return F.when(d >= 360, 0.0).otherwise(d)
+    return wrap_360(F.degrees(F.atan2(col(east), col(north))))
 
 
 def toward(speed, direction) -> tuple[Column, Column]:
@@ -50,30 +49,30 @@ def from_components(u, v, sense: str) -> tuple[Column, Column]:
     u, v = col(u), col(v)
     speed = F.hypot(u, v)
     sign = -1.0 if sense == "from" else 1.0
-    turned = rounded(compass(u * sign, v * sign), 1)
-    return rounded(speed * KNOTS_PER["m/s"], 2), F.when(speed > 1e-9, F.when(turned >= 360, 0.0).otherwise(turned))
+    turned = F.pmod(rounded(compass(u * sign, v * sign), 1), F.lit(360.0))
+    return rounded(speed * KNOTS_PER["m/s"], 2), F.when(speed > 1e-9, turned)
 
 
 def relate(samples: DataFrame, downloaded_only: bool = False) -> DataFrame:
     """Adds wind over the ground and, where there is a current, motion and wind through the water, and the wave angle."""
     wind, wind_from = effective_wind(downloaded_only)
     s = samples.withColumns({"wind_speed": wind, "wind_from": wind_from})
-    current = F.col("current_speed").isNotNull() & F.col("current_toward").isNotNull()
+    # without a current every vector below is null, and so is what follows from it
     ce, cn = toward("current_speed", "current_toward")
     ge, gn = toward("speed", "heading")
     ae, an = toward("wind_speed", F.col("wind_from") + 180.0)
-    s = s.withColumns({"_we": F.when(current, ge - ce), "_wn": F.when(current, gn - cn), "_re": F.when(current, ae - ce), "_rn": F.when(current, an - cn)})
-    s = s.withColumns({"_bsp": F.hypot("_we", "_wn"), "_tws": F.hypot("_re", "_rn")})
+    s = settled(s, {"_we": ge - ce, "_wn": gn - cn, "_re": ae - ce, "_rn": an - cn})
+    s = settled(s, {"_bsp": F.hypot("_we", "_wn"), "_tws": F.hypot("_re", "_rn"), "_to": compass("_we", "_wn"), "_from": F.pmod(compass("_re", "_rn") + 180.0, F.lit(360.0))})
     # a boat that is stopped in the water has no heading through it
-    s = s.withColumns({"_hdg": F.when(F.col("_bsp") > 1e-9, compass("_we", "_wn")), "_twd": F.when(F.col("_tws") > 1e-9, F.pmod(compass("_re", "_rn") + 180.0, F.lit(360.0)))})
-    north = lambda x: F.when(degrees(x) == 360, 0.0).otherwise(degrees(x))
-    s = s.withColumns({
+    s = settled(s, {"_hdg": F.when(F.col("_bsp") > 1e-9, F.col("_to")), "_twd": F.when(F.col("_tws") > 1e-9, F.col("_from"))})
+    north = lambda x: F.pmod(degrees(x), F.lit(360.0))
+    s = settled(s, {
         "twa": degrees(angle_off("heading", "wind_from")), "tack": tack_of("heading", "wind_from"),
         "bsp_corrected": knots("_bsp"), "heading_corrected": north("_hdg"), "tws_corrected": knots("_tws"), "twd_from_corrected": north("_twd"),
         "twa_corrected": degrees(angle_off("_hdg", "_twd")), "tack_corrected": tack_of("_hdg", "_twd"),
         "wave_angle": degrees(angle_off(F.coalesce("_hdg", "heading"), F.col("wave_from"))),
     })
-    return s.drop("_we", "_wn", "_re", "_rn", "_bsp", "_tws", "_hdg", "_twd")
+    return s.drop("_we", "_wn", "_re", "_rn", "_bsp", "_tws", "_to", "_from", "_hdg", "_twd")
 
 
 def apparent_wind_angle(corrected: bool) -> Column:

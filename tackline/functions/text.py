@@ -44,8 +44,8 @@ def maker(x) -> Column:
     """A builder's name without its trade words."""
     out = compact(x)
     for suffix in ("yachts", "yacht", "boats", "boat", "sa", "ltd"):
-        out = F.when(F.endswith(out, F.lit(suffix)) & (F.length(out) > len(suffix) + 2), F.substring(out, F.lit(1), F.length(out) - len(suffix))).otherwise(out)
-    return F.when(out.isin("j", "jboats"), "jboats").when(out.isin("nautor", "nautorswan"), "nautor").otherwise(out)
+        out = F.regexp_replace(out, f"^(.{{3,}}){suffix}$", "$1")
+    return F.regexp_replace(F.regexp_replace(out, "^j$", "jboats"), "^nautorswan$", "nautor")
 
 
 def model_key(x) -> Column:

@@ -10,7 +10,7 @@ from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tackline.functions.canonical import ON_AXIS, col, holds, is_zero_row, knots
+from tackline.functions.canonical import ON_AXIS, col, holds, is_zero_row, knots, settled
 
 #: The default output grid.
 DEFAULT_TWA = [0.0, 30.0, 36.0, 40.0, 45.0, 52.0, 60.0, 70.0, 75.0, 80.0, 90.0, 100.0, 110.0, 120.0, 135.0, 150.0, 160.0, 170.0, 180.0]
@@ -32,7 +32,7 @@ def grid(spark: SparkSession, twa: list[float], tws: list[float]) -> DataFrame:
 def fold_twa(x) -> Column:
     """[0, 180]: port read as starboard; null outside [0, 360]."""
     x = col(x)
-    return F.when((x >= 0) & (x <= 360), F.when(x > 180, 360.0 - x).otherwise(x))
+    return F.when(x.between(0, 360), F.least(x, 360.0 - x))
 
 
 def angle_on_axis(x, axis: list[float]) -> Column:
@@ -42,21 +42,13 @@ def angle_on_axis(x, axis: list[float]) -> Column:
 
 
 def bin_index(x, axis: list[float]) -> Column:
-    """The nearest node: halfway goes up, and half a step beyond the ends is still in. A comparison ladder, not a range join."""
+    """The nearest node: halfway goes up, and half a step beyond the ends is still in. A count over the axis, not a range join."""
     x = col(x)
     if len(axis) == 1:
         return F.when(x.isNotNull(), F.lit(0))
     low, high = axis[0] - (axis[1] - axis[0]) / 2, axis[-1] + (axis[-1] - axis[-2]) / 2
-    middles = [(a + b) / 2 for a, b in zip(axis, axis[1:], strict=False)]
-
-    def ladder(lo: int, hi: int) -> Column:
-        # the node between middles lo and hi, by halving
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < middles[mid], ladder(lo, mid)).otherwise(ladder(mid + 1, hi))
-
-    return F.when((x >= low) & (x <= high), ladder(0, len(axis) - 1))
+    middles = F.array(*[F.lit((a + b) / 2) for a, b in zip(axis, axis[1:], strict=False)])
+    return F.when(x.between(low, high), F.size(F.filter(middles, lambda m: m <= x)))
 
 
 def collect_points(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +63,7 @@ def segment(points: DataFrame, twa: list[float], tws: list[float], statistic: st
     """
     angle = angle_on_axis("twa", twa)
     zero = [k for k, a in enumerate(twa) if a in (0.0, 360.0)]
-    rows = points.select(*keys, bin_index(angle, twa).alias("i"), bin_index("tws", tws).alias("j"), "bsp")
+    rows = settled(points.select(*keys, "twa", "tws", "bsp"), {"i": bin_index(angle, twa), "j": bin_index("tws", tws)})
     rows = rows.where(holds(F.col("bsp") >= 0) & ~F.isnan("bsp") & F.col("i").isNotNull() & F.col("j").isNotNull() & ~F.col("i").isin(zero))
     value = {"p90": F.percentile("bsp", F.lit(0.9)), "p75": F.percentile("bsp", F.lit(0.75)), "median": F.percentile("bsp", F.lit(0.5)), "mean": F.avg("bsp")}[statistic]
     cells = rows.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"), F.stddev_samp("bsp").alias("spread"), value.alias("value"))
@@ -83,7 +75,7 @@ def choose_priority(points: DataFrame, twa: list[float], tws: list[float], group
 
     Adds i, j and grp. A cell that no group fills drops its samples.
     """
-    rows = points.withColumns({"i": bin_index(angle_on_axis("twa", twa), twa), "j": bin_index("tws", tws)})
+    rows = settled(points, {"i": bin_index(angle_on_axis("twa", twa), twa), "j": bin_index("tws", tws)})
     rows = rows.where(F.col("i").isNotNull() & F.col("j").isNotNull())
     passing = F.array_compact(F.array(*[F.when(holds(g), F.lit(k)) for k, g in enumerate(groups)]))
     counted = rows.select("i", "j", F.explode(passing).alias("grp")).groupBy("i", "j", "grp").count()
@@ -124,7 +116,7 @@ def resample(cells: DataFrame, twa: list[float], tws: list[float], excluded: Dat
     sides = q.withColumn("tws", F.explode(F.array_distinct(F.array("s0", "s1"))))
     known = cells.where("bsp is not null")
     read = _bracket(known, sides, ["source_id", "tws"], "twa", "a")
-    read = read.withColumn("v", _between("a"))
+    read = settled(read, {"v": _between("a")})
     if excluded is not None:
         gone = excluded.select("source_id", "twa", "tws").distinct()
         used = read.select("source_id", "i", "j", "tws", F.explode(F.array_distinct(F.array("lo.a", "hi.a"))).alias("twa"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tackline.functions.canonical import wrap_360
+from tackline.functions.canonical import settled, wrap_360
 from tackline.functions.geo import KNOT_M_S, distance_m, final_bearing, initial_bearing, mean_direction
 
 
@@ -49,7 +49,7 @@ def derive(fixes: DataFrame, max_gap_s: int = 10_800, prefer_heading: str = "giv
         near = F.abs(shift("t").over(w) - F.col("t")) <= max_gap_s
         rows = rows.withColumns({f"_{side}{c}": F.when(near, shift(c).over(w)) for c in ("t", "lat", "lon")})
     arriving, leaving = final_bearing("_plat", "_plon", "lat", "lon"), initial_bearing("lat", "lon", "_nlat", "_nlon")
-    rows = rows.withColumns({
+    rows = settled(rows, {
         "_arrive": arriving, "_leave": leaving,
         "_leg": F.when(F.col("_pt").isNotNull() | F.col("_nt").isNotNull(), F.coalesce(distance_m("_plat", "_plon", "lat", "lon"), F.lit(0.0)) + F.coalesce(distance_m("lat", "lon", "_nlat", "_nlon"), F.lit(0.0))),
         "_seconds": (F.coalesce("_nt", "t") - F.coalesce("_pt", "t")).cast("double"),
@@ -57,14 +57,14 @@ def derive(fixes: DataFrame, max_gap_s: int = 10_800, prefer_heading: str = "giv
     both = F.col("_arrive").isNotNull() & F.col("_leave").isNotNull()
     heading = F.when(both, mean_direction("_arrive", "_leave")).otherwise(F.coalesce("_arrive", "_leave"))
     speed = F.when(F.col("_seconds") > 0, F.col("_leg") / F.col("_seconds") / KNOT_M_S)
-    rows = rows.withColumns({"_dh": heading, "_ds": speed, "_gh": F.when(~F.isnan("cog"), wrap_360("cog")), "_gs": F.when(~F.isnan("sog") & (F.col("sog") >= 0), F.col("sog"))})
+    rows = settled(rows, {"_dh": heading, "_ds": speed, "_gh": F.when(~F.isnan("cog"), wrap_360("cog")), "_gs": F.when(~F.isnan("sog") & (F.col("sog") >= 0), F.col("sog"))})
     out = {}
     for name, given, found, prefer in (("heading", "_gh", "_dh", prefer_heading), ("speed", "_gs", "_ds", prefer_speed)):
         first, second = (given, found) if prefer == "given" else (found, given)
         label = {given: "given", found: "derived"}
         out[name] = F.coalesce(first, second)
         out[f"{name}_origin"] = F.when(F.col(first).isNotNull(), label[first]).when(F.col(second).isNotNull(), label[second])
-    return rows.withColumns(out).drop(*[c for c in rows.columns if c.startswith("_")])
+    return settled(rows, out).drop(*[c for c in rows.columns if c.startswith("_")])
 
 
 def unwrapped_longitude(points: DataFrame) -> DataFrame:

@@ -550,9 +550,9 @@ _NEAR = 20_000
 @query(
     "report_asof",
     f"""WITH {S.FIXES}, fx AS (SELECT DISTINCT track_id, t FROM fixes WHERE event_type <> 'purchase'), rp AS (SELECT track_id, t, e AS report_id FROM fixes WHERE event_type = 'purchase'),
-c AS (SELECT r.track_id, r.t, r.report_id, f.t AS at, abs(f.t - r.t) AS gap, row_number() OVER (PARTITION BY r.report_id ORDER BY abs(f.t - r.t), f.t) AS k FROM rp r JOIN fx f ON f.track_id = r.track_id AND abs(f.t - r.t) <= {_NEAR}),
-b AS (SELECT *, row_number() OVER (PARTITION BY track_id, at ORDER BY gap, t, report_id) AS q FROM c WHERE k = 1)
-SELECT track_id, at AS t, report_id, gap FROM b WHERE q = 1""",
+c AS (SELECT r.track_id, r.t, r.report_id, f.t AS hit_t, abs(f.t - r.t) AS gap, row_number() OVER (PARTITION BY r.report_id ORDER BY abs(f.t - r.t), f.t) AS k FROM rp r JOIN fx f ON f.track_id = r.track_id AND abs(f.t - r.t) <= {_NEAR}),
+b AS (SELECT *, row_number() OVER (PARTITION BY track_id, hit_t ORDER BY gap, t, report_id) AS q FROM c WHERE k = 1)
+SELECT track_id, hit_t AS t, report_id, gap FROM b WHERE q = 1""",
 )
 def report_asof(spark, sf_dir):
     f = V.fixes(spark, sf_dir)
@@ -673,9 +673,9 @@ def library_join(spark, sf_dir):
     return _library(spark, sf_dir)
 
 
-@query("library_search", f"WITH {_LIB}, h AS (SELECT *, lower(concat(boat, ' ', event)) AS x FROM lib) SELECT track_id, boat, start, CASE WHEN contains(x, '1 an') THEN 0 ELSE 1 END AS tier FROM h WHERE contains(x, '1') AND contains(x, 'an') ORDER BY tier, lower(boat), start DESC NULLS LAST, track_id LIMIT 50")
+@query("library_search", f"WITH {_LIB}, h AS (SELECT *, lower(concat(boat, ' ', event)) AS x FROM lib) SELECT track_id, boat, start, CASE WHEN contains(x, '1 nat') THEN 0 ELSE 1 END AS tier FROM h WHERE contains(x, '1') AND contains(x, 'nat') ORDER BY tier, lower(boat), start DESC NULLS LAST, track_id LIMIT 50")
 def library_search(spark, sf_dir):
-    return catalogue.library_search(_library(spark, sf_dir), "1 an", 50)
+    return catalogue.library_search(_library(spark, sf_dir), "1 nat", 50)
 
 
 # ---- export

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tackline.functions import sailing
+from tackline.functions.canonical import settled
 from tackline.operators import tracks
 
 MAX_GAP_S = 86_400
@@ -51,7 +52,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placed(spark: SparkSession, sf_dir: str, corrected: bool = True) -> DataFrame:
     """Samples as points of the polar: the columns of samples with p_twa, p_tws, p_bsp."""
     twa, tws, bsp = sailing.polar_point(corrected)
-    return samples(spark, sf_dir).withColumns({"p_twa": twa, "p_tws": tws, "p_bsp": bsp}).where("p_twa is not null")
+    return settled(samples(spark, sf_dir), {"p_twa": twa, "p_tws": tws, "p_bsp": bsp}).where("p_twa is not null")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,8 +117,11 @@ def read_geojson(texts: DataFrame, text_col: str = "text", file_col: str = "file
     entries = F.transform(F.map_entries(F.coalesce("f.properties", F.create_map().cast(strings))), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
     rows = rows.select("file", "feature", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"), entries.alias("p"))
 
+    def named(key: str) -> Column:
+        return F.get(F.filter("p", lambda e: e["k"] == key), F.lit(0))["v"]
+
     def prop(name: str) -> Column:
-        return F.coalesce(*[F.get(F.filter("p", lambda e, n=n: e["k"] == n), F.lit(0))["v"] for n in PROPERTIES[name]])
+        return F.coalesce(*map(named, PROPERTIES[name]))
 
     rows = rows.withColumns({n: prop(n) for n in PROPERTIES})
     places = "array<array<double>>"
