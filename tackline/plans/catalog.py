@@ -440,7 +440,7 @@ def split_blends(spark, sf_dir):
 
 # ---- compare
 
-_AB = f"{S.BINNED}, {S.NODES}, {S.READ}, a AS (SELECT i, j, {rnd('quantile_cont(bsp, 0.9)')} AS bsp FROM binned GROUP BY i, j HAVING count(*) >= 5), b AS (SELECT i, j, {rnd('avg(bsp)')} AS bsp FROM read GROUP BY i, j)"
+_AB = f"{S.BINNED}, {S.NODES}, {S.READ}, a AS (SELECT i, j, {rnd('quantile_cont(bsp, 0.9)')} AS bsp FROM binned GROUP BY i, j HAVING count(*) >= 5), b AS (SELECT i, j, {rnd('max(bsp)')} AS bsp FROM read GROUP BY i, j)"
 _CELLS = (
     _AB
     + f""", cmp0 AS (SELECT g.i, g.twa, g.j, g.tws, a.bsp AS a, b.bsp AS b FROM grid g LEFT JOIN a ON a.i = g.i AND a.j = g.j LEFT JOIN b ON b.i = g.i AND b.j = g.j),
@@ -451,7 +451,7 @@ cmp AS (SELECT *, CASE WHEN i <> 0 THEN {rnd("a - b")} END AS delta_kn, CASE WHE
 
 def _compared(spark, sf_dir):
     a = polar.segment(V.points(spark, sf_dir), V.TWA, V.TWS, "p90", 5).select("i", "j", "bsp")
-    b = polar.resample(_nodes(spark, sf_dir), V.TWA, V.TWS).groupBy("i", "j").agg(knots(F.avg("bsp")).alias("bsp"))
+    b = polar.resample(_nodes(spark, sf_dir), V.TWA, V.TWS).groupBy("i", "j").agg(knots(F.max("bsp")).alias("bsp"))
     return compare.cells(a, b, polar.grid(spark, V.TWA, V.TWS))
 
 
