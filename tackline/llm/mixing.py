@@ -2,10 +2,10 @@
 
 Documents are counted by cell (source, language, topic), their tokens summed
 before any shuffle. Cell weights start at the tokens and are raked: scaled to
-each margin's targets in turn until all margins hold. A cell's weight over its
-tokens, scaled so that the largest is 1, is the probability at which each of
-its documents is kept; expected token shares of what is kept are then the
-targets. Which documents those are follows from a hash of the id, so the same
+each margin's targets in turn, and never above the tokens that the cell has, until
+all margins hold. The total is as large as the margins allow, less a little
+slack. A cell's weight over its tokens is the probability at which each of its
+documents is kept; expected token shares of what is kept are then the targets. Which documents those are follows from a hash of the id, so the same
 table gives the same sample.
 
 Defined cases: a null or empty text counts one token, for the document's end;
@@ -30,6 +30,8 @@ from tackline.llm.durable import checkpointed
 FEW_CELLS = 100_000
 #: Raking ends when no margin is off by more than this share, or after so many rounds.
 TOLERANCE, MOST_ROUNDS = 1e-6, 50
+#: Share of the largest total that no margin's value is too small for.
+SLACK = 0.9
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -60,7 +62,7 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 def _present_targets(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> dict[str, DataFrame]:
     """Each margin's targets (value, target) in tokens, of values that have cells."""
-    spark, out = cells.sparkSession, {}
+    spark, shares, most = cells.sparkSession, {}, 1.0
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     for dim in DIMENSIONS:
         here = tempered(cells, dim, powers[dim])
@@ -68,8 +70,11 @@ def _present_targets(cells: DataFrame, powers: dict[str, float], targets: dict[s
             stated = spark.createDataFrame([(v, float(t)) for v, t in targets[dim].items()], "value string, target double").where("target > 0")
             here = here.drop("target").join(stated.withColumnRenamed("value", "_v"), F.col("value").eqNullSafe(F.col("_v"))).drop("_v")
         whole = here.agg(F.sum("target")).first()[0] or 1.0
-        out[dim] = checkpointed(here.select("value", (F.col("target") / whole * total).alias("target")))
-    return out
+        shares[dim] = checkpointed(here.select("value", (F.col("target") / whole).alias("target")))
+        has = cells.groupBy(F.col(dim).alias("_v")).agg(F.sum("tokens").alias("has"))
+        room = shares[dim].join(has, F.col("value").eqNullSafe(F.col("_v"))).agg(F.min(F.col("has") / F.col("target"))).first()[0]
+        most = min(most, SLACK * (room or 0.0) / max(1, total))
+    return {dim: share.withColumn("target", F.col("target") * (most * total)) for dim, share in shares.items()}
 
 
 def rake_many(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> DataFrame:
@@ -85,7 +90,7 @@ def rake_many(cells: DataFrame, powers: dict[str, float], targets: dict[str, dic
             sums = now.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("has"))
             want = fixed[dim].withColumnRenamed("value", "_v")
             ratio = sums.join(want, sums["value"].eqNullSafe(want["_v"]), "left").select(F.col("value").alias("_value"), F.coalesce(F.col("target"), F.lit(0.0)).alias("want"), "has")
-            now = now.join(ratio, now[dim].eqNullSafe(ratio["_value"])).withColumn("weight", F.when(F.col("has") > 0, F.col("weight") * F.col("want") / F.col("has")).otherwise(0.0))
+            now = now.join(ratio, now[dim].eqNullSafe(ratio["_value"])).withColumn("weight", F.when(F.col("has") > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col("want") / F.col("has"))).otherwise(0.0))
             gap = F.when(F.col("want") > 0, F.abs(F.col("has") / F.col("want") - 1)).otherwise(F.when(F.col("has") > 0, 1.0).otherwise(0.0))
             now = now.withColumn("_off", F.greatest(off, gap)).drop("_value", "want", "has")
             off = F.col("_off")
@@ -105,20 +110,22 @@ def rake_few(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict
         table = pd.concat(list(batches) or [pd.DataFrame(columns=[*DIMENSIONS, "tokens"])], ignore_index=True)
         # rows come in any order; sums are taken in one
         table = table.sort_values(list(DIMENSIONS), na_position="first", ignore_index=True)
-        weight, margins = table.tokens.to_numpy(float), []
+        tokens, margins, most = table.tokens.to_numpy(float), [], 1.0
         for dim in DIMENSIONS:
             code, values = pd.factorize(table[dim], use_na_sentinel=False)
-            has = np.bincount(code, weight, len(values))
-            stated = targets.get(dim)
+            has, stated = np.bincount(code, tokens, len(values)), targets.get(dim)
             want = np.array([stated.get(None if pd.isna(v) else v, 0.0) for v in values]) if stated is not None else has ** powers[dim]
-            margins.append((code, want / max(want.sum(), 1e-300) * weight.sum()))
+            want = want / max(want.sum(), 1e-300)
+            most = min(most, SLACK * (has[want > 0] / want[want > 0]).min(initial=np.inf) / max(1.0, tokens.sum()))
+            margins.append((code, want))
+        weight, margins = tokens, [(code, want * most * tokens.sum()) for code, want in margins]
         for _ in range(MOST_ROUNDS):
             worst = 0.0
             for code, want in margins:
                 has = np.bincount(code, weight, len(want))
                 ratio = np.divide(want, has, out=np.zeros_like(want), where=has > 0)
                 worst = max(worst, np.abs(np.where(want > 0, np.divide(has, want, out=np.zeros_like(want), where=want > 0) - 1, (has > 0).astype(float))).max(initial=0))
-                weight = weight * ratio[code]
+                weight = np.minimum(tokens, weight * ratio[code])
             if worst < TOLERANCE:
                 break
         yield table.assign(weight=weight)[[*DIMENSIONS, "tokens", "weight"]]
@@ -132,9 +139,7 @@ def cell_probabilities(docs: DataFrame, topic: Column, powers: dict[str, float],
     cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     few = FEW_CELLS if few is None else few
     weighted = (rake_few if cells.limit(few + 1).count() <= few else rake_many)(cells, powers, targets or {})
-    weighted = checkpointed(weighted)
-    most = weighted.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
-    return weighted.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / most).alias("probability"))
+    return checkpointed(weighted).select(*DIMENSIONS, "tokens", "weight", (F.col("weight") / F.col("tokens")).alias("probability"))
 
 
 def _uniform(doc_id: Column, text: Column, seed: int) -> Column:

@@ -36,7 +36,7 @@ from tackline.llm.texts import id_and_text
 SENTENCE, INSIDE = 2, 24
 #: Ids settled together, and the most ids between two places where a cut may be.
 BLOCK, REACH = 131_072, 256
-_CACHE = 500_000
+_CACHE = 700_000
 _CHUNK_WORDS = 100_000
 
 
@@ -72,7 +72,7 @@ class WordIds:
 
     def _clear(self):
         # word 0 is the end of a document
-        self.known, self.used, self.count = {}, 1, 1
+        self.known, self.used, self.count = {b"": 0}, 1, 1
         self.pool = np.full(1 << 20, self.end_id, np.uint32)
         self.at, self.size, self.stops = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 16, bool)
 
@@ -124,11 +124,13 @@ class WordIds:
         """Ids of the words, each word's end among them, and which words end a sentence. An empty word ends a document."""
         if self.count > _CACHE:
             self._clear()
-        get = self.known.get
-        missing = dict.fromkeys(w for w in words if w and w not in self.known)
-        if missing:
-            self._learn(list(missing))
-        index = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        index = list(map(self.known.get, words))
+        if None in index:
+            missing = [k for k, v in enumerate(index) if v is None]
+            self._learn(list(dict.fromkeys(words[k] for k in missing)))
+            for k in missing:
+                index[k] = self.known[words[k]]
+        index = np.array(index, np.int64)
         size = self.size[index]
         ends = np.cumsum(size)
         where = np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
@@ -203,23 +205,32 @@ def windows(places: list[int], costs: list[int], window: int, final: bool) -> li
 
     Unless ``final``, the last cut may leave less than a window of the stream for later.
     """
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
     place, best, back = [0, *places], [0], [-1]
-    index, queue = {0: 0}, deque([(0, 0)])  # (best + place, index), rising
+    # cuts exactly a power of two apart, (later, earlier), in order of the later
+    at = np.array(place, np.int64)
+    pairs = []
+    for k in range(window.bit_length()):
+        i = np.searchsorted(at, at - (1 << k))
+        j = np.flatnonzero(at[i] == at - (1 << k))
+        pairs.append(np.stack([j, i[j]], axis=1))
+    pairs = np.concatenate(pairs)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    later, earlier, n = [*pairs[:, 0].tolist(), -1], pairs[:, 1].tolist(), 0
+    queue = deque([(0, 0)])  # (best + place, index), rising
     for j in range(1, len(place)):
         p = place[j]
         while place[queue[0][1]] < p - window:
             queue.popleft()
         least, i = queue[0]
         least += window - p
-        for d in powers:
-            k = index.get(p - d)
-            if k is not None and best[k] < least:
+        while later[n] == j:
+            k = earlier[n]
+            if best[k] < least:
                 least, i = best[k], k
+            n += 1
         least += costs[j - 1]
         best.append(least)
         back.append(i)
-        index[p] = j
         key = least + p
         while queue and queue[-1][0] >= key:
             queue.pop()

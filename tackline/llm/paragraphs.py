@@ -37,13 +37,14 @@ from tackline.llm.components import connected_components
 from tackline.llm.durable import checkpointed, written
 from tackline.llm.texts import id_and_text
 
-#: Line ends, and white space after a sentence's last mark.
-_CUT = re.compile(r"\n|(?<=[.!?])[ \t]+")
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Line ends, and a sentence's last mark with the white space after it.
+_CUT = re.compile(r"[\n.!?][ \t]*")
+_WORDS = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}"
 #: Candidate pieces up to this many are broadcast as hashes; more are joined by shuffle.
 BROADCAST_PIECES = 2_000_000
-_PRIME = (1 << 61) - 1
+#: Buckets of up to this many different pieces are compared within a task, larger ones by joins.
+FULL_BUCKET = 10_000
 
 
 def tune_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
@@ -59,36 +60,67 @@ def tune_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int
 
 def pieces(text: str, min_words: int, longest: int) -> list[tuple[int, int, list[str]]]:
     """(start, end, normal words) of each piece that is long enough, in code points."""
-    out, at = [], 0
-    for cut in [*_CUT.finditer(text), None]:
-        end = cut.start() if cut else len(text)
-        if end - at >= 2 * min_words - 1:
-            found = [(m.start(), m.end()) for m in _WORDS.finditer(text, at, end)]
-            if len(found) >= min_words:
-                words = [text[s:e].lower().strip(_EDGE) for s, e in found]
-                if len(found) <= longest:
-                    parts = [(0, len(found))]
-                else:
-                    marks = [0, *(k for k in range(1, len(words)) if xxhash.xxh32_intdigest(f"{words[k - 1]} {words[k]}") % (longest // 4) == 0), len(words)]
-                    parts = zip(marks, marks[1:], strict=False)
-                out += [(found[a][0], found[b - 1][1], words[a:b]) for a, b in parts if b - a >= min_words]
-        at = cut.end() if cut else end
+    out, at, least = [], 0, 2 * min_words - 1
+    ends = [(m.start() + (m.group()[0] != "\n"), m.end()) for m in _CUT.finditer(text) if m.end() - m.start() > 1 or m.group() == "\n"]
+    for end, after in [*ends, (len(text), len(text))]:
+        if end - at >= least:
+            piece = text[at:end]
+            words = [w.strip(_EDGE) for w in piece.lower().split()]
+            if min_words <= len(words) <= longest:
+                out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip()), words))
+            elif len(words) > longest:
+                found = [m.span() for m in _WORDS.finditer(piece)]
+                words = [piece[s:e].lower().strip(_EDGE) for s, e in found]
+                marks = [0, *(k for k in range(1, len(words)) if xxhash.xxh32_intdigest(f"{words[k - 1]} {words[k]}") % (longest // 4) == 0), len(words)]
+                out += [(at + found[a][0], at + found[b - 1][1], words[a:b]) for a, b in zip(marks, marks[1:], strict=False) if b - a >= min_words]
+        at = after
     return out
 
 
+class Shingles:
+    """Hashes of word shingles, from hashes of words that a bounded cache keeps."""
+
+    def __init__(self, width: int):
+        self.width, self.known = width, {}
+        self.odd = np.random.default_rng(3).integers(1, 1 << 63, size=width, dtype=np.uint64) | np.uint64(1)
+
+    def __call__(self, pieces_words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' shingle hashes one after another, and how many each piece has; a piece shorter than a shingle is one."""
+        if len(self.known) > 300_000:
+            self.known.clear()
+        words = [w for p in pieces_words for w in p]
+        got = list(map(self.known.get, words))
+        if None in got:
+            for k, v in enumerate(got):
+                if v is None:
+                    got[k] = self.known[words[k]] = xxhash.xxh64_intdigest(words[k])
+        size = np.array([len(p) for p in pieces_words], np.int64)
+        h = np.concatenate([np.array(got, np.uint64), np.zeros(self.width, np.uint64)])
+        n = len(words)
+        mixed = np.zeros(n, np.uint64)
+        left = np.repeat(np.cumsum(size), size) - np.arange(n)  # words from here to the piece's end
+        for k, c in enumerate(self.odd):
+            part = h[k : k + n] * c
+            part ^= part >> np.uint64(32)
+            mixed += np.where(left > k, part, np.uint64(0)) if k else part
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        count = np.maximum(size - self.width + 1, np.minimum(size, 1))
+        first = np.repeat(np.cumsum(size) - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return mixed[first], count
+
+
 def shingle_hashes(words: list[str], width: int) -> list[int]:
-    """Hashes of the different shingles."""
-    return [xxhash.xxh64_intdigest(s) for s in {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}]
+    """Hashes of the different shingles of one piece."""
+    return np.unique(Shingles(width)([words])[0]).tolist()
 
 
-def _signatures(shingles: list[list[int]], bands: int, rows: int) -> np.ndarray:
+def _signatures(flat: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(pieces, bands) hashes: each of the least values of ``rows`` random functions of the shingles."""
     rng = np.random.default_rng(5)
     a = rng.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, size=bands * rows, dtype=np.uint64)
-    flat = np.fromiter((h for s in shingles for h in s), np.uint64, sum(map(len, shingles)))
-    starts = np.cumsum([0] + [len(s) for s in shingles[:-1]])
-    out = np.zeros((len(shingles), bands), np.uint64)
+    starts = np.cumsum(count) - count
+    out = np.zeros((len(count), bands), np.uint64)
     for k in range(bands * rows):
         x = flat * a[k] + b[k]
         x ^= x >> np.uint64(31)
@@ -112,6 +144,7 @@ def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands:
 
     def run(batches):
         seen: set[int] = set()
+        shingles = Shingles(width)
         for batch in batches:
             found, fresh = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -123,7 +156,7 @@ def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands:
                         fresh.append((len(found) - 1, words))
             for at in range(0, len(fresh), 20_000):
                 part = fresh[at : at + 20_000]
-                for (k, _), signature in zip(part, _signatures([shingle_hashes(w, width) for _, w in part], bands, rows).tolist(), strict=True):
+                for (k, _), signature in zip(part, _signatures(*shingles([w for _, w in part]), bands, rows).tolist(), strict=True):
                     found[k][6] = signature
             if len(seen) > 300_000:
                 seen.clear()
@@ -141,15 +174,17 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, longest: in
     chosen = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
 
     def run(batches):
-        only = None if chosen.value is None else set(chosen.value.tolist())
+        only, shingles = None if chosen.value is None else set(chosen.value.tolist()), Shingles(width)
         for batch in batches:
             found = {}
             for text in batch.column(1).to_pylist():
                 for _, _, words in pieces(text or "", min_words, longest):
                     h = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
                     if h not in found and (only is None or h in only):
-                        found[h] = [_signed(x) for x in shingle_hashes(words, width)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], schema=arrow)
+                        found[h] = words
+            flat, count = shingles(list(found.values()))
+            sets = [np.unique(x) for x in np.split(flat.view(np.int64), np.cumsum(count)[:-1])] if found else []
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=arrow)
 
     got = id_and_text(docs).where("doc_id is not null").mapInArrow(run, schema)
     got = got if few else got.join(wanted, "piece", "left_semi")
@@ -163,23 +198,55 @@ def _similarity(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("j"))
 
 
-def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words: int, longest: int, width: int) -> DataFrame:
-    """Links (a, b) between different pieces of at least the similarity that share a band: enough to connect all such.
+def bucket_links(members: list[tuple[int, set]], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect all similar members of a bucket, by the rounds that :func:`similar_links` tells of."""
+    def similarity(x, y):
+        shared = len(x & y)
+        return shared / (len(x) + len(y) - shared)
+
+    out, far, pool = [], 1 - threshold + 1e-12, sorted(members, key=lambda m: m[0])
+    while len(pool) > 1:
+        (pivot, own), others = pool[0], pool[1:]
+        j = [similarity(own, s) for _, s in others]
+        leaves = [(m, i) for m, i in zip(others, j, strict=True) if i >= threshold]
+        out += [(m[0], pivot) for m, _ in leaves]
+        for (piece, s), i in zip(others, j, strict=True):
+            if threshold > i >= 1 - 2 * far:
+                out += [(piece, m[0]) for m, k in leaves if k - i <= far and similarity(s, m[1]) >= threshold]
+        pool = [m for m, i in zip(others, j, strict=True) if i < threshold]
+    return out
 
-    In each round every bucket's smallest piece is compared with the bucket. What it resembles is connected through it and
-    leaves with it. Jaccard distance is a metric, so only pieces within twice the distance can resemble what leaves; they
-    are compared with as much of it as the distances to the smallest piece allow.
-    """
-    keyed = table.where("bands is not null").select("piece", F.posexplode("bands").alias("band", "key"))
-    buckets = Window.partitionBy("band", "key")
+
+def _links_in_tasks(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links of buckets that a task can hold; rows has band, key, piece, shingles."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        at, members = None, []
+        for batch in batches:
+            out = []
+            for band, key, piece, shingles in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (band, key) != at:
+                    out += bucket_links(members, threshold)
+                    at, members = (band, key), []
+                members.append((piece, set(shingles)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], schema=arrow)
+        out = bucket_links(members, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], schema=arrow)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key").select("band", "key", "piece", "shingles").mapInArrow(run, schema)
+
+
+def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame | None:
+    """The same for buckets of any size, a round at a time over all of them; full has piece, band, key."""
+    buckets, links, far = Window.partitionBy("band", "key"), None, 1 - threshold + 1e-12
 
     def with_pivot(rows):
         return checkpointed(rows.withColumn("pivot", F.min("piece").over(buckets)).withColumn("most", F.max("piece").over(buckets)).where("pivot <> most").drop("most"))
 
-    # equal pieces of different tasks are still there: distinct before the window, by partial aggregation
-    full = with_pivot(keyed.distinct())
-    shingles = checkpointed(_shingles_of(docs, full.select("piece").distinct(), min_words, longest, width))
-    links, far = None, 1 - threshold + 1e-12
+    full = with_pivot(full)
     while not full.isEmpty():
         others = full.where("piece <> pivot")
         j = checkpointed(_similarity(others.select(F.col("piece").alias("a"), F.col("pivot").alias("b")), shingles))
@@ -190,7 +257,28 @@ def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words
         found = checkpointed(j.union(more).where(F.col("j") >= threshold).select("a", "b"))
         links = found if links is None else links.union(found)
         full = with_pivot(placed.where(F.col("j") < threshold).select("piece", "band", "key"))
-    return links if links is not None else full.select(F.col("piece").alias("a"), F.col("pivot").alias("b"))
+    return links
+
+
+def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words: int, longest: int, width: int, full_bucket: int | None = None) -> DataFrame:
+    """Links (a, b) between different pieces of at least the similarity that share a band: enough to connect all such.
+
+    In each round every bucket's smallest piece is compared with the bucket. What it resembles is connected through it and
+    leaves with it. Jaccard distance is a metric, so only pieces within twice the distance can resemble what leaves; they
+    are compared with as much of it as the distances to the smallest piece allow.
+    """
+    most = FULL_BUCKET if full_bucket is None else full_bucket
+    keyed = table.where("bands is not null").select("piece", F.posexplode("bands").alias("band", "key"))
+    # equal pieces of different tasks are still there: distinct before the window, by partial aggregation
+    full = keyed.distinct().withColumn("n", F.count("*").over(Window.partitionBy("band", "key"))).where("n > 1")
+    full = checkpointed(full)
+    shingles = checkpointed(_shingles_of(docs, full.select("piece").distinct(), min_words, longest, width))
+    links = _links_in_tasks(full.where(F.col("n") <= most).join(shingles, "piece"), threshold)
+    large = full.where(F.col("n") > most).drop("n")
+    if not large.isEmpty():
+        more = _links_by_joins(large, shingles, threshold)
+        links = links if more is None else links.union(more)
+    return links
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 8, min_run: int = 24, longest: int = 64, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

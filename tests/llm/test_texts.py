@@ -200,7 +200,8 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - threshold**rows) ** bands >= recall
 
 
-def test_paragraph_clusters_hold_every_similar_pair_of_a_band(spark):
+@pytest.mark.parametrize("full_bucket", [None, 2])
+def test_paragraph_clusters_hold_every_similar_pair_of_a_band(spark, full_bucket):
     rng = random.Random(8)
     base = [rng.choices(WORDS, k=60) for _ in range(12)]
     texts = []
@@ -217,7 +218,7 @@ def test_paragraph_clusters_hold_every_similar_pair_of_a_band(spark):
     for t in texts:
         for _, _, words in paragraphs.pieces(t, 8, 64):
             sets[paragraphs._signed(xxhash.xxh3_64_intdigest(" ".join(words)))] = set(paragraphs.shingle_hashes(words, 5))
-    links = paragraphs.similar_links(docs, table_, 0.8, 8, 64, 5).collect()
+    links = paragraphs.similar_links(docs, table_, 0.8, 8, 64, 5, full_bucket).collect()
     jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert all(jaccard(r["a"], r["b"]) >= 0.8 for r in links)
     group = {k: k for k in sets}
@@ -439,11 +440,11 @@ def test_mixture_holds_its_margins(spark):
     rows = [(k, prose(rng, rng.randint(5, 60)) if k % 9 else "a | b | c " * 9, rng.choice(["en", "de", None]), "big" if k % 3 == 0 else f"s{k % 5}", 1) for k in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int")
     cells = mixing.cell_probabilities(docs, mixing.layout_topic(docs["text"]), mixing.POWERS).toPandas()
-    assert cells.probability.between(0, 1).all() and abs(cells.probability.max() - 1) < 1e-9
+    assert cells.probability.between(0, 1).all() and np.allclose(cells.probability * cells.tokens, cells.weight)
+    assert cells.weight.sum() > 0.5 * cells.tokens.sum()
     for dim, power in mixing.POWERS.items():
         natural = cells.groupby(dim, dropna=False).tokens.sum() ** power
-        assert np.allclose(cells.groupby(dim, dropna=False).weight.sum() / cells.weight.sum(), natural / natural.sum(), atol=1e-5)
-    assert np.allclose(cells.probability * cells.tokens / cells.weight, (cells.probability * cells.tokens / cells.weight).iloc[0])
+        assert np.allclose(cells.groupby(dim, dropna=False).weight.sum() / cells.weight.sum(), natural / natural.sum(), atol=1e-3)
     every, kept = mixing.probabilities(docs).toPandas(), mixing.sample(docs)
     assert kept.columns == docs.columns and len(every) == 900
     assert set(every[every.kept].doc_id) == {r["doc_id"] for r in kept.collect()}
