@@ -52,7 +52,8 @@ def _core(word: bytes) -> bytes | None:
     if not core or len(core) == len(word) or b"<|" in word:
         return None
     last = core[-1:]
-    return core.lower() if last.isalnum() or last > b"\x7f" and core.decode("utf-8", "replace")[-1].isalpha() else None
+    # the letter as the tokenizer reads it: some end in a combining mark once they are in lower case
+    return core.lower() if last.isalnum() or last > b"\x7f" and core.decode("utf-8", "replace").lower()[-1].isalpha() else None
 
 
 class WordIds:

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from tackline.llm import mixing, packing, paragraphs, pii, quality, queries, repetition, secrets, simhash
 
@@ -72,6 +73,15 @@ def test_packing_places_each_id_once(spark):
     check_pieces(rows, list(enumerate(texts)))
 
 
+def test_words_give_the_ids_of_whole_texts():
+    path = queries.tokenizer_path()
+    whole, rng = Tokenizer.from_file(path), np.random.default_rng(8)
+    marks = ["a", "B", "é", "É", "İ", "ß", "ﬁ", "Å", "Σ", "ς", "中", "٣", "23", ".", ",", "'s", "'S", '"', "$", "%", "&", "_", "-", "!", "<|", "|>", "<|endoftext|>", "\x00", "\x01", "\x1c", "\u2028", "\u3000", "\ufeff", "\u0301", "😀", " ", "  ", "\t", "\n", "\x0b"]
+    texts = ["", *("".join(rng.choice(marks, rng.integers(1, 40))) for _ in range(2000))]
+    for text, (ids, *_) in zip(texts, packing.WordIds(path, 2)(texts), strict=True):
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_packing_wastes_little(spark):
     rng = random.Random(4)
     docs = table(spark, [prose(rng, rng.randint(50, 900)) for _ in range(400)]).coalesce(1)
