@@ -4,7 +4,10 @@ Documents are counted by cell (source, language, topic), their tokens summed
 before any shuffle. Cell weights start at the tokens and are raked: scaled to
 each margin's targets in turn, and never above the tokens that the cell has, until
 all margins hold. The total is as large as the margins allow, less a little
-slack. A cell's weight over its tokens is the probability at which each of its
+slack. The rarest values of a tempered margin, which together hold at most
+``RARE`` of its tokens, do not bound it: where they are short, their target is
+what they hold, less the slack, and the others of the margin share out the
+rest. Stated targets are never lowered. A cell's weight over its tokens is the probability at which each of its
 documents is kept; expected token shares of what is kept are then the targets. Which documents those are follows from a hash of the id, so the same
 table gives the same sample.
 
@@ -32,6 +35,8 @@ FEW_CELLS = 100_000
 TOLERANCE, MOST_ROUNDS = 1e-6, 50
 #: Share of the largest total that no margin's value is too small for.
 SLACK = 0.9
+#: Share of a tempered margin's tokens that its rarest values, by doublings of their tokens, may hold together without bounding the total.
+RARE = 0.01
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -60,21 +65,63 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select(F.col(dim).alias("value"), (F.col("t") / total).alias("target"))
 
 
+def _rare_below(classes: dict[int, float]) -> int:
+    """From tokens by class of values (binary digits of a value's tokens), the first class that is not rare."""
+    left = RARE * sum(classes.values())
+    for digits in sorted(classes):
+        left -= classes[digits]
+        if left < 0:
+            return digits
+    return 0
+
+
+def _largest_total(has: np.ndarray, share: np.ndarray, stated: bool) -> float:
+    """The largest total at which all but rare values reach their shares."""
+    digits = np.frexp(has)[1]
+    low = 0 if stated else _rare_below({int(d): has[digits == d].sum() for d in np.unique(digits)})
+    some = share > 0
+    bound = some & (digits >= low)
+    level = SLACK * (has[bound] / share[bound]).min(initial=np.inf)
+    return np.minimum(SLACK * has[some], level * share[some]).sum()
+
+
+def _filled(has: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
+    """Targets in tokens that come to the total: in proportion to the shares, but for values that are short."""
+    level, short = total, np.zeros(len(has), bool)
+    while True:
+        more = short | (level * share > SLACK * has * (1 + 1e-9))
+        rest = share[~more].sum()
+        if (more == short).all() or rest <= 0:
+            return np.where(more, SLACK * has, level * share)
+        short, level = more, (total - SLACK * has[more].sum()) / rest
+
+
 def _present_targets(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> dict[str, DataFrame]:
-    """Each margin's targets (value, target) in tokens, of values that have cells."""
-    spark, shares, most = cells.sparkSession, {}, 1.0
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    """Each margin's targets (value, target) in tokens, of values that have cells: as :func:`_largest_total` and :func:`_filled` say."""
+    spark, shares, most = cells.sparkSession, {}, np.inf
     for dim in DIMENSIONS:
         here = tempered(cells, dim, powers[dim])
         if dim in targets:
             stated = spark.createDataFrame([(v, float(t)) for v, t in targets[dim].items()], "value string, target double").where("target > 0")
             here = here.drop("target").join(stated.withColumnRenamed("value", "_v"), F.col("value").eqNullSafe(F.col("_v"))).drop("_v")
         whole = here.agg(F.sum("target")).first()[0] or 1.0
-        shares[dim] = checkpointed(here.select("value", (F.col("target") / whole).alias("target")))
         has = cells.groupBy(F.col(dim).alias("_v")).agg(F.sum("tokens").alias("has"))
-        room = shares[dim].join(has, F.col("value").eqNullSafe(F.col("_v"))).agg(F.min(F.col("has") / F.col("target"))).first()[0]
-        most = min(most, SLACK * (room or 0.0) / max(1, total))
-    return {dim: share.withColumn("target", F.col("target") * (most * total)) for dim, share in shares.items()}
+        here = here.join(has, F.col("value").eqNullSafe(F.col("_v"))).select("value", (F.col("target") / whole).alias("share"), (SLACK * F.col("has")).alias("room"), F.length(F.bin("has")).alias("digits"), "has")
+        shares[dim] = here = checkpointed(here)
+        low = 0 if dim in targets else _rare_below({r["digits"]: float(r["t"]) for r in here.groupBy("digits").agg(F.sum("has").alias("t")).collect()})
+        level = here.where(F.col("digits") >= low).agg(F.min(F.col("room") / F.col("share"))).first()[0] or 0.0
+        most = min(most, here.agg(F.sum(F.least("room", F.lit(level) * F.col("share")))).first()[0] or 0.0)
+    out = {}
+    for dim, here in shares.items():
+        level, n_short = most, 0
+        while True:
+            short = F.lit(level) * F.col("share") > F.col("room") * (1 + 1e-9)
+            n, held, rest = here.agg(F.count_if(short), F.sum(F.when(short, F.col("room")).otherwise(0.0)), F.sum(F.when(short, 0.0).otherwise(F.col("share")))).first()
+            if n == n_short or not rest:
+                break
+            n_short, level = n, (most - held) / rest
+        out[dim] = here.select("value", F.when(short, F.col("room")).otherwise(F.lit(level) * F.col("share")).alias("target"))
+    return out
 
 
 def rake_many(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> DataFrame:
@@ -110,15 +157,15 @@ def rake_few(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict
         table = pd.concat(list(batches) or [pd.DataFrame(columns=[*DIMENSIONS, "tokens"])], ignore_index=True)
         # rows come in any order; sums are taken in one
         table = table.sort_values(list(DIMENSIONS), na_position="first", ignore_index=True)
-        tokens, margins, most = table.tokens.to_numpy(float), [], 1.0
+        tokens, margins, most = table.tokens.to_numpy(float), [], np.inf
         for dim in DIMENSIONS:
             code, values = pd.factorize(table[dim], use_na_sentinel=False)
             has, stated = np.bincount(code, tokens, len(values)), targets.get(dim)
             want = np.array([stated.get(None if pd.isna(v) else v, 0.0) for v in values]) if stated is not None else has ** powers[dim]
             want = want / max(want.sum(), 1e-300)
-            most = min(most, SLACK * (has[want > 0] / want[want > 0]).min(initial=np.inf) / max(1.0, tokens.sum()))
-            margins.append((code, want))
-        weight, margins = tokens, [(code, want * most * tokens.sum()) for code, want in margins]
+            most = min(most, _largest_total(has, want, stated is not None))
+            margins.append((code, has, want))
+        weight, margins = tokens, [(code, _filled(has, want, most)) for code, has, want in margins]
         for _ in range(MOST_ROUNDS):
             worst = 0.0
             for code, want in margins:

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tackline.llm import mixing, packing, paragraphs, pii, quality, queries, repetition, secrets, simhash
@@ -462,6 +463,24 @@ def test_mixture_holds_its_margins(spark):
     assert abs(len(every[every.kept]) - expected) < 4 * np.sqrt(expected)
 
 
+def test_one_stray_row_costs_the_mixture_itself_alone(spark):
+    kept = []
+    for n in (60, 6_000):
+        rows = [(k, "w " * n, ["en", "de"][k % 3 == 0], f"s{k % 4}") for k in range(240)]
+        stray = (1000, "w " * 20, "xx", "stray")
+        for extra in ([], [stray]):
+            docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string")
+            for few in (None, 0) if n == 60 and extra else (None,):
+                cells = mixing.cell_probabilities(docs, F.lit("t"), mixing.POWERS, few=few).toPandas()
+                kept.append(cells.weight.sum() / cells.tokens.sum())
+                if extra:
+                    assert cells[cells.source == "stray"].probability.item() > 0.8
+                    common = cells[cells.source != "stray"].groupby("lang").agg({"weight": "sum", "tokens": "sum"})
+                    share, want = common.weight / common.weight.sum(), common.tokens**0.8
+                    assert np.allclose(share, want / want.sum(), atol=1e-3)
+    assert min(kept) > 0.6 and max(kept) - min(kept) < 0.02
+
+
 @pytest.mark.parametrize("targets", [{}, {"lang": {"en": 0.9, None: 0.1}}])
 def test_few_and_many_cells_are_raked_alike(spark, targets):
     rows = [(k, "w " * (1 + k * k % 50), ["en", "de", None][k % 3], f"s{k % 7}") for k in range(150)]
