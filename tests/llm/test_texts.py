@@ -385,6 +385,17 @@ def test_secrets_follow_constants_to_sensitive_names():
     assert secrets.redact_text(text).count("[SECRET]") == 2
 
 
+def test_secrets_of_annotated_and_subscripted_names():
+    value = "s3cr3tValue99xQ-7Lm!"
+    forms = ['db_credential: str = "{}"', 'const password: string = "{}"', 'auth: Optional[str] | None = "{}"', "config['db_passphrase'] = '{}'", 'os.environ["DB_CREDENTIAL"] = "{}"', 'char pwd[] = "{}"', 'c["a"]["pwd"] = "{}"', 'cfg.auth.pwd = "{}"', "pwd" + " " * 200 + '= "{}"', "C" * 90 + ' = "{}"\npwd = ' + "C" * 90, "let pwd: &'static str = \"{}\";"]
+    for form in forms:
+        text = form.format(value)
+        assert text.index(value) in [s for s, _ in secrets.literal_spans(text)], text
+        assert secrets.redact_text(text) == form.format("[SECRET]")
+    for text in ('colour: str = "zX9-qLw3!v7Rk1"', 'colours["a"] = "zX9-qLw3!v7Rk1"', 'password: see the note, colour = "zX9-qLw3!v7Rk1"', "]" * 50_000 + "=", "[a]" * 50_000 + "= b"):
+        assert secrets.literal_spans(text) == []
+
+
 def test_redaction_changes_only_secrets(spark):
     texts = [*ODD, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "plain words"]
     docs = table(spark, texts)
