@@ -6,13 +6,21 @@ says so. Cuts depend on the words around them alone, so a passage that was
 pasted into other text gives the same pieces there. Pieces of at least
 ``min_words`` words are compared by their sets of word shingles.
 
+Beside the pieces, and in all texts alike, runs of ``SEED`` words are indexed at
+places that the hashes of the ``SEEDS_APART`` neighbouring runs choose, whatever
+sentences or lines they cross: any ``SEED + SEEDS_APART - 1`` words in a row
+that two places share have one of these seeds in common. Neighbouring seeds that
+repeat the same earlier place form a stretch. So a passage is found whether or
+not it is cut as elsewhere, and short sentences count through those around them.
+
 Each different piece has a MinHash signature, in bands tuned so that pieces of
 Jaccard similarity ``threshold`` meet with probability ``recall`` or more.
 Pieces that collide in a band are compared with the smallest piece of that
 bucket by exact similarity, and what it does not resemble in turn with the
 smallest of those. Connected pieces form a cluster.
-A stretch of neighbouring repeated pieces is reported when it has at least
-``min_run`` words; all but a cluster's first place are removals.
+Repeated pieces and stretches with at most ``GAP`` words between them make a run,
+which is reported when it has at least ``min_run`` words from its first to its
+last; all but a cluster's first place are removals.
 
 Equal pieces collapse before bands are shuffled. Signatures and hashes are
 64-bit; two different pieces with one hash, of which 10**9 pieces hold 0.03 on
@@ -41,6 +49,12 @@ from tackline.llm.texts import id_and_text
 _CUT = re.compile(r"[\n.!?][ \t]*")
 _WORDS = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}"
+#: Words of a seed, and neighbouring seeds of which the one with the least hash is indexed.
+SEED, SEEDS_APART = 8, 8
+#: Words between repeated parts of one run: what a changed word can keep from any seed.
+GAP = 2 * (SEEDS_APART - 1) + 1
+#: Rows whose words a task holds at once.
+ROWS = 500
 #: Candidate pieces up to this many are broadcast as hashes; more are joined by shuffle.
 BROADCAST_PIECES = 2_000_000
 #: Buckets of up to this many different pieces are compared within a task, larger ones by joins.
@@ -131,7 +145,13 @@ def _signatures(flat: np.ndarray, count: np.ndarray, bands: int, rows: int) -> n
     return out.view(np.int64)
 
 
-_PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("piece", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("piece", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("word", T.IntegerType())])
+
+
+def _small(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _signed(x: int) -> int:
@@ -145,12 +165,15 @@ def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands:
     def run(batches):
         seen: set[int] = set()
         shingles = Shingles(width)
-        for batch in batches:
+        for batch in _small(batches):
             found, fresh = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (s, e, words) in enumerate(pieces(text or "", min_words, longest)):
+                text, word, at = text or "", 0, 0
+                for k, (s, e, words) in enumerate(pieces(text, min_words, longest)):
                     h = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
-                    found.append([doc_id, k, s, e, len(words), h, None])
+                    word += len(text[at:s].split())
+                    found.append([doc_id, k, s, e, len(words), h, None, word])
+                    word, at = word + len(words), e
                     if h not in seen:
                         seen.add(h)
                         fresh.append((len(found) - 1, words))
@@ -166,6 +189,69 @@ def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands:
     return id_and_text(docs).where("doc_id is not null").mapInArrow(run, _PIECE)
 
 
+def seed_places(hashes: np.ndarray) -> np.ndarray:
+    """Of the hashes of a text's runs of words, the places of the least of each window; those that are one run over and over, a window apart."""
+    if len(hashes) < SEEDS_APART:
+        return np.zeros(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, SEEDS_APART)
+    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    new = np.append(True, (hashes[at[1:]] != hashes[at[:-1]]) | (np.diff(at) > SEEDS_APART))
+    step = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // SEEDS_APART
+    return at[new | np.append(new[1:], True) | np.append(True, step[1:] != step[:-1])]
+
+
+def all_seeds(docs: DataFrame) -> DataFrame:
+    """(seed, doc_id, word, start, end) of each indexed run of words."""
+    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("word", "start", "end")]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        shingles = Shingles(SEED)
+        for batch in _small(batches):
+            ids, spans, words = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.array([m.span() for m in _WORDS.finditer(text or "")], np.int64)
+                if len(found) >= SEED + SEEDS_APART - 1:
+                    low = text.lower().split()
+                    low = low if len(low) == len(found) else [text[s:e].lower() for s, e in found.tolist()]
+                    ids.append(doc_id)
+                    spans.append(found)
+                    words.append([w.strip(_EDGE) for w in low])
+            if not ids:
+                continue
+            flat, count = shingles(words)
+            columns = []
+            for doc_id, found, h in zip(ids, spans, np.split(flat, np.cumsum(count)[:-1]), strict=True):
+                at = seed_places(h)
+                columns.append((h[at].view(np.int64), np.full(len(at), doc_id, np.int64), at, found[at, 0], found[at + SEED - 1, 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*columns, strict=True), arrow, strict=True)], schema=arrow)
+
+    return id_and_text(docs).where("doc_id is not null").mapInArrow(run, schema)
+
+
+def _stretches(seeds: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Stretches of repeated seeds outside of stretches of repeated pieces, with the columns of the latter.
+
+    pieces has doc_id, word, n_words. A stretch's places are those of its most frequent seed.
+    """
+    same = Window.partitionBy("seed")
+    repeated = seeds.withColumns({"places": F.count("*").over(same), "first": F.min(F.struct("doc_id", "word")).over(same)}).where("places > 1")
+    # how far the pieces that follow each other without a gap reach
+    by_word = Window.partitionBy("doc_id").orderBy("word")
+    ends = pieces.select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("stop"))
+    ends = ends.withColumn("new", (F.col("word") > F.coalesce(F.max("stop").over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    ends = ends.withColumn("island", F.sum("new").over(by_word)).groupBy("doc_id", "island").agg(F.min("word").alias("word"), F.max("stop").alias("reach"))
+    both = repeated.select("doc_id", "word", "start", "end", "places", "first", F.lit(None).cast("int").alias("reach")).unionByName(ends.select("doc_id", "word", "reach"), allowMissingColumns=True)
+    covered = F.coalesce(F.max("reach").over(by_word), F.lit(-1)) >= F.col("word") + SEED
+    left = both.withColumn("covered", covered).where("first is not null and not covered")
+    shift = F.struct(F.col("first.doc_id").alias("d"), (F.col("first.word") - F.col("word")).alias("s"))
+    joined = (F.lag(shift).over(by_word) == shift) & (F.col("word") - F.lag("word").over(by_word) <= SEED + SEEDS_APART - 1)
+    left = left.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(by_word.rowsBetween(Window.unboundedPreceding, 0)))
+    left = left.groupBy("doc_id", "stretch").agg(F.min("word").alias("word"), (F.max("word") + SEED).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("places").alias("places"))
+    removed = F.struct("doc_id", "word") != F.col("first")
+    return left.select("doc_id", "word", "start", "end", (F.col("stop") - F.col("word")).alias("n_words"), F.col("first.doc_id").alias("cluster_id"), "places", removed.alias("removed"))
+
+
 def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, longest: int, width: int) -> DataFrame:
     """(piece, shingles) of the wanted pieces, from a second reading of the texts."""
     schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
@@ -175,7 +261,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, longest: in
 
     def run(batches):
         only, shingles = None if chosen.value is None else set(chosen.value.tolist()), Shingles(width)
-        for batch in batches:
+        for batch in _small(batches):
             found = {}
             for text in batch.column(1).to_pylist():
                 for _, _, words in pieces(text or "", min_words, longest):
@@ -282,7 +368,7 @@ def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 8, min_run: int = 24, longest: int = 64, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a repeated piece of a reported stretch: doc_id, start, end (code points), n_words, cluster_id, places, removed.
+    """One row a repeated piece or stretch of a reported run: doc_id, start, end (code points), n_words, cluster_id, places, removed.
 
     cluster_id is the smallest doc_id in the cluster; ``removed`` is false for the cluster's first place, by doc_id and start.
     """
@@ -298,9 +384,14 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, m
     clusters = rooted.groupBy("cluster").agg(F.sum("n").alias("places"), F.min("first").alias("first"))
     known = checkpointed(rooted.select("piece", "cluster").join(clusters, "cluster").where("places > 1"))
     repeated = table.drop("bands").join(known, "piece")
-    # stretches of neighbouring repeated pieces
-    order = Window.partitionBy("doc_id").orderBy("place", "start")
-    islands = repeated.withColumn("island", F.col("place") - F.dense_rank().over(order))
-    runs = islands.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "island")))
     here = F.struct("doc_id", "start")
-    return runs.where(F.col("run_words") >= min_run).select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_id"), "places", (here != F.col("first")).alias("removed"))
+    repeated = repeated.select("doc_id", "word", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_id"), "places", (here != F.col("first")).alias("removed"))
+    parts = repeated.unionByName(_stretches(all_seeds(docs), repeated.select("doc_id", "word", "n_words")))
+    # runs of neighbouring parts
+    order = Window.partitionBy("doc_id").orderBy("word", "start")
+    before = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("new", F.when(F.col("word") <= before + GAP, 0).otherwise(1))
+    parts = parts.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("doc_id", "run")
+    parts = parts.withColumn("run_words", F.max(F.col("word") + F.col("n_words")).over(run) - F.min("word").over(run))
+    return parts.where(F.col("run_words") >= min_run).select("doc_id", "start", "end", "n_words", "cluster_id", "places", "removed")

@@ -262,6 +262,32 @@ def test_passages_inside_other_text_are_found_and_clean_documents_left(spark):
         assert texts[r["doc_id"]][r["start"] : r["end"]].split()[-1] in passage.split()
 
 
+def covered_words(text, rows):
+    return sum(any(r["start"] <= m.start() and m.end() <= r["end"] for r in rows) for m in re.finditer(r"\S+", text))
+
+
+def test_passages_of_over_50_words_are_found_however_they_stand(spark):
+    rng = random.Random(19)
+    name = lambda: "".join(rng.choices("bcdfghklmnprstvz", k=7))
+    running = lambda n: " ".join(name() for _ in range(n))
+    short = lambda n: "".join(name() + rng.choice([" ", " ", ". ", "\n"]) for _ in range(n))
+    passages = [(running if k % 2 else short)(n) for n in (51, 52, 56, 60, 64, 65, 72) for k in range(6)]
+    texts = []
+    for k, p in enumerate(passages):
+        texts.append(running(30) + "\n" + p + ".\n" + running(30) if k % 3 else running(41) + " " + p + " " + running(37))
+        edited = p.split(" ")
+        edited[len(edited) // 2] = name()
+        texts.append(running(35) + " " + (" ".join(edited) if k % 4 == 3 else p) + " " + running(50))
+    clean = [running(200) for _ in range(20)]
+    got = collections.defaultdict(list)
+    for r in paragraphs.repeated_passages(table(spark, texts + clean)).collect():
+        got[r["doc_id"]].append(r)
+    assert set(got) == set(range(len(texts)))
+    for k, text in enumerate(texts):
+        assert covered_words(text, got[k]) >= 24
+        assert any(r["removed"] for r in got[k]) == bool(k % 2)
+
+
 # ---- quality
 
 
