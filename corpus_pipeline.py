@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tackline.llm import durable, mixing, packing, quality, queries, secrets, simhash
+from tackline.llm import durable, mixing, near_copies, packing, quality, queries, secrets
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of texts whose 5-word shingles have Jaccard similarity 0.8 or more the document with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

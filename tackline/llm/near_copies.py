@@ -1,0 +1,56 @@
+"""One document of each group of near copies, by exact similarity of word shingles.
+
+Candidates share a band of MinHash values of the whole text; only pairs whose
+shingle sets reach the Jaccard similarity are linked. Two texts of just that
+similarity are candidates with a probability of 0.97 or more. Equal texts
+collapse before any join.
+
+Defined cases: null and empty texts are copies of each other; rows without an
+id come after all others in a group and are otherwise treated alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tackline.llm.components import connected_components
+from tackline.llm.durable import checkpointed, written
+from tackline.llm.paragraphs import all_pieces, similar_links
+from tackline.llm.simhash import BROADCAST_IDS
+
+#: (bands, rows a band) for similarity 0.8: 1 - (1 - 0.8**4)**7 is 0.975.
+BANDS = 7, 4
+#: Buckets of up to this many different texts are compared within a task, larger ones by joins.
+FULL_BUCKET = 500
+
+
+def whole(text: str) -> list[tuple[int, int, list[str]]]:
+    """A text as one piece; an empty one has one empty word."""
+    return [(0, len(text), text.lower().split() or [""])]
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns unchanged, of one document of each component: the smallest id, then the smallest hash of the text. Of rows that share both one stays."""
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    texts = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    table = written(all_pieces(texts, 0, 0, width, *BANDS, cut=whole))
+    roots = checkpointed(connected_components(similar_links(texts, table, threshold, 0, 0, width, FULL_BUCKET, cut=whole)))
+    groups = table.select(F.col("doc_id").alias("__key"), "piece").distinct().join(roots.withColumnRenamed("vertex", "piece"), "piece", "left").select("__key", F.coalesce("root", "piece").alias("group"))
+    rows = docs.select(F.col(id_col).alias("__id"), key.alias("__key")).groupBy("__id", "__key").agg(F.count("*").alias("n"))
+    rows = checkpointed(rows.join(groups, "__key"))
+    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("least")).select(F.col("least.__id").alias("_i"), F.col("least.__key").alias("_k"))
+    found = rows.join(kept, F.col("__id").eqNullSafe(F.col("_i")) & (F.col("__key") == F.col("_k")), "left")
+    found = checkpointed(found.select("__id", "__key", "n", F.col("_k").isNotNull().alias("stays")))
+
+    def small(ids):
+        return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    apart = found.where("not stays or n > 1").select("__id", "__key")
+    once = docs.join(small(apart), same, "left_anti")
+    repeated = found.where("stays and n > 1").select("__id", "__key")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(small(repeated), same, "left_semi")
+    first = Window.partitionBy(F.col(id_col), key).orderBy(F.length(text_col), text_col)
+    return once.unionByName(again.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth"))

@@ -158,8 +158,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands: int, rows: int) -> DataFrame:
-    """Every piece with its hash; the first of equal ones in a stretch of a task's rows has its bands, the others none."""
+def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands: int, rows: int, cut=None) -> DataFrame:
+    """Every piece with its hash; the first of equal ones in a stretch of a task's rows has its bands, the others none. ``cut`` takes the place of :func:`pieces`."""
+    cut = cut or (lambda text: pieces(text, min_words, longest))
     arrow = to_arrow_schema(_PIECE)
 
     def run(batches):
@@ -169,7 +170,7 @@ def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands:
             found, fresh = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text, word, at = text or "", 0, 0
-                for k, (s, e, words) in enumerate(pieces(text, min_words, longest)):
+                for k, (s, e, words) in enumerate(cut(text)):
                     h = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
                     word += len(text[at:s].split())
                     found.append([doc_id, k, s, e, len(words), h, None, word])
@@ -252,7 +253,7 @@ def _stretches(seeds: DataFrame, pieces: DataFrame) -> DataFrame:
     return left.select("doc_id", "word", "start", "end", (F.col("stop") - F.col("word")).alias("n_words"), F.col("first.doc_id").alias("cluster_id"), "places", removed.alias("removed"))
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, longest: int, width: int) -> DataFrame:
+def _shingles_of(docs: DataFrame, wanted: DataFrame, cut, width: int) -> DataFrame:
     """(piece, shingles) of the wanted pieces, from a second reading of the texts."""
     schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
@@ -264,7 +265,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, longest: in
         for batch in _small(batches):
             found = {}
             for text in batch.column(1).to_pylist():
-                for _, _, words in pieces(text or "", min_words, longest):
+                for _, _, words in cut(text or ""):
                     h = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
                     if h not in found and (only is None or h in only):
                         found[h] = words
@@ -346,7 +347,7 @@ def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float) -> D
     return links
 
 
-def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words: int, longest: int, width: int, full_bucket: int | None = None) -> DataFrame:
+def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words: int, longest: int, width: int, full_bucket: int | None = None, cut=None) -> DataFrame:
     """Links (a, b) between different pieces of at least the similarity that share a band: enough to connect all such.
 
     In each round every bucket's smallest piece is compared with the bucket. What it resembles is connected through it and
@@ -358,7 +359,7 @@ def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words
     # equal pieces of different tasks are still there: distinct before the window, by partial aggregation
     full = keyed.distinct().withColumn("n", F.count("*").over(Window.partitionBy("band", "key"))).where("n > 1")
     full = checkpointed(full)
-    shingles = checkpointed(_shingles_of(docs, full.select("piece").distinct(), min_words, longest, width))
+    shingles = checkpointed(_shingles_of(docs, full.select("piece").distinct(), cut or (lambda text: pieces(text, min_words, longest)), width))
     links = _links_in_tasks(full.where(F.col("n") <= most).join(shingles, "piece"), threshold)
     large = full.where(F.col("n") > most).drop("n")
     if not large.isEmpty():

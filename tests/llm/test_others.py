@@ -111,5 +111,23 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == held[-1].count()
 
 
+def test_pipeline_keeps_no_near_copy(spark):
+    import random
+
+    rng = random.Random(33)
+    texts, shingles = [], lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    for _ in range(40):
+        words = prose(rng, 150).split()
+        texts.append(" ".join(words))
+        for at in (20, 75, 130)[: rng.randint(1, 3)]:
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    rows = [(k if k % 10 else None, t, "en", "s", len(t), 0.5, "x", 7) for k, t in enumerate([*texts, texts[0]])]
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert len(got) == 40
+    kept = [shingles(r["text"]) for r in got]
+    assert all(len(a & b) < 0.8 * len(a | b) for k, a in enumerate(kept) for b in kept[:k])
+
+
 def test_queries_name_every_operator():
     assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 11))
