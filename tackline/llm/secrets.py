@@ -74,8 +74,9 @@ def literal_weight(value: str) -> float:
     if len(value) < 6 or PLACEHOLDER.match(value):
         return 0.0
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value[:256]).values()) if n <= 256 else 4.0
-    classes = sum(any(f(c) for c in value[:256]) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value[:256])
+    counts = Counter(value)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
     return min(1.0, entropy / 4.0 * 0.7 + classes * 0.1)
 
 

@@ -411,6 +411,12 @@ def test_secrets_follow_constants_to_sensitive_names():
     assert secrets.redact_text(text).count("[SECRET]") == 2
 
 
+def test_literals_of_any_length_are_weighed_whole():
+    assert secrets.literal_spans('pwd = "' + "a" * 257 + '"') == []
+    assert secrets.literal_weight("abcdefghijklmnop" * 17) == secrets.literal_weight("abcdefghijklmnop" * 16)
+    assert secrets.literal_weight("a" * 256 + "B7-") > secrets.literal_weight("a" * 259)
+
+
 def test_secrets_of_annotated_and_subscripted_names():
     value = "s3cr3tValue99xQ-7Lm!"
     forms = ['db_credential: str = "{}"', 'const password: string = "{}"', 'auth: Optional[str] | None = "{}"', "config['db_passphrase'] = '{}'", 'os.environ["DB_CREDENTIAL"] = "{}"', 'char pwd[] = "{}"', 'c["a"]["pwd"] = "{}"', 'cfg.auth.pwd = "{}"', "pwd" + " " * 200 + '= "{}"', "C" * 90 + ' = "{}"\npwd = ' + "C" * 90, "let pwd: &'static str = \"{}\";"]
