@@ -1,64 +1,62 @@
 """Substring deduplication by paragraph MinHash banding.
 
-A text is cut at line ends and, within a line, at sentence ends; a piece of
-over ``longest`` words is cut again where a hash of two neighbouring words
-says so. Cuts depend on the words around them alone, so a passage that was
-pasted into other text gives the same pieces there. Pieces of at least
-``min_words`` words are compared by their sets of word shingles.
-
-Beside the pieces, and in all texts alike, runs of ``SEED`` words are indexed at
-places that the hashes of the ``SEEDS_APART`` neighbouring runs choose, whatever
-sentences or lines they cross: any ``SEED + SEEDS_APART - 1`` words in a row
-that two places share have one of these seeds in common. Neighbouring seeds that
-repeat the same earlier place form a stretch. So a passage is found whether or
-not it is cut as elsewhere, and short sentences count through those around them.
-
-Each different piece has a MinHash signature, in bands tuned so that pieces of
-Jaccard similarity ``threshold`` meet with probability ``recall`` or more.
-Pieces that collide in a band are compared with the smallest piece of that
-bucket by exact similarity, and what it does not resemble in turn with the
-smallest of those. Connected pieces form a cluster.
-Repeated pieces and stretches with at most ``GAP`` words between them make a run,
-which is reported when it has at least ``min_run`` words from its first to its
-last; all but a cluster's first place are removals.
-
-Equal pieces collapse before bands are shuffled. Signatures and hashes are
-64-bit; two different pieces with one hash, of which 10**9 pieces hold 0.03 on
-average, would pass for equal.
-
-Defined cases: a null or empty text has no pieces; a piece with fewer words
-than a shingle is its own shingle; repeated rows count as places of their own;
-rows without an id take no part.
+Paragraphs are the lines of a text; those of at least ``min_words`` words are
+compared by their sets of word shingles. Beside them, and in all texts alike,
+runs of ``SEED`` words are indexed at places that the hashes of ``SEEDS_APART``
+neighbouring runs choose, whatever lines or sentences they cross: any
+``SEED + SEEDS_APART - 1`` words in a row that two places share have one of
+these seeds in common. Neighbouring seeds that repeat the same earlier place
+form a stretch. So a passage is found whether or not it is laid out as
+elsewhere.
+
+Each different paragraph has a MinHash signature, in bands tuned so that
+paragraphs of Jaccard similarity ``threshold`` meet with probability ``recall``
+or more. Paragraphs that collide in a band are compared with the smallest one of
+that bucket by exact similarity, and what it does not resemble in turn with the
+smallest of those. Connected paragraphs form a cluster.
+Repeated paragraphs and stretches with at most ``GAP`` words between them make a
+run, which is reported when it has at least ``min_run`` words from its first to
+its last; all but a cluster's first place are removals. The ends of a stretch are
+those of its seeds, so up to ``SEEDS_APART - 1`` repeated words at either end of a
+passage lie outside; the default of ``min_run`` allows for them, which reports
+every passage of over 50 words, and no run shorter than 33.
+
+Equal paragraphs collapse before bands are shuffled, and seeds that come once are
+dropped by a count before any place is compared. Hashes are 64-bit; two different
+paragraphs with one hash, of which 10**9 paragraphs hold 0.03 on average, would
+pass for equal.
+
+Defined cases: a null or empty text has no paragraphs; a text of any length is
+read whole, in slices; repeated rows and rows that share an id count as places
+of their own; rows without an id take no part; of equal places the one with the
+smallest doc_id and then word comes first; other columns of the input are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tackline.llm.components import connected_components
 from tackline.llm.durable import checkpointed, written
 from tackline.llm.texts import id_and_text
+from tackline.llm.words import Words, mixed, read_words, run_hashes, shingles, starts_of
 
-#: Line ends, and a sentence's last mark with the white space after it.
-_CUT = re.compile(r"[\n.!?][ \t]*")
-_WORDS = re.compile(r"\S+")
-_EDGE = ".,;:!?\"'()[]{}"
 #: Words of a seed, and neighbouring seeds of which the one with the least hash is indexed.
-SEED, SEEDS_APART = 8, 8
+SEED, SEEDS_APART = 8, 10
 #: Words between repeated parts of one run: what a changed word can keep from any seed.
 GAP = 2 * (SEEDS_APART - 1) + 1
+#: What a passage of over 50 words keeps when both its ends lie as far from a seed as they can.
+MIN_RUN = 51 - 2 * (SEEDS_APART - 1)
 #: Rows whose words a task holds at once.
-ROWS = 500
-#: Candidate pieces up to this many are broadcast as hashes; more are joined by shuffle.
-BROADCAST_PIECES = 2_000_000
-#: Buckets of up to this many different pieces are compared within a task, larger ones by joins.
-FULL_BUCKET = 10_000
+ROWS = 1_000
+#: Candidate paragraphs up to this many are broadcast as hashes; more are joined by shuffle.
+BROADCAST_PIECES = 1_000_000
+#: Buckets of up to this many different paragraphs are compared within a task, larger ones by joins.
+FULL_BUCKET = 2_000
 
 
 def tune_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
@@ -72,80 +70,53 @@ def tune_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int
     return max((f for f in found if f[0] <= 4), key=lambda f: f[1], default=found[0])
 
 
-def pieces(text: str, min_words: int, longest: int) -> list[tuple[int, int, list[str]]]:
-    """(start, end, normal words) of each piece that is long enough, in code points."""
-    out, at, least = [], 0, 2 * min_words - 1
-    ends = [(m.start() + (m.group()[0] != "\n"), m.end()) for m in _CUT.finditer(text) if m.end() - m.start() > 1 or m.group() == "\n"]
-    for end, after in [*ends, (len(text), len(text))]:
-        if end - at >= least:
-            piece = text[at:end]
-            words = [w.strip(_EDGE) for w in piece.lower().split()]
-            if min_words <= len(words) <= longest:
-                out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip()), words))
-            elif len(words) > longest:
-                found = [m.span() for m in _WORDS.finditer(piece)]
-                words = [piece[s:e].lower().strip(_EDGE) for s, e in found]
-                marks = [0, *(k for k in range(1, len(words)) if xxhash.xxh32_intdigest(f"{words[k - 1]} {words[k]}") % (longest // 4) == 0), len(words)]
-                out += [(at + found[a][0], at + found[b - 1][1], words[a:b]) for a, b in zip(marks, marks[1:], strict=False) if b - a >= min_words]
-        at = after
+class Pieces:
+    """The paragraphs of some texts that have enough words."""
+
+    def __init__(self, words: Words, min_words: int):
+        first = starts_of(words.line)
+        size = np.diff(np.append(first, len(words.line)))
+        long = size >= min_words
+        self.size, first = size[long], first[long]
+        self.hashes = words.hash[np.repeat(long, size)]
+        self.doc = words.doc[first]
+        of_doc = starts_of(words.doc)
+        self.word = first - of_doc[np.searchsorted(of_doc, first, "right") - 1]
+        self.start, self.end = words.start[first], words.end[first + self.size - 1]
+        self.piece = run_hashes(self.hashes, self.size)
+
+    def shingles(self, only: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingle hashes of the chosen paragraphs, one after another, and how many each has."""
+        size = self.size[only]
+        return shingles(self.hashes[np.repeat(only, self.size)], np.repeat(np.arange(len(size)), size), width)[0], np.maximum(size - width + 1, 1)
+
+
+def shingle_sets(text: str, min_words: int, width: int) -> dict[int, set[int]]:
+    """Each paragraph's hash and the hashes of its shingles."""
+    out = {}
+    for words in read_words([text]):
+        found = Pieces(words, min_words)
+        flat, count = found.shingles(np.ones(len(found.size), bool), width)
+        parts = np.split(flat.view(np.int64), np.cumsum(count)[:-1]) if len(count) else []
+        out |= {p: set(x.tolist()) for p, x in zip(found.piece.view(np.int64).tolist(), parts, strict=True)}
     return out
 
 
-class Shingles:
-    """Hashes of word shingles, from hashes of words that a bounded cache keeps."""
-
-    def __init__(self, width: int):
-        self.width, self.known = width, {}
-        self.odd = np.random.default_rng(3).integers(1, 1 << 63, size=width, dtype=np.uint64) | np.uint64(1)
-
-    def __call__(self, pieces_words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """All pieces' shingle hashes one after another, and how many each piece has; a piece shorter than a shingle is one."""
-        if len(self.known) > 300_000:
-            self.known.clear()
-        words = [w for p in pieces_words for w in p]
-        got = list(map(self.known.get, words))
-        if None in got:
-            for k, v in enumerate(got):
-                if v is None:
-                    got[k] = self.known[words[k]] = xxhash.xxh64_intdigest(words[k])
-        size = np.array([len(p) for p in pieces_words], np.int64)
-        h = np.concatenate([np.array(got, np.uint64), np.zeros(self.width, np.uint64)])
-        n = len(words)
-        mixed = np.zeros(n, np.uint64)
-        left = np.repeat(np.cumsum(size), size) - np.arange(n)  # words from here to the piece's end
-        for k, c in enumerate(self.odd):
-            part = h[k : k + n] * c
-            part ^= part >> np.uint64(32)
-            mixed += np.where(left > k, part, np.uint64(0)) if k else part
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        count = np.maximum(size - self.width + 1, np.minimum(size, 1))
-        first = np.repeat(np.cumsum(size) - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return mixed[first], count
-
-
-def shingle_hashes(words: list[str], width: int) -> list[int]:
-    """Hashes of the different shingles of one piece."""
-    return np.unique(Shingles(width)([words])[0]).tolist()
-
-
 def _signatures(flat: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(pieces, bands) hashes: each of the least values of ``rows`` random functions of the shingles."""
-    rng = np.random.default_rng(5)
-    a = rng.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, size=bands * rows, dtype=np.uint64)
+    """(paragraphs, bands) hashes: each of the least values of ``rows`` random functions of the shingles."""
     starts = np.cumsum(count) - count
     out = np.zeros((len(count), bands), np.uint64)
+    odd = np.random.default_rng(5).integers(1, 1 << 63, size=(bands * rows, 2), dtype=np.uint64) | np.uint64(1)
     for k in range(bands * rows):
-        x = flat * a[k] + b[k]
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        least = np.minimum.reduceat(x, starts)
+        x = flat * odd[k, 0]
+        x ^= x >> np.uint64(32)
+        x *= odd[k, 1]
         band = k // rows
-        out[:, band] = (out[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
+        out[:, band] = mixed(out[:, band] + np.minimum.reduceat(x, starts) + np.uint64(band + 1))
     return out.view(np.int64)
 
 
-_PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("piece", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("word", T.IntegerType())])
+_PIECE = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("start", "end", "n_words", "word")], T.StructField("piece", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def _small(batches):
@@ -154,89 +125,83 @@ def _small(batches):
             yield batch.slice(at, ROWS)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def all_pieces(docs: DataFrame, min_words: int, longest: int, width: int, bands: int, rows: int, cut=None) -> DataFrame:
-    """Every piece with its hash; the first of equal ones in a stretch of a task's rows has its bands, the others none. ``cut`` takes the place of :func:`pieces`."""
-    cut = cut or (lambda text: pieces(text, min_words, longest))
+def all_pieces(docs: DataFrame, min_words: int, width: int, bands: int, rows: int) -> DataFrame:
+    """Every paragraph with its hash and bands; one that a task met just before has none."""
     arrow = to_arrow_schema(_PIECE)
 
     def run(batches):
-        seen: set[int] = set()
-        shingles = Shingles(width)
+        met = np.zeros(1 << 18, np.uint64)
         for batch in _small(batches):
-            found, fresh = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text, word, at = text or "", 0, 0
-                for k, (s, e, words) in enumerate(cut(text)):
-                    h = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
-                    word += len(text[at:s].split())
-                    found.append([doc_id, k, s, e, len(words), h, None, word])
-                    word, at = word + len(words), e
-                    if h not in seen:
-                        seen.add(h)
-                        fresh.append((len(found) - 1, words))
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                for (k, _), signature in zip(part, _signatures(*shingles([w for _, w in part]), bands, rows).tolist(), strict=True):
-                    found[k][6] = signature
-            if len(seen) > 300_000:
-                seen.clear()
-            columns = list(zip(*found, strict=True)) if found else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            ids = batch.column(0).to_numpy()
+            for words in read_words(batch.column(1).to_pylist()):
+                found = Pieces(words, min_words)
+                if not len(found.size):
+                    continue
+                slot = (found.piece >> np.uint64(46)).astype(np.int64)
+                fresh = np.zeros(len(slot), bool)
+                fresh[np.unique(found.piece, return_index=True)[1]] = True
+                fresh &= met[slot] != found.piece
+                met[slot] = found.piece
+                of = np.zeros((0, bands), np.int64)
+                if fresh.any():
+                    of = _signatures(*found.shingles(fresh, width), bands, rows)
+                offsets = np.concatenate([[0], np.cumsum(fresh * bands)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(of.ravel()), mask=pa.array(~fresh))
+                columns = [ids[found.doc], found.start, found.end, found.size, found.word, found.piece.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=False)), lists.cast(arrow.field("bands").type)], schema=arrow)
 
     return id_and_text(docs).where("doc_id is not null").mapInArrow(run, _PIECE)
 
 
-def seed_places(hashes: np.ndarray) -> np.ndarray:
-    """Of the hashes of a text's runs of words, the places of the least of each window; those that are one run over and over, a window apart."""
+def seed_places(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of the hashes of runs of words, the places of the least of each window of one text; of one run over and over only those a window apart."""
     if len(hashes) < SEEDS_APART:
         return np.zeros(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(hashes, SEEDS_APART)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    new = np.append(True, (hashes[at[1:]] != hashes[at[:-1]]) | (np.diff(at) > SEEDS_APART))
+    at = windows.argmin(axis=1) + np.arange(len(windows))
+    at = np.unique(at[doc[: len(windows)] == doc[SEEDS_APART - 1 :]])
+    if not len(at):
+        return at
+    new = np.append(True, (hashes[at[1:]] != hashes[at[:-1]]) | (np.diff(at) > SEEDS_APART) | (doc[at[1:]] != doc[at[:-1]]))
     step = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // SEEDS_APART
     return at[new | np.append(new[1:], True) | np.append(True, step[1:] != step[:-1])]
 
 
-def all_seeds(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, word, start, end) of each indexed run of words."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("word", "start", "end")]])
+def all_seeds(docs: DataFrame, places: bool = True) -> DataFrame:
+    """(seed, doc_id, word, start, end) of each indexed run of words, or its seed alone."""
+    fields = [T.StructField("seed", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("word", "start", "end")]]
+    schema = T.StructType(fields if places else fields[:1])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        shingles = Shingles(SEED)
         for batch in _small(batches):
-            ids, spans, words = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.array([m.span() for m in _WORDS.finditer(text or "")], np.int64)
-                if len(found) >= SEED + SEEDS_APART - 1:
-                    low = text.lower().split()
-                    low = low if len(low) == len(found) else [text[s:e].lower() for s, e in found.tolist()]
-                    ids.append(doc_id)
-                    spans.append(found)
-                    words.append([w.strip(_EDGE) for w in low])
-            if not ids:
-                continue
-            flat, count = shingles(words)
-            columns = []
-            for doc_id, found, h in zip(ids, spans, np.split(flat, np.cumsum(count)[:-1]), strict=True):
-                at = seed_places(h)
-                columns.append((h[at].view(np.int64), np.full(len(at), doc_id, np.int64), at, found[at, 0], found[at + SEED - 1, 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*columns, strict=True), arrow, strict=True)], schema=arrow)
+            ids = batch.column(0).to_numpy()
+            for words in read_words(batch.column(1).to_pylist()):
+                h, at = shingles(words.hash, words.doc, SEED)
+                chosen = seed_places(h, words.doc[at])
+                h, at = h[chosen].view(np.int64), at[chosen]
+                of_doc = starts_of(words.doc)
+                columns = [h, ids[words.doc[at]], at - of_doc[np.searchsorted(of_doc, at, "right") - 1], words.start[at], words.end[at + SEED - 1]] if places else [h]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return id_and_text(docs).where("doc_id is not null").mapInArrow(run, schema)
 
 
-def _stretches(seeds: DataFrame, pieces: DataFrame) -> DataFrame:
+def repeated_seeds(docs: DataFrame) -> DataFrame:
+    """The places of seeds that come more than once, with how often, and the first of them.
+
+    Seeds are counted first, with partial aggregation, and joined with what is left of the count: no seed's places are gathered.
+    """
+    often = all_seeds(docs, places=False).groupBy("seed").agg(F.count("*").alias("places")).where("places > 1")
+    found = written(all_seeds(docs).join(often, "seed"))
+    return found.join(found.groupBy("seed").agg(F.min(F.struct("doc_id", "word")).alias("first")), "seed")
+
+
+def _stretches(repeated: DataFrame, pieces: DataFrame) -> DataFrame:
     """Stretches of repeated seeds outside of stretches of repeated pieces, with the columns of the latter.
 
     pieces has doc_id, word, n_words. A stretch's places are those of its most frequent seed.
     """
-    same = Window.partitionBy("seed")
-    repeated = seeds.withColumns({"places": F.count("*").over(same), "first": F.min(F.struct("doc_id", "word")).over(same)}).where("places > 1")
     # how far the pieces that follow each other without a gap reach
     by_word = Window.partitionBy("doc_id").orderBy("word")
     ends = pieces.select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("stop"))
@@ -249,33 +214,45 @@ def _stretches(seeds: DataFrame, pieces: DataFrame) -> DataFrame:
     joined = (F.lag(shift).over(by_word) == shift) & (F.col("word") - F.lag("word").over(by_word) <= SEED + SEEDS_APART - 1)
     left = left.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(by_word.rowsBetween(Window.unboundedPreceding, 0)))
     left = left.groupBy("doc_id", "stretch").agg(F.min("word").alias("word"), (F.max("word") + SEED).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("places").alias("places"))
-    removed = F.struct("doc_id", "word") != F.col("first")
-    return left.select("doc_id", "word", "start", "end", (F.col("stop") - F.col("word")).alias("n_words"), F.col("first.doc_id").alias("cluster_id"), "places", removed.alias("removed"))
+    left = left.withColumn("removed", F.struct("doc_id", "word") != F.col("first"))
+    # at a passage's end a place can have a seed that its first place has not, as windows reach beyond: such go with the stretch they lie against
+    near = [F.when(F.lag("removed").over(by_word) & (F.lag("stop").over(by_word) >= F.col("word")), F.lag("first").over(by_word)), F.when(F.lead("removed").over(by_word) & (F.lead("word").over(by_word) <= F.col("stop")), F.lead("first").over(by_word))]
+    short = ~F.col("removed") & (F.col("stop") - F.col("word") < SEED + SEEDS_APART)
+    left = left.withColumn("other", F.when(short, F.coalesce(*near))).withColumns({"removed": F.col("removed") | F.col("other").isNotNull(), "first": F.coalesce("other", "first")})
+    return left.select("doc_id", "word", "start", "end", (F.col("stop") - F.col("word")).alias("n_words"), F.col("first.doc_id").alias("cluster_id"), "places", "removed")
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame, cut, width: int) -> DataFrame:
-    """(piece, shingles) of the wanted pieces, from a second reading of the texts."""
+def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, width: int) -> DataFrame:
+    """(piece, shingles) of the wanted paragraphs, from a second reading of the texts."""
     schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
     few = wanted.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES
     chosen = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
 
     def run(batches):
-        only, shingles = None if chosen.value is None else set(chosen.value.tolist()), Shingles(width)
+        met = np.zeros(1 << 18, np.uint64)
         for batch in _small(batches):
-            found = {}
-            for text in batch.column(1).to_pylist():
-                for _, _, words in cut(text or ""):
-                    h = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
-                    if h not in found and (only is None or h in only):
-                        found[h] = words
-            flat, count = shingles(list(found.values()))
-            sets = [np.unique(x) for x in np.split(flat.view(np.int64), np.cumsum(count)[:-1])] if found else []
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=arrow)
+            for words in read_words(batch.column(1).to_pylist()):
+                found = Pieces(words, min_words)
+                signed = found.piece.view(np.int64)
+                only = np.zeros(len(signed), bool)
+                only[np.unique(signed, return_index=True)[1]] = True
+                if chosen.value is not None:
+                    at = np.minimum(np.searchsorted(chosen.value, signed), max(0, len(chosen.value) - 1))
+                    only &= chosen.value[at] == signed if len(chosen.value) else False
+                slot = (found.piece >> np.uint64(46)).astype(np.int64)
+                only &= met[slot] != found.piece
+                if not only.any():
+                    continue
+                met[slot[only]] = found.piece[only]
+                flat, count = found.shingles(only, width)
+                offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed[only]), lists.cast(arrow.field(1).type)], schema=arrow)
 
     got = id_and_text(docs).where("doc_id is not null").mapInArrow(run, schema)
     got = got if few else got.join(wanted, "piece", "left_semi")
-    return got.groupBy("piece").agg(F.first("shingles").alias("shingles"))
+    return got.groupBy("piece").agg(F.array_distinct(F.first("shingles")).alias("shingles"))
 
 
 def _similarity(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -328,10 +305,11 @@ def _links_in_tasks(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame | None:
     """The same for buckets of any size, a round at a time over all of them; full has piece, band, key."""
-    buckets, links, far = Window.partitionBy("band", "key"), None, 1 - threshold + 1e-12
+    links, far = None, 1 - threshold + 1e-12
 
     def with_pivot(rows):
-        return checkpointed(rows.withColumn("pivot", F.min("piece").over(buckets)).withColumn("most", F.max("piece").over(buckets)).where("pivot <> most").drop("most"))
+        pivots = rows.groupBy("band", "key").agg(F.min("piece").alias("pivot"), F.max("piece").alias("most")).where("pivot <> most").drop("most")
+        return checkpointed(rows.join(pivots, ["band", "key"]))
 
     full = with_pivot(full)
     while not full.isEmpty():
@@ -347,7 +325,7 @@ def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float) -> D
     return links
 
 
-def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words: int, longest: int, width: int, full_bucket: int | None = None, cut=None) -> DataFrame:
+def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words: int, width: int, full_bucket: int | None = None) -> DataFrame:
     """Links (a, b) between different pieces of at least the similarity that share a band: enough to connect all such.
 
     In each round every bucket's smallest piece is compared with the bucket. What it resembles is connected through it and
@@ -356,10 +334,12 @@ def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words
     """
     most = FULL_BUCKET if full_bucket is None else full_bucket
     keyed = table.where("bands is not null").select("piece", F.posexplode("bands").alias("band", "key"))
-    # equal pieces of different tasks are still there: distinct before the window, by partial aggregation
-    full = keyed.distinct().withColumn("n", F.count("*").over(Window.partitionBy("band", "key"))).where("n > 1")
-    full = checkpointed(full)
-    shingles = checkpointed(_shingles_of(docs, full.select("piece").distinct(), cut or (lambda text: pieces(text, min_words, longest)), width))
+    # equal paragraphs of different tasks are still there: buckets are counted after a distinct
+    different = keyed.distinct()
+    shared = keyed.groupBy("band", "key").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low <> high").drop("low", "high")
+    full = checkpointed(different.join(shared, ["band", "key"]))
+    full = checkpointed(full.join(full.groupBy("band", "key").agg(F.count("*").alias("n")), ["band", "key"]))
+    shingles = checkpointed(_shingles_of(docs, full.select("piece").distinct(), min_words, width))
     links = _links_in_tasks(full.where(F.col("n") <= most).join(shingles, "piece"), threshold)
     large = full.where(F.col("n") > most).drop("n")
     if not large.isEmpty():
@@ -368,15 +348,15 @@ def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words
     return links
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 8, min_run: int = 24, longest: int = 64, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a repeated piece or stretch of a reported run: doc_id, start, end (code points), n_words, cluster_id, places, removed.
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 8, min_run: int = MIN_RUN, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a repeated paragraph or stretch of a reported run: doc_id, start, end (code points), n_words, cluster_id, places, removed.
 
     cluster_id is the smallest doc_id in the cluster; ``removed`` is false for the cluster's first place, by doc_id and start.
     """
     bands, rows = tune_bands(threshold, recall)
     docs = id_and_text(docs, id_col, text_col)
-    table = written(all_pieces(docs, min_words, longest, width, bands, rows))
-    roots = checkpointed(connected_components(similar_links(docs, table, threshold, min_words, longest, width)))
+    table = written(all_pieces(docs, min_words, width, bands, rows))
+    roots = checkpointed(connected_components(similar_links(docs, table, threshold, min_words, width)))
     counts = table.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
     rooted = counts.join(roots.withColumnRenamed("vertex", "piece"), "piece", "left").withColumn("cluster", F.coalesce("root", "piece"))
     # a piece that comes once and is no vertex is alone; roots that are no vertex of their own come from the links' other side
@@ -387,7 +367,7 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, m
     repeated = table.drop("bands").join(known, "piece")
     here = F.struct("doc_id", "start")
     repeated = repeated.select("doc_id", "word", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_id"), "places", (here != F.col("first")).alias("removed"))
-    parts = repeated.unionByName(_stretches(all_seeds(docs), repeated.select("doc_id", "word", "n_words")))
+    parts = repeated.unionByName(_stretches(repeated_seeds(docs), repeated.select("doc_id", "word", "n_words")))
     # runs of neighbouring parts
     order = Window.partitionBy("doc_id").orderBy("word", "start")
     before = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))

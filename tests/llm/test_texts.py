@@ -223,13 +223,12 @@ def test_paragraph_clusters_hold_every_similar_pair_of_a_band(spark, full_bucket
                 words[rng.randrange(60)] = rng.choice(WORDS)
             texts.append(" ".join(words) + ".")
     docs = table(spark, texts + ODD)
-    table_ = paragraphs.all_pieces(docs.coalesce(1), 8, 64, 5, 4, 2).cache()
+    table_ = paragraphs.all_pieces(docs.coalesce(1), 8, 5, 4, 2).cache()
     bands = {r["piece"]: r["bands"] for r in table_.where("bands is not null").collect()}
     sets = {}
     for t in texts:
-        for _, _, words in paragraphs.pieces(t, 8, 64):
-            sets[paragraphs._signed(xxhash.xxh3_64_intdigest(" ".join(words)))] = set(paragraphs.shingle_hashes(words, 5))
-    links = paragraphs.similar_links(docs, table_, 0.8, 8, 64, 5, full_bucket).collect()
+        sets |= paragraphs.shingle_sets(t, 8, 5)
+    links = paragraphs.similar_links(docs, table_, 0.8, 8, 5, full_bucket).collect()
     jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert all(jaccard(r["a"], r["b"]) >= 0.8 for r in links)
     group = {k: k for k in sets}
