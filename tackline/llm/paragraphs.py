@@ -192,7 +192,8 @@ def repeated_seeds(docs: DataFrame) -> DataFrame:
 
     Seeds are counted first, with partial aggregation, and joined with what is left of the count: no seed's places are gathered.
     """
-    often = all_seeds(docs, places=False).groupBy("seed").agg(F.count("*").alias("places")).where("places > 1")
+    # written, so that the join reads two plain shuffles, of which a hot seed's share can be split
+    often = written(all_seeds(docs, places=False).groupBy("seed").agg(F.count("*").alias("places")).where("places > 1"))
     found = written(all_seeds(docs).join(often, "seed"))
     return found.join(found.groupBy("seed").agg(F.min(F.struct("doc_id", "word")).alias("first")), "seed")
 

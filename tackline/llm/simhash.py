@@ -9,35 +9,56 @@ subtree pairs of nodes are traversed together: two children on the same side
 keep the number of differing bits, two on different sides add one, and a pair
 over the budget is pruned. Small pairs of nodes are compared leaf by leaf.
 
-A subtree returns a spanning forest of its links, not all of them, so that a
-group of copies gives a row a member. A subtree over the size limit is split
-at pairs of deeper nodes, which keeps every link and lets more tasks share it.
+A subtree returns links that connect what it holds, the nearest first, not all
+of them, so that a group of copies gives a few rows a member. A subtree over the
+size limit is split at pairs of deeper nodes, again and again until every part
+is small, which keeps every link and lets more tasks share it.
+
+:func:`near_duplicates` links fingerprints of one word. :func:`keep_one` finds
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Such texts differ in about 15 % of the bits of a SimHash, too many for one trie,
+so it draws ``TABLES`` fingerprints of ``TABLE_BITS`` bits each from a wide
+SimHash and joins each in a trie of its own; two texts of just that similarity
+are linked in one with a probability of about 0.93, more similar ones almost
+always. Links count only when the exact similarity confirms them.
 
 Defined cases: a null or empty text has fingerprint 0 and links as any other;
-repeated rows and ids give repeated rows of one component; a component whose
-ids are all null has a null id.
+repeated rows and ids give repeated rows of one component in
+:func:`near_duplicates`; a component whose ids are all null has a null id; ties
+go to the smaller id and then to the smaller hash of the text; a text of any
+length is read whole; other columns are ignored there and carried along by
+:func:`keep_one`, where names that begin with two underscores are taken; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tackline.llm.components import connected_components
-from tackline.llm.durable import checkpointed
+from tackline.llm.durable import checkpointed, written
 from tackline.llm.texts import map_rows
+from tackline.llm.words import mixed, read_words, run_hashes, shingles, starts_of
 
 BITS = 64
-#: Leaf pairs of a pair of nodes that are compared at once.
-LEAVES = 32
+#: Leaf pairs of a pair of nodes that are compared at once, and those of all such pairs.
+LEAVES, PAIRS = 1_024, 1 << 20
 #: Node pairs held at once; more are put aside and taken up later.
-FRONT = 200_000
-#: Bits below a block by which a large subtree is split.
+FRONT = 100_000
+#: Near pairs that are looked at before links are made of them.
+STEP = 4_096
+#: Bits below a node by which a large subtree is split.
 SPLIT_BITS = 8
+#: Rows of whole subtrees that a task takes together.
+CHUNK = 400_000
+#: Longs of a wide SimHash; fingerprints drawn from it, bits of each, and the differing bits that link two.
+WIDE, TABLES, TABLE_BITS, TABLE_BUDGET = 8, 20, 40, 3
+#: Wide SimHashes further apart than this are of texts less similar than 0.65, those of 0.8 lie at 78 with a deviation of 8.
+FAR_APART = 112
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
@@ -66,21 +87,31 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
     return map_rows(docs, lambda pairs: [(i, signed(fingerprint(t, width, seed))) for i, t in pairs], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())]), id_col, text_col)
 
 
-def _rotate(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(BITS - by) if by else x
-
-
-def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels (each the index of a root) after joining i and j."""
+def _find(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots that x lead to, with paths made shorter on the way."""
     while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return label
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        up = label[x]
+        top = label[up]
+        if (up == top).all():
+            return up
+        label[x] = top
+
+
+def _links(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs, nearest first, join what was apart; one for each two labels. ``label`` is brought up to date."""
+    a, b = _find(label, i), _find(label, j)
+    apart = np.flatnonzero(a != b)
+    if not len(apart):
+        return apart
+    low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+    chosen = apart[np.unique(low * np.int64(len(label)) + high, return_index=True)[1]]
+    i, j = i[chosen], j[chosen]
+    while len(i):
+        a, b = _find(label, i), _find(label, j)
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label = label[label]
+        left = a != b
+        i, j = i[left], j[left]
+    return chosen
 
 
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -88,38 +119,51 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def trie_links(values: np.ndarray, roots: np.ndarray, budget: int) -> np.ndarray:
-    """For sorted distinct values, the label of each after linking all pairs within the budget below pairs of roots.
+def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Where in each sorted range, whose values agree in all higher bits, the bit turns to 1."""
+    while True:
+        wide = lo < hi
+        if not wide.any():
+            return lo
+        at = (lo + hi) >> 1
+        one = (values[np.minimum(at, len(values) - 1)] & bit) != 0
+        lo, hi = np.where(wide & ~one, at + 1, lo), np.where(wide & one, at, hi)
+
+
+def trie_links(values: np.ndarray, roots: np.ndarray, budget: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The label of each value after linking all pairs within the budget below pairs of roots, and pairs of places that link them so.
 
-    ``roots`` has rows (lo a, hi a, lo b, hi b, depth, differing bits): two nodes as ranges of ``values``, the same one twice or two apart.
+    ``roots`` has rows (lo a, hi a, lo b, hi b, depth, differing bits): two nodes as sorted ranges of ``values``, the same one twice or two apart.
     """
-    label, put_aside = np.arange(len(values)), [roots]
+    label, put_aside, found = np.arange(len(values)), [roots], [np.zeros((2, 0), np.int64)]
     while put_aside:
         front = put_aside.pop()
         if len(front) > FRONT:
             put_aside.append(front[FRONT:])
             front = front[:FRONT]
-        la, ha, lb, hb, depth, errors = front.T
-        na, nb = ha - la, hb - lb
-        small = (na * nb <= LEAVES) | (depth >= BITS)
+        pairs = (front[:, 1] - front[:, 0]) * (front[:, 3] - front[:, 2])
+        small = (pairs <= LEAVES) | (front[:, 4] >= bits)
         if small.any():
-            pairs = na[small] * nb[small]
-            k = _ranges(np.zeros(len(pairs), np.int64), pairs)
-            width = np.repeat(nb[small], pairs)
-            i, j = np.repeat(la[small], pairs) + k // width, np.repeat(lb[small], pairs) + k % width
-            near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            label = _unite(label, i[near], j[near])
+            few = front[small]
+            ends = np.cumsum(pairs[small])
+            for part in np.split(few, np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS), "right")):
+                width = part[:, 3] - part[:, 2]
+                n = (part[:, 1] - part[:, 0]) * width
+                k, width = _ranges(np.zeros(len(n), np.int64), n), np.repeat(width, n)
+                i, j = np.repeat(part[:, 0], n) + k // width, np.repeat(part[:, 2], n) + k % width
+                differ = np.bitwise_count(values[i] ^ values[j])
+                near = np.flatnonzero((differ <= budget) & (i < j))
+                near = near[np.argsort(differ[near], kind="stable")]
+                for at in range(0, len(near), STEP):
+                    step = near[at : at + STEP]
+                    chosen = step[_links(label, i[step], j[step])]
+                    found.append(np.stack([i[chosen], j[chosen]]))
             front = front[~small]
             if not len(front):
                 continue
-            la, ha, lb, hb, depth, errors = front.T
-        bit = np.uint64(1) << (BITS - 1 - depth).astype(np.uint64)
-
-        def middle(lo, hi, bit=bit):
-            path = values[np.minimum(lo, len(values) - 1)] & ~(bit | bit - np.uint64(1))
-            return np.clip(np.searchsorted(values, path | bit), lo, hi)
-
-        ma, mb, same = middle(la, ha), middle(lb, hb), la == lb
+        la, ha, lb, hb, depth, errors = front.T
+        bit = np.uint64(1) << (bits - 1 - depth).astype(np.uint64)
+        ma, mb, same = _middle(values, la, ha, bit), _middle(values, lb, hb, bit), la == lb
         children = [
             np.stack([la, ma, lb, mb, depth + 1, errors]),
             np.stack([ma, ha, mb, hb, depth + 1, errors]),
@@ -131,98 +175,104 @@ def trie_links(values: np.ndarray, roots: np.ndarray, budget: int) -> np.ndarray
         alive &= (children[0] != children[2]) | (children[1] - children[0] > 1)
         if alive.any():
             put_aside.append(children[:, alive].T)
-    return label
+    return _find(label, np.arange(len(label))), np.concatenate(found, axis=1)
 
 
-def _block_edges(budget: int) -> list[tuple[int, int]]:
+def _block_edges(budget: int, bits: int) -> list[tuple[int, int]]:
     """(first bit from the top, bits) of each block."""
-    edges = [BITS * k // (budget + 1) for k in range(budget + 2)]
+    edges = [bits * k // (budget + 1) for k in range(budget + 2)]
     return [(s, e - s) for s, e in zip(edges, edges[1:], strict=False)]
 
 
-def _linked(rows: DataFrame, budget: int) -> DataFrame:
-    """Spanning links of all subtrees; rows has block, a path as long, fp, and the pair of deeper nodes of a split subtree.
+_UNIT = ("slot", "depth", "low", "high")
+
 
-    Rows of one subtree come together by repartition; a task takes all its subtrees at once, as ranges of one sorted array a block.
+def _linked(rows: DataFrame, budget: int, bits: int) -> DataFrame:
+    """Links of all subtrees; rows has the unit (slot, depth, low, high: one node or two at that depth), value and node.
+
+    Rows of a unit come together by repartition and sort; a task takes some whole units at a time.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    arrow, blocks = to_arrow_schema(schema), _block_edges(budget)
+    arrow = to_arrow_schema(schema)
+
+    def links(rows):
+        slot, depth, low, high, value, node = rows
+        value = value.view(np.uint64)
+        order = np.lexsort((value, high, low, depth, slot))
+        slot, depth, low, high, value, node = (x[order] for x in (slot, depth, low, high, value, node))
+        first = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (depth[1:] != depth[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        end = np.append(first[1:], len(value))
+        prefix = value >> (bits - depth).astype(np.uint64)
+        middle = first + np.add.reduceat((prefix == np.repeat(prefix[first], end - first)).astype(np.int64), first)
+        one = low[first] == high[first]
+        errors = np.bitwise_count((low[first] ^ high[first]).view(np.uint64)).astype(np.int64)
+        roots = np.stack([first, np.where(one, end, middle), np.where(one, first, middle), end, depth[first], errors], axis=1)
+        roots = roots[np.where(one, end - first > 1, middle < end)]
+        if len(roots):
+            i, j = trie_links(value, roots, budget, bits)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], schema=arrow)
 
     def run(batches):
-        got = [np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]) for batch in batches if batch.num_rows]
-        if not got:
-            return
-        block, fp, low, high = np.concatenate(got, axis=1)
-        for b in np.unique(block):
-            first, bits = blocks[b]
-            for split in (False, True):
-                at = (block == b) & ((low >= 0) == split)
-                if not at.any():
-                    continue
-                value, lo, hi = _rotate(fp[at].astype(np.uint64), first), low[at], high[at]
-                order = np.lexsort((value, hi, lo)) if split else np.argsort(value)
-                value, lo, hi = value[order], lo[order], hi[order]
-                if split:
-                    # each pair of deeper nodes is joined by itself: its rows are one range
-                    cut = np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-                    parts = np.split(np.arange(len(value)), cut)
-                else:
-                    parts = [slice(None)]
-                for part in parts:
-                    v = np.unique(value[part])
-                    path = v >> np.uint64(BITS - bits)
-                    starts = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
-                    ends = np.append(starts[1:], len(v))
-                    zero = np.zeros(len(starts), np.int64)
-                    if split and lo[part][0] != hi[part][0]:
-                        on_low = (v >> np.uint64(BITS - bits - SPLIT_BITS)) & np.uint64((1 << SPLIT_BITS) - 1) == np.uint64(lo[part][0])
-                        middle = starts + np.add.reduceat(on_low.astype(np.int64), starts)
-                        roots = np.stack([starts, middle, middle, ends, zero + bits + SPLIT_BITS, zero + int(lo[part][0] ^ hi[part][0]).bit_count()], axis=1)
-                        roots = roots[(roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3])]
-                    else:
-                        roots = np.stack([starts, ends, starts, ends, zero + bits, zero], axis=1)[ends - starts > 1]
-                    if len(roots):
-                        label = trie_links(v, roots.astype(np.int64), budget)
-                        child = np.flatnonzero(label != np.arange(len(v)))
-                        back = _rotate(v, BITS - first if first else 0).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(back[child]), pa.array(back[label[child]])], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
-
-
-def near_links(distinct: DataFrame, budget: int = 3, limit: int | None = None) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp) within the budget.
-
-    A subtree of over ``limit`` fingerprints (20,000, or 20 times the mean where that is more) is split at pairs of nodes 8 bits deeper that differ in at most the budget.
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([batch.column(k).to_numpy() for k in range(6)]))
+                n += batch.num_rows
+            if n > CHUNK:
+                rows = np.concatenate(held, axis=1)
+                cut = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0))
+                at = cut[-1] + 1 if len(cut) else 0
+                if at:
+                    yield from links(rows[:, :at])
+                held, n = [rows[:, at:]], rows.shape[1] - at
+        if n:
+            yield from links(np.concatenate(held, axis=1))
+
+    return rows.select(*[F.col(c).cast("long") for c in (*_UNIT, "value", "node")]).mapInArrow(run, schema)
+
+
+def near_links(prints: DataFrame, budget: int = 3, limit: int | None = None, bits: int = BITS) -> DataFrame:
+    """Links (a, b) between nodes, enough to connect those that have, in one table, fingerprints within the budget.
+
+    ``prints`` has node (long), table (int) and fp, a fingerprint of ``bits`` bits that comes once in its table.
+    A subtree of over ``limit`` fingerprints (20,000, or 20 times the mean where that is more) is split at pairs of nodes
+    8 bits deeper that differ in at most what is left of the budget.
     """
-    blocks = _block_edges(budget)
-    path = [F.shiftrightunsigned("fp", BITS - s - n).bitwiseAND(F.lit((1 << n) - 1)) for s, n in blocks]
-    rows = distinct.select(F.posexplode(F.array(*path)).alias("block", "path"), "fp").withColumns({"block": F.col("block").cast("long"), "low": F.lit(-1).cast("long"), "high": F.lit(-1).cast("long")})
-    sizes = rows.groupBy("block", "path").count()
-    if limit is None:
-        n, groups = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-        limit = max(20_000, 20 * n // max(1, groups))
-    hot = checkpointed(sizes.where(F.col("count") > limit).select("block", "path"))
-    if not hot.isEmpty():
-        turned = F.lit(0).cast("long")
-        for k, (s, n) in enumerate(blocks):
-            by = (s + n) % BITS
-            turned = F.when(F.col("block") == k, F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", BITS - by)) if by else F.col("fp")).otherwise(turned)
-        masks = [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget]
-        large = rows.join(hot, ["block", "path"], "left_semi")
-        node = F.shiftrightunsigned(turned, BITS - SPLIT_BITS)
-        large = large.withColumn("node", node).withColumn("other", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("node").bitwiseXOR(F.col("other")))
-        large = large.select("block", "path", "fp", F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"))
-        rows = rows.join(hot, ["block", "path"], "left_anti").select("block", "path", "fp", "low", "high").union(large)
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _linked(rows.repartition(parts, "block", "path", "low", "high").select("block", "fp", "low", "high"), budget)
+    blocks = _block_edges(budget, bits)
+    mask = F.lit((1 << bits) - 1 if bits < BITS else -1)
+    turned = [F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", bits - s)).bitwiseAND(mask) if s else F.col("fp") for s, _ in blocks]
+    units = F.array(*[F.struct(F.lit(k).cast("long").alias("block"), t.alias("value"), F.shiftrightunsigned(t, bits - n).alias("low"), F.lit(n).alias("depth")) for k, (t, (_, n)) in enumerate(zip(turned, blocks, strict=True))])
+    rows = prints.select("node", "table", F.explode(units).alias("u"))
+    rows = rows.select((F.col("table") * len(blocks) + F.col("u.block")).alias("slot"), F.col("u.depth").alias("depth"), F.col("u.low").alias("low"), F.col("u.low").alias("high"), F.col("u.value").alias("value"), "node")
+    while True:
+        sizes = rows.groupBy(*_UNIT).count()
+        if limit is None:
+            n, groups = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+            limit = max(20_000, 20 * n // max(1, groups))
+        hot = checkpointed(sizes.where((F.col("count") > limit) & (F.col("depth") < bits)).drop("count"))
+        if hot.isEmpty():
+            break
+        large = rows.join(hot, list(_UNIT), "left_semi")
+        deeper = F.least(F.col("depth") + SPLIT_BITS, F.lit(bits))
+        step = deeper - F.col("depth")
+        own = F.expr(f"shiftrightunsigned(value, cast({bits} - least(depth + {SPLIT_BITS}, {bits}) as int))")
+        # what two nodes' paths so far differ in, and what they may differ in further on
+        apart = F.col("low").bitwiseXOR(F.col("high"))
+        masks = F.array(*[F.lit(m).cast("long") for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget])
+        masks = F.filter(masks, lambda m: (m < F.expr(f"shiftleft(1L, cast(least({SPLIT_BITS}, {bits} - depth) as int))")) & (F.bit_count(m) + F.bit_count(apart) <= budget))
+        large = large.select("slot", "depth", deeper.alias("deeper"), step.cast("int").alias("step"), own.alias("own"), apart.alias("apart"), "value", "node", F.explode(masks).alias("m"))
+        other = F.col("own").bitwiseXOR(F.expr("shiftleft(apart, step)")).bitwiseXOR(F.col("m"))
+        large = large.select("slot", F.col("deeper").alias("depth"), F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "value", "node")
+        rows = checkpointed(rows.join(hot, list(_UNIT), "left_anti").select(*_UNIT, "value", "node").unionByName(large))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _linked(rows.repartition(parts, *_UNIT).sortWithinPartitions(*_UNIT), budget, bits)
 
 
 def near_duplicates(docs: DataFrame, budget: int = 3, width: int = 3, seed: int = 42, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id, the smallest doc_id reachable over links."""
     prints = checkpointed(fingerprints(docs, width, seed, id_col, text_col))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(classes.select("fp"), budget, limit))
+    roots = connected_components(near_links(classes.select(F.col("fp").alias("node"), F.lit(0).alias("table"), "fp"), budget, limit))
     # only linked fingerprints need more than their own smallest id
     linked = roots.select(F.col("vertex").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
     least = linked.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -234,31 +284,154 @@ def near_duplicates(docs: DataFrame, budget: int = 3, width: int = 3, seed: int
 BROADCAST_IDS = 1_000_000
 
 
-def keep_one(docs: DataFrame, budget: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns unchanged, of one document of each component: the smallest id, then the smallest fingerprint.
+def wide_prints(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """(docs, WIDE) longs: majority bits of the different shingles of each doc; ``doc`` says, in order, which doc a hash is of."""
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))
+    hashes, doc = hashes[new], doc[new]
+    first = starts_of(doc)
+    size = np.diff(np.append(first, len(doc)))
+    # eight counters of a byte each are added up in one word, 255 shingles at a time
+    parts = -(-size // 255)
+    starts = np.repeat(first, parts) + 255 * _ranges(np.zeros(len(parts), np.int64), parts)
+    of = np.cumsum(parts) - parts
+    out, ones = np.zeros((len(first), WIDE), np.uint64), np.uint64(0x0101010101010101)
+    for k in range(WIDE):
+        x = mixed(hashes + np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93))
+        for b in range(8):
+            lanes = np.add.reduceat(x >> np.uint64(b) & ones, starts).view(np.uint8).reshape(-1, 8)
+            counts = np.add.reduceat(lanes.astype(np.int64), of, axis=0)
+            out[:, k] |= np.bitwise_or.reduce((2 * counts > size[:, None]).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(b)), axis=1)
+    return out
+
+
+def drawn_prints(wide: np.ndarray) -> np.ndarray:
+    """(docs, TABLES) fingerprints of TABLE_BITS bits, each of bits drawn from the wide print."""
+    rng = np.random.default_rng(9)
+    drawn = np.concatenate([rng.choice(64 * WIDE, TABLE_BITS, replace=False) for _ in range(TABLES)])
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1)
+    packed = np.zeros((len(wide), TABLES, 8), np.uint8)
+    packed[:, :, : TABLE_BITS // 8] = np.packbits(bits[:, drawn].reshape(len(wide), TABLES, TABLE_BITS), axis=2)
+    return packed.view(np.uint64)[:, :, 0]
+
+
+_TEXT = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType())), T.StructField("prints", T.ArrayType(T.LongType()))])
+
+
+def _nodes(texts: DataFrame, width: int, wanted: np.ndarray | None = None, sets: bool = False) -> DataFrame:
+    """The different texts of (key, text): their key and node, a hash of all words, with wide print and drawn prints; or the nodes' shingle sets."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]) if sets else _TEXT
+    arrow = to_arrow_schema(schema)
+    chosen = texts.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
+
+    def lists(values: np.ndarray, count: np.ndarray):
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64).ravel())).cast(arrow.field(arrow.names[-1]).type)
 
-    Rows without an id, which nothing can tell apart, all stay. Rows that share an id are told apart by their fingerprints, and of those that share both one stays.
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                keys = part.column(0).to_numpy()
+                empty = np.ones(len(keys), bool)
+                for words in read_words(part.column(1).to_pylist()):
+                    first = starts_of(words.doc)
+                    docs = words.doc[first]
+                    empty[docs] = False
+                    node = run_hashes(words.hash, np.diff(np.append(first, len(words.doc)))).view(np.int64)
+                    h, place = shingles(words.hash, words.doc, width)
+                    if not sets:
+                        wide = wide_prints(h, words.doc[place])
+                        n = len(docs)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[docs]), pa.array(node), lists(wide, np.full(n, WIDE)), lists(drawn_prints(wide), np.full(n, TABLES))], schema=arrow)
+                        continue
+                    only = np.ones(len(node), bool)
+                    if chosen is not None:
+                        only = chosen.value[np.minimum(np.searchsorted(chosen.value, node), len(chosen.value) - 1)] == node if len(chosen.value) else only & False
+                    if only.any():
+                        of = np.repeat(np.arange(len(docs)), np.diff(np.append(np.searchsorted(place, first), len(place))))
+                        yield pa.RecordBatch.from_arrays([pa.array(node[only]), lists(h[only[of]], np.bincount(of, minlength=len(docs))[only])], schema=arrow)
+                n = int(empty.sum())
+                if n and not sets:
+                    none = np.zeros((n, WIDE), np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[empty]), pa.array(np.zeros(n, np.int64)), lists(none, np.full(n, WIDE)), lists(drawn_prints(none), np.full(n, TABLES))], schema=arrow)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _best_links(links: DataFrame) -> DataFrame:
+    """Of each node's links the nearest."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("at"), F.struct("apart", "a", "b").alias("link"))
+    return ends.groupBy("at").agg(F.min("link").alias("link")).select("link.a", "link.b", "link.apart").distinct()
+
+
+def similar_texts(texts: DataFrame, nodes: DataFrame, threshold: float, width: int, limit: int | None = None, rounds: int = 3) -> DataFrame:
+    """Links (a, b) of nodes whose shingle sets have the similarity, out of the links of the tries; enough to connect all such.
+
+    Nodes of one drawn fingerprint link to the smallest of them, so each trie has a fingerprint once. A few rounds test each
+    node's nearest link to what it is not connected with; then all that remain between what is not connected are tested.
+    """
+    drawn = nodes.select("node", F.posexplode("prints").alias("table", "fp"))
+    same = checkpointed(drawn.groupBy("table", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")))
+    stars = drawn.join(same.where("n > 1").drop("n"), ["table", "fp"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    tries = near_links(same.select(F.col("rep").alias("node"), "table", "fp"), TABLE_BUDGET, limit, TABLE_BITS)
+    pairs = stars.union(tries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wide = nodes.select("node", "wide")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    links = pairs.join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= FAR_APART)
+    links = checkpointed(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = np.sort(ends.toArrow().column(0).to_numpy()) if ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else None
+    sets = _nodes(texts, width, wanted, sets=True)
+    sets = sets if wanted is not None else sets.join(ends, "node", "left_semi")
+    sets = checkpointed(sets.groupBy("node").agg(F.array_distinct(F.first("shingles")).alias("shingles")))
+    good = None
+    for k in range(rounds + 1):
+        tested = checkpointed(_best_links(links) if k < rounds else links)
+        both = tested.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        found = both.where(shared / (F.size("x") + F.size("y") - shared) >= threshold).select("a", "b")
+        good = checkpointed(found if good is None else good.union(found))
+        if k == rounds:
+            break
+        roots = connected_components(good)
+        left = links.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(roots.toDF(end, f"{end}_root"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+        links = checkpointed(left.where("a_root <> b_root").select("a", "b", "apart"))
+        if links.isEmpty():
+            break
+    return good
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns unchanged, of one document of each component: the smallest id, then the smallest hash of the text.
+
+    Texts link when the sets of their word shingles have the Jaccard similarity. Rows without an id come after all others in
+    a component; of rows that share both id and text one stays.
     """
-    found = checkpointed(near_duplicates(docs.where(F.col(id_col).isNotNull()), budget, width, seed, None, id_col, text_col))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("least")).select("least.*")
-    repeated = checkpointed(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
-    gone = checkpointed(found.join(kept, ["doc_id", "fingerprint"], "left_anti").select(F.col("doc_id").alias("__id")).union(repeated).distinct())
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    table = written(_nodes(texts, width))
+    nodes = written(table.groupBy("node").agg(F.first("wide").alias("wide"), F.first("prints").alias("prints")))
+    roots = checkpointed(connected_components(similar_texts(texts, nodes, threshold, width, limit)))
+    groups = table.select(F.col("key").alias("__key"), "node").distinct().join(roots.withColumnRenamed("vertex", "node"), "node", "left").select("__key", F.coalesce("root", "node").alias("group"))
+    rows = docs.select(F.col(id_col).alias("__id"), key.alias("__key")).groupBy("__id", "__key").agg(F.count("*").alias("n"))
+    rows = checkpointed(rows.join(groups, "__key"))
+    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("least")).select(F.col("least.__id").alias("_i"), F.col("least.__key").alias("_k"))
+    found = rows.join(kept, F.col("__id").eqNullSafe(F.col("_i")) & (F.col("__key") == F.col("_k")), "left")
+    found = checkpointed(found.select("__id", "__key", "n", F.col("_k").isNotNull().alias("stays")))
 
     def small(ids):
         return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
-    same = F.col(id_col).cast("long") == F.col("__id")
-    once = docs.join(small(gone), same, "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    apart = found.where("not stays or n > 1").select("__id", "__key")
+    once = docs.join(small(apart), same, "left_anti")
+    repeated = found.where("stays and n > 1").select("__id", "__key")
     if repeated.isEmpty():
         return once
-
-    @F.pandas_udf("string")
-    def hexadecimal(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: f"{fingerprint(t, width, seed):016x}")
-
-    again = docs.join(small(repeated), same, "left_semi").withColumn("__print", hexadecimal(F.col(text_col).cast("string")))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__kept"))
-    again = again.join(kept, same & (F.col("__print") == F.col("__kept")), "left_semi")
-    first = Window.partitionBy(id_col, "__print").orderBy(F.length(text_col), text_col)
-    again = again.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth", "__print")
-    return once.unionByName(again)
+    again = docs.join(small(repeated), same, "left_semi")
+    first = Window.partitionBy(F.col(id_col), key).orderBy(F.length(text_col), text_col)
+    return once.unionByName(again.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth"))

@@ -183,23 +183,62 @@ def test_simhash_split_subtrees_keep_every_link():
         if (new == label).all():
             break
         label = new
-    assert (simhash.trie_links(v, np.array([[0, len(v), 0, len(v), 0, 0]]), 3) == label).all()
+    got, links = simhash.trie_links(v, np.array([[0, len(v), 0, len(v), 0, 0]]), 3)
+    assert (got == label).all()
+    assert (np.bitwise_count(v[links[0]] ^ v[links[1]]) <= 3).all()
 
 
-def test_simhash_keeps_one_of_each_group(spark):
+def shingle_groups(rows, threshold=0.8):
+    """(id, text) to the group of texts that exact five-word similarity connects."""
+    def words(t):
+        return [re.sub(r"[.,;:!?\"'()\[\]{}]", "", w.lower()) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words(t) for _, t in rows)]
+    group = list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                group[find(a)] = find(b)
+    return [find(k) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_simhash_keeps_one_of_each_group(spark, limit):
     rng = random.Random(7)
     texts = near_copies(rng, 12)
-    ids = list(range(len(texts)))
-    docs = table(spark, texts + texts[:3] + [prose(rng, 200)], ids + ids[:3] + [1])
-    got = simhash.keep_one(docs)
+    ids = [None if k == 5 else k for k in range(len(texts))]
+    docs = table(spark, [*texts, *texts[:3], prose(rng, 200), None, "", " \n"], [*ids, *ids[:3], 1, 900, 901, None])
+    got = simhash.keep_one(docs, limit=limit)
     assert got.columns == docs.columns
-    rows = list(zip(ids + ids[:3] + [1], [*texts, *texts[:3], None], strict=True))
-    kept = [(r["doc_id"], f"{brute_print(r['text']):016x}") for r in got.collect()]
-    assert len(kept) == len(set(kept))
     everything = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = brute_components(everything)
-    assert collections.Counter(want[k] for k in kept) == dict.fromkeys(set(want.values()), 1)
-    assert rows
+    group = dict(zip(everything, shingle_groups(everything), strict=True))
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert collections.Counter(group[k] for k in kept) == dict.fromkeys(set(group.values()), 1)
+    for k in kept:
+        assert k[0] == min((i for (i, _), g in group.items() if g == group[k] and i is not None), default=None)
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_simhash_recall_at_the_threshold(spark):
+    rng = random.Random(70)
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(240)]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(4, 236), 5):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    group = shingle_groups(list(enumerate(texts)))
+    pairs = [k for k in range(0, len(texts), 2) if group[k] == group[k + 1]]
+    kept = {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()}
+    assert all(k in kept for k in range(0, len(texts), 2)) and all(k + 1 in kept for k in range(0, len(texts), 2) if k not in pairs)
+    assert len(pairs) > 30 and sum(k + 1 not in kept for k in pairs) >= 0.85 * len(pairs)
 
 
 # ---- paragraphs
