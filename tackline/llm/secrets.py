@@ -1,14 +1,17 @@
 """Secret scanning by assignment-aware lexing.
 
 Three plain patterns give the base spans. Beyond them, each text is read as
-source or configuration syntax: name-operator-literal triples are lexed,
-identifiers on the right are resolved to the literal that they were last
-given, and literals are scored by the sensitivity of the name that they reach
-and by their own strength.
-
-Defined cases: a null or empty text has no spans; repeated rows give repeated
-results; other columns of the input are ignored by :func:`scan` and carried
-unchanged by :func:`redact`; an empty table gives an empty result.
+source or configuration syntax by :mod:`tackline.llm.assignments`: name-literal
+pairs are lexed, constants on the right are resolved to the literals that they
+were last given, and literals are scored by the sensitivity of the name that they
+reach and by their own strength. Literals in comments count by the plain patterns
+alone.
+
+Defined cases: a null or empty text has no spans; a text of any length is read
+whole; repeated rows, and rows that share an id, give a result each; of spans that
+begin at one place the kinds come in the order listed; other columns of the input
+are ignored by :func:`scan` and carried unchanged by :func:`redact`, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tackline.llm.assignments import read
 from tackline.llm.texts import map_rows
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -32,6 +36,8 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 0.9,
     "auth": 0.7, "authorization": 0.8, "bearer": 0.9, "signature": 0.6, "salt": 0.6, "connectionstring": 0.8,
 }
+#: One of these is in every text that holds a sensitive name.
+_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "signature", "salt", "string")
 #: Literals that stand for a value to be filled in.
 PLACEHOLDER = re.compile(r"(?ai)\A(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example|placeholder|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)\Z")
 
@@ -39,14 +45,8 @@ _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x2
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_OPERATOR = re.compile(r":=|=>|==|[:=]")
-_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
-_UNIT = r"""(?:&(?:'[A-Za-z_]+[ \t]+)?(?:mut[ \t]+)?)?\*?["']?[A-Za-z_][A-Za-z0-9_.]*["']?\??"""
-_TYPE = re.compile(rf"{_UNIT}(?:[ \t]*\|[ \t]*{_UNIT})*", re.A)
 #: Words that a plain pattern takes for a value where they are a type: redaction leaves them.
 TYPE_WORDS = {"string", "secretstr", "secretbytes", "optional", "literal", "unicode", "varchar", "object"}
-_VALUE = re.compile(r"""[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=-]+))""", re.A)
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -80,94 +80,16 @@ def literal_weight(value: str) -> float:
     return min(1.0, entropy / 4.0 * 0.7 + classes * 0.1)
 
 
-def _target(text: str, low: int, end: int) -> str:
-    """The name that ends at ``end``, at most back to ``low``: a name, maybe quoted, with the keys of subscripts behind it as further parts."""
-    keys = []
-    while True:
-        while end > low and text[end - 1] in " \t":
-            end -= 1
-        if end == low or text[end - 1] != "]":
-            break
-        at = text.rfind("[", low, end)
-        key = text[at + 1 : end - 1].strip(" \t")
-        if at < 0 or "\n" in key:
-            return ""
-        if len(key) > 1 and key[0] == key[-1] and key[0] in "\"'":
-            keys.append(key[1:-1])
-        end = at
-    if not keys and end > low and text[end - 1] in "\"'":
-        end -= 1
-    start = end
-    while start > low and text[start - 1] in _NAME_CHARS:
-        start -= 1
-    name = text[start:end].lstrip("0123456789.-")
-    return ".".join(filter(None, [name, *reversed(keys)]))
-
-
-def _is_type(text: str) -> bool:
-    """Whether a text is one type expression: names joined by |, with any arguments in brackets."""
-    depth, outside = 0, []
-    for c in text:
-        depth += (c in "[(<") - (c in "])>")
-        if depth < 0 or c == "\n":
-            return False
-        if not depth and c not in "])>":
-            outside.append(c)
-    return not depth and bool(_TYPE.fullmatch("".join(outside).strip(" \t")))
-
-
-def _lexed(text: str) -> tuple[list[tuple[str, str, int, int, bool]], set[tuple[int, int]]]:
-    """The pairs of :func:`assignments`, and the (start, end) of values that turned out to be types."""
-    if "=" not in text and ":" not in text:
-        return [], set()
-    out, types, low = [], set(), 0
-    colon = None  # the name before the last operator, where that is a colon, and its pair
-    for op in _OPERATOR.finditer(text):
-        start, after = low, colon
-        low, colon = op.end(), None
-        if op.group() == "==":
-            continue
-        # what lies before the operator reaches back to the one before it, so that all names together are read once
-        name = _target(text, start, op.start())
-        right = _VALUE.match(text, op.end())
-        k = right.lastindex if right else None
-        pair = (right.group(k), right.start(k), right.end(k), k < 3) if k and right.end(k) > right.start(k) else None
-        if op.group() == ":" and name:
-            colon = (name, len(out) if pair else None)
-        if after and op.group() == "=" and pair and _is_type(text[start : op.start()]):
-            if after[1] is not None:
-                types.add(out.pop(after[1])[2:4])
-            out.append((after[0], *pair))
-        if name and pair:
-            out.append((name, *pair))
-    return out, types
-
-
-def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of each name-literal pair, in order.
-
-    A name is what stands before the operator, of any length: a name with
-    attributes, a quoted key, or a subscripted target, whose keys in quotes are
-    further parts. ``name: type = literal`` gives its literal to the name, and
-    to the last word too, as that may be a name after a label. The value of a
-    pair is a quoted string on one line or a run of value characters.
-    """
-    return _lexed(text)[0]
-
-
 def literal_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, tuple[str, int, int]] = {}
+    low = text.lower()
+    if not any(w in low for w in _HINTS):
+        return []
     found = set()
-    for name, value, start, end, quoted in assignments(text):
-        if not quoted and value in constants:
-            value, start, end = constants[value]
-        elif not quoted and _IDENTIFIER.match(value) and not any(c.isdigit() for c in value):
-            continue
-        constants[name] = (value, start, end)
+    for name, value, spans, _ in read(text)[0]:
         weight = name_weight(name)
         if weight and weight * literal_weight(value) >= threshold:
-            found.add((start, end))
+            found.update(spans)
     return sorted(found)
 
 
@@ -206,7 +128,7 @@ def redact_text(text: str, threshold: float = 0.5, mark: str = "[SECRET]") -> st
     """The text with the secret part of each span replaced by ``mark``."""
     out, at = [], 0
     spans = sorted((s[3], s[4]) for s in all_spans(text, threshold)[1])
-    types = _lexed(text)[1] if any(text[s:e].lower() in TYPE_WORDS for s, e in spans) else ()
+    types = read(text)[1] if any(text[s:e].lower() in TYPE_WORDS for s, e in spans) else ()
     for s, e in spans:
         if (s, e) in types and text[s:e].lower() in TYPE_WORDS:
             continue

@@ -466,6 +466,27 @@ def test_secrets_of_annotated_and_subscripted_names():
         assert secrets.literal_spans(text) == []
 
 
+def test_secrets_in_any_syntax_and_none_in_comments():
+    value = "Qz7-kW2pLx9"
+    forms = ['cfg["auth_header"] = "{}"', "db_pwd = '''{}'''", "<auth>{}</auth>", "<db pwd='{}'/>", '{{"a": 1, "pwd": "{}"}}', "auth_key={}", "export DB_PWD={}", "pwd: {}\n", "[db]\npwd = {}", "connect(user='me', pwd=r'{}')", "Authorization: Bearer {}", 'auth = ["{}", "x"]', "db.auth-key => `{}`", "x = 1  # note\npwd = '{}'", "/* a = b */ pwd = '{}'", '"""doc: it"""\npwd = "{}"']
+    for form in forms:
+        text = form.format(value)
+        assert text.index(value) in [s for s, _ in secrets.literal_spans(text)], text
+    parts = 'A = "Qz7-kW"\npwd = A + "2pLx9" + A\nauth_header = ("Mn4" "bV8-" +\n  "rT1z")'
+    assert [parts[s:e] for s, e in secrets.literal_spans(parts)] == ["Qz7-kW", "2pLx9", "Mn4", "bV8-", "rT1z"]
+    for text in ('# pwd = "Qz7-kW2pLx9"', 'x = 1 // pwd = "Qz7-kW2pLx9"', '/* pwd = "Qz7-kW2pLx9" */', '<!-- pwd="Qz7-kW2pLx9" -->', 'pwd = os.getenv("Qz7-kW2pLx9")', 'pwd == "Qz7-kW2pLx9"', 'word = "Qz7-kW2pLx9" + "pwd"', 'it said: "pwd" and "Qz7-kW2pLx9"'):
+        assert secrets.literal_spans(text) == [], text
+    for unit in ('"', "'", '\\"', "/*", "<!--", "'''", "pwd=", "pwd:", "a[", "]=", "<pwd>", "pwd: a|", "A+", '"a" ', "pwd = (", "# ", "\\"):
+        assert isinstance(secrets.literal_spans("pwd = " + unit * (200_000 // len(unit))), list)
+
+
+def test_secrets_of_empty_tables_and_repeated_ids(spark):
+    docs = table(spark, ['pwd = "Qz7-kW2pLx9"', 'pwd = "Qz7-kW2pLx9"', None, "x"], [1, 1, 1, None])
+    got = secrets.scan(docs.withColumn("spans", F.lit(1)).withColumn("n_hex", F.lit("x"))).collect()
+    assert sorted((r["doc_id"] or 0, r["spans"]) for r in got) == [(0, ""), (1, ""), (1, "literal:7:18"), (1, "literal:7:18")]
+    assert secrets.scan(docs.where("false")).count() == secrets.redact(docs.where("false")).count() == 0
+
+
 def test_redaction_changes_only_secrets(spark):
     texts = [*ODD, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "plain words"]
     docs = table(spark, texts)
