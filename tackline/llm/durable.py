@@ -1,8 +1,9 @@
 """Cutting lineage so that a lost executor costs no earlier stage.
 
 Files go to the folder that the session names in ``spark.checkpoint.dir``,
-which driver and executors share. Where it is unset, as in tests, a folder of
-this process is used.
+which driver and executors share, or to the session's checkpoint folder. Without
+either there is no folder that all of them see: on one machine, in local mode, one of
+this process is used, and on a cluster the work stops with an error.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tackline-")
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tackline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -2,8 +2,10 @@
 
 A text becomes a sparse vector of hashed counts: single words, word pairs,
 and the same for word shapes (case, digits, attached symbols, repeat of the
-word before), each as a share of its family. Weights are learnt with follow-the-regularised-leader updates in shards side by side and
-averaged; a score is the logistic of one sparse dot product.
+word before), each as a share of its family. Weights are learnt with
+follow-the-regularised-leader updates by one learner a shard, side by side, and
+averaged by the rows that each learnt from; a score is the logistic of one sparse
+dot product.
 
 Learning reads at most ``max_rows`` labelled rows, those with the smallest
 hashes of their ids. The model has ``2**bits`` weights, whatever the input.
@@ -11,7 +13,11 @@ hashes of their ids. The model has ``2**bits`` weights, whatever the input.
 Defined cases: a null or empty text has no features and scores the logistic of
 the bias; rows without a label are not learnt from; with no label at all every
 score is 0.5 and, in :func:`keep_good`, every document is kept; an id with
-several labels teaches each of them; repeated rows give repeated results.
+several labels teaches each of them; repeated rows, and different texts of one id,
+are learnt from and scored each; a text of any length is read whole, in blocks; of
+equal hashes the smaller id is learnt from first; other columns are ignored by
+:func:`score` and carried unchanged by :func:`keep_good`, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -160,32 +166,30 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bits: in
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(max_rows)
     )
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").repartition(shards, F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("weight", T.DoubleType())])
     arrow, size = to_arrow_schema(schema), 1 << bits
 
-    def learn(batches):
-        features, model, seen = Features(bits), Ftrl(size, alpha, beta, l1, l2), []
-        for batch in batches:
-            seen += [(i, *features.vector(t or ""), float(y > 0)) for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True)]
+    def learn(rows: pa.Table) -> pa.Table:
+        features, model = Features(bits), Ftrl(size, alpha, beta, l1, l2)
+        seen = [(i, *features.vector(t or ""), float(y > 0)) for i, t, y in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True)]
         seen.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[3], len(r[1])))
-        for _ in range(epochs if seen else 0):
+        for _ in range(epochs):
             for _, index, value, label in seen:
                 model.learn(index, value, label)
-        if seen:
-            w = model.weights()
-            at = np.flatnonzero(w)
-            # a row at -1 counts the shards that had something to learn
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], 1.0))], schema=arrow)
+        w = model.weights()
+        at = np.flatnonzero(w)
+        # a learner counts by its rows; those at -1 add up to all rows
+        return pa.Table.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], 1.0) * len(seen))], schema=arrow)
 
-    found = rows.mapInArrow(learn, schema).groupBy("at").agg(F.sum("weight").alias("weight")).collect()
+    found = rows.groupBy("shard").applyInArrow(learn, schema).groupBy("at").agg(F.sum("weight").alias("weight")).collect()
     total = dict((r["at"], r["weight"]) for r in found)
-    learners = total.pop(-1, 0)
-    if not learners:
+    learnt = total.pop(-1, 0)
+    if not learnt:
         return None
     model = np.zeros(size + 1)
     model[list(total)] = list(total.values())
-    return model / learners
+    return model / learnt
 
 
 def score(docs: DataFrame, model: np.ndarray | None, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
