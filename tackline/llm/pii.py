@@ -12,9 +12,11 @@ All of it is DataFrame expressions. Texts are read once; what goes on from
 there are spans and short contexts. Patterns are possessive or anchored at the
 end of the match before, so that no text makes them backtrack at length.
 
-Defined cases: a null or empty text has no spans; repeated rows give repeated
-results; rows with one id and different texts are told apart by a hash of the
-text; an empty table gives an empty result.
+Defined cases: a null or empty text has no spans; a text of any length is read
+whole, and so are the words of a context; repeated rows give repeated results;
+rows with one id and different texts are told apart by a hash of the text; of
+base spans that cover one token the first by kind and start counts; other columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Identifier-like tokens: runs without white space that hold a digit.
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-_WORD = r"[^\x20\x09-\x0D]+"
+_GAP = r"[\x20\x09-\x0D]+"
 
 _SPAN = "array<struct<s:int,e:int,hit:string>>"
-#: Characters of context that are read on each side.
-_LEFT, _RIGHT = 48, 24
+_SPACES = " \t\n\x0b\x0c\r"
+#: Matches whose starts are added up in one go, so that long texts copy no long arrays.
+_STRIDE = 128
 
 
 def _parts(text: Column, pattern: str, when: Column) -> tuple[Column, Column]:
@@ -48,15 +51,21 @@ def _parts(text: Column, pattern: str, when: Column) -> tuple[Column, Column]:
 
 
 def _spans(gaps: Column, hits: Column) -> Column:
-    """All matches as (start, end, match)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    """All matches as (start, end, match), a stride of them at a time."""
+    n, none = F.size(hits), F.array().cast(_SPAN)
 
     def step(done, k):
         s = done["at"] + F.length(F.get(gaps, k))
         hit = F.get(hits, k)
         return F.struct((s + F.length(hit)).alias("at"), F.concat(done["found"], F.array(F.struct(s.alias("s"), (s + F.length(hit)).alias("e"), hit.alias("hit")))).alias("found"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda done: done["found"])).otherwise(F.array().cast(_SPAN))
+    def stride(done, c):
+        start = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("found"))
+        return F.concat(done, F.array(F.aggregate(F.sequence(c * _STRIDE, F.least(n, (c + 1) * _STRIDE) - 1), start, step)))
+
+    first = F.array(F.struct(F.lit(0).alias("at"), none.alias("found")))
+    strides = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / _STRIDE).cast("int")), first, stride)
+    return F.when(n > 0, F.flatten(F.transform(strides, lambda x: x["found"]))).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -99,17 +108,21 @@ def _tokens(gaps: Column, hits: Column) -> Column:
     def words_before(gap, k):
         # where the gap is short, what stands before it is another token or the text's start
         edge = F.when(k == 0, F.lit("^")).otherwise(F.lit("#"))
-        near = F.regexp_extract_all(F.lower(F.right(gap, F.lit(_LEFT))), F.lit(_WORD), F.lit(0))
-        return F.slice(F.concat(F.array(edge, edge), near), -2, 2)
+        near = F.split(F.reverse(F.lower(F.btrim(gap, F.lit(_SPACES)))), _GAP, 3)
+        word = lambda i: F.coalesce(F.nullif(F.reverse(F.get(near, F.lit(i))), F.lit("")), edge)
+        return F.array(word(1), word(0))
+
+    def word_after(gap):
+        return F.coalesce(F.nullif(F.get(F.split(F.lower(F.btrim(gap, F.lit(_SPACES))), _GAP, 2), F.lit(0)), F.lit("")), F.lit("$"))
 
     def one(span, k):
-        before, after = words_before(F.get(gaps, k), k), F.regexp_extract_all(F.lower(F.left(F.get(gaps, k + 1), F.lit(_RIGHT))), F.lit(_WORD), F.lit(0))
+        before, after = words_before(F.get(gaps, k), k), word_after(F.get(gaps, k + 1))
         left = F.regexp_replace(span["hit"], r"^[^0-9\p{L}+]+", "")
         core = F.regexp_replace(left, r"[^0-9\p{L}]+$", "")
         s = span["s"] + F.length(span["hit"]) - F.length(left)
         return F.struct(
             s.alias("s"), (s + F.length(core)).alias("e"), F.lower(core).alias("token"),
-            F.array(F.concat(F.lit("before "), F.array_join(before, " ")), F.concat(F.lit("around "), F.get(before, F.lit(1)), F.lit(" _ "), F.coalesce(F.get(after, F.lit(0)), F.lit("$")))).alias("patterns"),
+            F.array(F.concat(F.lit("before "), F.array_join(before, " ")), F.concat(F.lit("around "), F.get(before, F.lit(1)), F.lit(" _ "), after)).alias("patterns"),
         )
 
     return F.transform(spans, one)
