@@ -8,17 +8,23 @@ its cells are ranked, and sets of steps over walls are taken by the expected
 sum of their squares, an order that is worked out once. Candidates of all
 tables are merged and ranked by the exact cosine of the original vectors.
 
-Every vector is indexed. Equal vectors collapse to their ``k + 1`` smallest
-ids, which are all that can be among k nearest when ties go to smaller ids. A
-bucket that holds many vectors is dealt over several shards, and its queries
-go to each. A query that found fewer than k candidates in its buckets is
-compared with all vectors, in blocks. The number of probes is fitted to reach
-the wanted recall on a sample of at most ``SAMPLE`` vectors.
-
-Defined cases: vectors that are null, zero, hold null or non-finite
-components, or have another length than most, take no part, nor do rows
-without an id; repeated rows count once; a query never finds its own id; with
-fewer than k candidates all are returned.
+Every vector is indexed, and none is shuffled: the probes of a block of queries,
+at most ``BLOCK_PROBES`` keys, are broadcast, each task looks up the buckets of its
+own vectors in them, ranks what meets by the exact cosine and hands on its k best
+of each query. More queries take more passes over the vectors, so what is broadcast
+has a fixed bound, and neither a full bucket nor a repeated vector brings rows to
+one place. A query that found fewer than k candidates in its buckets is compared
+with all vectors in the same way. The number of probes is fitted to reach the wanted
+recall on a sample of at most ``SAMPLE`` vectors; ``fitted_recall`` says what it
+reached there. Fitting and the choice of blocks run small jobs when the query is
+built.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components
+take no part, nor do rows without an id; vectors are compared with those of their
+own length; repeated rows count once, and of rows that share an id the best counts;
+a query never finds its own id; ties go to the smaller id; with fewer than k
+candidates all are returned; other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +40,9 @@ from tackline.llm.durable import checkpointed
 
 #: Most vectors and queries of the sample that the number of probes is fitted on.
 SAMPLE, SAMPLE_QUERIES = 8_192, 96
+#: Keys of a block's probes, queries of a block that meets all vectors, and pairs that a task compares at once.
+BLOCK_PROBES, BLOCK_QUERIES, PAIRS = 4_000_000, 1_024, 1_000_000
+#: Numbers of probes a table that are tried.
 PROBES = (25, 50, 100, 150, 200, 300, 400, 600, 800, 1200, 1600)
 
 
@@ -108,10 +117,10 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def fit_probes(sample: np.ndarray, tables: Tables, k: int, recall: float) -> int:
-    """The fewest probes, of PROBES, that reach the recall within the sample."""
+def fit_probes(sample: np.ndarray, tables: Tables, k: int, recall: float) -> tuple[int, float | None]:
+    """The fewest probes, of PROBES, that reach the recall within the sample, or else the most, and the recall there."""
     if len(sample) < 4 * k:
-        return PROBES[0]
+        return PROBES[0], None
     unit, n = _unit(sample), min(SAMPLE_QUERIES, len(sample))
     near = unit[:n] @ unit.T
     near[np.arange(n), np.arange(n)] = -2
@@ -125,149 +134,136 @@ def fit_probes(sample: np.ndarray, tables: Tables, k: int, recall: float) -> int
             at = np.searchsorted(keys[i, t][order], held[true[i], t])
             hit = (at < len(order)) & (keys[i, t][order][np.minimum(at, len(order) - 1)] == held[true[i], t])
             first[i, hit] = np.minimum(first[i, hit], order[at[hit]])
-    return next((p for p in PROBES if (first < p).mean() >= recall), PROBES[-1])
+    chosen = next((p for p in PROBES if (first < p).mean() >= recall), PROBES[-1])
+    return chosen, float((first < chosen).mean())
 
 
 _FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def _best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, pairs: list, k: int) -> tuple:
-    """The k best of each query among candidate pairs (query, datum), by exact cosine and then smaller id."""
-    q, d = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
-    both = np.unique(q * np.int64(max(1, len(data))) + d)
-    q, d = both // max(1, len(data)), both % max(1, len(data))
-    apart = query_ids[q] != ids[d]
-    q, d = q[apart], d[apart]
-    norm_q, norm_d = np.sqrt(np.einsum("ij,ij->i", queries, queries)), np.sqrt(np.einsum("ij,ij->i", data, data))
-    score = np.concatenate([np.einsum("ij,ij->i", queries[q[s : s + 50_000]], data[d[s : s + 50_000]]) for s in range(0, len(q), 50_000)] or [np.empty(0)]) / (norm_q[q] * norm_d[d])
-    order = np.lexsort((ids[d], -score, q))
-    q, d, score = q[order], d[order], score[order]
-    new = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
-    rank = np.arange(len(q)) - np.repeat(new, np.diff(np.append(new, len(q))))
-    keep = rank < k
-    return query_ids[q[keep]], ids[d[keep]], score[keep]
-
-
-def _block_pairs(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, q: np.ndarray, d: np.ndarray, k: int):
-    """Candidate pairs of some unit queries with some unit data that can be among each query's k best here."""
-    for s in range(0, len(d), 4096):
-        part = d[s : s + 4096]
-        near = queries[q] @ data[part].T
-        near[query_ids[q][:, None] == ids[part][None, :]] = -2
-        if len(part) > k:
-            least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
-            # rounding of the product must not settle ties
-            i, j = np.nonzero(near >= least - 1e-9)
-        else:
-            i, j = np.nonzero(near > -1.5)
-        yield q[i], part[j]
+class _Best:
+    """The k best of each query that a task has met so far: by exact cosine, then smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def add(self, q: np.ndarray, d: np.ndarray, data: np.ndarray, ids: np.ndarray) -> None:
+        """Take pairs of places in the queries and in some data, each once."""
+        q, d = q[self.ids[q] != ids[d]], d[self.ids[q] != ids[d]]
+        norm = np.sqrt(np.einsum("ij,ij->i", data, data))
+        for at in range(0, len(q), 50_000):
+            x, y = q[at : at + 50_000], d[at : at + 50_000]
+            self.held.append((x, ids[y], np.einsum("ij,ij->i", self.vectors[x], data[y]) / (self.norm[x] * norm[y])))
+        if sum(len(h[0]) for h in self.held) > 4 * self.k * len(self.ids) + 200_000:
+            self.held = [self.best()]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        # rows of one id count once, at their best
+        order = np.lexsort((-score, ids, q))
+        once = np.ones(len(q), bool)
+        once[order[1:]] = (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+        q, ids, score = q[once], ids[once], score[once]
+        new = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+        keep = np.arange(len(q)) - np.repeat(new, np.diff(np.append(new, len(q)))) < self.k
+        return q[keep], ids[keep], score[keep]
+
+
+def _met(keys: np.ndarray, owner: np.ndarray, held: np.ndarray):
+    """Pairs (query, place in ``held``) of each bucket among the sorted probe keys, each once, some at a time."""
+    low, high = np.searchsorted(keys, held), np.searchsorted(keys, held, side="right")
+    n = (high - low).sum(axis=1)
+    ends = np.cumsum(n)
+    for part in np.split(np.arange(len(held)), np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS), "right")):
+        count = (high[part] - low[part]).ravel()
+        if not count.sum():
+            continue
+        at = np.repeat(low[part].ravel() - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.unique(owner[at] * np.int64(len(held)) + np.repeat(np.repeat(part, held.shape[1]), count))
+        yield both // len(held), both % len(held)
+
+
+def _near(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of unit queries and unit data those that can be among each query's k best here."""
+    near = queries @ data.T
+    near[query_ids[:, None] == ids[None, :]] = -2
+    # rows of one id can share places among the best, and rounding must not settle ties: such tables keep all
+    if len(ids) <= k or len(np.unique(ids)) < len(ids):
+        return np.nonzero(near > -1.5)
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    return np.nonzero(near >= least - 1e-9)
+
+
+def _pass(data: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, index: Tables | None, steps: np.ndarray | None) -> DataFrame:
+    """(query_id, vec_id, score) of one block of queries: the k best that each task holds, in the probed buckets or of all."""
+    arrow = to_arrow_schema(_FOUND)
+    keys = owner = None
+    if index is not None:
+        keys = index.probes(_unit(vectors), steps).reshape(len(ids), -1)
+        owner, keys = np.repeat(np.arange(len(ids)), keys.shape[1]), keys.ravel()
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+    shared = data.sparkSession.sparkContext.broadcast((ids, vectors, keys, owner))
+
+    def run(batches):
+        ids, vectors, keys, owner = shared.value
+        best, unit = _Best(ids, vectors, k), _unit(vectors)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                own, x = part.column(0).to_numpy(), _vectors(part.column(1))
+                for q, d in _met(keys, owner, index.buckets(_unit(x))) if keys is not None else [_near(unit, ids, _unit(x), own, k)]:
+                    best.add(q, d, x, own)
+        q, found, score = best.best()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found), pa.array(score)], schema=arrow)
+
+    found = data.mapInArrow(run, _FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return checkpointed(found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k))
+
+
+def _blocks(queries: DataFrame, most: int):
+    """(ids, vectors) of about ``most`` different queries at a time, by a hash of the id."""
+    n = -(-queries.count() // most)
+    for b in range(n):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).distinct().toArrow()
+        # hashes deal unevenly, so a block is cut again
+        for at in range(0, part.num_rows, most):
+            rows = part.slice(at, most).combine_chunks()
+            yield rows["id"].to_numpy(), _vectors(rows["v"].combine_chunks())
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, projections: int = 12, width: float = 2.5, recall: float = 0.96, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that ``is_query(id column)`` picks, its k nearest of all others."""
-    spark = vectors.sparkSession
-    v = F.col("v")
+    """(query_id, rank, vec_id, score, fitted_recall): for each row that ``is_query(id column)`` picks, its k nearest of all others."""
+    v, infinite = F.col("v"), F.lit(float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    infinite = F.lit(float("inf"))
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != infinite), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    rows = rows.where(fine)
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == common["n"]).distinct()
-    by = Window.partitionBy("v").orderBy("id")
-    data = checkpointed(rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k + 1).drop("_n"))
-    queries = rows.where(is_query(F.col("id")))
-
-    index = Tables(common["n"], tables, projections, width, seed)
-    sample = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    chosen = _vectors(sample.column("v").combine_chunks()) if sample.num_rows else np.zeros((0, common["n"]))
-    steps = perturbations(projections, fit_probes(chosen, index, k, recall))
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = parts
-    held = T.StructType([T.StructField("shard", T.LongType()), T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
-    asked = T.StructType([T.StructField("shard", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("keys", T.ArrayType(T.LongType()))])
-    key_of = T.StructType([T.StructField("key", T.LongType())])
-
-    def keys_only(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(index.buckets(_unit(_vectors(b.column(0)))).ravel())], schema=to_arrow_schema(key_of))
-
-    # buckets of over a shard's mean share are dealt over several shards; there are at most twice as many as shards
-    sizes = data.select("v").mapInArrow(keys_only, key_of).groupBy("key").count()
-    limit = max(2_000, data.count() * tables // (2 * shards))
-    hot = {r["key"]: int(-(-r["count"] // limit)) for r in sizes.where(F.col("count") > limit).collect()}
-
-    def shard_of(key, salt):
-        with np.errstate(over="ignore"):
-            mixed = (np.asarray(key, np.int64) ^ (np.asarray(salt, np.int64) * np.int64(0x9E3779B97F4A7C1))).view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-        return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-
-    def deal_data(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, v = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            keys = index.buckets(_unit(_vectors(v)))
-            for t in range(tables):
-                salts = np.array([i % hot.get(key, 1) for key, i in zip(keys[:, t].tolist(), ids.tolist(), strict=True)], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(keys[:, t], salts)), pa.array(keys[:, t]), pa.array(ids), v], schema=to_arrow_schema(held))
-
-    def deal_queries(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, v = b.column(0), b.column(1)
-            probes = index.probes(_unit(_vectors(v)), steps).reshape(b.num_rows, -1)
-            out = [[], [], []]
-            for i, keys in enumerate(probes):
-                keys = np.unique(keys)
-                spread = [(key, s) for key in keys.tolist() if key in hot for s in range(1, hot[key])]
-                if spread:
-                    at = shard_of(*np.array(spread, np.int64).T)
-                at = np.concatenate([shard_of(keys, np.zeros_like(keys)), at]) if spread else shard_of(keys, np.zeros_like(keys))
-                keys = np.concatenate([keys, [key for key, _ in spread]]).astype(np.int64) if spread else keys
-                order = np.argsort(at, kind="stable")
-                cut = np.flatnonzero(np.diff(at[order])) + 1
-                for part in np.split(order, cut):
-                    out[0].append(at[part[0]])
-                    out[1].append(i)
-                    out[2].append(np.unique(keys[part]))
-            take = pa.array(out[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), ids.take(take), v.take(take), pa.array(out[2], pa.list_(pa.int64()))], schema=to_arrow_schema(asked))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = to_arrow_schema(_FOUND).empty_table()
-        if not left.num_rows or not right.num_rows:
-            return empty
-        left, right = left.combine_chunks(), right.combine_chunks()
-        x, y = _vectors(left["v"].combine_chunks()), _vectors(right["v"].combine_chunks())
-        ids, query_ids, keys = left["id"].to_numpy(), right["id"].to_numpy(), left["key"].to_numpy()
-        asked_for = right["keys"].combine_chunks()
-        probe, owner = asked_for.flatten().to_numpy(), np.repeat(np.arange(right.num_rows), np.diff(asked_for.offsets.to_numpy()))
-        order, back = np.argsort(keys, kind="stable"), np.argsort(probe, kind="stable")
-        keys, probe, owner = keys[order], probe[back], owner[back]
-        ux, uy, pairs = _unit(x), _unit(y), []
-        for key in np.intersect1d(keys, probe):
-            d = order[np.searchsorted(keys, key) : np.searchsorted(keys, key, side="right")]
-            q = owner[np.searchsorted(probe, key) : np.searchsorted(probe, key, side="right")]
-            pairs += _block_pairs(uy, query_ids, ux, ids, q, d, k)
-        return pa.Table.from_arrays([pa.array(c) for c in _best(y, query_ids, x, ids, pairs, k)], schema=to_arrow_schema(_FOUND))
-
-    def best_of(left: DataFrame, right: DataFrame) -> DataFrame:
-        found = left.repartition(shards, "shard").groupBy("shard").cogroup(right.repartition(shards, "shard").groupBy("shard")).applyInArrow(compare, _FOUND)
-        ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return merged.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-
-    near = checkpointed(best_of(data.mapInArrow(deal_data, held), queries.mapInArrow(deal_queries, asked)))
-    few = checkpointed(queries.join(near.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti"))
-    if not few.isEmpty():
-        # those that found too few meet every vector, block by block
-        block = F.pmod(F.xxhash64("id"), F.lit(shards))
-        left = data.select(block.alias("shard"), F.lit(0).cast("long").alias("key"), "id", "v")
-        right = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "id", "v", F.array(F.lit(0).cast("long")).alias("keys"))
-        near = near.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(best_of(left, right))
-    return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows, found = rows.where(fine), []
+    for dim in sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect()):
+        data = rows.where(F.size("v") == dim)
+        queries = data.where(is_query(F.col("id")))
+        index = Tables(dim, tables, projections, width, seed)
+        sample = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+        probes, fitted = fit_probes(_vectors(sample.column("v").combine_chunks()), index, k, recall)
+        steps = perturbations(projections, probes)
+        parts = [_pass(data, *block, k, index, steps) for block in _blocks(queries, max(1, BLOCK_PROBES // (tables * len(steps))))]
+        if not parts:
+            continue
+        near = parts[0]
+        for part in parts[1:]:
+            near = near.union(part)
+        enough = near.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+        few = checkpointed(queries.join(enough, "id", "left_anti"))
+        for block in _blocks(few, BLOCK_QUERIES):
+            near = near.join(F.broadcast(data.sparkSession.createDataFrame([(int(i),) for i in set(block[0].tolist())], "query_id long")), "query_id", "left_anti").union(_pass(data, *block, k, None, None))
+        found.append(near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(fitted).cast("double").alias("fitted_recall")))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, fitted_recall double")
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
