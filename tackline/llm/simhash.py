@@ -298,7 +298,7 @@ def wide_prints(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     of = np.cumsum(parts) - parts
     out, ones = np.zeros((len(first), WIDE), np.uint64), np.uint64(0x0101010101010101)
     for k in range(WIDE):
-        x = mixed(hashes + np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93))
+        x = mixed(hashes + np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
         for b in range(8):
             lanes = np.add.reduceat(x >> np.uint64(b) & ones, starts).view(np.uint8).reshape(-1, 8)
             counts = np.add.reduceat(lanes.astype(np.int64), of, axis=0)
