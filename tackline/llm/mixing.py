@@ -17,8 +17,9 @@ id are kept or dropped together, rows with null ids by their text; columns
 whose names are used here for results are replaced by them in :func:`probabilities` and
 kept as they are in :func:`sample`; an empty table gives an empty result.
 Targets without any cell are left out and the others scaled up. Where margins
-contradict each other, raking stops at ``MOST_ROUNDS`` with the last margin
-holding.
+contradict each other, raking stops when it comes no nearer, with the last margin
+holding, and the column ``off`` of the cells, and ``margins_off`` of the documents,
+tell by how much the worst margin is off. A text of any length counts whole.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tackline.llm.durable import checkpointed
+from tackline.llm.durable import checkpointed, written
 
 #: Cells up to this many are raked in one task and broadcast; more are raked by joins and joined by shuffle.
 FEW_CELLS = 100_000
-#: Raking ends when no margin is off by more than this share, or after so many rounds.
-TOLERANCE, MOST_ROUNDS = 1e-6, 50
+#: Raking ends when no margin is off by more than this share, when a round brings the worst margin hardly nearer, or after so many rounds.
+TOLERANCE, STALLED, MOST_ROUNDS = 1e-6, 0.999, 50
 #: Share of the largest total that no margin's value is too small for.
 SLACK = 0.9
 #: Share of a tempered margin's tokens that its rarest values, by doublings of their tokens, may hold together without bounding the total.
@@ -125,33 +126,38 @@ def _present_targets(cells: DataFrame, powers: dict[str, float], targets: dict[s
 
 
 def rake_many(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> DataFrame:
-    """The cells with ``weight``, raked by joins: for more cells than one task should hold.
+    """The cells with ``weight``, raked by joins: for more cells than one task should hold; ``off`` is what the last round still found amiss.
 
     Sums are taken by margin with partial aggregation, never by bringing a margin's cells together.
     """
     fixed = _present_targets(cells, powers, targets)
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    now = written(cells.select(*DIMENSIONS, "tokens", F.col("tokens").cast("double").alias("weight")))
+    worst = np.inf
     for _ in range(MOST_ROUNDS):
-        off = F.lit(0.0)
+        before, worst = worst, 0.0
         for dim in DIMENSIONS:
+            # each step is written and read back: a plan that went on through the rounds would grow with them
             sums = now.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("has"))
-            want = fixed[dim].withColumnRenamed("value", "_v")
+            want = fixed[dim].select(F.col("value").alias("_v"), "target")
             ratio = sums.join(want, sums["value"].eqNullSafe(want["_v"]), "left").select(F.col("value").alias("_value"), F.coalesce(F.col("target"), F.lit(0.0)).alias("want"), "has")
-            now = now.join(ratio, now[dim].eqNullSafe(ratio["_value"])).withColumn("weight", F.when(F.col("has") > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col("want") / F.col("has"))).otherwise(0.0))
+            ratio = written(ratio)
             gap = F.when(F.col("want") > 0, F.abs(F.col("has") / F.col("want") - 1)).otherwise(F.when(F.col("has") > 0, 1.0).otherwise(0.0))
-            now = now.withColumn("_off", F.greatest(off, gap)).drop("_value", "want", "has")
-            off = F.col("_off")
-        now = checkpointed(now)
-        worst = now.agg(F.max("_off")).first()[0]
-        now = now.drop("_off")
-        if worst is None or worst < TOLERANCE:
+            off, n = ratio.agg(F.max(gap), F.count("*")).first()
+            worst = max(worst, off or 0.0)
+            if not off or off < TOLERANCE / 10:
+                continue
+            factor = F.when(F.col("has") > 0, F.col("want") / F.col("has")).otherwise(0.0)
+            ratio = ratio.select("_value", factor.alias("factor"))
+            ratio = F.broadcast(ratio) if n <= FEW_CELLS else ratio
+            now = written(now.join(ratio, now[dim].eqNullSafe(ratio["_value"])).select(*DIMENSIONS, "tokens", F.least(F.col("tokens").cast("double"), F.col("weight") * F.col("factor")).alias("weight")))
+        if worst < TOLERANCE or worst > STALLED * before:
             break
-    return now
+    return now.withColumn("off", F.lit(worst))
 
 
 def rake_few(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict]) -> DataFrame:
     """The same by arrays in one task, for at most ``FEW_CELLS`` cells."""
-    schema = T.StructType([*cells.select(*DIMENSIONS, "tokens").schema.fields, T.StructField("weight", T.DoubleType())])
+    schema = T.StructType([*cells.select(*DIMENSIONS, "tokens").schema.fields, T.StructField("weight", T.DoubleType()), T.StructField("off", T.DoubleType())])
 
     def run(batches):
         table = pd.concat(list(batches) or [pd.DataFrame(columns=[*DIMENSIONS, "tokens"])], ignore_index=True)
@@ -166,27 +172,28 @@ def rake_few(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict
             most = min(most, _largest_total(has, want, stated is not None))
             margins.append((code, has, want))
         weight, margins = tokens, [(code, _filled(has, want, most)) for code, has, want in margins]
+        worst = np.inf
         for _ in range(MOST_ROUNDS):
-            worst = 0.0
+            before, worst = worst, 0.0
             for code, want in margins:
                 has = np.bincount(code, weight, len(want))
                 ratio = np.divide(want, has, out=np.zeros_like(want), where=has > 0)
                 worst = max(worst, np.abs(np.where(want > 0, np.divide(has, want, out=np.zeros_like(want), where=want > 0) - 1, (has > 0).astype(float))).max(initial=0))
                 weight = np.minimum(tokens, weight * ratio[code])
-            if worst < TOLERANCE:
+            if worst < TOLERANCE or worst > STALLED * before:
                 break
-        yield table.assign(weight=weight)[[*DIMENSIONS, "tokens", "weight"]]
+        yield table.assign(weight=weight, off=worst)[[*DIMENSIONS, "tokens", "weight", "off"]]
 
     return cells.select(*DIMENSIONS, "tokens").repartition(1).mapInPandas(run, schema)
 
 
 def cell_probabilities(docs: DataFrame, topic: Column, powers: dict[str, float], targets: dict[str, dict] | None = None, text_col: str = "text", few: int | None = None) -> DataFrame:
-    """(source, lang, topic, tokens, weight, probability) of every cell. ``targets`` states shares by dimension and value; other margins are tempered."""
+    """(source, lang, topic, tokens, weight, off, probability) of every cell; ``off`` is the largest share that a margin is off by in the end. ``targets`` states shares by dimension and value; other margins are tempered."""
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.alias("topic"), tokens_of(F.col(text_col)).alias("tokens"))
     cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     few = FEW_CELLS if few is None else few
     weighted = (rake_few if cells.limit(few + 1).count() <= few else rake_many)(cells, powers, targets or {})
-    return checkpointed(weighted).select(*DIMENSIONS, "tokens", "weight", (F.col("weight") / F.col("tokens")).alias("probability"))
+    return checkpointed(weighted).select(*DIMENSIONS, "tokens", "weight", "off", (F.col("weight") / F.col("tokens")).alias("probability"))
 
 
 def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
@@ -196,7 +203,7 @@ def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
 
 def _with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """rows has __mix_source, __mix_lang and __mix_topic; adds __mix_probability."""
-    cells = cells.select(*[F.col(d).alias(f"__cell_{d}") for d in DIMENSIONS], F.col("probability").alias("__mix_probability"))
+    cells = cells.select(*[F.col(d).alias(f"__cell_{d}") for d in DIMENSIONS], F.col("probability").alias("__mix_probability"), F.col("off").alias("__mix_off"))
     if cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS:
         cells = F.broadcast(cells)
     on = [F.col(f"__mix_{d}").eqNullSafe(F.col(f"__cell_{d}")) for d in DIMENSIONS]
@@ -204,12 +211,12 @@ def _with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def probabilities(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None, seed: int = 17, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, source, lang, topic, tokens, probability, kept."""
+    """One row a document: doc_id, source, lang, topic, tokens, probability, kept, margins_off."""
     topic = layout_topic(F.col(text_col)) if topic is None else topic
     cells = cell_probabilities(docs, topic, powers or POWERS, targets, text_col)
     u = _uniform(F.col(id_col), F.col(text_col), seed)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("__mix_source"), F.col("lang").cast("string").alias("__mix_lang"), topic.alias("__mix_topic"), tokens_of(F.col(text_col)).alias("tokens"), u.alias("__mix_u"))
-    return _with_probability(rows, cells).select("doc_id", *[F.col(f"__mix_{d}").alias(d) for d in DIMENSIONS], "tokens", F.col("__mix_probability").alias("probability"), (F.col("__mix_u") < F.col("__mix_probability")).alias("kept"))
+    return _with_probability(rows, cells).select("doc_id", *[F.col(f"__mix_{d}").alias(d) for d in DIMENSIONS], "tokens", F.col("__mix_probability").alias("probability"), (F.col("__mix_u") < F.col("__mix_probability")).alias("kept"), F.col("__mix_off").alias("margins_off"))
 
 
 def sample(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None, seed: int = 17, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
