@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tackline.llm.texts import id_and_text, map_rows
+from tackline.llm.texts import id_and_text, map_rows, small_batches
 
 BITS = 18
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -216,4 +216,4 @@ def keep_good(docs: DataFrame, model: np.ndarray | None, threshold: float = 0.7,
             keep = pa.array(score_texts(w, features, [t or "" for t in batch.column(at).to_pylist()]) >= threshold)
             yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tackline.llm.assignments import read
-from tackline.llm.texts import map_rows
+from tackline.llm.texts import map_rows, small_batches
 
 KINDS = ("assign", "access", "hex", "literal")
 
@@ -159,4 +159,4 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", char
                 columns[chars] = pa.array([n if a == b else len(b) for a, b, n in zip(texts, new, old, strict=True)], type=arrow.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

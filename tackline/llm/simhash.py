@@ -41,20 +41,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tackline.llm.components import connected_components
 from tackline.llm.durable import checkpointed, written
-from tackline.llm.texts import map_rows
+from tackline.llm.texts import map_rows, small_batches
 from tackline.llm.words import mixed, read_words, run_hashes, shingles, starts_of
 
 BITS = 64
 #: Leaf pairs of a pair of nodes that are compared at once, and those of all such pairs.
-LEAVES, PAIRS = 1_024, 1 << 20
+LEAVES, PAIRS = 1_024, 1 << 18
 #: Node pairs held at once; more are put aside and taken up later.
-FRONT = 100_000
+FRONT = 50_000
 #: Near pairs that are looked at before links are made of them.
 STEP = 4_096
 #: Bits below a node by which a large subtree is split.
 SPLIT_BITS = 8
 #: Rows of whole subtrees that a task takes together.
-CHUNK = 400_000
+CHUNK = 200_000
 #: Longs of a wide SimHash; fingerprints drawn from it, bits of each, and the differing bits that link two.
 WIDE, TABLES, TABLE_BITS, TABLE_BUDGET = 8, 20, 40, 3
 #: Wide SimHashes further apart than this are of texts less similar than 0.65, those of 0.8 lie at 78 with a deviation of 8.
@@ -357,7 +357,7 @@ def _nodes(texts: DataFrame, width: int, wanted: np.ndarray | None = None, sets:
                     none = np.zeros((n, WIDE), np.uint64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[empty]), pa.array(np.zeros(n, np.int64)), lists(none, np.full(n, WIDE)), lists(drawn_prints(none), np.full(n, TABLES))], schema=arrow)
 
-    return texts.mapInArrow(run, schema)
+    return small_batches(texts).mapInArrow(run, schema)
 
 
 def _best_links(links: DataFrame) -> DataFrame:

@@ -13,11 +13,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space; bytes.split() with no argument splits on these alone.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch of whole texts: a task holds a few such batches, whatever the texts' lengths.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are set to at most BATCH_BYTES."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name, "64m")).lower().rstrip("b")
+    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if not 0 < int(now.rstrip("kmg")) * factor <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return docs
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that text operators read, whatever else the table holds."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def map_rows(docs: DataFrame, rows, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
