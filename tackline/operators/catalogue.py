@@ -10,8 +10,9 @@ from tackline.functions.text import compact, fold, joined_words, model_key
 IDENTITY = ["country", "sail_no", "name", "model", "year", "certificate_year"]
 
 
-def _words(text: str) -> str:
-    return "".join(c if c.isalnum() else " " for c in text.lower())
+def _query_words(query: str) -> Column:
+    """The words of a query, folded as the entries are."""
+    return F.filter(F.split(joined_words(F.lit(query)), " "), lambda w: w != "")
 
 
 def with_keys(entries: DataFrame) -> DataFrame:
@@ -36,18 +37,15 @@ def admits(country: str | None = None, year: tuple[int | None, int | None] = (No
 
 
 def search(entries: DataFrame, query: str, limit: int, offset: int = 0, where: Column | None = None) -> DataFrame:
-    """The best entries whose words begin with all of the query's: id, tier, total, in rank order.
+    """The best entries whose words begin with all of the query's: id, tier, total, in rank order. A query without words has no hits.
 
     Tiers: 1 exact sail number, 2 name begins with the phrase, 3 model does, 4 the rest; then newest certificate, name, id.
     """
-    words = _words(query).split()
-    phrase, whole = " ".join(words), "".join(words)
+    words = _query_words(query)
+    phrase, whole = F.array_join(words, " "), F.array_join(words, "")
     rows = with_keys(entries).where(where if where is not None else F.lit(True))
-    for w in words:
-        rows = rows.where(F.contains(F.col("_hay"), F.lit(" " + w)))
-    tier = F.lit(4)
-    if words:
-        tier = F.when((F.col("_sail") == whole) | (F.col("_number") == whole), 1).when(F.startswith("_name", F.lit(phrase)), 2).when(F.startswith("_model", F.lit(phrase)), 3).otherwise(4)
+    rows = rows.where((F.size(words) > 0) & F.forall(words, lambda w: F.contains("_hay", F.concat(F.lit(" "), w))))
+    tier = F.when((F.col("_sail") == whole) | (F.col("_number") == whole), 1).when(F.startswith("_name", phrase), 2).when(F.startswith("_model", phrase), 3).otherwise(4)
     hits = rows.select("id", tier.alias("tier"), F.col("certificate_year").alias("_year"), fold("name").alias("_folded"))
     total = hits.agg(F.count("*").alias("total"))
     best = hits.orderBy("tier", F.desc_nulls_last("_year"), "_folded", "id").offset(offset).limit(limit)
@@ -56,11 +54,10 @@ def search(entries: DataFrame, query: str, limit: int, offset: int = 0, where: C
 
 def library_search(tracks: DataFrame, query: str, limit: int) -> DataFrame:
     """Tracks whose text holds the whole phrase first, then those that hold all its words; by name, newest start, id."""
-    text, words = fold(F.concat_ws(" ", "boat", "event")), _words(query).split()
-    rows = tracks.withColumn("_t", text)
-    for w in words:
-        rows = rows.where(F.contains(F.col("_t"), F.lit(w)))
-    rows = rows.withColumn("tier", F.when(F.contains(F.col("_t"), F.lit(" ".join(words))), 0).otherwise(1))
+    words = _query_words(query)
+    rows = tracks.withColumn("_t", fold(F.concat_ws(" ", "boat", "event")))
+    rows = rows.where((F.size(words) > 0) & F.forall(words, lambda w: F.contains("_t", w)))
+    rows = rows.withColumn("tier", F.when(F.contains(F.col("_t"), F.array_join(words, " ")), 0).otherwise(1))
     return rows.orderBy("tier", F.lower("boat"), F.desc_nulls_last("start"), "track_id").limit(limit).select("track_id", "boat", "start", "tier")
 
 

@@ -13,8 +13,12 @@ def _first(value: Column, order: str) -> Column:
     return F.min(F.when(value.isNotNull(), F.struct(F.col(order), value.alias("v")))).getField("v")
 
 
-def normalise(fixes: DataFrame) -> DataFrame:
-    """One fix a track and time: the first fix's place, the first given heading and speed, the first whole wind pair."""
+def normalise(fixes: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """One fix a track and time: the first fix's place and ``carried`` columns, the first given heading and speed, the first whole wind pair.
+
+    Where the fixes are dealt by track already, this and the windows that follow need no further shuffle.
+    """
+    carried = carried or []
     wind = F.struct("tws", "twd_from")
     whole = F.when(F.col("tws").isNotNull() & F.col("twd_from").isNotNull(), wind)
     merged = fixes.groupBy("track_id", "t").agg(
@@ -22,9 +26,10 @@ def normalise(fixes: DataFrame) -> DataFrame:
         *[_first(F.col(c), "fix_idx").alias(c) for c in ("lat", "lon", "cog", "sog")],
         _first(whole, "fix_idx").alias("whole"),
         F.min(F.struct(F.col("fix_idx"), wind.alias("v"))).getField("v").alias("first_wind"),
+        F.min_by(F.struct("fix_idx", *carried), "fix_idx").alias("first"),
     )
     kept = F.coalesce("whole", "first_wind")
-    return merged.select("track_id", "t", "fix_idx", "lat", "lon", "cog", "sog", kept["tws"].alias("tws"), kept["twd_from"].alias("twd_from"))
+    return merged.select("track_id", "t", "fix_idx", "lat", "lon", "cog", "sog", kept["tws"].alias("tws"), kept["twd_from"].alias("twd_from"), *[F.col("first").getField(c).alias(c) for c in carried])
 
 
 def import_report(fixes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tackline.durable import checkpointed
 from tackline.functions import sailing
 from tackline.functions.canonical import degrees, knots, rounded
 from tackline.functions.geo import distance_m
@@ -358,9 +359,10 @@ def _evidence(spark, sf_dir):
     """Six polar files and the tracks pooled into four boats, with weights."""
     read = polar.resample(_nodes(spark, sf_dir), V.TWA, V.TWS).select("source_id", "i", "j", "bsp", (0.25 + F.col("source_id") / 10.0).alias("weight"))
     boats = V.points(spark, sf_dir).withColumn("source_id", 100 + F.col("track_id") % 4)
-    cells = polar.segment(boats, V.TWA, V.TWS, "p90", 5, ("source_id",))
+    cells = checkpointed(polar.segment(boats, V.TWA, V.TWS, "p90", 5, ("source_id",)))
     weights = cells.select("source_id").distinct().withColumn("weight", (F.col("source_id") - 99) / 4.0)
-    return read.unionByName(blend.track_evidence(cells, weights, 30))
+    # at most a few hundred cells a source: kept once, as blends read them several times
+    return checkpointed(read.unionByName(blend.track_evidence(cells, weights, 30)))
 
 
 _EVIDENCE = f"""{S.BINNED}, {S.NODES}, {S.READ},
@@ -452,7 +454,7 @@ cmp AS (SELECT *, CASE WHEN i <> 0 THEN {rnd("a - b")} END AS delta_kn, CASE WHE
 def _compared(spark, sf_dir):
     a = polar.segment(V.points(spark, sf_dir), V.TWA, V.TWS, "p90", 5).select("i", "j", "bsp")
     b = polar.resample(_nodes(spark, sf_dir), V.TWA, V.TWS).groupBy("i", "j").agg(knots(F.max("bsp")).alias("bsp"))
-    return compare.cells(a, b, polar.grid(spark, V.TWA, V.TWS))
+    return checkpointed(compare.cells(a, b, polar.grid(spark, V.TWA, V.TWS)))
 
 
 @query("compare_cells", f"WITH {_CELLS} SELECT i, j, a, b, delta_kn, delta_pct, class FROM cmp")
@@ -530,11 +532,11 @@ def weather_direction(spark, sf_dir):
     return got.select("point_id", rounded("value", 4).alias("direction"))
 
 
-@query("wind_from_components", f"WITH {S.FIXES}, {_ARCHIVE}, s AS (SELECT step, i, j, {S.hypot('u', 'v')} AS m, {rnd(S.compass('-u', '-v'), 1)} AS f FROM arc WHERE u IS NOT NULL AND step < 20) SELECT step, i, j, {rnd(f'm * ({d(3600)} / {d(1852)})', 2)} AS knots, CASE WHEN m > {d('0.000000001')} THEN CASE WHEN f >= 360 THEN 0 ELSE f END END AS wind_from FROM s")
+@query("wind_from_components", f"WITH {S.FIXES}, {_ARCHIVE}, s AS (SELECT step, i, j, {S.hypot('u', 'v')} AS m, {rnd(S.compass('-u', '-v'), 1)} AS f FROM arc WHERE u IS NOT NULL) SELECT step, i, j, {rnd(f'm * ({d(3600)} / {d(1852)})', 2)} AS knots, CASE WHEN m > {d('0.000000001')} THEN CASE WHEN f >= 360 THEN 0 ELSE f END END AS wind_from FROM s")
 def wind_from_components(spark, sf_dir):
     rows, value, _ = _archive(spark)
     speed, direction = sailing.from_components("u", "v", "from")
-    return rows.where("step < 20").select("step", "i", "j", value(0).alias("u"), value(77).alias("v")).where("u is not null").select("step", "i", "j", speed.alias("knots"), direction.alias("wind_from"))
+    return rows.select("step", "i", "j", value(0).alias("u"), value(77).alias("v")).where("u is not null").select("step", "i", "j", speed.alias("knots"), direction.alias("wind_from"))
 
 
 @query("current_tiers", f"WITH {S.FIXES}, x AS (SELECT e, CASE WHEN e % 4 = 0 THEN e / {d(10)} END AS a, CASE WHEN e % 3 = 0 THEN e / {d(20)} END AS b, e / {d(40)} AS c FROM fixes) SELECT e AS point_id, coalesce(a, b, c) AS value, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 ELSE 2 END AS tier FROM x")

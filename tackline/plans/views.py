@@ -45,8 +45,7 @@ def motions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with everything that relates them to wind, waves and current."""
-    env = fixes(spark, sf_dir).select("track_id", "fix_idx", *ENVIRONMENT)
-    return sailing.relate(motions(spark, sf_dir).join(env, ["track_id", "fix_idx"]))
+    return sailing.relate(tracks.derive(tracks.normalise(fixes(spark, sf_dir), ENVIRONMENT), MAX_GAP_S))
 
 
 def placed(spark: SparkSession, sf_dir: str, corrected: bool = True) -> DataFrame:

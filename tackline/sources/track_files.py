@@ -139,7 +139,7 @@ def read_geojson(texts: DataFrame, text_col: str = "text", file_col: str = "file
     times = F.when(F.col("kind") == "Point", F.array("time")).otherwise(series("times"))
     rows = rows.withColumns({"_times": times, **{f"_{n}": series(n) for n in ("cog", "sog", "tws", "twd_from")}})
     matches = F.coalesce(F.size("_times") == F.size("vertices"), F.lit(False))
-    rows = rows.select("*", matches.alias("_ok"), F.posexplode(F.when(matches, F.col("vertices")).otherwise(F.array(F.array(F.lit(0.0))))).alias("at", "v"))
+    rows = rows.select("*", matches.alias("_ok"), F.posexplode(F.when(matches, F.col("vertices")).otherwise(F.array(F.array().cast("array<double>")))).alias("at", "v"))
     value = lambda n: F.coalesce(F.get(f"_{n}", F.col("at")), F.when(F.col(f"_{n}").isNull(), F.col(n))).try_cast("double")
     out = rows.select(
         "file", "feature", "line", "at", F.when(F.trim("boat") != "", F.trim("boat")).alias("boat"), F.when(F.col("_ok"), seconds(F.get("_times", F.col("at")))).alias("t"), F.get("v", F.lit(1)).alias("lat"), F.get("v", F.lit(0)).alias("lon"),

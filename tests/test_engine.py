@@ -10,7 +10,7 @@ from tackline.functions import sailing
 from tackline.functions.canonical import angle_between, rounded, wrap_360, wrap_lon
 from tackline.functions.geo import distance_m, final_bearing, initial_bearing, mean_direction
 from tackline.functions.text import compact, fold, maker, model_key
-from tackline.operators import blend, compare, export, filters, polar, tracks, weather
+from tackline.operators import blend, catalogue, compare, export, filters, polar, tracks, weather
 from tackline.sources import polar_files, times, track_files
 from tackline.streaming import fixes as live
 
@@ -32,14 +32,15 @@ def test_geodesy(spark):
 
 
 def test_apparent_wind_and_current(spark):
-    base = spark.createDataFrame([(0.0, 10.0, 10.0, 90.0, None, None), (0.0, 10.0, 10.0, 90.0, 5.0, 0.0)], "heading double, speed double, tws double, twd_from double, current_speed double, current_toward double")
+    base = spark.createDataFrame([(0.0, 6.0, 6.0, 90.0, None, None), (0.0, 6.0, 6.0, 90.0, 2.0, 0.0)], "heading double, speed double, tws double, twd_from double, current_speed double, current_toward double")
     rows = sailing.relate(base.withColumns({"sup_tws": F.lit(None).cast("double"), "sup_twd": F.lit(None).cast("double"), "wave_from": F.lit(30.0)}))
     a, b = rows.select("twa", "tack", "bsp_corrected", "wave_angle", sailing.apparent_wind_angle(True).alias("awa")).collect()
     assert (a["twa"], a["tack"], a["bsp_corrected"], a["wave_angle"], a["awa"]) == (90.0, "starboard", None, 30.0, 45.0)
-    assert b["bsp_corrected"] == 5.0 and b["awa"] == 45.0
-    knots, direction = sailing.from_components(-3.0, -4.0, "from")
-    c, d = sailing.from_components(1.0, 0.0, "toward")
-    assert tuple(one(spark, a=knots, b=direction, c=c, d=d)) == (9.72, 36.9, 1.94, 90.0)
+    assert b["bsp_corrected"] == 4.0 and b["awa"] == 45.0
+    # 5 and 12 give 13 m/s, 25.27 kn, that blows from the south-west quarter; -2 m/s east is 3.89 kn toward the west
+    knots, direction = sailing.from_components(5.0, 12.0, "from")
+    c, d = sailing.from_components(-2.0, 0.0, "toward")
+    assert tuple(one(spark, a=knots, b=direction, c=c, d=d)) == (25.27, 202.6, 3.89, 270.0)
 
 
 def test_supplied_wind_is_a_pair(spark):
@@ -49,14 +50,15 @@ def test_supplied_wind_is_a_pair(spark):
 
 
 def test_change_filter_marks_both_neighbours(spark):
-    rows = [(1, k, t, h) for k, (t, h) in enumerate([(0, 350.0), (10, 355.0), (20, 5.0), (30, 10.0), (99_999, 180.0)])]
+    rows = [(1, k, t, h) for k, (t, h) in enumerate([(0, 200.0), (60, 203.0), (120, 221.0), (180, 218.0), (240, 358.0), (300, 2.0), (50_000, 90.0)])]
     s = spark.createDataFrame(rows, "track_id int, fix_idx int, t long, heading double").withColumns({c: F.lit(None).cast("double") for c in ("heading_corrected", "speed", "twa", "twa_corrected", "tws_corrected", "bsp_corrected", "wind_speed")})
 
     def out(limit):
         return [r["filtered"] for r in filters.mark(s, filters.SampleFilters(min_bsp_kn=None, max_heading_change_deg=limit), True, 10_800).orderBy("fix_idx").collect()]
 
-    assert out(10.0) == [False] * 5
-    assert out(9.0) == [False, True, True, False, False]
+    assert out(145.0) == [False] * 7
+    assert out(17.5) == [False, True, True, True, True, False, False]
+    assert out(3.5) == [False, True, True, True, True, True, False]
     with pytest.raises(ValueError):
         filters.SampleFilters(min_bsp_kn=-1.0)
 
@@ -84,14 +86,15 @@ def read(frame, twa, tws, **more):
 
 
 def test_bilinear_reads_and_never_extrapolates(spark):
-    grid = cells(spark, [(40, 6, 4), (40, 12, 6), (90, 6, 6), (90, 12, 8), (150, 6, 5), (150, 12, 9)])
-    got = read(grid, [30.0, 65.0, 105.0, 295.0], [9.0, 12.0])
-    assert got[(65.0, 9.0)] == 6.0 and got[(105.0, 12.0)] == 8.25 and got[(295.0, 9.0)] == 6.0
-    assert not any(a == 30.0 for a, _ in got)
-    ragged = cells(spark, [(40, 12, 6), (45, 6, 5), (90, 6, 7), (90, 12, 9)])
-    assert (42.0, 6.0) not in read(ragged, [42.0, 67.5], [6.0, 12.0])
-    gone = spark.createDataFrame([(0, 40.0, 6.0)], "source_id int, twa double, tws double")
-    assert set(read(grid, [65.0, 105.0], [9.0, 12.0], excluded=gone)) == {(65.0, 12.0), (105.0, 9.0), (105.0, 12.0)}
+    # a plane: a twentieth of a knot a degree and a quarter of one a knot of wind, which reading between nodes keeps
+    plane = lambda a, s: a / 20 + s / 4
+    grid = cells(spark, [(a, s, plane(a, s)) for a in (50, 70, 110, 170) for s in (8, 16)])
+    got = read(grid, [44.0, 58.0, 96.0, 250.0, 172.0], [10.0, 16.0, 17.0])
+    assert got == {(a, s): round(plane(min(a, 360 - a), s), 9) for a in (58.0, 96.0, 250.0) for s in (10.0, 16.0)}
+    ragged = cells(spark, [(50, 16, 7), (64, 8, 5), (110, 8, 8), (110, 16, 10)])
+    assert (55.0, 8.0) not in read(ragged, [55.0, 80.0], [8.0, 16.0])
+    gone = spark.createDataFrame([(0, 50.0, 8.0)], "source_id int, twa double, tws double")
+    assert set(read(grid, [58.0, 96.0], [10.0, 16.0], excluded=gone)) == {(58.0, 16.0), (96.0, 10.0), (96.0, 16.0)}
 
 
 def test_resampling_on_its_own_axes_changes_nothing(spark):
@@ -101,15 +104,20 @@ def test_resampling_on_its_own_axes_changes_nothing(spark):
 
 
 def test_pchip_keeps_shape(spark):
-    got = {r["i"]: r["bsp"] for r in polar.pchip(cells(spark, [(0, 5, 0), (1, 5, 1), (2, 5, 1)]), [0.5, 1.5, 2.0, 2.5, -0.5]).collect()}
-    assert got == {0: 0.6875, 1: 1.0, 2: 1.0}
+    # a straight line stays one, a flat stretch stays flat, steps never overshoot, and nothing is read outside
+    line = polar.pchip(cells(spark, [(40, 9, 4), (60, 9, 5), (100, 9, 7)]), [45.0, 85.0, 39.0, 101.0]).collect()
+    assert {r["i"]: round(r["bsp"], 6) for r in line} == {0: 4.25, 1: 6.25}
+    at = [float(x) for x in range(30, 121, 5)]
+    step = {at[r["i"]]: r["bsp"] for r in polar.pchip(cells(spark, [(30, 9, 3), (60, 9, 3), (90, 9, 8), (120, 9, 8)]), at).collect()}
+    assert all(step[a] == 3.0 for a in at if a <= 60) and all(step[a] == 8.0 for a in at if a >= 90) and step[75.0] == 5.5
+    assert all(step[a] <= step[b] for a, b in zip(at, at[1:], strict=False))
 
 
 def test_directional(spark):
-    half = polar.directional(cells(spark, [(45, 10, 4), (90, 10, 8), (270, 10, 8), (315, 10, 14)]), False)
-    assert {(r["twa"], r["bsp"]) for r in half.collect()} == {(45.0, 9.0), (90.0, 8.0)}
-    full = polar.directional(cells(spark, [(45, 10, 4), (180, 10, 8)]), True)
-    assert {(r["twa"], r["bsp"]) for r in full.collect()} == {(45.0, 4.0), (315.0, 4.0), (180.0, 8.0)}
+    half = polar.directional(cells(spark, [(52, 14, 6), (120, 14, 9), (240, 14, 7), (308, 14, 6.5)]), False)
+    assert {(r["twa"], r["bsp"]) for r in half.collect()} == {(52.0, 6.25), (120.0, 8.0)}
+    full = polar.directional(cells(spark, [(70, 14, 7.5), (180, 14, 6)]), True)
+    assert {(r["twa"], r["bsp"]) for r in full.collect()} == {(70.0, 7.5), (290.0, 7.5), (180.0, 6.0)}
 
 
 def test_bins_take_halfway_up(spark):
@@ -120,11 +128,12 @@ def test_bins_take_halfway_up(spark):
 
 
 def test_statistics(spark):
-    p = spark.createDataFrame([(90.0, 10.0, float(v)) for v in (1, 2, 4, 8)], "twa double, tws double, bsp double")
+    # ranks of five values: 0.9 * 4 = 3.6, 0.75 * 4 = 3
+    p = spark.createDataFrame([(90.0, 10.0, float(v)) for v in (3, 5, 6, 9, 10)], "twa double, tws double, bsp double")
     got = {s: polar.segment(p, [80.0, 90.0, 100.0], [10.0], s, 1).first() for s in ("p90", "median", "mean", "p75")}
-    assert [got[s]["bsp"] for s in ("p90", "median", "mean", "p75")] == [6.8, 3.0, 3.75, 5.0]
-    assert round(got["p90"]["spread"], 4) == 3.0957
-    assert polar.segment(p, [80.0, 90.0, 100.0], [10.0], "p90", 5).first()["bsp"] is None
+    assert [got[s]["bsp"] for s in ("p90", "median", "mean", "p75")] == [9.6, 6.0, 6.6, 9.0]
+    assert round(got["p90"]["spread"], 4) == round((33.2 / 4) ** 0.5, 4)
+    assert polar.segment(p, [80.0, 90.0, 100.0], [10.0], "p90", 6).first()["bsp"] is None
 
 
 def test_one_source_blends_to_itself_and_fills_between(spark):
@@ -136,9 +145,9 @@ def test_one_source_blends_to_itself_and_fills_between(spark):
 
 
 def test_a_full_circle_never_mirrors_or_anchors_on_the_zero_row(spark):
-    b = cells(spark, [(0, 10, 0), (45, 10, 4), (90, 10, 6), (360, 10, 0)])
-    got = [r["bsp"] for r in blend.resampled(b, [0.0, 20.0, 67.5, 270.0, 360.0], [10.0]).orderBy("i").collect()]
-    assert got == [0.0, None, 5.0, None, 0.0]
+    b = cells(spark, [(0, 14, 0), (60, 14, 5), (120, 14, 8), (200, 14, 7), (360, 14, 0)])
+    got = [r["bsp"] for r in blend.resampled(b, [0.0, 35.0, 84.0, 160.0, 250.0, 360.0], [14.0]).orderBy("i").collect()]
+    assert got == [0.0, None, 6.2, 7.5, None, 0.0]
 
 
 def test_comparing_with_itself_is_zero(spark):
@@ -165,13 +174,26 @@ def test_reports_go_to_the_nearest_fix(spark):
 
 
 def test_names(spark):
-    rows = spark.createDataFrame([("Fröken Ñandú",), ("KÅRE ØSTBY",), ("Straße Æolus",), ("José",)], "x string").select(fold("x"), compact("x")).collect()
-    assert [r[0] for r in rows] == ["froken nandu", "kare ostby", "strasse aeolus", "jose"]
-    got = spark.createDataFrame([("Beneteau First 40.7",), ("IMOCA 60",), ("J/109",), ("Laser",), ("Hanse",), ("Dream",)], "x string").select(model_key("x")).collect()
-    assert [r[0] for r in got] == ["first40.7", None, "j109", "laser", None, None]
+    rows = spark.createDataFrame([("Señal ÉTÉ",), ("BLÅ ØYE",), ("Großer Ægir",), ("Čárka",)], "x string").select(fold("x"), compact("x")).collect()
+    assert [r[0] for r in rows] == ["senal ete", "bla oye", "grosser aegir", "carka"]
+    got = spark.createDataFrame([("Jeanneau Sun Odyssey 36.2",), ("Class40",), ("A/35",), ("Optimist",), ("Bavaria",), ("Zephyr",)], "x string").select(model_key("x")).collect()
+    assert [r[0] for r in got] == ["sunodyssey36.2", None, "a35", "optimist", None, None]
     assert one(spark, a=maker(F.lit("Nautor Swan")), b=maker(F.lit("Elan Yachts")))["a"] == "nautor"
 
 
+def test_searches_fold_the_query_and_find_nothing_for_none(spark):
+    rows = [(1, "Señal Été", "ESP 12", "ESP", "First 40", 2001, 2024), (2, "Senales", "FRA12", "FRA", None, None, None), (3, "Blå Øye", "NOR 7", "NOR", "J/109", 2010, 2023)]
+    entries = spark.createDataFrame(rows, "id long, name string, sail_no string, country string, model string, year int, certificate_year int")
+    found = lambda q, **more: [(r["id"], r["tier"], r["total"]) for r in catalogue.search(entries, q, 10, **more).collect()]
+    assert found("SEÑAL") == found("senal") == [(1, 2, 2), (2, 2, 2)]
+    assert found("senal", offset=1) == [(2, 2, 2)]
+    assert found("øye blå") == [(3, 4, 1)] and found("12") == [(1, 1, 2), (2, 1, 2)] and found("j 109") == [(3, 3, 1)]
+    assert found("") == found(" -!") == []
+    tracks_ = entries.select(F.col("id").alias("track_id"), F.col("name").alias("boat"), F.lit("Régate").alias("event"), F.lit(1).alias("start"))
+    assert [r["track_id"] for r in catalogue.library_search(tracks_, "été régate", 5).collect()] == [1]
+    assert catalogue.library_search(tracks_, "", 5).count() == 0
+
+
 def test_times(spark):
     cases = [("2025-07-26T12:00:00Z", "auto", 1753531200), ("2025/7/26 14:00+02:00", "auto", 1753531200), ("2025-07-26", "auto", 1753488000), ("1753531200", "auto", 1753531200), ("1753531200499", "auto", 1753531200), ("2025-07-26 24:00:00", "iso", 1753574400), ("2025-13-01", "auto", None), ("", "auto", None), ("26.Jul.25 12h", "%d.%b.%y %Hh", 1753531200), ("x", "epoch_s", None)]
     for text, how, want in cases:
@@ -188,7 +210,7 @@ def test_csv_and_geojson(spark, tmp_path):
     assert bad["problem"] == "bad-time"
     text = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"time":0,"TWS":12,"TWD":350,"Boat":" B "},"geometry":{"type":"Point","coordinates":[1,2]}},{"type":"Feature","properties":{"times":[0,60],"sog":[5,6],"cog":90},"geometry":{"type":"LineString","coordinates":[[1,2],[1.5,2.5]]}},{"type":"Feature","properties":{"times":[0]},"geometry":{"type":"LineString","coordinates":[[1,2],[1,3]]}},{"type":"Feature","properties":{},"geometry":null}]}'
     rows = track_files.read_geojson(spark.createDataFrame([("f", text)], "file string, text string")).orderBy("feature", "at").collect()
-    assert [(r["t"], r["lat"], r["lon"], r["sog"], r["cog"], r["tws"], r["boat"], r["problem"]) for r in rows] == [(0, 2.0, 1.0, None, None, 12.0, "B", None), (0, 2.0, 1.0, 5.0, 90.0, None, None, None), (60, 2.5, 1.5, 6.0, 90.0, None, None, None), (None, 0.0, None, None, None, None, None, "times-mismatch")]
+    assert [(r["t"], r["lat"], r["lon"], r["sog"], r["cog"], r["tws"], r["boat"], r["problem"]) for r in rows] == [(0, 2.0, 1.0, None, None, 12.0, "B", None), (0, 2.0, 1.0, 5.0, 90.0, None, None, None), (60, 2.5, 1.5, 6.0, 90.0, None, None, None), (None, None, None, None, None, None, None, "times-mismatch")]
 
 
 def test_binary_positions_add_up_deltas(spark):
