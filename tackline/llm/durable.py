@@ -1,41 +1,5 @@
-"""Cutting lineage so that a lost executor costs no earlier stage.
+"""Cutting lineage, as :mod:`tackline.durable` does it for the whole library."""
 
-Files go to the folder that the session names in ``spark.checkpoint.dir``,
-which driver and executors share, or to the session's checkpoint folder. Without
-either there is no folder that all of them see: on one machine, in local mode, one of
-this process is used, and on a cluster the work stops with an error.
-"""
+from tackline.durable import checkpointed, shared_folder, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tackline-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of a small or iterated table, computed once and kept as checkpoint files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of a larger table, computed once and kept as Parquet."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["checkpointed", "shared_folder", "written"]
