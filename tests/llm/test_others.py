@@ -3,10 +3,11 @@
 import datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tackline.llm import durable, neighbours, queries, urls
-from tests.llm.test_texts import SCHEMA, brute_components, check_pieces, prose
+from tests.llm.test_texts import SCHEMA, check_pieces, prose, shingle_groups
 
 
 def day(text):
@@ -72,6 +73,23 @@ def test_neighbours_of_few_vectors(spark):
     assert neighbours.search(few.where("false"), lambda i: i % 50 == 0).count() == 0
 
 
+def test_neighbours_of_two_lengths_repeated_ids_and_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8 if k % 3 else 5).tolist()) for k in range(0, 400)]
+    frame = spark.createDataFrame(rows + [(7, rng.normal(size=8).tolist()), rows[50]], "vec_id long, embedding array<double>")
+    frame = frame.withColumns({"id": F.lit("x"), "v": F.lit(1), "rank": F.lit(2)})
+    monkeypatch.setattr(neighbours, "BLOCK_PROBES", 1_000)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 2)
+    got = neighbours.search(frame, lambda i: i % 50 == 0).toPandas()
+    assert sorted(set(got.query_id)) == list(range(0, 400, 50)) and (got.groupby("query_id").size() == 5).all()
+    lengths, hits = {k: len(v) for k, v in rows}, 0
+    for q, g in got.groupby("query_id"):
+        assert {lengths[i] for i in g.vec_id} == {lengths[q]} and q not in set(g.vec_id) and list(g.sort_values("rank").score) == sorted(g.score, reverse=True)
+        ids, _ = brute_nearest([r for r in rows if len(r[1]) == lengths[q] and r[0] != 7], q)
+        hits += len(set(ids) & set(g.vec_id))
+    assert hits >= 0.85 * 5 * 8
+
+
 def pipeline_input(spark, folder, n=120):
     import random
 
@@ -102,8 +120,10 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     good, one, safe, mixed = rows[1:]
     assert not any("$$$" in (r["text"] or "") for r in good.values())
     assert {k for k, r in rows[0].items() if r["text"] and "$$$" not in r["text"]} <= set(good)
-    groups = brute_components([(k, r["text"]) for k, r in good.items()])
-    assert set(one) == set(groups.values())
+    everything, least = [(k, r["text"]) for k, r in sorted(good.items())], {}
+    for (k, _), g in zip(everything, shingle_groups(everything), strict=True):
+        least[g] = min(k, least.get(g, k))
+    assert set(one) == set(least.values())
     assert set(safe) == set(one) and not any("04dbebab" in (r["text"] or "") for r in safe.values())
     assert all(safe[k]["text"] == one[k]["text"] for k in one if "04dbebab" not in (one[k]["text"] or ""))
     assert set(mixed) <= set(safe) and 0 < len(mixed) and all(mixed[k] == safe[k] for k in mixed)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -351,6 +352,47 @@ def test_quality_is_right_on_held_out_documents(spark):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, s in scores.items() if s >= 0.7}
 
 
+def brute_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """Follow-the-regularised-leader as the paper has it, one coordinate after another, in dictionaries."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return ((1 if z[i] > 0 else -1) * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, label in rows:
+            total = sum(weight(i) * x for i, x in features)
+            p = 1 / (1 + np.exp(-total))
+            w = {i: weight(i) for i, _ in features}
+            for i, x in features:
+                g = (p - label) * x
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_each_shard_learns_as_plain_ftrl_and_counts_by_its_rows(spark):
+    docs, labelled, _ = quality_rows(spark, 60)
+    labelled = labelled.where("doc_id is not null and quality is not null")
+    known = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    shard = {r["doc_id"]: r["s"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("s")).collect()}
+    features, want, total = quality.Features(12), collections.defaultdict(float), 0
+    for s in range(3):
+        rows = [(r["doc_id"], float(r["quality"])) for r in labelled.collect() if shard.get(r["doc_id"]) == s]
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        learnt = brute_ftrl([([*zip(*(x.tolist() for x in features.vector(known[i])), strict=True), (1 << 12, 1.0)], y) for i, y in rows], 5.0, 1.0, 1e-5, 1e-3, 1)
+        total += len(rows)
+        for i, w in learnt.items():
+            want[i] += w * len(rows)
+    got = quality.fit(docs, labelled, bits=12, shards=3, epochs=1)
+    assert len({v for v in shard.values()}) == 3
+    close = [abs(got[i] - w / total) < 1e-6 for i, w in want.items()]
+    assert sum(close) >= 0.97 * len(close) and np.count_nonzero(got) <= len(want)
+
+
 def test_quality_without_labels_or_rows(spark):
     docs, labels, _ = quality_rows(spark, 8)
     assert quality.fit(docs, labels.where("false")) is None
