@@ -10,12 +10,13 @@ from tackline.functions.canonical import degrees, knots, rounded
 from tackline.functions.geo import distance_m
 from tackline.functions.text import compact, fold, joined_words, model_key
 from tackline.operators import blend, catalogue, compare, export, filters, polar, tracks, weather
+from tackline.plans import reading
 from tackline.plans import sql as S
 from tackline.plans import views as V
 from tackline.plans.sql import d, rnd
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = dict(reading.QUERIES)
+ORACLE: dict[str, str] = dict(reading.ORACLE)
 
 
 def query(name: str, sql: str | None = None):
@@ -247,11 +248,15 @@ def priority_groups(spark, sf_dir):
 
 
 _BEAR = f"CAST({S.wrap(f'wave_from - {_H}')} AS FLOAT)"
-_TURN = f"((CASE WHEN {_BEAR} >= 360 THEN CAST(0 AS FLOAT) ELSE {_BEAR} END) + CAST(22.5 AS FLOAT))"
-_BUCKET = f"(CAST(floor((CASE WHEN {_TURN} >= 360 THEN {_TURN} - CAST(360 AS FLOAT) ELSE {_TURN} END) / CAST(45 AS FLOAT)) AS INTEGER))"
 
 
-@query("wave_split_segments", f"WITH {S.BINNED}, w AS (SELECT *, {_BUCKET} AS bucket FROM binned) SELECT bucket, i, j, count(*) AS n, {rnd('stddev_samp(bsp)')} AS spread, CASE WHEN count(*) >= 3 THEN {rnd('quantile_cont(bsp, 0.9)')} END AS bsp FROM w WHERE bucket IS NOT NULL GROUP BY bucket, i, j")
+def _bucket_sql(n: int) -> str:
+    step, half = f"CAST({360 / n} AS FLOAT)", f"CAST({180 / n} AS FLOAT)"
+    turn = f"((CASE WHEN {_BEAR} >= 360 THEN CAST(0 AS FLOAT) ELSE {_BEAR} END) + {half})"
+    return f"(CAST(floor((CASE WHEN {turn} >= 360 THEN {turn} - CAST(360 AS FLOAT) ELSE {turn} END) / {step}) AS INTEGER))"
+
+
+@query("wave_split_segments", f"WITH {S.BINNED}, w AS (SELECT *, {_bucket_sql(8)} AS bucket FROM binned) SELECT bucket, i, j, count(*) AS n, {rnd('stddev_samp(bsp)')} AS spread, CASE WHEN count(*) >= 3 THEN {rnd('quantile_cont(bsp, 0.9)')} END AS bsp FROM w WHERE bucket IS NOT NULL GROUP BY bucket, i, j")
 def wave_split_segments(spark, sf_dir):
     bucket = sailing.wave_bucket(8, "from", F.coalesce("heading_corrected", "heading"))
     return polar.segment(V.points(spark, sf_dir).withColumn("bucket", bucket).where("bucket is not null"), V.TWA, V.TWS, "p90", 3, ("bucket",))
@@ -336,7 +341,23 @@ def vpp_to_polar(spark, sf_dir):
     return _r6(polar.vpp_to_cells(nodes, beat.union(run)), "bsp")
 
 
-@query("pchip_resample")
+def _end_slope(ha: str, hb: str, da: str, db: str) -> str:
+    m = f"(((2 * {ha} + {hb}) * {da} - {ha} * {db}) / ({ha} + {hb}))"
+    return f"(CASE WHEN {db} IS NULL THEN {da} WHEN {m} * {da} <= 0 THEN 0 WHEN {da} * {db} <= 0 AND abs({m}) > 3 * abs({da}) THEN 3 * {da} ELSE {m} END)"
+
+
+_ALONG = "OVER (PARTITION BY source_id, tws ORDER BY twa)"
+
+
+@query(
+    "pchip_resample",
+    f"""WITH {S.NODES}, {S.GRID}, c0 AS (SELECT *, lead(twa) {_ALONG} AS x1, lead(bsp) {_ALONG} AS y1 FROM nodes), c1 AS (SELECT *, x1 - twa AS h, (y1 - bsp) / (x1 - twa) AS d FROM c0),
+c2 AS (SELECT *, lag(h) {_ALONG} AS h0, lag(d) {_ALONG} AS d0, lag(h, 2) {_ALONG} AS h00, lag(d, 2) {_ALONG} AS d00, lead(h) {_ALONG} AS h1, lead(d) {_ALONG} AS d1 FROM c1),
+c3 AS (SELECT *, CASE WHEN h IS NULL AND h0 IS NULL THEN 0 WHEN h0 IS NULL THEN {_end_slope("h", "h1", "d", "d1")} WHEN h IS NULL THEN {_end_slope("h0", "h00", "d0", "d00")} WHEN d0 * d <= 0 THEN 0 ELSE 3 * (h + h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / d) END AS m FROM c2),
+c4 AS (SELECT *, lead(m) {_ALONG} AS m1 FROM c3),
+c5 AS (SELECT c.source_id, c.tws, q.i, c.bsp, c.y1, c.h, c.m, c.m1, (q.twa - c.twa) / c.h AS t FROM c4 c JOIN axis_i q ON q.twa = c.twa OR (q.twa > c.twa AND q.twa < c.x1))
+SELECT source_id, tws, i, {rnd("CASE WHEN t IS NULL OR t = 0 THEN bsp ELSE greatest(least(bsp + t * h * m + t * t * (3 * (y1 - bsp) - h * (2 * m + m1)) + t * t * t * (2 * (bsp - y1) + h * (m + m1)), greatest(bsp, y1)), least(bsp, y1)) END")} AS bsp FROM c5""",
+)
 def pchip_resample(spark, sf_dir):
     return _r6(polar.pchip(_nodes(spark, sf_dir), V.TWA), "bsp")
 
@@ -422,13 +443,35 @@ def blend_corrected(spark, sf_dir):
     return blend.corrected(cells, edits).select("i", "j", "origin", knots("value").alias("bsp"))
 
 
-@query("blend_resampled")
+_RTWA, _RTWS = [0.0, 40.0, 52.0, 67.5, 110.0, 172.5], [6.0, 9.0, 10.0, 15.0]
+
+
+@query(
+    "blend_resampled",
+    f"""WITH {_FILLED}, rc AS (SELECT twa, tws, {rnd("value")} AS bsp FROM cells WHERE i <> 0 AND value IS NOT NULL),
+rq AS (SELECT * FROM {S.axis_values(_RTWA, "i", "twa")} a CROSS JOIN {S.axis_values(_RTWS, "j", "tws")} b),
+rs AS (SELECT *, (SELECT max(x.tws) FROM axis_j x WHERE x.tws <= rq.tws) AS s0, (SELECT min(x.tws) FROM axis_j x WHERE x.tws >= rq.tws) AS s1 FROM rq),
+rside AS (SELECT *, s0 AS c FROM rs UNION SELECT *, s1 AS c FROM rs),
+rn AS (SELECT *, (SELECT max(k.twa) FROM rc k WHERE k.tws = c AND k.twa <= rside.twa) AS a0, (SELECT min(k.twa) FROM rc k WHERE k.tws = c AND k.twa >= rside.twa) AS a1 FROM rside),
+rv AS (SELECT n.*, CASE WHEN a0 = a1 THEN x.bsp ELSE x.bsp + (y.bsp - x.bsp) * ((n.twa - a0) / (a1 - a0)) END AS v FROM rn n JOIN rc x ON x.tws = n.c AND x.twa = n.a0 JOIN rc y ON y.tws = n.c AND y.twa = n.a1),
+rr AS (SELECT l.i, l.j, CASE WHEN l.s0 = l.s1 THEN l.v ELSE l.v + (h.v - l.v) * ((l.tws - l.s0) / (l.s1 - l.s0)) END AS v FROM rv l JOIN rv h ON l.i = h.i AND l.j = h.j AND l.c = l.s0 AND h.c = h.s1)
+SELECT q.i, q.twa, q.j, q.tws, CASE WHEN q.i = 0 THEN 0 ELSE {rnd("rr.v")} END AS bsp FROM rq q LEFT JOIN rr ON rr.i = q.i AND rr.j = q.j""",
+)
 def blend_resampled(spark, sf_dir):
     cells = blend.blend(_evidence(spark, sf_dir), V.TWA, V.TWS)
-    return blend.resampled(cells, [0.0, 40.0, 52.0, 67.5, 110.0, 172.5], [6.0, 9.0, 10.0, 15.0])
+    return blend.resampled(cells, _RTWA, _RTWS)
 
 
-@query("split_blends")
+@query(
+    "split_blends",
+    f"""WITH {S.BINNED}, {S.NODES}, {S.READ}, seg AS (SELECT bucket, 100 + track_id % 4 AS source_id, i, j, count(*) AS n, {rnd("quantile_cont(bsp, 0.9)")} AS bsp FROM (SELECT *, {_bucket_sql(4)} AS bucket FROM binned) WHERE bucket IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
+sides0 AS (SELECT DISTINCT bucket FROM seg),
+evb AS (SELECT bucket, i, j, bsp, least(n / {d(30)}, {d(1)}) AS weight FROM seg UNION ALL SELECT bucket, i, j, bsp, {d(0.5)} FROM read CROSS JOIN sides0),
+direct AS (SELECT bucket, i, j, sum(weight * bsp) / sum(weight) AS value FROM evb GROUP BY 1, 2, 3),
+g0 AS (SELECT k.bucket, g.i, g.twa, g.j, g.tws, dd.value AS dv, dd.value IS NOT NULL AS has FROM sides0 k CROSS JOIN grid g LEFT JOIN direct dd ON dd.bucket = k.bucket AND dd.i = g.i AND dd.j = g.j),
+b0 AS (SELECT * FROM g0 WHERE i <> 0), b1 AS (SELECT bucket, i, twa, j, tws, has, v AS v1 FROM ({_fill_sql("b0", "bucket, j", "twa", "dv")}) x), b2 AS (SELECT bucket, i, j, has, v AS v2 FROM ({_fill_sql("b1", "bucket, i", "tws", "v1")}) x)
+SELECT bucket, i, j, CASE WHEN has THEN 'direct' WHEN v2 IS NOT NULL THEN 'filled' ELSE 'empty' END AS origin, {rnd("v2")} AS bsp FROM b2 UNION ALL SELECT bucket, i, j, CASE WHEN has THEN 'direct' ELSE 'filled' END, {d(0)} FROM g0 WHERE i = 0""",
+)
 def split_blends(spark, sf_dir):
     """One blend a wave direction in one job: polar files in every copy, tracks by their own direction."""
     bucket = sailing.wave_bucket(4, "from", F.coalesce("heading_corrected", "heading"))
@@ -603,6 +646,11 @@ def catalogue_search_topk(spark, sf_dir):
     return catalogue.search(V.certificates(spark, sf_dir), "12", 20, where=catalogue.admits(sizes={"loa": (2.0, None)}) & ~F.col("withdrawn"))
 
 
+@query("catalogue_search_page", f"WITH {_CERT}, hits AS (SELECT id, certificate_year AS y, lower(name) AS f FROM cert WHERE lower(country) = 'chi' AND year BETWEEN 1993 AND 2020) SELECT id, 2 AS tier, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY y DESC NULLS LAST, f, id LIMIT 15 OFFSET 2")
+def catalogue_search_page(spark, sf_dir):
+    return catalogue.search(V.certificates(spark, sf_dir), "Çustömër", 15, 2, catalogue.admits("CHI", (1993, 2020)))
+
+
 @query("catalogue_facets", f"WITH {_CERT} SELECT string_agg(DISTINCT country, ',' ORDER BY country) AS countries, min(year) AS first_year, max(year) AS last_year, count(*) AS entries, CAST(sum(CASE WHEN NOT withdrawn THEN 1 ELSE 0 END) AS BIGINT) AS current FROM cert")
 def catalogue_facets(spark, sf_dir):
     return catalogue.facets(V.certificates(spark, sf_dir))

@@ -51,7 +51,7 @@ def points_of(lines: DataFrame) -> DataFrame:
     expedition = pairs.select("path", "line", _number(F.get("c", F.col("k")), F.lit("space")).alias("twa"), "tws", _number(F.get("c", F.col("k") + 1), F.lit("space")).alias("bsp"), F.when(F.size("c") <= F.col("k") + 1, "missing-bsp").alias("short"))
     rows = lines.where("format = 'table'").withColumn("c", _split(F.col("content"), F.col("separator")))
     rows = rows.withColumn("head", F.first("c").over(Window.partitionBy("path").orderBy("line"))).withColumn("_k", first).where("_k > 1")
-    rows = rows.select("path", "line", "separator", "head", _number(F.get("c", F.lit(0)), F.col("separator")).alias("twa"), F.posexplode(F.slice(F.col("c"), 2, 600)).alias("k", "text"))
+    rows = rows.select("path", "line", "separator", "head", _number(F.get("c", F.lit(0)), F.col("separator")).alias("twa"), F.posexplode(F.slice(F.col("c"), 2, F.greatest(F.size("c"), F.lit(1)))).alias("k", "text"))
     table = rows.where("text <> ''").select("path", "line", "twa", _number(F.get("head", F.col("k") + 1), F.col("separator")).alias("tws"), _number(F.col("text"), F.col("separator")).alias("bsp"), F.when(F.size("head") <= F.col("k") + 1, "too-many-cells").alias("short"))
     both = expedition.unionByName(table)
     problem = (
@@ -61,15 +61,20 @@ def points_of(lines: DataFrame) -> DataFrame:
     return both.withColumn("problem", problem).drop("short")
 
 
-def read_polars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Cells (path, twa, tws, bsp) of the files that read whole, and problems (path, line, problem) of the others."""
-    files = spark.read.format("binaryFile").load(path)
+def polars_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (path, twa, tws, bsp) of the files (path, content) that read whole, and problems (path, line, problem) of the others."""
     lines = lines_of(files)
     points = points_of(lines)
     bad = points.where("problem is not null").select("path", "line", "problem")
     odd = lines.where("format = 'unknown'").groupBy("path").agg(F.min("line").alias("line")).withColumn("problem", F.lit("unknown-format"))
     said = points.select("path").distinct()
-    silent = files.select("path").join(said, "path", "left_anti").join(odd, "path", "left_anti").select("path", F.lit(None).cast("int").alias("line"), F.lit("no-speeds").alias("problem"))
-    problems = bad.unionByName(odd).unionByName(silent)
+    silent = files.join(said, "path", "left_anti").join(odd, "path", "left_anti")
+    why = F.when(F.length("content") > MAX_FILE_BYTES, "too-large").otherwise("no-speeds")
+    problems = bad.unionByName(odd).unionByName(silent.select("path", F.lit(None).cast("int").alias("line"), why.alias("problem")))
     good = points.join(problems.select("path").distinct(), "path", "left_anti")
     return collect_points(good, ["path"]), problems
+
+
+def read_polars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`polars_of` the files at a path."""
+    return polars_of(spark.read.format("binaryFile").load(path))

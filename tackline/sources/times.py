@@ -26,7 +26,8 @@ def _epoch(year: Column, month: Column, day: Column, hour: Column, minute: Colum
     digits = F.regexp_replace(zone, "[^0-9]", "")
     away = F.when(zone.isNull() | zone.isin("Z", "z"), 0).otherwise((F.substring(digits, 1, 2).try_cast("int") * 3600 + F.substring(digits, 3, 2).try_cast("int") * 60) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1))
     part = F.round(F.coalesce(F.concat(F.lit("0."), fraction).try_cast("double"), F.lit(0.0))).cast("long")
-    return F.when(good, F.unix_seconds(date) + h * 3600 + m * 60 + s + part - away)
+    days = F.unix_date(date.cast("date")).cast("long")  # the same day whatever the session's time zone
+    return F.when(good, days * 86_400 + h * 3600 + m * 60 + s + part - away)
 
 
 def iso_seconds(x: Column) -> Column:
