@@ -55,3 +55,13 @@ def model_key(x) -> Column:
     generic = key.isin(*GENERIC) | key.rlike("^(" + "|".join(GENERIC_STARTS) + ")")
     good = (F.length(key) >= 3) & key.rlike(r"\p{L}") & ~generic & ~maker(key).isin(*MAKERS) & (key.rlike("[0-9]") | key.isin(*PLAIN_MODELS))
     return F.when(good, key)
+
+
+def sail_display(number, country) -> Column:
+    """A sail number behind its country once, whatever was written before it; empty where the number is missing or a stand-in."""
+    number, country = (F.col(c) if isinstance(c, str) else c for c in (number, country))
+    raw = F.regexp_replace(F.regexp_replace(number, "^[^/]*/", ""), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.substring(raw, F.length(country) + 1, F.length(raw)), "^[ /-]+", "")
+    own = (F.lower(F.substring(raw, F.lit(1), F.length(country))) == F.lower(country)) & (bare != "")
+    shown = F.when((country != "") & own, bare).otherwise(raw)
+    return F.when((raw == "") | F.startswith(raw, F.lit("_")), "").when(country == "", shown).otherwise(F.concat_ws(" ", country, shown))

@@ -10,13 +10,13 @@ from tackline.functions.canonical import degrees, knots, rounded
 from tackline.functions.geo import distance_m
 from tackline.functions.text import compact, fold, joined_words, model_key
 from tackline.operators import blend, catalogue, compare, export, filters, polar, tracks, weather
-from tackline.plans import reading
+from tackline.plans import reading, tools
 from tackline.plans import sql as S
 from tackline.plans import views as V
-from tackline.plans.sql import d, rnd
+from tackline.plans.sql import bucket_sql, d, rnd
 
-QUERIES: dict = dict(reading.QUERIES)
-ORACLE: dict[str, str] = dict(reading.ORACLE)
+QUERIES: dict = {**reading.QUERIES, **tools.QUERIES}
+ORACLE: dict[str, str] = {**reading.ORACLE, **tools.ORACLE}
 
 
 def query(name: str, sql: str | None = None):
@@ -247,16 +247,7 @@ def priority_groups(spark, sf_dir):
     return rows.groupBy("i", "j", "grp").agg(F.count("*").alias("n"), knots(F.percentile("bsp", F.lit(0.9))).alias("bsp"))
 
 
-_BEAR = f"CAST({S.wrap(f'wave_from - {_H}')} AS FLOAT)"
-
-
-def _bucket_sql(n: int) -> str:
-    step, half = f"CAST({360 / n} AS FLOAT)", f"CAST({180 / n} AS FLOAT)"
-    turn = f"((CASE WHEN {_BEAR} >= 360 THEN CAST(0 AS FLOAT) ELSE {_BEAR} END) + {half})"
-    return f"(CAST(floor((CASE WHEN {turn} >= 360 THEN {turn} - CAST(360 AS FLOAT) ELSE {turn} END) / {step}) AS INTEGER))"
-
-
-@query("wave_split_segments", f"WITH {S.BINNED}, w AS (SELECT *, {_bucket_sql(8)} AS bucket FROM binned) SELECT bucket, i, j, count(*) AS n, {rnd('stddev_samp(bsp)')} AS spread, CASE WHEN count(*) >= 3 THEN {rnd('quantile_cont(bsp, 0.9)')} END AS bsp FROM w WHERE bucket IS NOT NULL GROUP BY bucket, i, j")
+@query("wave_split_segments", f"WITH {S.BINNED}, w AS (SELECT *, {bucket_sql(8)} AS bucket FROM binned) SELECT bucket, i, j, count(*) AS n, {rnd('stddev_samp(bsp)')} AS spread, CASE WHEN count(*) >= 3 THEN {rnd('quantile_cont(bsp, 0.9)')} END AS bsp FROM w WHERE bucket IS NOT NULL GROUP BY bucket, i, j")
 def wave_split_segments(spark, sf_dir):
     bucket = sailing.wave_bucket(8, "from", F.coalesce("heading_corrected", "heading"))
     return polar.segment(V.points(spark, sf_dir).withColumn("bucket", bucket).where("bucket is not null"), V.TWA, V.TWS, "p90", 3, ("bucket",))
@@ -464,7 +455,7 @@ def blend_resampled(spark, sf_dir):
 
 @query(
     "split_blends",
-    f"""WITH {S.BINNED}, {S.NODES}, {S.READ}, seg AS (SELECT bucket, 100 + track_id % 4 AS source_id, i, j, count(*) AS n, {rnd("quantile_cont(bsp, 0.9)")} AS bsp FROM (SELECT *, {_bucket_sql(4)} AS bucket FROM binned) WHERE bucket IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
+    f"""WITH {S.BINNED}, {S.NODES}, {S.READ}, seg AS (SELECT bucket, 100 + track_id % 4 AS source_id, i, j, count(*) AS n, {rnd("quantile_cont(bsp, 0.9)")} AS bsp FROM (SELECT *, {bucket_sql(4)} AS bucket FROM binned) WHERE bucket IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
 sides0 AS (SELECT DISTINCT bucket FROM seg),
 evb AS (SELECT bucket, i, j, bsp, least(n / {d(30)}, {d(1)}) AS weight FROM seg UNION ALL SELECT bucket, i, j, bsp, {d(0.5)} FROM read CROSS JOIN sides0),
 direct AS (SELECT bucket, i, j, sum(weight * bsp) / sum(weight) AS value FROM evb GROUP BY 1, 2, 3),

@@ -154,3 +154,11 @@ cread AS (SELECT q.source_id, q.i, q.j, q.s, q.s0, q.s1, q.c, q.a0, q.a1, CASE W
 read AS (SELECT l.source_id, l.i, l.j, CASE WHEN l.s0 = l.s1 THEN l.v ELSE l.v + (h.v - l.v) * ((l.s - l.s0) / (l.s1 - l.s0)) END AS bsp
   FROM cread l JOIN cread h ON l.source_id = h.source_id AND l.i = h.i AND l.j = h.j AND l.c = l.s0 AND h.c = h.s1)"""
 )
+
+
+def bucket_sql(n: int) -> str:
+    """The wave bucket of a point, of n around the boat, in single precision as stored."""
+    bear = f"CAST({wrap('wave_from - coalesce(heading_corrected, heading)')} AS FLOAT)"
+    step, half = f"CAST({360 / n} AS FLOAT)", f"CAST({180 / n} AS FLOAT)"
+    turn = f"((CASE WHEN {bear} >= 360 THEN CAST(0 AS FLOAT) ELSE {bear} END) + {half})"
+    return f"(CAST(floor((CASE WHEN {turn} >= 360 THEN {turn} - CAST(360 AS FLOAT) ELSE {turn} END) / {step}) AS INTEGER))"
