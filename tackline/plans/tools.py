@@ -145,7 +145,10 @@ def race_finished(spark, sf_dir):
     return races.finished(events, boats, 600)
 
 
-@query("region_counts", f"WITH {S.FIXES} SELECT track_id, CAST(sum(CASE WHEN lat BETWEEN 40 AND 65.1 AND lon BETWEEN -20 AND 13.1 THEN 1 ELSE 0 END) AS BIGINT) AS shelf, CAST(sum(CASE WHEN lat BETWEEN 26.1 AND 56.1 AND lon BETWEEN -19.1 AND 5.1 THEN 1 ELSE 0 END) AS BIGINT) AS biscay FROM fixes GROUP BY track_id")
+_TURNED = S.mod360(f"lon + {d(360)} + {d(180)}") + f" - {d(180)}"
+
+
+@query("region_counts", f"WITH {S.FIXES}, turned AS (SELECT track_id, lat, CASE WHEN track_id % 2 = 0 AND lon + {d(360)} >= 180 THEN {_TURNED} ELSE lon END AS lon FROM fixes) SELECT track_id, CAST(sum(CASE WHEN lat BETWEEN 40 AND 65.1 AND lon BETWEEN -20 AND 13.1 THEN 1 ELSE 0 END) AS BIGINT) AS shelf, CAST(sum(CASE WHEN lat BETWEEN 26.1 AND 56.1 AND lon BETWEEN -19.1 AND 5.1 THEN 1 ELSE 0 END) AS BIGINT) AS biscay FROM turned GROUP BY track_id")
 def region_counts(spark, sf_dir):
     rows = V.fixes(spark, sf_dir).withColumn("lon", F.when(F.col("track_id") % 2 == 0, F.col("lon") + 360.0).otherwise(F.col("lon")))
     return rows.groupBy("track_id").agg(F.count_if(races.in_region("lat", "lon", races.NORTH_WEST_SHELF)).alias("shelf"), F.count_if(races.in_region("lat", "lon", races.IBERIA_BISCAY_IRELAND)).alias("biscay"))
