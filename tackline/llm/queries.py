@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tackline.llm import mixing, neighbours, packing, paragraphs, pii, quality, repetition, secrets, simhash, urls
+from tackline.llm import mixing, negatives, neighbours, packing, paragraphs, pii, prefixes, quality, repetition, secrets, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _held_out(doc_id):
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+def _held_out(doc_id, parts: int = 4, part: int = 2):
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
@@ -105,6 +105,74 @@ def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.probabilities(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(_table(spark, sf_dir, "conversations"))
+
+
+#: DuckDB has no crc32: it is worked out byte by byte from its table of 256 remainders.
+OP11_SQL = """
+WITH steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 20 AS b, n, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), steps
+), built AS (
+  SELECT v.c, t.i + 1 AS d, role, text FROM convs v JOIN turns t ON t.c = v.b AND t.i < v.h
+  UNION ALL
+  SELECT v.c, t.i + 1 - v.h + least(v.h, coalesce(b.n, 0)), role, text FROM convs v JOIN turns t ON t.c = v.c AND t.i >= v.h LEFT JOIN convs b ON b.c = v.b
+), lengths AS (SELECT v.c, count(b.d) AS len FROM convs v LEFT JOIN built b USING (c) GROUP BY v.c
+), paths AS (
+  SELECT c, 0 AS d, '' AS node, '' AS text FROM convs
+  UNION ALL
+  SELECT c, d, sha256(string_agg(sha256(role || chr(1) || text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)), text FROM built
+), nodes AS (
+  SELECT node, d, min(c) AS conv, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0D]+')) AS own,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '')) AS ends
+  FROM paths JOIN lengths USING (c) GROUP BY node, d
+), up AS (
+  SELECT k.node, k.d, p.node AS above, p.d AS above_d FROM nodes k JOIN paths p ON p.c = k.conv AND p.d <= k.d
+), parents AS (SELECT node, d, above FROM up WHERE above_d = d - 1
+), children AS (SELECT above AS node, d - 1 AS d, count(*) AS n FROM parents GROUP BY above, d
+), sums AS (
+  SELECT u.above AS node, u.above_d AS d, count(*) FILTER (ch.n IS NULL) AS leaves, sum(k.own) AS saved
+  FROM up u JOIN nodes k ON k.node = u.node AND k.d = u.d LEFT JOIN children ch ON ch.node = u.node AND ch.d = u.d GROUP BY u.above, u.above_d
+)
+SELECT k.conv AS conv_id, CAST(k.d AS BIGINT) AS depth, a.conv AS parent_conv_id, k.n AS n_convs, coalesce(ch.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
+FROM nodes k JOIN sums s ON s.node = k.node AND s.d = k.d LEFT JOIN children ch ON ch.node = k.node AND ch.d = k.d
+LEFT JOIN parents p ON p.node = k.node AND p.d = k.d LEFT JOIN nodes a ON a.node = p.above AND a.d = p.d - 1
+"""
+
+
+def op12_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), _held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op13_blocked_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label)
+
+
+OP13_SQL = """
+WITH held AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM held a JOIN held b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 100 = 0
+), positives AS (
+  SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) <= 5
+"""
+
+
 QUERIES = {
     "op1_pack_windows": op1_pack_windows,
     "op2_simhash_trie": op2_simhash_trie,
@@ -116,5 +184,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_multiprobe_neighbours": op9_multiprobe_neighbours,
     "op10_raked_mixture": op10_raked_mixture,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_text_cnn": op12_text_cnn,
+    "op13_blocked_negatives": op13_blocked_negatives,
 }
-ORACLE: dict[str, str] = {"op6_url_temporal_lists": OP6_SQL}
+ORACLE: dict[str, str] = {"op6_url_temporal_lists": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op13_blocked_negatives": OP13_SQL}

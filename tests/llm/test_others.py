@@ -150,4 +150,4 @@ def test_pipeline_keeps_no_near_copy(spark):
 
 
 def test_queries_name_every_operator():
-    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 14))
