@@ -19,13 +19,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tackline.llm.assignments import read
+from tackline.llm.assignments import Value, read
 from tackline.llm.texts import map_rows, small_batches
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -69,12 +71,12 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *pairs]), default=0.0)
 
 
-def literal_weight(value: str) -> float:
+def literal_weight(value: str | Value) -> float:
     """0 for placeholders and short words, nearer to 1 the more random the literal looks."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
+    value = Value.literal(value, 0) if isinstance(value, str) else value
+    n, counts = value.length, value.counts
+    if n < 6 or (value.text is not None and PLACEHOLDER.match(value.text)):
         return 0.0
-    n = len(value)
-    counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     classes = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
     return min(1.0, entropy / 4.0 * 0.7 + classes * 0.1)
@@ -85,18 +87,19 @@ def literal_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(w in low for w in _HINTS):
         return []
-    found = set()
-    for name, value, spans, _ in read(text)[0]:
+    found, seen = set(), set()
+    for name, value, _ in read(text)[0]:
         weight = name_weight(name)
         if weight and weight * literal_weight(value) >= threshold:
-            found.update(spans)
+            found.update(value.spans(seen))
     return sorted(found)
 
 
 def all_spans(text: str, threshold: float = 0.5) -> tuple[list, list]:
     """Base spans, and base spans with those of literals that no base span covers."""
     base = base_spans(text)
-    more = [(s, e, "literal", s, e) for s, e in literal_spans(text, threshold) if not any(b[0] <= s and e <= b[1] for b in base)]
+    starts, reach = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
+    more = [(s, e, "literal", s, e) for s, e in literal_spans(text, threshold) if not (at := bisect_right(starts, s)) or reach[at - 1] < e]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -522,6 +522,59 @@ def test_secrets_in_any_syntax_and_none_in_comments():
         assert isinstance(secrets.literal_spans("pwd = " + unit * (200_000 // len(unit))), list)
 
 
+def test_constants_reach_names_as_by_substitution():
+    """Random programs of literals, joins and copies: the literals that a sensitive name is made of are those that plain substitution gives it."""
+    rng = random.Random(17)
+    for _ in range(200):
+        names, lines, known, want, at = [f"{c}x" for c in "abcdefg"] + ["auth"], [], {}, set(), 0
+        for k in range(rng.randint(3, 25)):
+            name = rng.choice(names)
+            parts = [rng.choice([*known, None]) for _ in range(rng.randint(1, 3))]
+            text, spans = f"{name} = ", []
+            for n, part in enumerate(parts):
+                text += " + " if n else ""
+                if part is None:
+                    literal = f"Zq{k}{n}-" + "".join(rng.choice("aB3x7") for _ in range(6))
+                    spans.append((at + len(text) + 1, at + len(text) + 1 + len(literal)))
+                    text += f'"{literal}"'
+                else:
+                    spans += known[part]
+                    text += part
+            known[name] = list(dict.fromkeys(spans))
+            if name == "auth":
+                want.update(spans)
+            lines.append(text)
+            at += len(text) + 1
+        assert set(secrets.literal_spans("\n".join(lines))) == want
+
+
+def test_secrets_of_lists_blocks_targets_and_defaults():
+    for text, values in [
+        ("auth:\n  - 'Qz7-kW2pLx9'\n  - Mn4bV8rT1z-\nother: Mn4bV8rT1zA", ["Qz7-kW2pLx9", "Mn4bV8rT1z-"]), ("a:\n  auth: |\n    Qz7kW2pLx9Mn4\n    bV8rT1zAAq\n  foo: Mn4bV8rT1zA", ["Qz7kW2pLx9Mn4", "bV8rT1zAAq"]),
+        ('auth, x = "Qz7-kW2pLx9", "Mn4bV8rT1zA"', ["Qz7-kW2pLx9"]), ('x, auth = "Mn4bV8rT1zA", "Qz7-kW2pLx9"', ["Qz7-kW2pLx9"]), ('v = os.environ.get("AUTH", "Qz7-kW2pLx9")', ["Qz7-kW2pLx9"]),
+        ('auth = cfg.get("name", "Qz7-kW2pLx9")', ["Qz7-kW2pLx9"]), ("<auth> Qz7-kW2pLx9 </auth>", ["Qz7-kW2pLx9"]), ("auth: |\n  two words here\nx: 1", []), ("auth:\n  - name: value\n", []), ("auth = get(1, 2)", []), ("<auth>  </auth>", []),
+    ]:
+        assert [text[s:e] for s, e in secrets.literal_spans(text)] == values, text
+
+
+def test_secrets_take_time_in_proportion_to_the_text():
+    import time
+
+    for head, unit in [
+        ('auth = "Qz7-kW2p"\n', "auth = auth + auth\n"), ('b = "q"\n', 'b = b + "xQ-7"\n'), ("", 'token = "Ab7cdef9"\n'), ("", 'auth = "Ab7cdef9-Q"\n'), ("auth <a>", " "), ("auth <a>x", " "), ("auth = ", "("),
+        ("auth:\n", "- \n"), ("", "auth: |\n"), ("", "auth, b = "), ("auth", ", a"), ("auth = ", 'get("a", "b"'), ("auth", "<a><b "),
+    ]:
+        took = []
+        for n in (20_000, 160_000):
+            began = time.process_time()
+            secrets.all_spans(head + unit * (n // len(unit)))
+            took.append(time.process_time() - began)
+        assert took[1] < 0.2 + 24 * took[0], (unit, took)
+    # joined a hundred thousand times over: spans once, and no text as long as the value
+    value = secrets.read('auth = "Qz7-kW2p"\n' + "auth = auth + auth\n" * 200)[0][-1].value
+    assert value.text is None and value.spans() == [(8, 16)] and 0.5 < secrets.literal_weight(value) <= 1
+
+
 def test_secrets_of_empty_tables_and_repeated_ids(spark):
     docs = table(spark, ['pwd = "Qz7-kW2pLx9"', 'pwd = "Qz7-kW2pLx9"', None, "x"], [1, 1, 1, None])
     got = secrets.scan(docs.withColumn("spans", F.lit(1)).withColumn("n_hex", F.lit("x"))).collect()
