@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tackline.functions import sailing
 from tackline.functions.canonical import angle_between, holds, wrap_360
+from tackline.operators.chunks import CHUNK_S, with_last_known, with_neighbours
 
 Range = tuple[float | None, float | None]
 
@@ -104,24 +105,28 @@ def change_predicates(f: SampleFilters, corrected: bool, max_gap_s: int) -> dict
     return {k: v for k, v in metrics.items() if v[0] is not None}
 
 
-def mark(samples: DataFrame, f: SampleFilters, corrected: bool = True, max_gap_s: int = 10_800) -> DataFrame:
-    """Adds ``filtered``: whether the filters take a sample out. One window by track serves every neighbour predicate."""
-    rows, w = samples, Window.partitionBy("track_id").orderBy("t", "fix_idx")
-    passes = plain_predicates(f, corrected)
-    close_before = holds(F.col("t") - F.lag("t").over(w) <= max_gap_s)
-    close_after = holds(F.lead("t").over(w) - F.col("t") <= max_gap_s)
-    for name, (limit, circular, metric) in change_predicates(f, corrected, max_gap_s).items():
-        at = f"_m_{name}"
-        value = F.when(metric >= 0, (wrap_360(metric) if circular else metric) + 0.0)
-        rows = rows.withColumn(at, value)
-
-        def far(shift, at=at, circular=circular, limit=limit):
-            d = F.abs(shift(at).over(w) - F.col(at))
-            return holds((F.least(d, 360.0 - d) if circular else d) > limit)
-
-        passes.append(~((close_before & far(F.lag)) | (close_after & far(F.lead))))
+def mark(samples: DataFrame, f: SampleFilters, corrected: bool = True, max_gap_s: int = 10_800, chunk_s: int | None = CHUNK_S) -> DataFrame:
+    """Adds ``filtered``: whether the filters take a sample out. One pass for neighbours serves every predicate on changes."""
+    rows, passes = samples, plain_predicates(f, corrected)
+    changes = change_predicates(f, corrected, max_gap_s)
+    rows = rows.withColumns({f"_m_{name}": F.when(metric >= 0, (wrap_360(metric) if circular else metric) + 0.0) for name, (_, circular, metric) in changes.items()})
+    if changes:
+        rows = with_neighbours(rows, ["t", *[f"_m_{name}" for name in changes]], chunk_s)
+        close_before = holds(F.col("t") - F.col("_before")["t"] <= max_gap_s)
+        close_after = holds(F.col("_after")["t"] - F.col("t") <= max_gap_s)
+        still = F.lit(True)
+        for name, (limit, circular, _) in changes.items():
+
+            def far(other, at=f"_m_{name}", circular=circular, limit=limit):
+                d = F.abs(F.col(other)[at] - F.col(at))
+                return holds((F.least(d, 360.0 - d) if circular else d) > limit)
+
+            still = still & ~((close_before & far("_before")) | (close_after & far("_after")))
+        # settled here, since tacks have neighbours of their own
+        rows = rows.withColumn("_m_still", still).drop("_before", "_after")
+        passes.append(F.col("_m_still"))
     if f.exclude_tacks:
-        rows = tack_changes(rows, corrected, max_gap_s)
+        rows = tack_changes(rows, corrected, max_gap_s, chunk_s)
         passes.append(~F.col("_tacked"))
     kept = F.lit(True)
     for p in passes:
@@ -130,27 +135,22 @@ def mark(samples: DataFrame, f: SampleFilters, corrected: bool = True, max_gap_s
     return rows.drop(*[c for c in rows.columns if c.startswith(("_m_", "_tacked"))])
 
 
-def tack_changes(samples: DataFrame, corrected: bool, max_gap_s: int) -> DataFrame:
+def tack_changes(samples: DataFrame, corrected: bool, max_gap_s: int, chunk_s: int | None = CHUNK_S) -> DataFrame:
     """Adds ``_tacked``: the samples on either side of a change of tack.
 
     A sample without a place in the polar starts a new stretch. Within one, the
     last sample with a side is compared if it is no further away than the gap;
     samples that have a place but no side bridge a change.
     """
-    w = Window.partitionBy("track_id").orderBy("t", "fix_idx")
     twa, _, _ = sailing.polar_point(corrected)
     side = F.when(F.lit(corrected) & F.col("twa_corrected").isNotNull(), F.col("tack_corrected")).otherwise(F.col("tack"))
-    rows = samples.withColumns({"_side": side, "_breaks": (side.isNull() & twa.isNull()).cast("int")})
-    rows = rows.withColumn("_part", F.sum("_breaks").over(w))
-    known = F.when(F.col("_side").isNotNull(), F.struct("t", F.col("_side").alias("side")))
-    part = Window.partitionBy("track_id", "_part").orderBy("t", "fix_idx")
-    before = F.last(known, True).over(part.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(known, True).over(part.rowsBetween(1, Window.unboundedFollowing))
+    rows = samples.withColumns({"_side": side, "_breaks": side.isNull() & twa.isNull()})
+    rows = with_last_known(rows, F.col("_breaks"), F.when(F.col("_side").isNotNull(), F.struct("t", F.col("_side").alias("side"))), chunk_s)
 
     def differs(other):
-        return holds(F.col("_side").isNotNull() & (other["side"] != F.col("_side")) & (F.abs(other["t"] - F.col("t")) <= max_gap_s))
+        return holds(F.col("_side").isNotNull() & (F.col(other)["side"] != F.col("_side")) & (F.abs(F.col(other)["t"] - F.col("t")) <= max_gap_s))
 
-    return rows.withColumn("_tacked", differs(before) | differs(after)).drop("_side", "_breaks", "_part")
+    return rows.withColumn("_tacked", differs("_before") | differs("_after")).drop("_side", "_breaks", "_before", "_after")
 
 
 def wave_ranges_exclude(height: Range | None, angle: Range | None, period: Range | None, corrected: bool) -> Column:

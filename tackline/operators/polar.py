@@ -11,6 +11,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tackline.functions.canonical import ON_AXIS, col, holds, is_zero_row, knots, settled
+from tackline.operators.ranks import percentile_by
 
 #: The default output grid.
 DEFAULT_TWA = [0.0, 30.0, 36.0, 40.0, 45.0, 52.0, 60.0, 70.0, 75.0, 80.0, 90.0, 100.0, 110.0, 120.0, 135.0, 150.0, 160.0, 170.0, 180.0]
@@ -59,14 +60,16 @@ def collect_points(points: DataFrame, keys: list[str]) -> DataFrame:
 def segment(points: DataFrame, twa: list[float], tws: list[float], statistic: str = "p90", min_samples: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
     """Samples' (twa, tws, bsp) binned: keys, i, j, count, spread and the statistic where there are enough samples.
 
-    statistic: p90, p75, median or mean, percentiles interpolated between ranks.
+    statistic: p90, p75, median or mean, percentiles interpolated between ranks, exact and without a cell's samples in one task.
     """
     angle = angle_on_axis("twa", twa)
     zero = [k for k, a in enumerate(twa) if a in (0.0, 360.0)]
     rows = settled(points.select(*keys, "twa", "tws", "bsp"), {"i": bin_index(angle, twa), "j": bin_index("tws", tws)})
     rows = rows.where(holds(F.col("bsp") >= 0) & ~F.isnan("bsp") & F.col("i").isNotNull() & F.col("j").isNotNull() & ~F.col("i").isin(zero))
-    value = {"p90": F.percentile("bsp", F.lit(0.9)), "p75": F.percentile("bsp", F.lit(0.75)), "median": F.percentile("bsp", F.lit(0.5)), "mean": F.avg("bsp")}[statistic]
-    cells = rows.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"), F.stddev_samp("bsp").alias("spread"), value.alias("value"))
+    if statistic == "mean":
+        cells = rows.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"), F.stddev_samp("bsp").alias("spread"), F.avg("bsp").alias("value"))
+    else:
+        cells = percentile_by(rows, [*keys, "i", "j"], "bsp", {"p90": 0.9, "p75": 0.75, "median": 0.5}[statistic])
     return cells.select(*keys, "i", "j", "n", knots("spread").alias("spread"), F.when(F.col("n") >= max(1, min_samples), knots("value")).alias("bsp"))
 
 
@@ -86,6 +89,22 @@ def choose_priority(points: DataFrame, twa: list[float], tws: list[float], group
     return rows.join(chosen, ["i", "j"]).where(passes)
 
 
+def priority_segment(points: DataFrame, twa: list[float], tws: list[float], groups: list[Column], min_samples: int, fraction: float = 0.9) -> DataFrame:
+    """i, j, grp, n, spread and the percentile of each cell, from the first group of conditions that enough samples pass; the zero row aside.
+
+    Every group is counted in one pass over the samples, and the choice is made among cells.
+    """
+    rows = settled(points, {"i": bin_index(angle_on_axis("twa", twa), twa), "j": bin_index("tws", tws)})
+    rows = rows.where(holds(F.col("bsp") >= 0) & ~F.isnan("bsp") & F.col("i").isNotNull() & F.col("j").isNotNull())
+    passing = F.array_compact(F.array(*[F.when(holds(g), F.lit(k)) for k, g in enumerate(groups)]))
+    cells = percentile_by(rows.select("i", "j", "bsp", F.explode(passing).alias("grp")), ["i", "j", "grp"], "bsp", fraction)
+    zero = [k for k, a in enumerate(twa) if a in (0.0, 360.0)]
+    # as many rows as cells and groups
+    first = Window.partitionBy("i", "j").orderBy("grp")
+    chosen = cells.where((F.col("n") >= min_samples) & ~F.col("i").isin(zero)).withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    return chosen.select("i", "j", "grp", "n", knots("spread").alias("spread"), knots("value").alias("bsp"))
+
+
 def _bracket(nodes: DataFrame, queries: DataFrame, key: list[str], at: str, x: str) -> DataFrame:
     """The nearest nodes on either side of each query's place x among nodes with the same keys, as structs lo and hi (at, v); both the same on a node."""
     pair = F.struct(F.col(at).alias("a"), F.col("bsp").alias("v"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tackline.functions.canonical import settled, wrap_360
 from tackline.functions.geo import KNOT_M_S, distance_m, final_bearing, initial_bearing, mean_direction
+from tackline.operators.chunks import CHUNK_S, with_neighbours
 
 
 def _first(value: Column, order: str) -> Column:
@@ -46,13 +47,12 @@ def import_report(fixes: DataFrame) -> DataFrame:
     )
 
 
-def derive(fixes: DataFrame, max_gap_s: int = 10_800, prefer_heading: str = "given", prefer_speed: str = "given") -> DataFrame:
+def derive(fixes: DataFrame, max_gap_s: int = 10_800, prefer_heading: str = "given", prefer_speed: str = "given", chunk_s: int | None = CHUNK_S) -> DataFrame:
     """Adds heading and speed with their origins: given, or derived from neighbours no further away in time than the gap."""
-    w = Window.partitionBy("track_id").orderBy("t", "fix_idx")
-    rows = fixes
-    for side, shift in (("p", F.lag), ("n", F.lead)):
-        near = F.abs(shift("t").over(w) - F.col("t")) <= max_gap_s
-        rows = rows.withColumns({f"_{side}{c}": F.when(near, shift(c).over(w)) for c in ("t", "lat", "lon")})
+    rows = with_neighbours(fixes, ["t", "lat", "lon"], chunk_s)
+    for side, other in (("p", "_before"), ("n", "_after")):
+        near = F.abs(F.col(other)["t"] - F.col("t")) <= max_gap_s
+        rows = rows.withColumns({f"_{side}{c}": F.when(near, F.col(other)[c]) for c in ("t", "lat", "lon")})
     arriving, leaving = final_bearing("_plat", "_plon", "lat", "lon"), initial_bearing("lat", "lon", "_nlat", "_nlon")
     rows = settled(rows, {
         "_arrive": arriving, "_leave": leaving,

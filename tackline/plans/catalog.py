@@ -136,7 +136,7 @@ def preview_downsample(spark, sf_dir):
 
 def _kept(f: filters.SampleFilters, corrected: bool = True):
     def run(spark, sf_dir):
-        return filters.mark(V.samples(spark, sf_dir), f, corrected, V.MAX_GAP_S).where("not filtered").select("track_id", "t", "fix_idx")
+        return filters.mark(V.samples_for_neighbours(spark, sf_dir), f, corrected, V.MAX_GAP_S, V.chunk_s(spark, sf_dir)).where("not filtered").select("track_id", "t", "fix_idx")
 
     return run
 
@@ -243,8 +243,7 @@ def segment_asymmetric(spark, sf_dir):
 SELECT c.i, c.j, c.grp, count(*) AS n, {rnd("quantile_cont(b.bsp, 0.9)")} AS bsp FROM c JOIN binned b ON b.i = c.i AND b.j = c.j AND ((c.grp = 0 AND b.hs_m <= 1.5) OR (c.grp = 1 AND b.hs_m <= 3) OR c.grp = 2) GROUP BY 1, 2, 3""",
 )
 def priority_groups(spark, sf_dir):
-    rows = polar.choose_priority(V.points(spark, sf_dir).where("bsp >= 0"), V.TWA, V.TWS, [F.col("hs_m") <= 1.5, F.col("hs_m") <= 3.0, F.lit(True)], 30).where("i <> 0")
-    return rows.groupBy("i", "j", "grp").agg(F.count("*").alias("n"), knots(F.percentile("bsp", F.lit(0.9))).alias("bsp"))
+    return polar.priority_segment(V.points(spark, sf_dir), V.TWA, V.TWS, [F.col("hs_m") <= 1.5, F.col("hs_m") <= 3.0, F.lit(True)], 30).drop("spread")
 
 
 @query("wave_split_segments", f"WITH {S.BINNED}, w AS (SELECT *, {bucket_sql(8)} AS bucket FROM binned) SELECT bucket, i, j, count(*) AS n, {rnd('stddev_samp(bsp)')} AS spread, CASE WHEN count(*) >= 3 THEN {rnd('quantile_cont(bsp, 0.9)')} END AS bsp FROM w WHERE bucket IS NOT NULL GROUP BY bucket, i, j")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tackline.durable import bytes_at, written
 from tackline.functions import sailing
 from tackline.functions.canonical import settled
 from tackline.operators import tracks
+from tackline.operators.chunks import CHUNK_S
 
 MAX_GAP_S = 86_400
 #: A coarser output grid than the default, which the few fixes of a small table can fill.
@@ -38,14 +40,29 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENVIRONMENT = ["e", "sup_tws", "sup_twd", "hs_m", "wave_from", "wave_period_s", "current_speed", "current_toward", "current_dataset"]
 
 
+#: Files of fixes up to this size are read with one window a track: all of them would fit in one task.
+WHOLE_TRACKS_BYTES = 64 << 20
+
+
+def chunk_s(spark: SparkSession, sf_dir: str) -> int | None:
+    """The length of a track's chunks, or None where whole tracks are small; both give the same rows."""
+    return CHUNK_S if bytes_at(spark, f"{sf_dir}/events.parquet") > WHOLE_TRACKS_BYTES else None
+
+
 def motions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged fixes with heading and speed."""
+    """Merged fixes with heading and speed, by chunks of any track."""
     return tracks.derive(tracks.normalise(fixes(spark, sf_dir)), MAX_GAP_S)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with everything that relates them to wind, waves and current."""
-    return sailing.relate(tracks.derive(tracks.normalise(fixes(spark, sf_dir), ENVIRONMENT), MAX_GAP_S))
+    return sailing.relate(tracks.derive(tracks.normalise(fixes(spark, sf_dir), ENVIRONMENT), MAX_GAP_S, chunk_s=chunk_s(spark, sf_dir)))
+
+
+def samples_for_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same samples where they are read twice, for chunks and for the ends of chunks: written first if they are many."""
+    found = samples(spark, sf_dir)
+    return written(found) if chunk_s(spark, sf_dir) else found
 
 
 def placed(spark: SparkSession, sf_dir: str, corrected: bool = True) -> DataFrame:
