@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tackline.functions.canonical import is_zero_row, knots
+from tackline.functions.canonical import is_zero_row, knots, settled
 from tackline.operators import polar
 
 
@@ -55,10 +55,21 @@ def _fill(cells: DataFrame, keys: list[str], at: str, value: str) -> Column:
     return F.coalesce(F.col(value), lo["v"] + t * (hi["v"] - lo["v"]))
 
 
-def filled(values: DataFrame, twa: list[float], tws: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+def _fill_cubic(rows: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the value, or the cubic through a line's known values where it lies between two."""
+    curves = polar.curves_of(rows, keys, at, value)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    rows = rows.join(curves.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "curve"), on, "left").drop(*[f"_c_{k}" for k in keys])
+    return settled(rows, {out: F.coalesce(value, polar.on_curve("curve", at))}).drop("curve")
+
+
+def filled(values: DataFrame, twa: list[float], tws: list[float], keys: tuple[str, ...] = (), cubic: bool = False) -> DataFrame:
     """The whole grid: keys, i, twa, j, tws, value and origin (direct, filled, empty).
 
-    Filled along the angles from direct values, then along wind speeds from what that left. The zero row is no anchor and is 0.
+    Filled along the angles from direct values, then along wind speeds from what that left, straight or by shape-preserving
+    cubics. The zero row is no anchor and is 0.
     """
     spark = values.sparkSession
     cells = polar.grid(spark, twa, tws)
@@ -69,8 +80,11 @@ def filled(values: DataFrame, twa: list[float], tws: list[float], keys: tuple[st
     rows = rows.withColumns({"_d": F.col("value").isNotNull(), "_v0": F.when(~zero, F.col("value"))})
     # the zero row is kept out of the windows by a partition of its own
     rows = rows.withColumn("_z", zero)
-    rows = rows.withColumn("_v1", F.when(~F.col("_z"), _fill(rows, [*keys, "j", "_z"], "twa", "_v0")))
-    rows = rows.withColumn("_v2", F.when(~F.col("_z"), _fill(rows, [*keys, "i"], "tws", "_v1")))
+    if cubic:
+        rows = _fill_cubic(_fill_cubic(rows, [*keys, "j", "_z"], "twa", "_v0", "_v1"), [*keys, "i"], "tws", "_v1", "_v2")
+    else:
+        rows = rows.withColumn("_v1", F.when(~F.col("_z"), _fill(rows, [*keys, "j", "_z"], "twa", "_v0")))
+        rows = rows.withColumn("_v2", F.when(~F.col("_z"), _fill(rows, [*keys, "i"], "tws", "_v1")))
     origin = F.when(F.col("_d"), "direct").when(F.col("_z") | F.col("_v2").isNotNull(), "filled").otherwise("empty")
     return rows.select(*keys, "i", "twa", "j", "tws", F.when(F.col("_z"), 0.0).otherwise(F.col("_v2")).alias("value"), origin.alias("origin"))
 
@@ -100,16 +114,16 @@ def coverage(cells: DataFrame) -> DataFrame:
     return rows.agg(*[F.count_if(F.col("origin") == o).alias(o) for o in ("direct", "filled", "empty")])
 
 
-def blend(evidence: DataFrame, twa: list[float], tws: list[float], smoothing: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+def blend(evidence: DataFrame, twa: list[float], tws: list[float], smoothing: bool = False, keys: tuple[str, ...] = (), cubic: bool = False) -> DataFrame:
     """Direct means, both fills, smoothing if asked, and rounding: keys, i, twa, j, tws, bsp, origin."""
-    cells = filled(direct(evidence, keys), twa, tws, keys)
+    cells = filled(direct(evidence, keys), twa, tws, keys, cubic)
     cells = smoothed(cells, keys) if smoothing else cells
     return cells.withColumn("bsp", knots("value")).drop("value")
 
 
-def resampled(blended: DataFrame, twa: list[float], tws: list[float]) -> DataFrame:
+def resampled(blended: DataFrame, twa: list[float], tws: list[float], cubic: bool = False) -> DataFrame:
     """A blend (twa, tws, bsp) on other axes: the zero row is no anchor, and an output zero row is 0; i, j, bsp."""
     cells = blended.select(F.lit(0).alias("source_id"), "twa", "tws", F.when(~is_zero_row("twa"), F.col("bsp")).alias("bsp"))
-    read = polar.resample(cells, twa, tws).select("i", "j", F.col("bsp").alias("_v"))
+    read = (polar.resample_cubic if cubic else polar.resample)(cells, twa, tws).select("i", "j", F.col("bsp").alias("_v"))
     out = polar.grid(blended.sparkSession, twa, tws).join(read, ["i", "j"], "left")
     return out.select("i", "twa", "j", "tws", F.when(is_zero_row("twa"), 0.0).otherwise(knots("_v")).alias("bsp"))

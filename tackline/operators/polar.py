@@ -183,10 +183,14 @@ def scaled(cells: DataFrame, percent: float, most: float = 60.0) -> DataFrame:
     return cells.where("bsp is not null").withColumn("bsp", F.greatest(F.lit(0.0), F.least(F.lit(most), F.col("bsp") * (1.0 + percent / 100.0))))
 
 
-def pchip(cells: DataFrame, twa: list[float], keys: tuple[str, ...] = ("source_id", "tws")) -> DataFrame:
-    """Each column's shape-preserving cubic read at the angles: keys, i, bsp. Slopes come from neighbouring steps, so windows suffice."""
-    w = Window.partitionBy(*keys).orderBy("twa")
-    rows = cells.where("bsp is not null").withColumns({"h": F.lead("twa").over(w) - F.col("twa"), "d": (F.lead("bsp").over(w) - F.col("bsp")) / (F.lead("twa").over(w) - F.col("twa"))})
+def curves_of(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys and ``curve``: the known points of each key in order, as structs (x, y, m) with the slope of a shape-preserving cubic at each.
+
+    Slopes come from neighbouring steps, so windows suffice; a curve has at most as many points as an axis.
+    """
+    w = Window.partitionBy(*keys).orderBy("x")
+    rows = points.where(F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).alias("y"))
+    rows = rows.withColumns({"h": F.lead("x").over(w) - F.col("x"), "d": (F.lead("y").over(w) - F.col("y")) / (F.lead("x").over(w) - F.col("x"))})
     rows = rows.withColumns({"h0": F.lag("h").over(w), "d0": F.lag("d").over(w), "h00": F.lag("h", 2).over(w), "d00": F.lag("d", 2).over(w), "h1": F.lead("h").over(w), "d1": F.lead("d").over(w)})
 
     def end(ha, hb, da, db):
@@ -196,16 +200,45 @@ def pchip(cells: DataFrame, twa: list[float], keys: tuple[str, ...] = ("source_i
     h, d, h0, d0 = (F.col(c) for c in ("h", "d", "h0", "d0"))
     w1, w2 = 2.0 * h + h0, h + 2.0 * h0
     inner = F.when(d0 * d <= 0, 0.0).otherwise((w1 + w2) / (w1 / d0 + w2 / d))
-    rows = rows.withColumn("m", F.when(h0.isNull() & h.isNotNull(), end(h, F.col("h1"), d, F.col("d1"))).when(h.isNull() & h0.isNotNull(), end(h0, F.col("h00"), d0, F.col("d00"))).otherwise(inner))
-    rows = rows.withColumns({"x1": F.lead("twa").over(w), "y1": F.lead("bsp").over(w), "m1": F.lead("m").over(w)})
-    q = F.broadcast(axis_table(cells.sparkSession, twa, "i", "q"))
-    last = rows.where("x1 is null").join(q, F.abs(F.col("q") - F.col("twa")) <= ON_AXIS).select(*keys, "i", "bsp")
-    inside = rows.where("x1 is not null").join(q, (F.col("q") >= F.col("twa") - ON_AXIS) & (F.col("q") < F.col("x1") - ON_AXIS))
-    t = (F.col("q") - F.col("twa")) / h
-    y0, y1, m0, m1 = F.col("bsp"), F.col("y1"), F.col("m"), F.col("m1")
-    cubic = (2.0 * t * t * t - 3.0 * t * t + 1.0) * y0 + (t * t * t - 2.0 * t * t + t) * h * m0 + (-2.0 * t * t * t + 3.0 * t * t) * y1 + (t * t * t - t * t) * h * m1
-    value = F.when(F.abs(F.col("q") - F.col("twa")) <= ON_AXIS, y0).otherwise(F.greatest(F.least(cubic, F.greatest(y0, y1)), F.least(y0, y1)))
-    return inside.select(*keys, "i", value.alias("bsp")).unionByName(last)
+    m = F.when(h0.isNull() & h.isNotNull(), end(h, F.col("h1"), d, F.col("d1"))).when(h.isNull() & h0.isNotNull(), end(h0, F.col("h00"), d0, F.col("d00"))).otherwise(inner)
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", m.alias("m")))).alias("curve"))
+
+
+def on_curve(curve, q) -> Column:
+    """A curve read at q: a point's own value, the cubic between two, null outside."""
+    curve, q = col(curve), col(q)
+
+    def read(p):
+        lo, hi = p["lo"], p["hi"]
+        h = hi["x"] - lo["x"]
+        t = (q - lo["x"]) / h
+        y0, y1 = lo["y"], hi["y"]
+        cubic = (2.0 * t * t * t - 3.0 * t * t + 1.0) * y0 + (t * t * t - 2.0 * t * t + t) * h * lo["m"] + (-2.0 * t * t * t + 3.0 * t * t) * y1 + (t * t * t - t * t) * h * hi["m"]
+        return F.when(F.abs(q - lo["x"]) <= ON_AXIS, y0).when(hi.isNotNull() & lo.isNotNull(), F.greatest(F.least(cubic, F.greatest(y0, y1)), F.least(y0, y1)))
+
+    # the points on either side are looked up once, as the one element of an array; beyond the ends there is none
+    sides = F.transform(F.array(F.size(F.filter(curve, lambda p: p["x"] <= q + ON_AXIS))), lambda k: F.struct(F.get(curve, k - 1).alias("lo"), F.get(curve, k).alias("hi")))
+    return F.get(F.transform(sides, read), 0)
+
+
+def pchip(cells: DataFrame, twa: list[float], keys: tuple[str, ...] = ("source_id", "tws")) -> DataFrame:
+    """Each column's shape-preserving cubic read at the angles: keys, i, bsp."""
+    found = curves_of(cells, list(keys), "twa", "bsp").join(F.broadcast(axis_table(cells.sparkSession, twa, "i", "q")))
+    return settled(found.select(*keys, "i", "curve", "q"), {"bsp": on_curve("curve", "q")}).where("bsp is not null").select(*keys, "i", "bsp")
+
+
+def resample_cubic(cells: DataFrame, twa: list[float], tws: list[float], excluded: DataFrame | None = None) -> DataFrame:
+    """Every source read at every cell of the axes by two curves: each column's at the angle, then one across the columns that have a value there.
+
+    Only cells that :func:`resample` gives have a value, so that no curve leads across missing cells.
+    """
+    linear = resample(cells, twa, tws, excluded).select("source_id", "i", "j")
+    full = cells.groupBy("source_id").agg((F.max("twa") > 180).alias("_full"))
+    asked = full.join(F.broadcast(axis_table(cells.sparkSession, twa, "i", "_twa"))).select("source_id", "i", F.when(F.col("_full"), F.col("_twa")).otherwise(fold_twa("_twa")).alias("a"))
+    along = settled(curves_of(cells, ["source_id", "tws"], "twa", "bsp").join(asked, "source_id").select("source_id", "tws", "i", "curve", "a"), {"v": on_curve("curve", "a")}).where("v is not null")
+    across = curves_of(along, ["source_id", "i"], "tws", "v")
+    read = linear.join(F.broadcast(axis_table(cells.sparkSession, tws, "j", "s")), "j").join(across, ["source_id", "i"])
+    return settled(read.select("source_id", "i", "j", "curve", "s"), {"bsp": on_curve("curve", "s")}).select("source_id", "i", "j", "bsp")
 
 
 def nearest_speeds(axis: list[float], wanted: list[float]) -> list[float]:

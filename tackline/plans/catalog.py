@@ -336,22 +336,35 @@ def _end_slope(ha: str, hb: str, da: str, db: str) -> str:
     return f"(CASE WHEN {db} IS NULL THEN {da} WHEN {m} * {da} <= 0 THEN 0 WHEN {da} * {db} <= 0 AND abs({m}) > 3 * abs({da}) THEN 3 * {da} ELSE {m} END)"
 
 
-_ALONG = "OVER (PARTITION BY source_id, tws ORDER BY twa)"
+def _curve_sql(p: str, nodes: str, keys: str, x: str, y: str, asked: str) -> str:
+    """``p``_read: the rows of ``asked`` (keys, x and more) that lie on a curve through the nodes of their keys, with its value v there."""
+    along, same = f"OVER (PARTITION BY {keys} ORDER BY {x})", " AND ".join(f"q.{k} = c.{k}" for k in keys.split(", "))
+    return f"""{p}0 AS (SELECT *, lead({x}) {along} AS x1, lead({y}) {along} AS y1 FROM {nodes}), {p}1 AS (SELECT *, x1 - {x} AS h, (y1 - {y}) / (x1 - {x}) AS d FROM {p}0),
+{p}2 AS (SELECT *, lag(h) {along} AS h0, lag(d) {along} AS d0, lag(h, 2) {along} AS h00, lag(d, 2) {along} AS d00, lead(h) {along} AS h1, lead(d) {along} AS d1 FROM {p}1),
+{p}3 AS (SELECT *, CASE WHEN h IS NULL AND h0 IS NULL THEN 0 WHEN h0 IS NULL THEN {_end_slope("h", "h1", "d", "d1")} WHEN h IS NULL THEN {_end_slope("h0", "h00", "d0", "d00")} WHEN d0 * d <= 0 THEN 0 ELSE 3 * (h + h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / d) END AS m FROM {p}2),
+{p}4 AS (SELECT *, lead(m) {along} AS m1 FROM {p}3),
+{p}5 AS (SELECT q.*, c.{y} AS y0, c.y1, c.h, c.m, c.m1, (q.{x} - c.{x}) / c.h AS u FROM {p}4 c JOIN {asked} q ON {same} AND (q.{x} = c.{x} OR (q.{x} > c.{x} AND q.{x} < c.x1))),
+{p}_read AS (SELECT *, CASE WHEN u IS NULL OR u = 0 THEN y0 ELSE greatest(least(y0 + u * h * m + u * u * (3 * (y1 - y0) - h * (2 * m + m1)) + u * u * u * (2 * (y0 - y1) + h * (m + m1)), greatest(y0, y1)), least(y0, y1)) END AS v FROM {p}5)"""
 
 
-@query(
-    "pchip_resample",
-    f"""WITH {S.NODES}, {S.GRID}, c0 AS (SELECT *, lead(twa) {_ALONG} AS x1, lead(bsp) {_ALONG} AS y1 FROM nodes), c1 AS (SELECT *, x1 - twa AS h, (y1 - bsp) / (x1 - twa) AS d FROM c0),
-c2 AS (SELECT *, lag(h) {_ALONG} AS h0, lag(d) {_ALONG} AS d0, lag(h, 2) {_ALONG} AS h00, lag(d, 2) {_ALONG} AS d00, lead(h) {_ALONG} AS h1, lead(d) {_ALONG} AS d1 FROM c1),
-c3 AS (SELECT *, CASE WHEN h IS NULL AND h0 IS NULL THEN 0 WHEN h0 IS NULL THEN {_end_slope("h", "h1", "d", "d1")} WHEN h IS NULL THEN {_end_slope("h0", "h00", "d0", "d00")} WHEN d0 * d <= 0 THEN 0 ELSE 3 * (h + h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / d) END AS m FROM c2),
-c4 AS (SELECT *, lead(m) {_ALONG} AS m1 FROM c3),
-c5 AS (SELECT c.source_id, c.tws, q.i, c.bsp, c.y1, c.h, c.m, c.m1, (q.twa - c.twa) / c.h AS t FROM c4 c JOIN axis_i q ON q.twa = c.twa OR (q.twa > c.twa AND q.twa < c.x1))
-SELECT source_id, tws, i, {rnd("CASE WHEN t IS NULL OR t = 0 THEN bsp ELSE greatest(least(bsp + t * h * m + t * t * (3 * (y1 - bsp) - h * (2 * m + m1)) + t * t * t * (2 * (bsp - y1) + h * (m + m1)), greatest(bsp, y1)), least(bsp, y1)) END")} AS bsp FROM c5""",
-)
+_COLUMNS_ASKED = "asked AS (SELECT n.source_id, n.tws, g.i, g.twa FROM (SELECT DISTINCT source_id, tws FROM nodes) n CROSS JOIN axis_i g)"
+
+
+@query("pchip_resample", f"WITH {S.NODES}, {S.GRID}, {_COLUMNS_ASKED}, {_curve_sql('c', 'nodes', 'source_id, tws', 'twa', 'bsp', 'asked')} SELECT source_id, tws, i, {rnd('v')} AS bsp FROM c_read")
 def pchip_resample(spark, sf_dir):
     return _r6(polar.pchip(_nodes(spark, sf_dir), V.TWA), "bsp")
 
 
+_CUBIC = f"""{S.NODES}, {S.READ}, {_COLUMNS_ASKED}, {_curve_sql("c", "nodes", "source_id, tws", "twa", "bsp", "asked")},
+cells1 AS (SELECT source_id, i, tws, v AS bsp FROM c_read), asked1 AS (SELECT r.source_id, r.i, r.j, g.tws FROM read r JOIN axis_j g ON g.j = r.j), {_curve_sql("e", "cells1", "source_id, i", "tws", "bsp", "asked1")}"""
+
+
+@query("polar_resample_cubic", f"WITH {_CUBIC} SELECT source_id, i, j, {rnd('v')} AS bsp FROM e_read")
+def polar_resample_cubic(spark, sf_dir):
+    """Two curves: along each column, then across the columns, where straight lines reach."""
+    return _r6(polar.resample_cubic(_nodes(spark, sf_dir), V.TWA, V.TWS), "bsp")
+
+
 @query("plot_curves", f"WITH {S.NODES}, c AS (SELECT source_id, twa, max(CASE WHEN tws <= 10 THEN tws END) AS s0, min(CASE WHEN tws >= 10 THEN tws END) AS s1 FROM nodes GROUP BY 1, 2) SELECT c.source_id, {d(10)} AS tws, c.twa, {rnd('CASE WHEN s0 = s1 THEN x.bsp ELSE x.bsp + (y.bsp - x.bsp) * ((' + d(10) + ' - s0) / (s1 - s0)) END')} AS bsp FROM c JOIN nodes x ON x.source_id = c.source_id AND x.twa = c.twa AND x.tws = c.s0 JOIN nodes y ON y.source_id = c.source_id AND y.twa = c.twa AND y.tws = c.s1")
 def plot_curves(spark, sf_dir):
     return _r6(polar.curves(_nodes(spark, sf_dir), 10.0), "bsp")
@@ -413,6 +426,22 @@ def blend_fill(spark, sf_dir):
     return blend.blend(_evidence(spark, sf_dir), V.TWA, V.TWS).select("i", "j", "origin", "bsp")
 
 
+_FILLED_CUBIC = (
+    _DIRECT
+    + f""", cubic_b0 AS (SELECT g.*, dd.value AS dv FROM grid g LEFT JOIN direct dd ON dd.i = g.i AND dd.j = g.j WHERE g.i <> 0), cubic_k0 AS (SELECT * FROM cubic_b0 WHERE dv IS NOT NULL), cubic_n0 AS (SELECT i, twa, j, tws FROM cubic_b0 WHERE dv IS NULL),
+{_curve_sql("cubic_f", "cubic_k0", "j", "twa", "dv", "cubic_n0")}, cubic_b1 AS (SELECT cubic_b0.i, cubic_b0.twa, cubic_b0.j, cubic_b0.tws, dv, coalesce(dv, r.v) AS v1 FROM cubic_b0 LEFT JOIN cubic_f_read r ON r.i = cubic_b0.i AND r.j = cubic_b0.j),
+cubic_k1 AS (SELECT * FROM cubic_b1 WHERE v1 IS NOT NULL), cubic_n1 AS (SELECT i, twa, j, tws FROM cubic_b1 WHERE v1 IS NULL), {_curve_sql("cubic_w", "cubic_k1", "i", "tws", "v1", "cubic_n1")},
+cells AS (SELECT cubic_b1.i, cubic_b1.j, CASE WHEN dv IS NOT NULL THEN 'direct' WHEN coalesce(v1, r.v) IS NOT NULL THEN 'filled' ELSE 'empty' END AS origin, coalesce(v1, r.v) AS value FROM cubic_b1 LEFT JOIN cubic_w_read r ON r.i = cubic_b1.i AND r.j = cubic_b1.j
+ UNION ALL SELECT g.i, g.j, CASE WHEN EXISTS (SELECT 1 FROM direct dd WHERE dd.i = g.i AND dd.j = g.j) THEN 'direct' ELSE 'filled' END, {d(0)} FROM grid g WHERE g.i = 0)"""
+)
+
+
+@query("blend_fill_cubic", f"WITH {_FILLED_CUBIC} SELECT i, j, origin, {rnd('value')} AS bsp FROM cells")
+def blend_fill_cubic(spark, sf_dir):
+    """Both ordered fills by shape-preserving cubics."""
+    return blend.blend(_evidence(spark, sf_dir), V.TWA, V.TWS, cubic=True).select("i", "j", "origin", "bsp")
+
+
 _SMOOTH = _FILLED + ", sm AS (SELECT a.i, a.j, sum(b.value * (2 - abs(a.i - b.i)) * (2 - abs(a.j - b.j))) / sum((2 - abs(a.i - b.i)) * (2 - abs(a.j - b.j))) AS value FROM cells a JOIN cells b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 WHERE a.i <> 0 AND b.i <> 0 AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2)"
 
 
