@@ -27,8 +27,8 @@ paragraphs with one hash, of which 10**9 paragraphs hold 0.03 on average, would
 pass for equal.
 
 Defined cases: a null or empty text has no paragraphs; a text of any length is
-read whole, in slices; repeated rows and rows that share an id count as places
-of their own; rows without an id take no part; of equal places the one with the
+read whole, in slices; repeated rows and rows that share an id are texts of their
+own, told apart by their text and a number, in whose order their places come; rows without an id take no part; of equal places the one with the
 smallest doc_id and then word comes first; other columns of the input are
 ignored, whatever their names; an empty table gives an empty result.
 """
@@ -42,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tackline.llm.components import connected_components
 from tackline.llm.durable import checkpointed, written
-from tackline.llm.texts import id_and_text
+from tackline.llm.texts import small_batches
 from tackline.llm.words import Words, mixed, read_words, run_hashes, shingles, starts_of
 
 #: Words of a seed, and neighbouring seeds of which the one with the least hash is indexed.
@@ -116,7 +116,27 @@ def _signatures(flat: np.ndarray, count: np.ndarray, bands: int, rows: int) -> n
     return out.view(np.int64)
 
 
-_PIECE = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("start", "end", "n_words", "word")], T.StructField("piece", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, row) of the rows with an id; ``row`` is 0, but tells rows apart that share an id.
+
+    Their texts are dealt by id and text, so that equal rows alone meet, and are written once.
+    """
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    shared = checkpointed(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    single = docs.withColumn("row", F.lit(0).cast("long"))
+    if shared.isEmpty():
+        return single
+    equal = Window.partitionBy("doc_id", "text").orderBy("text")
+    several = docs.join(shared, "doc_id", "left_semi").withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")), F.row_number().over(equal)))
+    return single.join(shared, "doc_id", "left_anti").unionByName(written(several))
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    docs = docs if "row" in docs.columns else docs.withColumn("row", F.lit(0).cast("long"))
+    return small_batches(docs).select("doc_id", "text", "row").where("doc_id is not null")
+
+
+_PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("start", "end", "n_words", "word")], T.StructField("piece", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def _small(batches):
@@ -132,7 +152,7 @@ def all_pieces(docs: DataFrame, min_words: int, width: int, bands: int, rows: in
     def run(batches):
         met = np.zeros(1 << 18, np.uint64)
         for batch in _small(batches):
-            ids = batch.column(0).to_numpy()
+            ids, of_row = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for words in read_words(batch.column(1).to_pylist()):
                 found = Pieces(words, min_words)
                 if not len(found.size):
@@ -147,10 +167,10 @@ def all_pieces(docs: DataFrame, min_words: int, width: int, bands: int, rows: in
                     of = _signatures(*found.shingles(fresh, width), bands, rows)
                 offsets = np.concatenate([[0], np.cumsum(fresh * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(of.ravel()), mask=pa.array(~fresh))
-                columns = [ids[found.doc], found.start, found.end, found.size, found.word, found.piece.view(np.int64)]
+                columns = [ids[found.doc], of_row[found.doc], found.start, found.end, found.size, found.word, found.piece.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=False)), lists.cast(arrow.field("bands").type)], schema=arrow)
 
-    return id_and_text(docs).where("doc_id is not null").mapInArrow(run, _PIECE)
+    return _read(docs).mapInArrow(run, _PIECE)
 
 
 def seed_places(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -168,23 +188,23 @@ def seed_places(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def all_seeds(docs: DataFrame, places: bool = True) -> DataFrame:
-    """(seed, doc_id, word, start, end) of each indexed run of words, or its seed alone."""
-    fields = [T.StructField("seed", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("word", "start", "end")]]
+    """(seed, doc_id, row, word, start, end) of each indexed run of words, or its seed alone."""
+    fields = [T.StructField("seed", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("word", "start", "end")]]
     schema = T.StructType(fields if places else fields[:1])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in _small(batches):
-            ids = batch.column(0).to_numpy()
+            ids, of_row = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for words in read_words(batch.column(1).to_pylist()):
                 h, at = shingles(words.hash, words.doc, SEED)
                 chosen = seed_places(h, words.doc[at])
                 h, at = h[chosen].view(np.int64), at[chosen]
                 of_doc = starts_of(words.doc)
-                columns = [h, ids[words.doc[at]], at - of_doc[np.searchsorted(of_doc, at, "right") - 1], words.start[at], words.end[at + SEED - 1]] if places else [h]
+                columns = [h, ids[words.doc[at]], of_row[words.doc[at]], at - of_doc[np.searchsorted(of_doc, at, "right") - 1], words.start[at], words.end[at + SEED - 1]] if places else [h]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return id_and_text(docs).where("doc_id is not null").mapInArrow(run, schema)
+    return _read(docs).mapInArrow(run, schema)
 
 
 def repeated_seeds(docs: DataFrame) -> DataFrame:
@@ -195,32 +215,32 @@ def repeated_seeds(docs: DataFrame) -> DataFrame:
     # written, so that the join reads two plain shuffles, of which a hot seed's share can be split
     often = written(all_seeds(docs, places=False).groupBy("seed").agg(F.count("*").alias("places")).where("places > 1"))
     found = written(all_seeds(docs).join(often, "seed"))
-    return found.join(found.groupBy("seed").agg(F.min(F.struct("doc_id", "word")).alias("first")), "seed")
+    return found.join(found.groupBy("seed").agg(F.min(F.struct("doc_id", "row", "word")).alias("first")), "seed")
 
 
 def _stretches(repeated: DataFrame, pieces: DataFrame) -> DataFrame:
     """Stretches of repeated seeds outside of stretches of repeated pieces, with the columns of the latter.
 
-    pieces has doc_id, word, n_words. A stretch's places are those of its most frequent seed.
+    pieces has doc_id, row, word, n_words. A stretch's places are those of its most frequent seed.
     """
     # how far the pieces that follow each other without a gap reach
-    by_word = Window.partitionBy("doc_id").orderBy("word")
-    ends = pieces.select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("stop"))
+    by_word = Window.partitionBy("doc_id", "row").orderBy("word")
+    ends = pieces.select("doc_id", "row", "word", (F.col("word") + F.col("n_words")).alias("stop"))
     ends = ends.withColumn("new", (F.col("word") > F.coalesce(F.max("stop").over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    ends = ends.withColumn("island", F.sum("new").over(by_word)).groupBy("doc_id", "island").agg(F.min("word").alias("word"), F.max("stop").alias("reach"))
-    both = repeated.select("doc_id", "word", "start", "end", "places", "first", F.lit(None).cast("int").alias("reach")).unionByName(ends.select("doc_id", "word", "reach"), allowMissingColumns=True)
+    ends = ends.withColumn("island", F.sum("new").over(by_word)).groupBy("doc_id", "row", "island").agg(F.min("word").alias("word"), F.max("stop").alias("reach"))
+    both = repeated.select("doc_id", "row", "word", "start", "end", "places", "first", F.lit(None).cast("int").alias("reach")).unionByName(ends.select("doc_id", "row", "word", "reach"), allowMissingColumns=True)
     covered = F.coalesce(F.max("reach").over(by_word), F.lit(-1)) >= F.col("word") + SEED
     left = both.withColumn("covered", covered).where("first is not null and not covered")
-    shift = F.struct(F.col("first.doc_id").alias("d"), (F.col("first.word") - F.col("word")).alias("s"))
+    shift = F.struct(F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), (F.col("first.word") - F.col("word")).alias("s"))
     joined = (F.lag(shift).over(by_word) == shift) & (F.col("word") - F.lag("word").over(by_word) <= SEED + SEEDS_APART - 1)
     left = left.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(by_word.rowsBetween(Window.unboundedPreceding, 0)))
-    left = left.groupBy("doc_id", "stretch").agg(F.min("word").alias("word"), (F.max("word") + SEED).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("places").alias("places"))
-    left = left.withColumn("removed", F.struct("doc_id", "word") != F.col("first"))
+    left = left.groupBy("doc_id", "row", "stretch").agg(F.min("word").alias("word"), (F.max("word") + SEED).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("places").alias("places"))
+    left = left.withColumn("removed", F.struct("doc_id", "row", "word") != F.col("first"))
     # at a passage's end a place can have a seed that its first place has not, as windows reach beyond: such go with the stretch they lie against
     near = [F.when(F.lag("removed").over(by_word) & (F.lag("stop").over(by_word) >= F.col("word")), F.lag("first").over(by_word)), F.when(F.lead("removed").over(by_word) & (F.lead("word").over(by_word) <= F.col("stop")), F.lead("first").over(by_word))]
     short = ~F.col("removed") & (F.col("stop") - F.col("word") < SEED + SEEDS_APART)
     left = left.withColumn("other", F.when(short, F.coalesce(*near))).withColumns({"removed": F.col("removed") | F.col("other").isNotNull(), "first": F.coalesce("other", "first")})
-    return left.select("doc_id", "word", "start", "end", (F.col("stop") - F.col("word")).alias("n_words"), F.col("first.doc_id").alias("cluster_id"), "places", "removed")
+    return left.select("doc_id", "row", "word", "start", "end", (F.col("stop") - F.col("word")).alias("n_words"), F.col("first.doc_id").alias("cluster_id"), "places", "removed")
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, width: int) -> DataFrame:
@@ -251,7 +271,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, width: int)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(signed[only]), lists.cast(arrow.field(1).type)], schema=arrow)
 
-    got = id_and_text(docs).where("doc_id is not null").mapInArrow(run, schema)
+    got = _read(docs).mapInArrow(run, schema)
     got = got if few else got.join(wanted, "piece", "left_semi")
     return got.groupBy("piece").agg(F.array_distinct(F.first("shingles")).alias("shingles"))
 
@@ -355,10 +375,10 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, m
     cluster_id is the smallest doc_id in the cluster; ``removed`` is false for the cluster's first place, by doc_id and start.
     """
     bands, rows = tune_bands(threshold, recall)
-    docs = id_and_text(docs, id_col, text_col)
+    docs = told_apart(docs, id_col, text_col)
     table = written(all_pieces(docs, min_words, width, bands, rows))
     roots = checkpointed(connected_components(similar_links(docs, table, threshold, min_words, width)))
-    counts = table.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+    counts = table.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("first"))
     rooted = counts.join(roots.withColumnRenamed("vertex", "piece"), "piece", "left").withColumn("cluster", F.coalesce("root", "piece"))
     # a piece that comes once and is no vertex is alone; roots that are no vertex of their own come from the links' other side
     linked = roots.select(F.col("root").alias("piece")).distinct().withColumn("is_root", F.lit(True))
@@ -366,14 +386,14 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, m
     clusters = rooted.groupBy("cluster").agg(F.sum("n").alias("places"), F.min("first").alias("first"))
     known = checkpointed(rooted.select("piece", "cluster").join(clusters, "cluster").where("places > 1"))
     repeated = table.drop("bands").join(known, "piece")
-    here = F.struct("doc_id", "start")
-    repeated = repeated.select("doc_id", "word", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_id"), "places", (here != F.col("first")).alias("removed"))
-    parts = repeated.unionByName(_stretches(repeated_seeds(docs), repeated.select("doc_id", "word", "n_words")))
+    here = F.struct("doc_id", "row", "start")
+    repeated = repeated.select("doc_id", "row", "word", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_id"), "places", (here != F.col("first")).alias("removed"))
+    parts = repeated.unionByName(_stretches(repeated_seeds(docs), repeated.select("doc_id", "row", "word", "n_words")))
     # runs of neighbouring parts
-    order = Window.partitionBy("doc_id").orderBy("word", "start")
+    order = Window.partitionBy("doc_id", "row").orderBy("word", "start")
     before = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.when(F.col("word") <= before + GAP, 0).otherwise(1))
     parts = parts.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("doc_id", "run")
+    run = Window.partitionBy("doc_id", "row", "run")
     parts = parts.withColumn("run_words", F.max(F.col("word") + F.col("n_words")).over(run) - F.min("word").over(run))
     return parts.where(F.col("run_words") >= min_run).select("doc_id", "start", "end", "n_words", "cluster_id", "places", "removed")

@@ -327,6 +327,63 @@ def test_passages_of_over_50_words_are_found_however_they_stand(spark):
         assert any(r["removed"] for r in got[k]) == bool(k % 2)
 
 
+def test_rows_that_share_an_id_are_texts_of_their_own(spark):
+    rng = random.Random(23)
+    name = lambda: "".join(rng.choices("bcdfghklmnprstvz", k=7))
+    running = lambda n: " ".join(name() for _ in range(n))
+    passage, line = running(70), running(60)
+    texts = [f"{running(30)} {passage} {running(30)}", f"{running(40)} {passage} {running(20)}", line, line, running(90)]
+    rows = lambda ids: spark.createDataFrame([(i, t, "en", "s", 1, 0.5, "x", 7) for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(3)
+    plain = lambda ids: sorted(tuple(r)[1:4] + tuple(r)[5:] for r in paragraphs.repeated_passages(rows(ids)).drop("row").collect())
+    apart = plain([1, 2, 3, 4, 5])
+    assert len(apart) == 4 and sum(r[-1] for r in apart) == 2
+    for ids in ([1, 1, 3, 3, 5], [7, 7, 7, 7, 7], [1, 2, 2, 1, 1]):
+        # which of equal ids comes first is settled by the text, so that stretches may change sides, but not what they are
+        together = plain(ids)
+        assert [r[:4] for r in together] == [r[:4] for r in apart] and sum(r[-1] for r in together) == 2
+        for part in ((r for r in together if r[2] < 61), (r for r in together if r[2] >= 61)):
+            assert sorted(r[-1] for r in part) in ([False, True], [])
+    same = spark.createDataFrame([(1, line, "en", "s", 1, 0.5, "x", 7)] * 3, SCHEMA)
+    got = paragraphs.repeated_passages(same).collect()
+    assert sorted(r["removed"] for r in got) == [False, True, True] and {(r["doc_id"], r["cluster_id"], r["places"], r["n_words"]) for r in got} == {(1, 1, 3, 60)}
+
+
+def test_passages_of_nothing(spark):
+    empty = table(spark, ["x"]).where("false")
+    assert paragraphs.repeated_passages(empty).count() == 0
+    assert paragraphs.repeated_passages(table(spark, [None, "", "a b c"])).count() == 0
+
+
+def test_repeated_lines_cluster_and_are_removed_as_by_brute_force(spark):
+    """Lines that are far from each other but for copies and near copies: clusters, places and removals worked out from all pairs."""
+    rng = random.Random(31)
+    name = lambda: "".join(rng.choices("bcdfghklmnprstvz", k=7))
+    lines = [[name() for _ in range(64)] for _ in range(5)]
+    texts = []
+    for k in range(24):
+        words = list(lines[k % 5])
+        if k % 3 == 1:
+            words[-1] = name()  # 59 of 61 shingles are shared with the line itself
+        texts.append("\n".join([" ".join(name() for _ in range(20)), " ".join(words), " ".join(name() for _ in range(20))]))
+    places = []
+    for doc, text in enumerate(texts):
+        at = 0
+        for line in text.split("\n"):
+            places.append((doc, at, at + len(line), len(line.split()), {tuple(line.split()[k : k + 5]) for k in range(len(line.split()) - 4)}))
+            at += len(line) + 1
+    root = list(range(len(places)))
+    for a in range(len(places)):
+        for b in range(a):
+            x, y = places[a][4], places[b][4]
+            if len(x & y) >= 0.8 * len(x | y):
+                ra, rb = root[a], root[b]
+                root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+    size = collections.Counter(root)
+    want = {(d, s, e, n, places[r][0], size[r], k != r) for k, ((d, s, e, n, _), r) in enumerate(zip(places, root, strict=True)) if size[r] > 1 and n >= paragraphs.MIN_RUN}
+    got = {(r["doc_id"], r["start"], r["end"], r["n_words"], r["cluster_id"], r["places"], r["removed"]) for r in paragraphs.repeated_passages(table(spark, texts)).collect()}
+    assert want == got and len(want) == 24
+
+
 # ---- quality
 
 
