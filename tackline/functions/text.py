@@ -34,16 +34,20 @@ def joined_words(x) -> Column:
 
 
 #: Names that say a class or nothing, not a model; and makers that are not models.
-GENERIC = "unknown other na none custom prototype monohull multihull sailboat sailingyacht yacht boat cruiser racer catamaran trimaran onedesign open40 open60 class40 imoca imoca60 tp52 irc orc orr phrf".split()
-GENERIC_STARTS = "irc orc orr phrf division class mono multi".split()
-MAKERS = "beneteau jeanneau dufour hanse bavaria jboats nautor x x-yachts dehler elan farr hylas oyster sunseeker catalina melges jpk".split()
-PLAIN_MODELS = "laser optimist dragon star soling yngling contender flyingdutchman folkboat".split()
+GENERIC = ("unknown", "other", "na", "none", "custom", "prototype", "monohull", "multihull", "sailboat", "sailingyacht", "yacht", "boat", "cruiser", "racer", "catamaran", "trimaran", "onedesign", "open40", "open60", "class40", "imoca", "imoca60", "tp52", "irc", "orc", "orr", "phrf")
+GENERIC_STARTS = ("irc", "orc", "orr", "phrf", "division", "class", "mono", "multi")
+MAKERS = ("beneteau", "jeanneau", "dufour", "hanse", "bavaria", "jboats", "nautor", "x", "x-yachts", "dehler", "elan", "farr", "hylas", "oyster", "sunseeker", "catalina", "melges", "jpk")
+PLAIN_MODELS = ("laser", "optimist", "dragon", "star", "soling", "yngling", "contender", "flyingdutchman", "folkboat")
+
+
+#: Ends of builders' names that say no more than their trade.
+TRADE_WORDS = ("yachts", "yacht", "boats", "boat", "sa", "ltd")
 
 
 def maker(x) -> Column:
     """A builder's name without its trade words."""
     out = compact(x)
-    for suffix in ("yachts", "yacht", "boats", "boat", "sa", "ltd"):
+    for suffix in TRADE_WORDS:
         out = F.regexp_replace(out, f"^(.{{3,}}){suffix}$", "$1")
     return F.regexp_replace(F.regexp_replace(out, "^j$", "jboats"), "^nautorswan$", "nautor")
 

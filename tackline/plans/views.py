@@ -88,3 +88,11 @@ def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS model", "CASE WHEN c_custkey % 10 <> 0 THEN CAST(1990 + c_custkey % 35 AS INT) END AS year",
         "CASE WHEN c_custkey % 8 <> 0 THEN CAST(2019 + c_custkey % 7 AS INT) END AS certificate_year", "CASE WHEN c_custkey % 9 <> 0 THEN round(abs(c_acctbal)) / 500D END AS loa", "c_custkey % 17 = 0 AS withdrawn",
     )
+
+
+def yachts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificates with who built and drew the boat, a certificate's own number and its variant."""
+    return certificates(spark, sf_dir).selectExpr(
+        "*", "CASE WHEN id % 6 <> 0 THEN concat('Yard ', CAST(id % 23 AS STRING)) END AS builder", "CASE WHEN id % 4 <> 0 THEN concat('D', CAST(id % 11 AS STRING), ' & Co') END AS designer",
+        "concat('A-', CAST(id * 7 AS STRING)) AS certificate", "CASE WHEN id % 3 = 0 THEN 'double-handed' ELSE 'crew' END AS variant",
+    )

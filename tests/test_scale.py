@@ -114,3 +114,49 @@ def test_states_are_carried_over_chunks(spark, chunk):
         side = [order[n][2] if 0 <= n < len(order) and order[n][0] == r[0] else None for n in (k - 1, k + 1)]
         want.append((*r[:3], *side))
     assert rows_of(got) == sorted(want, key=repr)
+
+
+# ---- written index
+
+
+def yachts(spark):
+    rows = [(1, "Blue Fin", "NOR-11", "NOR", "Swan 42", "Yard 1", "D & Co", 2001, 2024), (2, "blue-finch", "NOR11", "NOR", None, "Yard 12", None, None, None), (3, "Ébène", "12", "", "J/70", "yard one", "Deux", 1999, 2022), (4, None, None, None, None, None, None, None, 2024), (5, "Fin", "SWE 11", "SWE", "Blue 11", "Yard 1", "D", 2001, 2023)]
+    return spark.createDataFrame(rows, "id int, name string, sail_no string, country string, model string, builder string, designer string, year int, certificate_year int")
+
+
+def test_index_finds_fields_and_ranks_exact_ones_first(spark, tmp_path):
+    from tackline.operators import index
+
+    path = str(tmp_path / "index")
+    index.build(yachts(spark), path)
+    ask = lambda *a, **k: [(r["id"], r["tier"], r["total"]) for r in index.search(spark, path, *a, **k).collect()]
+    assert ask("blue fin", 9) == [(1, 2, 3), (2, 2, 3), (5, 4, 3)]
+    assert ask("", 9, builder="Yard-1") == [(1, 0, 3), (5, 0, 3), (2, 4, 3)]
+    assert ask("", 9, sail_no="11") == [(1, 0, 3), (5, 0, 3), (2, 0, 3)]
+    assert ask("11", 9) == [(1, 1, 3), (5, 1, 3), (2, 1, 3)]
+    assert ask("ebene", 9) == [(3, 2, 1)] and ask("j70", 9) == [] and ask("", 9, model="j70") == [(3, 0, 1)]
+    assert ask("blue", 1, 1, builder="yard") == [(2, 2, 3)]
+    assert ask("", 9) == [] and ask("", 9, where=F.col("year") == 2001) == [(1, 4, 2), (5, 4, 2)] and ask("zz", 9) == []
+    with pytest.raises(ValueError, match="unknown"):
+        ask("a", 9, colour="b")
+
+
+def test_a_search_reads_a_part_of_the_index(spark, tmp_path):
+    from tackline.operators import index
+
+    path = str(tmp_path / "index")
+    index.build(yachts(spark), path)
+    plan = index.candidates(spark, path, [(None, "blue"), ("builder", "y")])._jdf.queryExecution().executedPlan().toString()
+    assert "(lead" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "GreaterThanOrEqual(token,blue)" in plan and "LessThan(token,bluf)" in plan
+
+
+def test_second_catalogue_asks_every_field(spark):
+    from tackline.operators import index
+
+    rows = yachts(spark).withColumns({"certificate": F.concat(F.lit("A-"), F.col("id").cast("string")), "variant": F.lit("crew")})
+    ask = lambda *a, **k: [(r["id"], r["total"]) for r in index.second_search(rows, *a, **k).collect()]
+    assert ask("", 9) == [(4, 5), (1, 5), (5, 5), (3, 5), (2, 5)]
+    assert ask("crew a", 2, 1) == [(1, 5), (5, 5)]
+    assert ask("", 9, name="bluefin") == [(1, 2), (2, 2)] and ask("", 9, name="fin") == [(1, 2), (5, 2)]
+    assert ask("", 9, designer="d", builder="yard1") == [(1, 2), (5, 2)] and ask("nor11", 9) == [(1, 2), (2, 2)]
