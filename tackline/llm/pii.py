@@ -21,7 +21,7 @@ are ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tackline.llm.durable import checkpointed, written
 
@@ -38,6 +38,8 @@ _GAP = r"[\x20\x09-\x0D]+"
 
 _SPAN = "array<struct<s:int,e:int,hit:string>>"
 _SPACES = " \t\n\x0b\x0c\r"
+#: Pairs of tokens and base spans of a text that are looked at one by one.
+COMPARED = 20_000
 #: Matches whose starts are added up in one go, so that long texts copy no long arrays.
 _STRIDE = 128
 
@@ -153,6 +155,32 @@ def trusted_patterns(edges: DataFrame, rounds: int, min_seeds: int, threshold: f
     return patterns.where(F.col("trust") >= threshold).select("pattern")
 
 
+_TEXT = ("doc_id", "h", "n")
+
+
+def _covered(read: DataFrame) -> DataFrame:
+    """(doc_id, h, n, x, b): each identifier-like token with the first base span, by kind and start, that shares a place with it.
+
+    Texts with few of both are matched row by row. In the others tokens and spans become rows and are merged by place: of a
+    kind, whose spans do not overlap, only the last that begins before a token and the next one can share a place with it.
+    """
+    read = read.where(F.size("tokens") > 0)
+    few = F.size("base").cast("long") * F.size("tokens") <= COMPARED
+    near = F.get(F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"])), F.lit(0))
+    small = read.where(few).select(*_TEXT, "base", F.explode("tokens").alias("x")).where("x.e > x.s").select(*_TEXT, "x", near.alias("b"))
+    tokens = read.where(~few).select(*_TEXT, F.explode("tokens").alias("x")).where("x.e > x.s").select(*_TEXT, F.col("x.s").alias("at"), "x")
+    spans = read.where(~few).select(*_TEXT, F.explode("base").alias("b")).select(*_TEXT, F.col("b.s").alias("at"), "b")
+    rows = spans.unionByName(tokens, allowMissingColumns=True)
+    token = F.col("x").isNotNull()
+    before = Window.partitionBy(*_TEXT).orderBy("at", token).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*_TEXT).orderBy(F.desc("at"), token.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    for k in KINDS:
+        own = F.when(F.col("b.kind") == k, F.col("b"))
+        rows = rows.withColumns({f"p_{k}": F.last(own, True).over(before), f"n_{k}": F.last(own, True).over(after)})
+    shares = [F.when(F.col(f"p_{k}.e") > F.col("x.s"), F.col(f"p_{k}")).when(F.col(f"n_{k}.s") < F.col("x.e"), F.col(f"n_{k}")) for k in KINDS]
+    return small.unionByName(rows.where(token).select(*_TEXT, "x", F.coalesce(*shares).alias("b")))
+
+
 def find(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: counts by kind, a digest of the base spans, all spans as kind:start:end, and n_context.
 
@@ -167,10 +195,8 @@ def find(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, threshold: float
     base = F.concat(*[_named(F.col(k), k) for k in KINDS])
     read = written(read.select("doc_id", "h", "n", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), "tokens"))
 
-    at = read.where(F.size("tokens") > 0).select("doc_id", "h", "n", "base", F.explode("tokens").alias("x"))
     # a token that a base span begins in stands for the whole span; tokens further on in it stand for nothing
-    covering = F.get(F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"])), F.lit(0))
-    at = at.where("x.e > x.s").withColumn("b", covering).where("b is null or x.s <= b.s")
+    at = _covered(read).where("b is null or x.s <= b.s")
     at = at.select("doc_id", "h", "n", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.coalesce(F.lower("b.hit"), "x.token").alias("instance"), F.col("b").isNotNull().alias("seed"), F.explode("x.patterns").alias("pattern"))
     edges = at.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     trusted = checkpointed(trusted_patterns(edges, rounds, min_seeds, threshold))

@@ -686,6 +686,25 @@ def test_pii_base_spans_match_brute_force(spark):
         assert [r[f"n_{k}"] for k in PII] == [sum(s.startswith(k) for s in want) for k in PII]
 
 
+def test_pii_of_texts_full_of_spans(spark, monkeypatch):
+    """A text of very many spans is read in proportion to it, and merging by place gives what looking at every pair gives."""
+    rng = random.Random(12)
+    unit = lambda k: rng.choice([f"+4412345678{k % 90 + 10} 10.{k % 200}.7.{k % 250}", f"a{k}@b{k}.org,x{k}", f"id{k}:4111111111111111", f"ref {k}", f"10.0.0.{k % 250}:80/x"])
+    texts = [" ".join(unit(k) for k in range(n)) for n in (0, 1, 7, 60, 200)]
+    rows = table(spark, texts + texts[3:])
+    found = {}
+    for most in (10**9, 0):
+        monkeypatch.setattr(pii, "COMPARED", most)
+        found[most] = sorted(map(tuple, pii.find(rows, min_seeds=2, threshold=0.3).collect()))
+    assert found[0] == found[10**9] and any(r[-1] for r in found[0])
+    monkeypatch.undo()
+    import time
+
+    began = time.time()
+    long = spark.createDataFrame([(1, " ".join(f"+4412345678{k % 90 + 10}, 10.{k % 200}.7.{k % 250}" for k in range(20_000)))], "doc_id long, text string")
+    assert [(r["n_ip"], r["n_phone"]) for r in pii.find(long).collect()] == [(20_000, 20_000)] and time.time() - began < 120
+
+
 def test_pii_contexts_discover_unseen_identifiers(spark):
     rng = random.Random(15)
     texts = [f"{prose(rng, 12)} please call me under +1 (415) 555-01{k:02d} thanks" for k in range(12)]
