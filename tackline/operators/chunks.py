@@ -50,8 +50,9 @@ def with_last_known(rows: DataFrame, breaks: Column, known: Column, chunk_s: int
     w = Window.partitionBy(*keys).orderBy(*ORDER)
     rows = rows.withColumn("_part", F.sum("_break").over(w))
     part = Window.partitionBy(*keys, "_part").orderBy(*ORDER)
-    back, ahead = part.rowsBetween(Window.unboundedPreceding, -1), part.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumns({"_p": F.last("_known", True).over(back), "_n": F.first("_known", True).over(ahead)})
+    # what follows is read backwards: a frame that grows from the front takes a step a row, one that shrinks takes as many as there are rows
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (part, Window.partitionBy(*keys, "_part").orderBy(*[F.desc(c) for c in ORDER])))
+    rows = rows.withColumns({"_p": F.last("_known", True).over(back), "_n": F.last("_known", True).over(ahead)})
     if not chunk_s:
         return rows.select(*own, F.col("_p").alias("_before"), F.col("_n").alias("_after"))
     rows = rows.withColumn("_parts", F.max("_part").over(Window.partitionBy(*keys)))
@@ -63,12 +64,12 @@ def with_last_known(rows: DataFrame, breaks: Column, known: Column, chunk_s: int
         F.max_by(F.coalesce("_known", "_p"), at).alias("last"),
         F.min_by(F.when(F.col("_part") == 0, F.coalesce("_known", "_n")), at).alias("first"),
     )
-    along = Window.partitionBy("track_id").orderBy("_chunk")
+    along, against = (Window.partitionBy("track_id").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_chunk"), F.desc("_chunk")))
     broke = F.col("parts") > 0
     carried = ends.select(
         F.col("track_id").alias("_track"), F.col("_chunk").alias("_at"),
-        F.last(state(F.col("last"), broke), True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-        F.first(state(F.col("first"), broke), True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
+        F.last(state(F.col("last"), broke), True).over(along).alias("_cp"),
+        F.last(state(F.col("first"), broke), True).over(against).alias("_cn"),
     )
     # a carried stop has no value
     before, after = F.coalesce(F.col("_p"), F.when(F.col("_part") == 0, F.col("_cp")["v"])), F.coalesce(F.col("_n"), F.when(F.col("_part") == F.col("_parts"), F.col("_cn")["v"]))
