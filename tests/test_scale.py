@@ -160,3 +160,43 @@ def test_second_catalogue_asks_every_field(spark):
     assert ask("crew a", 2, 1) == [(1, 5), (5, 5)]
     assert ask("", 9, name="bluefin") == [(1, 2), (2, 2)] and ask("", 9, name="fin") == [(1, 2), (5, 2)]
     assert ask("", 9, designer="d", builder="yard1") == [(1, 2), (5, 2)] and ask("nor11", 9) == [(1, 2), (2, 2)]
+
+
+# ---- written archives
+
+
+def test_a_reading_scans_the_blocks_of_its_points(spark, tmp_path):
+    from tackline.operators import archive
+    from tackline.operators.weather import Axes
+
+    axes = Axes(t0=0, dt=100, steps=40, lat0=0.0, dlat=1.0, lats=30, lon0=0.0, dlon=1.0, lons=40)
+    cells = spark.range(40).toDF("step").join(spark.range(30).toDF("i")).join(spark.range(40).toDF("j"))
+    cells = cells.select("step", "i", "j", *[(F.col("i") * 2.0 + F.col("j") + F.col("step") * 0.5 + k).alias(c) for k, c in enumerate(("u10", "v10", "ucur", "vcur", "hs", "period"))], F.when(F.col("i") != 3, 350.0).otherwise(10.0).alias("wave_from"))
+    archive.write(cells.withColumn("vcur", F.when(F.col("j") > 2, F.col("vcur"))), str(tmp_path / "a"))
+    source = archive.Source(str(tmp_path / "a"), axes)
+    points = spark.createDataFrame([(1, 150, 2.5, 3.5), (2, 100, 3.0, 1.0), (3, 99_999, 1.0, 1.0), (4, 100, 1.0, 0.5)], "point_id long, t long, lat double, lon double")
+    got = {r["point_id"]: r for r in archive.combined(points, source).collect()}
+    assert set(got) == {1, 2, 4}
+    assert math.isclose(got[1]["wind"]["u"], 5 + 3.5 + 0.75) and math.isclose(got[1]["current"]["v"], 5 + 3.5 + 0.75 + 3)
+    assert got[2]["current"] is None and got[4]["wind"]["v"] == 2 + 0.5 + 0.5 + 1
+    assert abs(got[1]["waves"]["wave_from"]) < 1e-9 or abs(got[1]["waves"]["wave_from"] - 360) < 1e-9
+    plan = archive.pruned(spark.read.parquet(source.path), spark.createDataFrame([(1, 2, 3), (2, 3, 4)], "step int, i int, j int"))._jdf.queryExecution().executedPlan().toString()
+    assert "i_block" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert archive.pruned(spark.read.parquet(source.path), spark.createDataFrame([], "step int, i int, j int")).count() == 0
+
+
+def test_tiers_fall_through_regions_and_what_cannot_be_read(spark, tmp_path):
+    from tackline.operators import archive
+    from tackline.operators.weather import Axes
+
+    axes = Axes(t0=0, dt=100, steps=3, lat0=0.0, dlat=1.0, lats=6, lon0=0.0, dlon=1.0, lons=6)
+    base = spark.range(3).toDF("step").join(spark.range(6).toDF("i")).join(spark.range(6).toDF("j"))
+    for name, value, missing in (("one", 1.0, 5), ("two", 2.0, 99)):
+        archive.write(base.withColumns({"u": F.when(F.col("i") != missing, F.lit(value)), "v": F.lit(value), "tu": F.lit(0.5), "tv": F.when(F.col("j") < 4, F.lit(0.25))}), str(tmp_path / name))
+    points = spark.createDataFrame([(1, 50, 1.0, 1.0), (2, 50, 5.0, 1.0), (3, 50, 1.0, 5.0), (4, 900, 1.0, 1.0)], "point_id long, t long, lat double, lon double")
+    one, two, gone = (archive.Source(str(tmp_path / n), axes) for n in ("one", "two", "gone"))
+    tiers = [(gone, [("u", "v")]), (archive.Source(one.path, axes, (0.0, 5.0, 0.0, 2.0)), [("u", "v")]), (two, [("u", "v"), ("tu", "tv")]), (one, [("u", "v")])]
+    assert rows_of(archive.tiered(points, tiers)) == [(1, 1.0, 1.0, 1), (2, 2.5, 2.25, 2), (3, 1.0, 1.0, 3)]
+    early = Axes(t0=0, dt=10, steps=3, lat0=0.0, dlat=1.0, lats=6, lon0=0.0, dlon=1.0, lons=6)
+    assert rows_of(archive.switched(points, archive.Source(one.path, early), two, "u", "v")) == [(1, 2.0, 2.0, 1), (2, 2.0, 2.0, 1), (3, 2.0, 2.0, 1)]
+    assert archive.switched(points, gone, gone, "u", "v").count() == 0
