@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tackline.operators.races import in_region
 from tackline.operators.weather import Axes, first_tier, in_time, stencil_keys
 
 #: Steps, rows and columns of a block.
@@ -49,10 +50,7 @@ def within(points: DataFrame, source: Source) -> DataFrame:
     """The points in the source's box and on its axes of time."""
     last = source.axes.t0 + (source.axes.steps - 1) * source.axes.dt
     rows = points.where(F.col("t").between(source.axes.t0, last))
-    if source.box:
-        south, north, west, east = source.box
-        rows = rows.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-    return rows
+    return rows.where(in_region("lat", "lon", source.box)) if source.box else rows
 
 
 def pruned(archive: DataFrame, keys: DataFrame, block: tuple[int, int, int] = BLOCK) -> DataFrame:

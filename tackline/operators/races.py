@@ -34,6 +34,43 @@ def finished(events: DataFrame, boats: DataFrame, now: int) -> DataFrame:
     return events.join(result, "event_id", "left").select("event_id", (past("start") & past("stop") & F.coalesce("_done", F.lit(False))).alias("finished"))
 
 
+#: A report's codes and the status that each stands for; others stand for themselves.
+STATUS = {"RAC": "RACING", "STA": "RACING", "ARV": "FINISHED", "RET": "RETIRED", "ABD": "RETIRED"}
+
+
+def participants(rows: DataFrame, identities: DataFrame, on: str) -> DataFrame:
+    """The rows of those who take part; an identity that is listed twice brings nothing twice."""
+    return rows.join(identities.select(on), on, "left_semi")
+
+
+def assembled(boats: DataFrame, fixes: DataFrame, reports: DataFrame, classes: DataFrame, runs: DataFrame, arrivals: DataFrame, hidden: DataFrame, start: int | None) -> DataFrame:
+    """(boat_id, division, status, start, finish, fixes) of every boat of a race.
+
+    boats: boat_id, class_id; fixes: boat_id, t; reports: boat_id, seq, t, code; classes: class_id, name, run_id; runs: run_id,
+    start; arrivals and hidden: boat_id, t. A boat that arrived has finished, whatever it reported last; it starts with the run
+    of its class, else with the race; it ends when it arrived, else when it was hidden, else with the last fix of any boat, or
+    with the last report where there is no fix.
+    """
+    # a row a boat each, before anything is joined
+    sailed = participants(fixes, boats, "boat_id").groupBy("boat_id").agg(F.count(F.lit(1)).alias("fixes"), F.max("t").alias("_last"))
+    said = reports.groupBy("boat_id").agg(F.max_by(F.struct("code"), "seq").alias("_said"))
+    ends = lambda df, name: df.groupBy("boat_id").agg(F.max("t").alias(name))
+    stop = sailed.agg(F.max("_last").alias("_stop")).join(reports.agg(F.max_by("t", "seq").alias("_line")))
+    code = F.col("_said.code")
+    known = code
+    for k, v in STATUS.items():
+        known = F.when(code == k, v).otherwise(known)
+    rows = boats.select("boat_id", "class_id").join(classes.select("class_id", "name", "run_id"), "class_id", "left").join(runs.select("run_id", F.col("start").alias("_run")), "run_id", "left")
+    for more in (sailed, said, ends(arrivals, "_arrived"), ends(hidden, "_hidden")):
+        rows = rows.join(more, "boat_id", "left")
+    # one row
+    rows = rows.join(F.broadcast(stop))
+    return rows.select(
+        "boat_id", F.nullif("name", F.lit("")).alias("division"), F.when(F.col("_arrived").isNotNull(), "FINISHED").otherwise(known).alias("status"),
+        F.coalesce("_run", F.lit(start).cast("long")).alias("start"), F.coalesce("_arrived", "_hidden", "_stop", "_line").alias("finish"), F.coalesce("fixes", F.lit(0)).alias("fixes"),
+    )
+
+
 def in_region(lat, lon, box: tuple[float, float, float, float]) -> Column:
     """Whether a place lies in a box, edges included, whatever turn its longitude is written in."""
     south, north, west, east = box

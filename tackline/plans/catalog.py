@@ -10,13 +10,13 @@ from tackline.functions.canonical import degrees, knots, rounded
 from tackline.functions.geo import distance_m
 from tackline.functions.text import compact, fold, joined_words, model_key
 from tackline.operators import blend, catalogue, compare, export, filters, polar, tracks, weather
-from tackline.plans import archives, certificates, reading, searching, tools
+from tackline.plans import archives, certificates, racing, reading, searching, tools
 from tackline.plans import sql as S
 from tackline.plans import views as V
 from tackline.plans.sql import bucket_sql, d, rnd
 
-QUERIES: dict = {**reading.QUERIES, **tools.QUERIES, **searching.QUERIES, **archives.QUERIES, **certificates.QUERIES}
-ORACLE: dict[str, str] = {**reading.ORACLE, **tools.ORACLE, **searching.ORACLE, **archives.ORACLE, **certificates.ORACLE}
+QUERIES: dict = {**reading.QUERIES, **tools.QUERIES, **searching.QUERIES, **archives.QUERIES, **certificates.QUERIES, **racing.QUERIES}
+ORACLE: dict[str, str] = {**reading.ORACLE, **tools.ORACLE, **searching.ORACLE, **archives.ORACLE, **certificates.ORACLE, **racing.ORACLE}
 
 
 def query(name: str, sql: str | None = None):

@@ -28,3 +28,39 @@ def test_each_certificate_is_read_or_says_why_not(spark):
     assert sorted(tuple(r) for r in cells) == [("A1", 60.0, 7.0, 5.0), ("A1", 60.0, 11.0, 6.0), ("A1", 92.5, 7.0, 7.2), ("A1", 92.5, 11.0, 7.99)]
     best = certificates.optimum_points(frame.where("place = 0")).collect()
     assert sorted(tuple(r) for r in best) == [("A1", 7.0, 43.0, 4.0, True), ("A1", 7.0, 140.0, 4.5, False), ("A1", 11.0, 41.0, 4.5, True), ("A1", 11.0, 150.0, 5.14, False)]
+
+
+def test_race_files_name_their_columns(spark):
+    from tackline.sources import race_files
+
+    line = lambda who, vertices, **more: {"type": "Feature", "properties": {"vesselParticipantId": who, **more}, "geometry": {"type": "LineString", "coordinates": vertices}}
+    many = lambda *features: json.dumps({"type": "FeatureCollection", "features": features})
+    files = [
+        (1, many(line("a", [[190, 10, 0, 1_500, 6.5, 359.5], ["-20.5", "11", 0, "2999.9", -1, 360, 7]]), line("z", [["x"]]))),
+        (2, json.dumps(line("a", [[1, 2, 3, 4000, 12.34, 300, 5]], detail={"SOG": 4, "sog": 6, "windSpeed": 4, "TWD": 5}))),
+        (3, many(line("b", [[1, 2, 3, 4000, 201]], detail={"tws": 4}))), (4, many(line("a", [[1, 2, 3, 4000]]), line("b", [[1, 2, 3, 4000], [1, 95, 3, 4000]]))), (5, many({"type": "Feature", "properties": {"id": "b"}, "geometry": {"type": "Point", "coordinates": [1, 2]}})),
+        (6, "{"), (7, '{"type": "Other"}'), (8, many(line("z", [[1, 2, 3, 4]]))), (9, many(line("a", []))), (10, None), (11, many(line("a", [[1, 2, 3, 5000, 5, 400]], detail={"twd": 5}))),
+    ]
+    who = spark.createDataFrame([("a",), ("b",), ("a",)], "participant string")
+    got = sorted((tuple(r) for r in race_files.read_race(spark.createDataFrame(files, "file int, text string"), who).collect()), key=repr)
+    none = (None,) * 8
+    assert got == sorted([
+        (1, "a", 0, 1, 10.0, -170.0, 359.5, 6.5, None, None, None), (1, "a", 1, 2, 11.0, -20.5, None, None, None, None, None), (2, "a", 0, 4, 2.0, 1.0, None, 5.0, 12.34, 300.0, None),
+        (3, None, *none, "wind speed out of range"), (4, None, *none, "no place and time"), (5, None, *none, "no line"), (6, None, *none, "not JSON"), (7, None, *none, "no features"), (10, None, *none, "not JSON"), (11, None, *none, "wind direction out of range"),
+    ], key=repr)
+
+
+def test_a_race_is_put_together(spark):
+    from tackline.operators import races
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    boats = frame([(1, 10), (2, 11), (3, None), (4, 12)], "boat_id int, class_id int")
+    fixes = frame([(1, 100), (1, 180), (2, 150), (9, 999)], "boat_id int, t int")
+    reports = frame([(1, 1, 50, "RAC"), (1, 2, 60, "RET"), (2, 3, 70, "ABD"), (3, 4, 80, "RAC"), (3, 5, 85, None), (4, 6, 90, "???")], "boat_id int, seq int, t int, code string")
+    classes, runs = frame([(10, "Fast", 1), (11, "", 2), (12, "Slow", None)], "class_id int, name string, run_id int"), frame([(1, 7), (2, None)], "run_id int, start int")
+    arrivals, hidden = frame([(2, 140)], "boat_id int, t int"), frame([(2, 141), (4, 130)], "boat_id int, t int")
+    got = sorted(tuple(r) for r in races.assembled(boats, fixes, reports, classes, runs, arrivals, hidden, 5).collect())
+    assert got == [(1, "Fast", "RETIRED", 7, 180, 2), (2, None, "FINISHED", 5, 140, 1), (3, None, None, 5, 180, 0), (4, "Slow", "???", 5, 130, 0)]
+    none = fixes.where("false")
+    assert {r["finish"] for r in races.assembled(boats, none, reports, classes, runs, none, none, None).collect()} == {90}
+    assert races.assembled(boats.where("false"), fixes, reports, classes, runs, arrivals, hidden, 5).count() == 0
