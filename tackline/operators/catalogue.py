@@ -97,15 +97,42 @@ def identity_match(scraped: DataFrame, embedded: DataFrame) -> DataFrame:
     return s.join(e, on, "left").select("scraped_id", "embedded_id")
 
 
+#: Metres and share by which lengths of one model may differ.
+NEAR_M, NEAR_SHARE = 0.6, 0.05
+
+
 def model_matches(boats: DataFrame) -> DataFrame:
-    """Pairs (a, b) of boats that share a model key and whose lengths, where both are known, differ by at most 0.6 m or 5 %."""
+    """Pairs (a, b) of boats that share a model key and whose lengths, where both are known, differ by at most 0.6 m or 5 % of the shorter."""
     keyed = boats.withColumn("key", model_key("model")).where("key is not null")
     a = keyed.select("key", F.col("boat_id").alias("a"), F.col("length").alias("la"))
     b = keyed.select("key", F.col("boat_id").alias("b"), F.col("length").alias("lb"))
-    near = F.col("la").isNull() | F.col("lb").isNull() | (F.abs(F.col("la") - F.col("lb")) <= F.greatest(F.lit(0.6), 0.05 * F.greatest("la", "lb")))
+    near = F.col("la").isNull() | F.col("lb").isNull() | (F.abs(F.col("la") - F.col("lb")) <= F.greatest(F.lit(NEAR_M), NEAR_SHARE * F.least("la", "lb")))
     return a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b", "key")
 
 
+def model_classes(boats: DataFrame) -> DataFrame:
+    """(boat_id, key, class_id, links): each boat's class and how many boats match it, one row a boat.
+
+    Boats match as in :func:`model_matches`. A class is what matches connect, named by its smallest boat: of the lengths in
+    order each reaches up to some longer one, and a length that none before it reaches starts a class; a boat of unknown length
+    matches all of its model. Boats of one model and length are counted together, so that pairs are never made.
+    """
+    keyed = boats.withColumn("key", model_key("model")).where("key is not null").select("boat_id", "key", "length")
+    sizes = keyed.groupBy("key", "length").agg(F.count(F.lit(1)).alias("n"), F.min("boat_id").alias("least"))
+    by, x = Window.partitionBy("key"), F.col("length")
+    up, down = F.greatest(x + NEAR_M, x * (1.0 + NEAR_SHARE)), F.least(x - NEAR_M, x / (1.0 + NEAR_SHARE))
+    reached = F.max(up).over(by.orderBy("length").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumns({"_new": F.coalesce(x > reached, F.lit(False)).cast("int"), "_open": F.max(x.isNull()).over(by), "_all": F.sum("n").over(by), "_unknown": F.sum(F.when(x.isNull(), F.col("n")).otherwise(0)).over(by)})
+    sizes = sizes.withColumn("_chain", F.when(F.col("_open"), 0).otherwise(F.sum("_new").over(by.orderBy("length"))))
+    sizes = sizes.withColumn("class_id", F.min("least").over(Window.partitionBy("key", "_chain")))
+    # as many as a model has different lengths
+    lists = sizes.where("length is not null").groupBy("key").agg(F.collect_list(F.struct(F.col("length").alias("x"), "n")).alias("known"))
+    sizes = sizes.join(lists, "key", "left").withColumns({"_up": up, "_down": down})
+    near = F.aggregate(F.filter("known", lambda k: (k["x"] >= F.col("_down")) & (k["x"] <= F.col("_up"))), F.lit(0).cast("long"), lambda s, k: s + k["n"])
+    sizes = sizes.select(F.col("key").alias("_key"), F.col("length").alias("_length"), "class_id", (F.when(x.isNull(), F.col("_all")).otherwise(near + F.col("_unknown")) - 1).alias("links"))
+    return keyed.join(sizes, (F.col("key") == F.col("_key")) & F.col("length").eqNullSafe(F.col("_length"))).select("boat_id", "key", "class_id", "links")
+
+
 def model_consensus(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The one model that all candidates agree on; keys with several are left out."""
     return candidates.where("model is not null").groupBy(*keys).agg(F.min("model").alias("model"), F.max("model").alias("_m")).where(F.col("model") == F.col("_m")).drop("_m")

@@ -49,7 +49,11 @@ def import_report(fixes: DataFrame) -> DataFrame:
 
 def derive(fixes: DataFrame, max_gap_s: int = 10_800, prefer_heading: str = "given", prefer_speed: str = "given", chunk_s: int | None = CHUNK_S) -> DataFrame:
     """Adds heading and speed with their origins: given, or derived from neighbours no further away in time than the gap."""
-    rows = with_neighbours(fixes, ["t", "lat", "lon"], chunk_s)
+    return from_neighbours(with_neighbours(fixes, ["t", "lat", "lon"], chunk_s), max_gap_s, prefer_heading, prefer_speed)
+
+
+def from_neighbours(rows: DataFrame, max_gap_s: int = 10_800, prefer_heading: str = "given", prefer_speed: str = "given") -> DataFrame:
+    """The same, of fixes that hold their neighbours (t, lat, lon) in _before and _after."""
     for side, other in (("p", "_before"), ("n", "_after")):
         near = F.abs(F.col(other)["t"] - F.col("t")) <= max_gap_s
         rows = rows.withColumns({f"_{side}{c}": F.when(near, F.col(other)[c]) for c in ("t", "lat", "lon")})

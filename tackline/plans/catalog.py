@@ -715,12 +715,28 @@ def name_keys(spark, sf_dir):
 _BOATS = f"boats AS (SELECT p_partkey AS boat_id, concat('First ', CAST(30 + p_partkey % 97 AS VARCHAR), '.', CAST(p_partkey % 7 AS VARCHAR)) AS model, CASE WHEN p_partkey % 5 <> 0 THEN {d(6)} + (p_partkey % 43) / {d(4)} END AS length FROM part)"
 
 
-@query("model_match", f"WITH {_BOATS}, k AS (SELECT boat_id, length, regexp_replace(lower(model), ' ', '', 'g') AS key FROM boats) SELECT x.boat_id AS a, y.boat_id AS b, x.key FROM k x JOIN k y ON x.key = y.key AND x.boat_id < y.boat_id WHERE x.length IS NULL OR y.length IS NULL OR abs(x.length - y.length) <= greatest({d(0.6)}, {d(0.05)} * greatest(x.length, y.length))")
+@query("model_match", f"WITH {_BOATS}, k AS (SELECT boat_id, length, regexp_replace(lower(model), ' ', '', 'g') AS key FROM boats) SELECT x.boat_id AS a, y.boat_id AS b, x.key FROM k x JOIN k y ON x.key = y.key AND x.boat_id < y.boat_id WHERE x.length IS NULL OR y.length IS NULL OR abs(x.length - y.length) <= greatest({d(0.6)}, {d(0.05)} * least(x.length, y.length))")
 def model_match(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").selectExpr("p_partkey AS boat_id", "concat('First ', CAST(30 + p_partkey % 97 AS STRING), '.', CAST(p_partkey % 7 AS STRING)) AS model", "CASE WHEN p_partkey % 5 <> 0 THEN 6D + (p_partkey % 43) / 4D END AS length")
     return catalogue.model_matches(p)
 
 
+_REACH = f"greatest(length + {d(0.6)}, length * {d(1.05)})"
+
+
+@query(
+    "model_classes",
+    f"""WITH {_BOATS}, k AS (SELECT boat_id, length, regexp_replace(lower(model), ' ', '', 'g') AS key FROM boats), u AS (SELECT key, length, min(boat_id) AS least FROM k GROUP BY 1, 2),
+n AS (SELECT *, coalesce(length > max({_REACH}) OVER (PARTITION BY key ORDER BY length NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS fresh, max(CASE WHEN length IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS open FROM u),
+c AS (SELECT *, CASE WHEN open = 1 THEN 0 ELSE sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY length NULLS FIRST) END AS chain FROM n), g AS (SELECT key, length, min(least) OVER (PARTITION BY key, chain) AS class_id FROM c)
+SELECT k.boat_id, k.key, g.class_id, (SELECT count(*) FROM k o WHERE o.key = k.key AND o.boat_id <> k.boat_id AND (o.length IS NULL OR k.length IS NULL OR abs(o.length - k.length) <= greatest({d(0.6)}, {d(0.05)} * least(o.length, k.length)))) AS links FROM k JOIN g ON g.key = k.key AND g.length IS NOT DISTINCT FROM k.length""",
+)
+def model_classes(spark, sf_dir):
+    """The same matches as classes: a row a boat instead of a row a pair."""
+    p = V.table(spark, sf_dir, "part").selectExpr("p_partkey AS boat_id", "concat('First ', CAST(30 + p_partkey % 97 AS STRING), '.', CAST(p_partkey % 7 AS STRING)) AS model", "CASE WHEN p_partkey % 5 <> 0 THEN 6D + (p_partkey % 43) / 4D END AS length")
+    return catalogue.model_classes(p)
+
+
 @query("model_consensus", "SELECT p_brand AS brand, min(p_type) AS model FROM (SELECT p_brand, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_brand < 'Brand#3' THEN 'one' ELSE p_type END AS p_type FROM part) x WHERE p_type IS NOT NULL GROUP BY p_brand HAVING count(DISTINCT p_type) = 1")
 def model_consensus(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").selectExpr("p_brand AS brand", "CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_brand < 'Brand#3' THEN 'one' ELSE p_type END AS model")
