@@ -25,12 +25,12 @@ def _joined(rows: DataFrame, carried: DataFrame, names: list[str]) -> DataFrame:
 
 
 def with_neighbours(rows: DataFrame, columns: list[str], chunk_s: int | None = CHUNK_S) -> DataFrame:
-    """Adds ``_before`` and ``_after``: structs of the columns of the rows on either side in the track, null at its ends. Without a chunk a track is one window."""
-    x = F.struct(*columns)
+    """Adds ``_before`` and ``_after``: structs of the columns of the rows on either side in the track, of nulls or null at its ends. Without a chunk a track is one window."""
     if chunk_s is None:
+        # a struct made above the window is taken apart again by the optimizer
         w = Window.partitionBy("track_id").orderBy(*ORDER)
-        return rows.withColumns({"_before": F.lag(x).over(w), "_after": F.lead(x).over(w)})
-    own = rows.columns
+        return rows.withColumns({name: F.struct(*[shift(c).over(w).alias(c) for c in columns]) for name, shift in (("_before", F.lag), ("_after", F.lead))})
+    x, own = F.struct(*columns), rows.columns
     w = Window.partitionBy("track_id", "_chunk").orderBy(*ORDER)
     rows = rows.withColumn("_chunk", chunk_of(chunk_s)).withColumns({"_p": F.lag(x).over(w), "_n": F.lead(x).over(w)})
     ends = rows.groupBy("track_id", "_chunk").agg(F.max(F.when(F.col("_p").isNull(), x)).alias("first"), F.max(F.when(F.col("_n").isNull(), x)).alias("last"))

@@ -62,5 +62,29 @@ ORACLE["race_geojson"] = f"""WITH {S.FIXES}, x AS (SELECT *, track_id % 3 AS m,
 SELECT track_id AS file, 'p' || track_id AS participant, CAST(fix_idx AS INTEGER) AS vertex, t, {rnd("lat")} AS lat, {rnd("lon")} AS lon, {rnd("cog")} AS cog, CASE WHEN m <> 2 THEN {rnd("sog")} END AS sog, CASE WHEN m = 1 THEN {rnd("tws")} END AS tws, CASE WHEN m = 1 THEN {rnd("twd_from")} END AS twd_from, CAST(NULL AS VARCHAR) AS problem FROM x WHERE problem IS NULL
 UNION ALL SELECT DISTINCT track_id, NULL, NULL, NULL, CAST(NULL AS DOUBLE), NULL, NULL, NULL, NULL, NULL, problem FROM x WHERE problem <> 'none'"""
 
-for _f in (race_assembly, race_geojson):
+def _kml_texts(spark, sf_dir):
+    """A file for some tracks each, a placemark a track; some with a time less, a time or place that is none, or cut short."""
+    f = V.fixes(spark, sf_dir)
+    when = "CASE WHEN track_id % 43 = 4 AND fix_idx = 0 THEN 'soon' ELSE date_format(timestamp_seconds(t), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") END"
+    coord = "concat(CASE WHEN track_id % 47 = 6 AND fix_idx = 0 THEN '400' ELSE CAST(lon + 200 AS STRING) END, ',', CAST(lat AS STRING), ',0')"
+    lists = f.selectExpr("track_id", "fix_idx", f"CASE WHEN track_id % 41 = 5 AND fix_idx = 0 THEN '' ELSE concat('<when>', {when}, '</when>') END AS w", f"concat('<gx:coord>', {coord}, '</gx:coord>') AS c")
+    marks = lists.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("fix_idx", "w", "c"))).alias("l"))
+    one = F.concat(F.lit("<Placemark><name> Boat &amp; "), F.col("track_id").cast("string"), F.lit("</name><styleUrl>#s</styleUrl><gx:Track>"), F.array_join("l.w", ""), F.array_join("l.c", "\n"), F.lit("</gx:Track></Placemark>"))
+    files = marks.select((F.col("track_id") % 60).alias("file"), F.struct("track_id", one.alias("m")).alias("m")).groupBy("file").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    end = F.when(F.col("file") % 17 == 3, "</Document>").otherwise("</Document></kml>")
+    return files.select("file", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>'), F.array_join("m.m", ""), end).alias("text"))
+
+
+def kml_tracks(spark, sf_dir):
+    """KML files read, or what is wrong with them."""
+    got = race_files.read_kml(_kml_texts(spark, sf_dir))
+    return got.withColumns({c: rounded(c, 6) for c in ("lat", "lon")})
+
+
+ORACLE["kml_tracks"] = f"""WITH {S.FIXES}, x AS (SELECT *, track_id % 60 AS file, dense_rank() OVER (PARTITION BY track_id % 60 ORDER BY track_id) - 1 AS pm, CASE WHEN track_id % 43 = 4 AND track_id % 41 <> 5 THEN 'no time' WHEN track_id % 47 = 6 THEN 'no place' WHEN track_id % 41 = 5 THEN 'times and places differ in number' END AS f FROM fixes),
+p AS (SELECT file, CASE WHEN file % 17 = 3 THEN 'not XML' ELSE min_by(f, pm) FILTER (f IS NOT NULL) END AS problem FROM x GROUP BY file)
+SELECT x.file, CAST(pm AS INTEGER) AS placemark, 'Boat & ' || track_id AS name, CAST(fix_idx AS INTEGER) AS k, t, {rnd("round(lat * " + d(100000) + ") / " + d(100000))} AS lat, {rnd(S.mod360("round((lon + " + d(200) + ") * " + d(100000) + ") / " + d(100000) + " + 180") + " - 180")} AS lon, CAST(NULL AS VARCHAR) AS problem FROM x JOIN p ON p.file = x.file WHERE p.problem IS NULL
+UNION ALL SELECT file, NULL, NULL, NULL, NULL, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), problem FROM p WHERE problem IS NOT NULL"""
+
+for _f in (race_assembly, race_geojson, kml_tracks):
     QUERIES[_f.__name__] = _f

@@ -50,8 +50,8 @@ def chunk_s(spark: SparkSession, sf_dir: str) -> int | None:
 
 
 def motions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged fixes with heading and speed, by chunks of any track."""
-    return tracks.derive(tracks.normalise(fixes(spark, sf_dir)), MAX_GAP_S)
+    """Merged fixes with heading and speed."""
+    return tracks.derive(tracks.normalise(fixes(spark, sf_dir)), MAX_GAP_S, chunk_s=chunk_s(spark, sf_dir))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

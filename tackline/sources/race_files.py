@@ -1,10 +1,16 @@
-"""Race GeoJSON: a line a participant, whose vertices hold longitude, latitude, altitude and milliseconds, and columns that the file itself names."""
+"""Race files.
+
+Race GeoJSON has a line a participant, whose vertices hold longitude, latitude, altitude and
+milliseconds, and columns that the file itself names. KML has placemarks with lists of times
+and of places.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tackline.functions.canonical import knots, settled, wrap_360, wrap_lon
+from tackline.sources.times import seconds
 
 #: Where course and speed stand if a file does not say, what the wind's columns are called, lower case, and the last millisecond of a date.
 COG_AT, SOG_AT, LAST_MS = 5, 4, 253_402_300_799_000.0
@@ -61,3 +67,42 @@ def read_race(texts: DataFrame, identities: DataFrame, text_col: str = "text", f
         knots("tws").alias("tws"), wrap_360("twd_from").alias("twd_from"),
     )
     return sailed.unionByName(first.unionByName(unread), allowMissingColumns=True)
+
+
+#: What XML writes for marks of its own; the ampersand comes last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def _plain(text: Column) -> Column:
+    for entity, mark in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(mark))
+    return F.btrim(text, F.lit(" \t\r\n"))
+
+
+def _elements(text: Column, name: str) -> Column:
+    """The contents of an element without children, in order, whatever its prefix."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"<(?:[A-Za-z0-9_]++:)?{name}(?:\s[^>]*+)?>([^<]*+)</"), F.lit(1)), _plain)
+
+
+def read_kml(texts: DataFrame, text_col: str = "text", file_col: str = "file") -> DataFrame:
+    """file, placemark, name, k, t, lat, lon and problem: the tracks of KML files, one text a row, times and places paired in order.
+
+    A file that is not XML, or has a track with a time or place that cannot be read or with more of one than of the other,
+    gives one row, its first problem, and nothing else. Places lie on a grid of 1e-5 degrees.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = F.from_xml(text, "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = settled(texts.select(F.col(file_col).alias("file"), text.alias("x"), whole.alias("w")), {"broken": F.col("w").isNull() | F.col("w._corrupt_record").isNotNull()}).drop("w")
+    broken = rows.where("broken").select("file", F.lit("not XML").alias("problem"))
+    marks = rows.where("not broken").select("file", F.posexplode(F.regexp_extract_all("x", F.lit(r"(?s)<Placemark(?:\s[^>]*+)?>(.*?)</Placemark\s*+>"), F.lit(1))).alias("placemark", "p"))
+    marks = settled(marks, {"name": F.coalesce(F.get(_elements(F.col("p"), "name"), 0), F.lit("")), "times": F.transform(_elements(F.col("p"), "when"), lambda t: seconds(t, "iso")), "places": F.transform(_elements(F.col("p"), "coord"), lambda c: F.transform(F.split(c, ","), lambda x: x.try_cast("double")))}).drop("p")
+    grid = lambda x: F.round(x * 1e5) / 1e5
+    places = F.transform("places", lambda p: F.struct(grid(F.get(p, 1)).alias("lat"), grid(F.get(p, 0)).alias("lon")))
+    marks = settled(marks, {"places": places})
+    wrong = lambda p: ~F.coalesce(p["lat"].between(-90, 90) & p["lon"].between(-360, 360), F.lit(False))
+    fault = F.when(F.exists("times", lambda t: t.isNull()), "no time").when(F.exists("places", wrong), "no place").when(F.size("times") != F.size("places"), "times and places differ in number")
+    marks = settled(marks, {"fault": fault})
+    first = marks.where("fault is not null").groupBy("file").agg(F.min(F.struct("placemark", "fault")).alias("x")).select("file", F.col("x.fault").alias("problem"))
+    fixes = marks.join(first, "file", "left_anti").select("file", "placemark", "name", F.posexplode(F.arrays_zip("times", "places")).alias("k", "z"))
+    fixes = fixes.select("file", "placemark", "name", "k", F.col("z.times").alias("t"), F.col("z.places.lat").alias("lat"), wrap_lon(F.col("z.places.lon")).alias("lon"))
+    return fixes.unionByName(first.unionByName(broken), allowMissingColumns=True)

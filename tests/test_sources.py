@@ -64,3 +64,21 @@ def test_a_race_is_put_together(spark):
     none = fixes.where("false")
     assert {r["finish"] for r in races.assembled(boats, none, reports, classes, runs, none, none, None).collect()} == {90}
     assert races.assembled(boats.where("false"), fixes, reports, classes, runs, arrivals, hidden, 5).count() == 0
+
+
+def test_kml_tracks_pair_times_and_places(spark):
+    from tackline.sources import race_files
+
+    mark = lambda name, whens, coords: f"<Placemark id='x'><name>{name}</name><gx:Track><altitudeMode>m</altitudeMode>{''.join(f'<when>{w}</when>' for w in whens)}{''.join(f'<gx:coord>{c}</gx:coord>' for c in coords)}</gx:Track></Placemark>"
+    kml = lambda *marks: f'<?xml version="1.0"?><kml xmlns:gx="g"><Folder><name>All</name>{"".join(marks)}</Folder></kml>'
+    files = [
+        (1, kml(mark(" A &lt;1&gt; &amp;amp; ", ["1970-01-01T00:01:40Z", "1970-01-01T00:03:20+00:00"], ["12.3456789,45.1,7", " 200 , -10.000004"]), mark("", ["1970-01-01T00:00:01Z"], ["1,2"]))),
+        (2, kml(mark("A", ["1970-01-01T00:00:01Z"], ["1,2", "3,4"]))), (3, kml(mark("A", ["1970-01-01T00:00:01Z"], ["1,2"]), mark("B", ["later"], ["1,2"]))), (4, kml(mark("A", ["1970-01-01T00:00:01Z"], ["1,95"]))),
+        (5, "<kml><Placemark>"), (6, None), (7, kml()), (8, kml(mark("A", [], []))),
+    ]
+    got = sorted((tuple(r) for r in race_files.read_kml(spark.createDataFrame(files, "file int, text string")).collect()), key=repr)
+    none = (None,) * 6
+    assert got == sorted([
+        (1, 0, "A <1> &amp;", 0, 100, 45.1, 12.34568, None), (1, 0, "A <1> &amp;", 1, 200, -10.0, -160.0, None), (1, 1, "", 0, 1, 2.0, 1.0, None),
+        (2, *none, "times and places differ in number"), (3, *none, "no time"), (4, *none, "no place"), (5, *none, "not XML"), (6, *none, "not XML"),
+    ], key=repr)
