@@ -200,3 +200,17 @@ def test_tiers_fall_through_regions_and_what_cannot_be_read(spark, tmp_path):
     early = Axes(t0=0, dt=10, steps=3, lat0=0.0, dlat=1.0, lats=6, lon0=0.0, dlon=1.0, lons=6)
     assert rows_of(archive.switched(points, archive.Source(one.path, early), two, "u", "v")) == [(1, 2.0, 2.0, 1), (2, 2.0, 2.0, 1), (3, 2.0, 2.0, 1)]
     assert archive.switched(points, gone, gone, "u", "v").count() == 0
+
+
+def test_positions_of_more_teams_and_moments_than_16_bits_count(spark, tmp_path):
+    from tackline.plans import reading
+
+    users = F.when(F.col("id") < 66_000, 3).when(F.col("id") < 66_002, 65_535).when(F.col("id") < 66_005, 65_536).otherwise(131_092)
+    events = spark.range(66_010).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), users.cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = reading.positions_binary(spark, str(tmp_path))
+    assert {(r["file"], r["team"]): (r["count"], r["first"], r["last"]) for r in got.groupBy("file", "team").agg(F.count("*").alias("count"), F.min("t").alias("first"), F.max("t").alias("last")).collect()} == {
+        (f"file-{u % 20}", u): (b - a, 1_700_000_000 + a, 1_699_999_999 + b) for u, a, b in ((3, 0, 66_000), (65_535, 66_000, 66_002), (65_536, 66_002, 66_005), (131_092, 66_005, 66_010))
+    }
+    want = V.fixes(spark, str(tmp_path)).select((F.col("track_id")).alias("team"), "t", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
+    assert rows_of(got.select("team", "t", "lat", "lon")) == rows_of(want)
