@@ -36,3 +36,15 @@ def test_a_file_over_the_limit_is_named(spark):
     files = spark.range(1).select(F.lit("big").alias("path"), F.encode(F.repeat(F.lit("8 45 6\n"), size // 7 + 1), "UTF-8").alias("content"))
     cells, problems = polar_files.polars_of(files)
     assert [tuple(r) for r in problems.collect()] == [("big", None, "too-large")] and cells.isEmpty()
+
+
+def test_words_of_an_entry_are_told_apart_without_gathering_them(spark):
+    from tackline.operators import index
+
+    entries = spark.createDataFrame([(1, "Foo Foo bar", "FRA12", "FRA", "foobar", "Yard 1", "yard1", 2020, 2020)], "id long, name string, sail_no string, country string, model string, builder string, designer string, year int, certificate_year int")
+    got = index.postings(entries)
+    assert sorted((r["token"], r["field"], r["plain"]) for r in got.collect()) == sorted(
+        [("foo", "name", True), ("bar", "name", True), ("foofoobar", "name", True), ("fra12", "sail_no", True), ("12", "sail_no", True), ("foobar", "model", True), ("yard", "builder", True), ("1", "builder", True), ("yard1", "builder", False), ("yard1", "designer", True), ("2020", "certificate_year", True), ("fra", "country", True), ("2020", "year", True)]
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
