@@ -48,3 +48,26 @@ def test_words_of_an_entry_are_told_apart_without_gathering_them(spark):
     )
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_the_same_wind_meets_some_points_of_a_full_bin(spark, monkeypatch):
+    """As by comparing all with all; equal points count once, and full bins are halved, near their edges and beside empty ones too."""
+    import random
+
+    from tackline.operators import measure
+
+    rng = random.Random(8)
+    rows = [(k, k % 3, rng.choice([rng.uniform(355, 360), rng.uniform(0, 4), 2.5, 90.0]), rng.choice([10.0, 10.1, 11.0, rng.gauss(10.5, 0.4)])) for k in range(1_500)] + [(k, 4, 180.0 + k % 2, 12.9) for k in range(2_000, 2_300)] + [(k, 5, 180.0 + k / 1_000, 12.0) for k in range(3_000, 3_090)]
+    frame = spark.createDataFrame([*rows, (9_000, None, 1.0, 1.0), (9_001, 1, None, 1.0)], "id long, copy int, twa double, tws double")
+    asked = [r for r in rows if r[0] % 10 == 0]
+    want = {}
+    for i, own, a, w in asked:
+        for j, copy, b, v in rows:
+            d = (b - a) % 360 % 360
+            d = min(d, 360 - d)
+            if copy != own and d <= 5 and abs(v - w) <= 1:
+                want[i, copy] = min(want.get((i, copy), (9.0, 0)), (d * d / 25 + (v - w) * (v - w), j))
+    for few in (2, 4, 5_000):
+        monkeypatch.setattr(measure, "FEW", few)
+        got = measure.same_wind(frame, frame.where("id % 10 = 0").withColumnRenamed("id", "asked_id"))
+        assert {(r["asked_id"], r["copy"]): r["id"] for r in got.collect()} == {k: v[1] for k, v in want.items()}
