@@ -82,3 +82,17 @@ def test_kml_tracks_pair_times_and_places(spark):
         (1, 0, "A <1> &amp;", 0, 100, 45.1, 12.34568, None), (1, 0, "A <1> &amp;", 1, 200, -10.0, -160.0, None), (1, 1, "", 0, 1, 2.0, 1.0, None),
         (2, *none, "times and places differ in number"), (3, *none, "no time"), (4, *none, "no place"), (5, *none, "not XML"), (6, *none, "not XML"),
     ], key=repr)
+
+
+def test_a_list_of_certificates_in_several_documents_is_read_once(spark):
+    from tackline.sources import certificates as reader
+
+    one = '{"RefNo":"%s","Allowances":{"WindAngles":[90],"WindSpeeds":[6],"R90":[600],"BeatAngle":[44.5],"Beat":[720],"GybeAngle":[140],"Run":[900]}}'
+    texts = [("A", 2025, 0, '{"rms":[%s,%s]}' % (one % "a", one % "")), ("A", 2025, 2, '{"rms":[%s]}' % (one % "b"))]
+    got = reader.read(spark.createDataFrame(texts, "country string, year int, first int, text string"))
+    assert sorted((r["place"], r["ref_no"], r["problem"]) for r in got.collect()) == [(0, "a", None), (1, None, "no reference number"), (2, "b", None)]
+    best = reader.optimum_points(got)
+    assert best.columns == ["ref_no", "tws", "twa", "vmg", "upwind"]
+    assert sorted(tuple(r) for r in best.collect()) == [(n, 6.0, a, v, u) for n in "ab" for a, v, u in ((44.5, 5.0, True), (140.0, 4.0, False))]
+    # good certificates once; the other branch holds documents without a list
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
