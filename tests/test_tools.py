@@ -71,3 +71,14 @@ def test_the_same_wind_meets_some_points_of_a_full_bin(spark, monkeypatch):
         monkeypatch.setattr(measure, "FEW", few)
         got = measure.same_wind(frame, frame.where("id % 10 = 0").withColumnRenamed("id", "asked_id"))
         assert {(r["asked_id"], r["copy"]): r["id"] for r in got.collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_pairs_of_one_model_are_not_made_by_a_broadcast(spark):
+    from tackline.operators import catalogue
+
+    boats = spark.range(60).select(F.col("id").alias("boat_id"), F.lit("First 30").alias("model"), F.when(F.col("id") % 5 != 0, 8 + (F.col("id") % 7) / 4.0).alias("length"))
+    got = catalogue.model_matches(boats)
+    length = lambda k: None if k % 5 == 0 else 8 + k % 7 / 4
+    want = [(a, b) for a in range(60) for b in range(a + 1, 60) if None in (length(a), length(b)) or abs(length(a) - length(b)) <= max(0.6, 0.05 * min(length(a), length(b)))]
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
