@@ -20,7 +20,8 @@ Such texts differ in about 15 % of the bits of a SimHash, too many for one trie,
 so it draws ``TABLES`` fingerprints of ``TABLE_BITS`` bits each from a wide
 SimHash and joins each in a trie of its own; two texts of just that similarity
 are linked in one with a probability of about 0.99, more similar ones almost
-always. Links count only when the exact similarity confirms them.
+always. What such links connect is compared by the exact similarity, each text
+with each, in blocks where a component is large; only that links texts.
 
 Defined cases: a null or empty text has fingerprint 0 and links as any other;
 repeated rows and ids give repeated rows of one component in
@@ -57,6 +58,10 @@ SPLIT_BITS = 8
 CHUNK = 200_000
 #: Longs of a wide SimHash; fingerprints drawn from it, bits of each, and the differing bits that link two.
 WIDE, TABLES, TABLE_BITS, TABLE_BUDGET = 8, 26, 36, 3
+#: Tables whose tries are joined first, to make groups.
+FIRST_TABLES = 3
+#: Texts, and shingles, of a block of a component. Sets up to FEW are compared by themselves, more by columns of a matrix.
+BLOCK_TEXTS, BLOCK_SHINGLES, FEW, COLUMNS = 1_000, 1_000_000, 8, 4_096
 #: Wide SimHashes further apart than this are of texts less similar than 0.65, those of 0.8 lie at 78 with a deviation of 8.
 FAR_APART = 112
 
@@ -130,10 +135,11 @@ def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray)
         lo, hi = np.where(wide & ~one, at + 1, lo), np.where(wide & one, at, hi)
 
 
-def trie_links(values: np.ndarray, roots: np.ndarray, budget: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(values: np.ndarray, roots: np.ndarray, budget: int, bits: int = BITS, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The label of each value after linking all pairs within the budget below pairs of roots, and pairs of places that link them so.
 
     ``roots`` has rows (lo a, hi a, lo b, hi b, depth, differing bits): two nodes as sorted ranges of ``values``, the same one twice or two apart.
+    Pairs of one ``group``, where that is not 0, are connected already and are left out.
     """
     label, put_aside, found = np.arange(len(values)), [roots], [np.zeros((2, 0), np.int64)]
     while put_aside:
@@ -153,6 +159,8 @@ def trie_links(values: np.ndarray, roots: np.ndarray, budget: int, bits: int = B
                 i, j = np.repeat(part[:, 0], n) + k // width, np.repeat(part[:, 2], n) + k % width
                 differ = np.bitwise_count(values[i] ^ values[j])
                 near = np.flatnonzero((differ <= budget) & (i < j))
+                if group is not None:
+                    near = near[(group[i[near]] != group[j[near]]) | (group[i[near]] == 0)]
                 near = near[np.argsort(differ[near], kind="stable")]
                 for at in range(0, len(near), STEP):
                     step = near[at : at + STEP]
@@ -188,18 +196,19 @@ _UNIT = ("slot", "depth", "low", "high")
 
 
 def _linked(rows: DataFrame, budget: int, bits: int) -> DataFrame:
-    """Links of all subtrees; rows has the unit (slot, depth, low, high: one node or two at that depth), value and node.
+    """Links of all subtrees; rows has the unit (slot, depth, low, high: one node or two at that depth), value, node and perhaps group.
 
     Rows of a unit come together by repartition and sort; a task takes some whole units at a time.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = to_arrow_schema(schema)
+    columns = [*_UNIT, "value", "node", *(["group"] if "group" in rows.columns else [])]
 
     def links(rows):
-        slot, depth, low, high, value, node = rows
+        slot, depth, low, high, value, node, *group = rows
         value = value.view(np.uint64)
         order = np.lexsort((value, high, low, depth, slot))
-        slot, depth, low, high, value, node = (x[order] for x in (slot, depth, low, high, value, node))
+        slot, depth, low, high, value, node, *group = (x[order] for x in (slot, depth, low, high, value, node, *group))
         first = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (depth[1:] != depth[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         end = np.append(first[1:], len(value))
         prefix = value >> (bits - depth).astype(np.uint64)
@@ -209,14 +218,14 @@ def _linked(rows: DataFrame, budget: int, bits: int) -> DataFrame:
         roots = np.stack([first, np.where(one, end, middle), np.where(one, first, middle), end, depth[first], errors], axis=1)
         roots = roots[np.where(one, end - first > 1, middle < end)]
         if len(roots):
-            i, j = trie_links(value, roots, budget, bits)[1]
+            i, j = trie_links(value, roots, budget, bits, *group)[1]
             yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], schema=arrow)
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
             if batch.num_rows:
-                held.append(np.stack([batch.column(k).to_numpy() for k in range(6)]))
+                held.append(np.stack([batch.column(k).to_numpy() for k in range(len(columns))]))
                 n += batch.num_rows
             if n > CHUNK:
                 rows = np.concatenate(held, axis=1)
@@ -228,13 +237,14 @@ def _linked(rows: DataFrame, budget: int, bits: int) -> DataFrame:
         if n:
             yield from links(np.concatenate(held, axis=1))
 
-    return rows.select(*[F.col(c).cast("long") for c in (*_UNIT, "value", "node")]).mapInArrow(run, schema)
+    return rows.select(*[F.col(c).cast("long") for c in columns]).mapInArrow(run, schema)
 
 
 def near_links(prints: DataFrame, budget: int = 3, limit: int | None = None, bits: int = BITS) -> DataFrame:
     """Links (a, b) between nodes, enough to connect those that have, in one table, fingerprints within the budget.
 
-    ``prints`` has node (long), table (int) and fp, a fingerprint of ``bits`` bits that comes once in its table.
+    ``prints`` has node (long), table (int) and fp, a fingerprint of ``bits`` bits that comes once in its table. It may have a
+    group (long); nodes of one group, where that is not 0, are not linked with each other.
     A subtree of over ``limit`` fingerprints (20,000, or 20 times the mean where that is more) is split at pairs of nodes
     8 bits deeper that differ in at most what is left of the budget.
     """
@@ -242,8 +252,9 @@ def near_links(prints: DataFrame, budget: int = 3, limit: int | None = None, bit
     mask = F.lit((1 << bits) - 1 if bits < BITS else -1)
     turned = [F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", bits - s)).bitwiseAND(mask) if s else F.col("fp") for s, _ in blocks]
     units = F.array(*[F.struct(F.lit(k).cast("long").alias("block"), t.alias("value"), F.shiftrightunsigned(t, bits - n).alias("low"), F.lit(n).alias("depth")) for k, (t, (_, n)) in enumerate(zip(turned, blocks, strict=True))])
-    rows = prints.select("node", "table", F.explode(units).alias("u"))
-    rows = rows.select((F.col("table") * len(blocks) + F.col("u.block")).alias("slot"), F.col("u.depth").alias("depth"), F.col("u.low").alias("low"), F.col("u.low").alias("high"), F.col("u.value").alias("value"), "node")
+    carried = ["node", *(["group"] if "group" in prints.columns else [])]
+    rows = prints.select(*carried, "table", F.explode(units).alias("u"))
+    rows = rows.select((F.col("table") * len(blocks) + F.col("u.block")).alias("slot"), F.col("u.depth").alias("depth"), F.col("u.low").alias("low"), F.col("u.low").alias("high"), F.col("u.value").alias("value"), *carried)
     while True:
         sizes = rows.groupBy(*_UNIT).count()
         if limit is None:
@@ -260,10 +271,10 @@ def near_links(prints: DataFrame, budget: int = 3, limit: int | None = None, bit
         apart = F.col("low").bitwiseXOR(F.col("high"))
         masks = F.array(*[F.lit(m).cast("long") for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget])
         masks = F.filter(masks, lambda m: (m < F.expr(f"shiftleft(1L, cast(least({SPLIT_BITS}, {bits} - depth) as int))")) & (F.bit_count(m) + F.bit_count(apart) <= budget))
-        large = large.select("slot", "depth", deeper.alias("deeper"), step.cast("int").alias("step"), own.alias("own"), apart.alias("apart"), "value", "node", F.explode(masks).alias("m"))
+        large = large.select("slot", "depth", deeper.alias("deeper"), step.cast("int").alias("step"), own.alias("own"), apart.alias("apart"), "value", *carried, F.explode(masks).alias("m"))
         other = F.col("own").bitwiseXOR(F.expr("shiftleft(apart, step)")).bitwiseXOR(F.col("m"))
-        large = large.select("slot", F.col("deeper").alias("depth"), F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "value", "node")
-        rows = checkpointed(rows.join(hot, list(_UNIT), "left_anti").select(*_UNIT, "value", "node").unionByName(large))
+        large = large.select("slot", F.col("deeper").alias("depth"), F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "value", *carried)
+        rows = checkpointed(rows.join(hot, list(_UNIT), "left_anti").select(*_UNIT, "value", *carried).unionByName(large))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _linked(rows.repartition(parts, *_UNIT).sortWithinPartitions(*_UNIT), budget, bits)
 
@@ -360,49 +371,98 @@ def _nodes(texts: DataFrame, width: int, wanted: np.ndarray | None = None, sets:
     return small_batches(texts).mapInArrow(run, schema)
 
 
-def _best_links(links: DataFrame) -> DataFrame:
-    """Of each node's links the nearest."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("at"), F.struct("apart", "a", "b").alias("link"))
-    return ends.groupBy("at").agg(F.min("link").alias("link")).select("link.a", "link.b", "link.apart").distinct()
+def set_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between places of sets of different longs, enough to connect all that have the Jaccard similarity."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    if n <= FEW:
+        shared = np.array([[len(np.intersect1d(x, y, assume_unique=True)) if k < m else 0 for m, y in enumerate(sets)] for k, x in enumerate(sets)], np.int64)
+    else:
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of, several = np.repeat(np.arange(n), size), times[column] > 1  # a shingle of one set alone is in no intersection
+        of, column = of[several], (np.cumsum(times > 1) - 1)[column[several]]
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        shared = np.zeros((n, n), np.int64)
+        for k in range(0, int((times > 1).sum()), COLUMNS):
+            part = slice(*np.searchsorted(column, [k, k + COLUMNS]))
+            ones = np.zeros((n, COLUMNS), np.float32)
+            ones[of[part], column[part] - k] = 1
+            shared += (ones @ ones.T).astype(np.int64)
+    near = np.triu(shared / (size[:, None] + size[None, :] - shared) >= threshold, 1)
+    label, (i, j) = np.arange(n), np.nonzero(near)
+    _links(label, i, j)
+    root = _find(label, np.arange(n))
+    return [(k, r) for k, r in enumerate(root.tolist()) if k != r]
+
+
+def _confirmed(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect all texts of a component that have the similarity; members has root, node, shingles.
+
+    A large component's texts are dealt into blocks, and each two blocks are compared in a task.
+    """
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    arrow = to_arrow_schema(schema)
 
+    def run(batches):
+        at, nodes, sets = None, [], []
 
-def similar_texts(texts: DataFrame, nodes: DataFrame, threshold: float, width: int, limit: int | None = None, rounds: int = 3) -> DataFrame:
-    """Links (a, b) of nodes whose shingle sets have the similarity, out of the links of the tries; enough to connect all such.
+        def found():
+            links = set_links(sets, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in links], pa.int64()) for k in range(2)], schema=arrow)
 
-    Nodes of one drawn fingerprint link to the smallest of them, so each trie has a fingerprint once. A few rounds test each
-    node's nearest link to what it is not connected with; then all that remain between what is not connected are tested.
+        for batch in batches:
+            root, low, high, node = (batch.column(k).to_pylist() for k in range(4))
+            for k, tile in enumerate(zip(root, low, high, strict=True)):
+                if tile != at:
+                    if len(nodes) > 1:
+                        yield found()
+                    at, nodes, sets = tile, [], []
+                nodes.append(node[k])
+                sets.append(batch.column(4)[k].values.to_numpy().copy())
+        if len(nodes) > 1:
+            yield found()
+
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.size("shingles").cast("long")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small_batches(tiles.repartition(parts, "root", "low", "high").sortWithinPartitions("root", "low", "high")).mapInArrow(run, schema)
+
+
+def similar_texts(texts: DataFrame, nodes: DataFrame, threshold: float, width: int, limit: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all nodes whose shingle sets have the similarity and that the tries' links connect.
+
+    Nodes of one drawn fingerprint link to the smallest of them, so each trie has a fingerprint once. The first few tries and
+    those links make groups; in the other tries nodes of one group are not linked again, so that a large group of near copies
+    gives a few links a member and not some for each trie. What is connected then is compared exactly, each with each.
     """
     drawn = nodes.select("node", F.posexplode("prints").alias("table", "fp"))
     same = checkpointed(drawn.groupBy("table", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")))
     stars = drawn.join(same.where("n > 1").drop("n"), ["table", "fp"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    tries = near_links(same.select(F.col("rep").alias("node"), "table", "fp"), TABLE_BUDGET, limit, TABLE_BITS)
-    pairs = stars.union(tries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    prints = same.select(F.col("rep").alias("node"), "table", "fp")
     wide = nodes.select("node", "wide")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    links = pairs.join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= FAR_APART)
-    links = checkpointed(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def near(pairs):
+        # kept, as Spark may read them once more for a filter of the joins
+        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return pairs.join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b").where(apart <= FAR_APART).select("a", "b")
+
+    def members(roots):
+        return roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
+
+    first = F.col("table") < FIRST_TABLES
+    roots = connected_components(near(stars.union(near_links(prints.where(first), TABLE_BUDGET, limit, TABLE_BITS))))
+    grouped = prints.where(~first).join(members(roots), "node", "left").select("node", "table", "fp", F.coalesce("root", F.lit(0)).alias("group"))
+    more = near(near_links(written(grouped), TABLE_BUDGET, limit, TABLE_BITS))
+    found = checkpointed(members(connected_components(roots.toDF("a", "b").union(more))))
+    ends = found.select("node")
     wanted = np.sort(ends.toArrow().column(0).to_numpy()) if ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else None
     sets = _nodes(texts, width, wanted, sets=True)
     sets = sets if wanted is not None else sets.join(ends, "node", "left_semi")
-    sets = checkpointed(sets.groupBy("node").agg(F.array_distinct(F.first("shingles")).alias("shingles")))
-    good = None
-    for k in range(rounds + 1):
-        tested = checkpointed(_best_links(links) if k < rounds else links)
-        both = tested.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        found = both.where(shared / (F.size("x") + F.size("y") - shared) >= threshold).select("a", "b")
-        good = checkpointed(found if good is None else good.union(found))
-        if k == rounds:
-            break
-        roots = connected_components(good)
-        left = links.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            left = left.join(roots.toDF(end, f"{end}_root"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-        links = checkpointed(left.where("a_root <> b_root").select("a", "b", "apart"))
-        if links.isEmpty():
-            break
-    return good
+    sets = sets.groupBy("node").agg(F.array_distinct(F.first("shingles")).alias("shingles"))
+    return _confirmed(checkpointed(found.join(sets, "node").select("root", "node", "shingles")), threshold)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

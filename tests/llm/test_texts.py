@@ -242,6 +242,50 @@ def test_simhash_recall_at_the_threshold(spark):
     assert len(pairs) > 30 and sum(k + 1 not in kept for k in pairs) >= 0.9 * len(pairs)
 
 
+def test_simhash_joins_a_large_group_once_and_not_in_each_trie(spark, monkeypatch):
+    rng, made = random.Random(71), []
+    base, texts = [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(200)], []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(200), k % 10):
+            words[at] = f"changed{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    plain = simhash.near_links
+
+    def counted(*args):
+        links = plain(*args).persist()
+        made.append(links.count())
+        return links
+
+    monkeypatch.setattr(simhash, "near_links", counted)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 50, raising=False)
+    kept = {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()}
+    group = shingle_groups(list(enumerate(texts)))
+    assert kept == {group.index(g) for g in set(group)}
+    assert sum(made) < 30 * len(texts), made
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_sets_are_linked_as_by_each_pair(monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "COLUMNS", 16)
+    rng = np.random.default_rng(8)
+    bases = [rng.choice(1 << 40, 60, replace=False) for _ in range(5)]
+    sets = [np.unique(np.append(rng.permutation(bases[k % 5])[: rng.integers(48, 61)], rng.integers(0, 1 << 40, rng.integers(0, 6)))) for k in range(60)]
+    sets += [np.array([7]), np.array([7]), np.array([8])]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+                    label[a] = label[b] = min(label[a], label[b])
+    links = simhash.set_links(sets, 0.8)
+    got = list(range(len(sets)))
+    for a, b in links:
+        got[a] = b
+    assert got == label and len(links) < len(sets)
+
+
 # ---- paragraphs
 
 
