@@ -11,7 +11,7 @@ gives in constant time, or on a cut exactly a power of two back.
 
 A task reads its partition once, holds a block of the stream and the document
 at hand, and settles a block before the next; nothing is shuffled. Ids of
-words are kept in a bounded cache: the tokenizer never merges across white
+words are kept in a bounded cache, which keeps the most used when it is full: the tokenizer never merges across white
 space, so a text's ids are those of its words.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
@@ -76,17 +76,31 @@ class WordIds:
         self.known, self.used, self.count = {b"": 0}, 1, 1
         self.pool = np.full(1 << 20, self.end_id, np.uint32)
         self.at, self.size, self.stops = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.uses = np.zeros(1 << 16, np.int64)
+
+    def _shrink(self):
+        """Keep the words that came more than once, half of the cache at most, the most used; what they count is halved."""
+        uses = self.uses[: self.count]
+        least = max(2, int(np.partition(uses, -(_CACHE // 2))[-(_CACHE // 2)]) + 1) if self.count > _CACHE // 2 else 2
+        kept = [(w, k) for w, k in self.known.items() if k and uses[k] >= least]
+        index = np.array([k for _, k in kept], np.int64)
+        size, stops, uses = self.size[index], self.stops[index], uses[index] // 2
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        self._clear()
+        self._store([w for w, _ in kept], ids, size, stops)
+        self.uses[1 : self.count] = uses
 
-    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray, stops: np.ndarray | None = None) -> None:
         n = len(words)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.count + n > len(self.at):
-            self.at, self.size, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.stops))
+            self.at, self.size, self.stops, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.stops, self.uses))
         self.pool[self.used : self.used + len(ids)] = ids
         rows = slice(self.count, self.count + n)
         self.at[rows], self.size[rows] = self.used + np.cumsum(size) - size, size
-        self.stops[rows] = [w.rstrip(b"\"')]*_")[-1:] in (b".", b"!", b"?", b":", b";") for w in words]
+        self.stops[rows] = stops if stops is not None else [w.rstrip(b"\"')]*_")[-1:] in (b".", b"!", b"?", b":", b";") for w in words]
         self.known.update(zip(words, range(self.count, self.count + n), strict=True))
         self.count += n
         self.used += len(ids)
@@ -116,6 +130,7 @@ class WordIds:
         pairs = [(w, c) for w, c in zip(words, cores, strict=True) if c is not None]
         if pairs:
             index = np.array([(self.known[c], self.known[w[len(c) :]]) for w, c in pairs]).ravel()
+            self.uses[: self.count] += np.bincount(index, minlength=self.count)
             size = self.size[index]
             ends = np.cumsum(size)
             ids = self.pool[np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1])]
@@ -124,7 +139,7 @@ class WordIds:
     def _chunk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, each word's end among them, and which words end a sentence. An empty word ends a document."""
         if self.count > _CACHE:
-            self._clear()
+            self._shrink()
         index = list(map(self.known.get, words))
         if None in index:
             missing = [k for k, v in enumerate(index) if v is None]
@@ -132,6 +147,7 @@ class WordIds:
             for k in missing:
                 index[k] = self.known[words[k]]
         index = np.array(index, np.int64)
+        self.uses[: self.count] += np.bincount(index, minlength=self.count)
         size = self.size[index]
         ends = np.cumsum(size)
         where = np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)

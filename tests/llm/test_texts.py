@@ -84,6 +84,18 @@ def test_words_give_the_ids_of_whole_texts():
         assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_full_cache_keeps_the_words_in_use(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE", 300)
+    monkeypatch.setattr(packing, "_CHUNK_WORDS", 200)
+    words, learnt = packing.WordIds(queries.tokenizer_path(), 2), []
+    plain = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (learnt.extend(new), plain(new)))
+    texts = [" ".join(f"often{k}." for k in range(50)) + f" once{n}a once{n}b! Once{n}c" * 5 for n in range(60)]
+    for text, (ids, _, _) in zip(texts, words(texts), strict=True):
+        assert ids.tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert words.count <= 300 + 2 * 200 and sum(w.startswith(b"often") for w in learnt) == 50
+
+
 def test_packing_wastes_little(spark):
     rng = random.Random(4)
     docs = table(spark, [prose(rng, rng.randint(50, 900)) for _ in range(400)]).coalesce(1)
