@@ -26,6 +26,10 @@ dropped by a count before any place is compared. Hashes are 64-bit; two differen
 paragraphs with one hash, of which 10**9 paragraphs hold 0.03 on average, would
 pass for equal.
 
+No join broadcasts a table: the session's threshold counts compressed bytes, and what a
+broadcast takes of the driver's memory is many times that. All that reaches the driver is
+counts and the hashes of at most ``BROADCAST_PIECES`` paragraphs.
+
 Defined cases: a null or empty text has no paragraphs; a text of any length is
 read whole, in slices; repeated rows and rows that share an id are texts of their
 own, told apart by their text and a number, in whose order their places come; rows without an id take no part; of equal places the one with the
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tackline.llm.components import connected_components
-from tackline.llm.durable import checkpointed, written
+from tackline.llm.durable import checkpointed, new_table, written
 from tackline.llm.texts import small_batches
 from tackline.llm.words import Words, mixed, read_words, run_hashes, shingles, starts_of
 
@@ -127,8 +131,8 @@ def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if shared.isEmpty():
         return single
     equal = Window.partitionBy("doc_id", "text").orderBy("text")
-    several = docs.join(shared, "doc_id", "left_semi").withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")), F.row_number().over(equal)))
-    return single.join(shared, "doc_id", "left_anti").unionByName(written(several))
+    several = docs.join(shared.hint("merge"), "doc_id", "left_semi").withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")), F.row_number().over(equal)))
+    return single.join(shared.hint("merge"), "doc_id", "left_anti").unionByName(written(several))
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -214,8 +218,8 @@ def repeated_seeds(docs: DataFrame) -> DataFrame:
     """
     # written, so that the join reads two plain shuffles, of which a hot seed's share can be split
     often = written(all_seeds(docs, places=False).groupBy("seed").agg(F.count("*").alias("places")).where("places > 1"))
-    found = written(all_seeds(docs).join(often, "seed"))
-    return found.join(found.groupBy("seed").agg(F.min(F.struct("doc_id", "row", "word")).alias("first")), "seed")
+    found = written(all_seeds(docs).join(often.hint("merge"), "seed"))
+    return found.join(found.groupBy("seed").agg(F.min(F.struct("doc_id", "row", "word")).alias("first")).hint("merge"), "seed")
 
 
 def _stretches(repeated: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -272,13 +276,13 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, width: int)
                 yield pa.RecordBatch.from_arrays([pa.array(signed[only]), lists.cast(arrow.field(1).type)], schema=arrow)
 
     got = _read(docs).mapInArrow(run, schema)
-    got = got if few else got.join(wanted, "piece", "left_semi")
+    got = got if few else got.join(wanted.hint("merge"), "piece", "left_semi")
     return got.groupBy("piece").agg(F.array_distinct(F.first("shingles")).alias("shingles"))
 
 
 def _similarity(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """Distinct (a, b) with their exact Jaccard similarity j."""
-    both = pairs.select("a", "b").distinct().join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b")
+    both = pairs.select("a", "b").distinct().join(shingles.toDF("a", "x").hint("merge"), "a").join(shingles.toDF("b", "y").hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("j"))
 
@@ -326,22 +330,22 @@ def _links_in_tasks(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame | None:
     """The same for buckets of any size, a round at a time over all of them; full has piece, band, key."""
-    links, far = None, 1 - threshold + 1e-12
+    links, path, far = None, new_table(full.sparkSession), 1 - threshold + 1e-12
 
     def with_pivot(rows):
         pivots = rows.groupBy("band", "key").agg(F.min("piece").alias("pivot"), F.max("piece").alias("most")).where("pivot <> most").drop("most")
-        return checkpointed(rows.join(pivots, ["band", "key"]))
+        return checkpointed(rows.join(pivots.hint("merge"), ["band", "key"]))
 
     full = with_pivot(full)
     while not full.isEmpty():
         others = full.where("piece <> pivot")
         j = checkpointed(_similarity(others.select(F.col("piece").alias("a"), F.col("pivot").alias("b")), shingles))
-        placed = checkpointed(others.join(j, (others["piece"] == j["a"]) & (others["pivot"] == j["b"])).select("band", "key", "piece", "j"))
+        placed = checkpointed(others.join(j.hint("merge"), (others["piece"] == j["a"]) & (others["pivot"] == j["b"])).select("band", "key", "piece", "j"))
         leaves, border = placed.where(F.col("j") >= threshold), placed.where((F.col("j") < threshold) & (F.col("j") >= 1 - 2 * far))
-        across = border.join(leaves.select("band", "key", F.col("piece").alias("left"), F.col("j").alias("i")), ["band", "key"]).where(F.col("i") - F.col("j") <= far)
+        across = border.join(leaves.select("band", "key", F.col("piece").alias("left"), F.col("j").alias("i")).hint("merge"), ["band", "key"]).where(F.col("i") - F.col("j") <= far)
         more = _similarity(across.select(F.col("piece").alias("a"), F.col("left").alias("b")), shingles)
-        found = checkpointed(j.union(more).where(F.col("j") >= threshold).select("a", "b"))
-        links = found if links is None else links.union(found)
+        # each round's links go to one table, so that the plan does not grow with the rounds
+        links = written(j.union(more).where(F.col("j") >= threshold).select("a", "b"), path)
         full = with_pivot(placed.where(F.col("j") < threshold).select("piece", "band", "key"))
     return links
 
@@ -358,10 +362,10 @@ def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words
     # equal paragraphs of different tasks are still there: buckets are counted after a distinct
     different = keyed.distinct()
     shared = keyed.groupBy("band", "key").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low <> high").drop("low", "high")
-    full = checkpointed(different.join(shared, ["band", "key"]))
-    full = checkpointed(full.join(full.groupBy("band", "key").agg(F.count("*").alias("n")), ["band", "key"]))
+    full = checkpointed(different.join(shared.hint("merge"), ["band", "key"]))
+    full = checkpointed(full.join(full.groupBy("band", "key").agg(F.count("*").alias("n")).hint("merge"), ["band", "key"]))
     shingles = checkpointed(_shingles_of(docs, full.select("piece").distinct(), min_words, width))
-    links = _links_in_tasks(full.where(F.col("n") <= most).join(shingles, "piece"), threshold)
+    links = _links_in_tasks(full.where(F.col("n") <= most).join(shingles.hint("merge"), "piece"), threshold)
     large = full.where(F.col("n") > most).drop("n")
     if not large.isEmpty():
         more = _links_by_joins(large, shingles, threshold)
@@ -379,13 +383,13 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, width: int = 5, m
     table = written(all_pieces(docs, min_words, width, bands, rows))
     roots = checkpointed(connected_components(similar_links(docs, table, threshold, min_words, width)))
     counts = table.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("first"))
-    rooted = counts.join(roots.withColumnRenamed("vertex", "piece"), "piece", "left").withColumn("cluster", F.coalesce("root", "piece"))
+    rooted = counts.join(roots.withColumnRenamed("vertex", "piece").hint("merge"), "piece", "left").withColumn("cluster", F.coalesce("root", "piece"))
     # a piece that comes once and is no vertex is alone; roots that are no vertex of their own come from the links' other side
     linked = roots.select(F.col("root").alias("piece")).distinct().withColumn("is_root", F.lit(True))
-    rooted = rooted.join(linked, "piece", "left").where("n > 1 or root is not null or is_root")
+    rooted = rooted.join(linked.hint("merge"), "piece", "left").where("n > 1 or root is not null or is_root")
     clusters = rooted.groupBy("cluster").agg(F.sum("n").alias("places"), F.min("first").alias("first"))
-    known = checkpointed(rooted.select("piece", "cluster").join(clusters, "cluster").where("places > 1"))
-    repeated = table.drop("bands").join(known, "piece")
+    known = checkpointed(rooted.select("piece", "cluster").join(clusters.hint("merge"), "cluster").where("places > 1"))
+    repeated = table.drop("bands").join(known.hint("merge"), "piece")
     here = F.struct("doc_id", "row", "start")
     repeated = repeated.select("doc_id", "row", "word", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_id"), "places", (here != F.col("first")).alias("removed"))
     parts = repeated.unionByName(_stretches(repeated_seeds(docs), repeated.select("doc_id", "row", "word", "n_words")))

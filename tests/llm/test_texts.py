@@ -404,6 +404,26 @@ def test_rows_that_share_an_id_are_texts_of_their_own(spark):
     assert sorted(r["removed"] for r in got) == [False, True, True] and {(r["doc_id"], r["cluster_id"], r["places"], r["n_words"]) for r in got} == {(1, 1, 3, 60)}
 
 
+def test_passages_send_no_table_through_the_driver(spark):
+    """No join broadcasts, whatever the session's threshold, and links of many rounds are read from one table."""
+    rng = random.Random(29)
+    base = [rng.choices(WORDS, k=60) for _ in range(6)]
+    near = [" ".join([*b[:-1], rng.choice(WORDS)]) + "." for b in base for _ in range(4)]
+    texts = near + near[:3] + [prose(rng, 90)] * 2
+    docs = table(spark, texts, [*range(len(texts) - 1), 0])
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")  # a broadcast fails
+    try:
+        assert {r["doc_id"] for r in paragraphs.repeated_passages(docs).collect()} == set(range(len(texts) - 1))
+        rows = paragraphs.all_pieces(docs, 8, 5, 4, 2).cache()
+        # one bucket for all paragraphs: a round for each base
+        one = rows.withColumn("bands", F.expr("if(bands is null, null, array(7L))"))
+        links = paragraphs.similar_links(docs, one, 0.8, 8, 5, 2)
+        assert links.count() >= 12
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 def test_passages_of_nothing(spark):
     empty = table(spark, ["x"]).where("false")
     assert paragraphs.repeated_passages(empty).count() == 0
