@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import deque
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +48,28 @@ _BETWEEN, _TOGETHER = "\x01", 2_000
 
 
 def _core(word: bytes) -> bytes | None:
-    """The word before its closing marks, ASCII letters in lower case; None where it can't be taken apart."""
+    """The word before its closing marks, in lower case where that changes no id; None where the word is to be read as it is."""
     core = word.rstrip(_TAIL)
-    if not core or len(core) == len(word) or b"<|" in word:
+    if not core or b"<|" in word:
         return None
-    last = core[-1:]
-    # the letter as the tokenizer reads it: some end in a combining mark once they are in lower case
-    return core.lower() if last.isalnum() or last > b"\x7f" and core.decode("utf-8", "replace").lower()[-1].isalpha() else None
+    if core.isascii():
+        low = core.lower()
+        return low if core[-1:].isalnum() and len(core) < len(word) or len(core) == len(word) and low != word else None
+    if len(core) == len(word):
+        return None
+    text = core.decode("utf-8", "replace")
+    # the last letter as the tokenizer reads it: some end in a combining mark once they are in lower case
+    if not text.lower()[-1].isalpha():
+        return None
+    # marks may combine with a small letter where they don't with the capital, so only letters are put in lower case
+    return core.lower() if text.isalpha() else core
 
 
 class WordIds:
     """Ids of texts, word by word, with the cache that makes that cheap.
 
     The tokenizer reads lower case, splits letters from marks and never joins words, so the ids of a word with closing marks
-    are those of the word and of the marks.
+    are those of the word and of the marks. A word of letters alone is one run to it, whose last id alone closes a word.
     """
 
     def __init__(self, path: str, end_id: int, reach: int = REACH):
@@ -69,6 +78,9 @@ class WordIds:
 
         self.tokenizer, self.end_id, self.reach = Tokenizer.from_file(path), end_id, reach
         self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
@@ -82,7 +94,8 @@ class WordIds:
         """Keep the words that came more than once, half of the cache at most, the most used; what they count is halved."""
         uses = self.uses[: self.count]
         least = max(2, int(np.partition(uses, -(_CACHE // 2))[-(_CACHE // 2)]) + 1) if self.count > _CACHE // 2 else 2
-        kept = [(w, k) for w, k in self.known.items() if k and uses[k] >= least]
+        # words in several cases share their uses, so that there can be more of them
+        kept = [(w, k) for w, k in self.known.items() if k and uses[k] >= least][-(_CACHE // 2) :]
         index = np.array([k for _, k in kept], np.int64)
         size, stops, uses = self.size[index], self.stops[index], uses[index] // 2
         ends = np.cumsum(size)
@@ -106,7 +119,23 @@ class WordIds:
         self.used += len(ids)
 
     def _encode(self, words: list[bytes]) -> None:
-        """Ids of whole words, many to a call, told apart by a word between them that no other text has."""
+        """Ids of whole words, many to a call: letters alone by the ids that close a word, others told apart by a word between them that no other text has."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = [t.isalpha() for t in texts] if self.closes.any() else [False] * len(texts)
+        rest = [w for w, plain in zip(words, letters, strict=True) if not plain]
+        words, texts = ([x for x, plain in zip(v, letters, strict=True) if plain] for v in (words, texts))
+        steps = range(0, len(words), _TOGETHER)
+        for k, code in zip(steps, self.tokenizer.encode_batch_fast([" ".join(texts[k : k + _TOGETHER]) for k in steps], add_special_tokens=False), strict=True):
+            part, ids = words[k : k + _TOGETHER], np.array(code.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids])
+            if len(ends) == len(part) and ends[-1] == len(ids) - 1:
+                self._store(part, ids, np.diff(ends, prepend=-1), np.zeros(len(part), bool))
+            else:
+                rest += part
+        if rest:
+            self._encode_apart(rest)
+
+    def _encode_apart(self, words: list[bytes]) -> None:
         odd = [w for w in words if b"\x01" in w or b"<|" in w]
         if odd or len(self.between) != 1:
             alone = odd if len(self.between) == 1 else words
@@ -123,30 +152,40 @@ class WordIds:
                 self._store(part, ids[~cut], np.diff(ends, prepend=-1) - 1)
 
     def _learn(self, words: list[bytes]) -> None:
-        cores = [_core(w) for w in words]
-        plain = dict.fromkeys(p for w, c in zip(words, cores, strict=True) for p in ((w,) if c is None else (c, w[len(c) :])) if p not in self.known)
+        known, plain, pairs, same = self.known, {}, [], []
+        for w in words:
+            core = _core(w)
+            if core is None:
+                core = w
+            elif len(core) == len(w):
+                same.append((w, core))
+            else:
+                pairs.append((w, core))
+                if w[len(core) :] not in known:
+                    plain[w[len(core) :]] = None
+            if core not in known:
+                plain[core] = None
         if plain:
             self._encode(list(plain))
-        pairs = [(w, c) for w, c in zip(words, cores, strict=True) if c is not None]
         if pairs:
-            index = np.array([(self.known[c], self.known[w[len(c) :]]) for w, c in pairs]).ravel()
+            index = np.array([(known[c], known[w[len(c) :]]) for w, c in pairs]).ravel()
             self.uses[: self.count] += np.bincount(index, minlength=self.count)
             size = self.size[index]
             ends = np.cumsum(size)
             ids = self.pool[np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1])]
             self._store([w for w, _ in pairs], ids, size.reshape(-1, 2).sum(axis=1))
+        known.update((w, known[c]) for w, c in same)
 
     def _chunk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, each word's end among them, and which words end a sentence. An empty word ends a document."""
-        if self.count > _CACHE:
+        if len(self.known) > _CACHE:
             self._shrink()
-        index = list(map(self.known.get, words))
-        if None in index:
-            missing = [k for k, v in enumerate(index) if v is None]
-            self._learn(list(dict.fromkeys(words[k] for k in missing)))
-            for k in missing:
-                index[k] = self.known[words[k]]
-        index = np.array(index, np.int64)
+        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            new = [words[k] for k in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            index[missing] = [self.known[w] for w in new]
         self.uses[: self.count] += np.bincount(index, minlength=self.count)
         size = self.size[index]
         ends = np.cumsum(size)
@@ -186,10 +225,13 @@ class WordIds:
             yield block, owners
 
     def _joined(self, parts):
-        base = np.cumsum([0] + [len(p[0]) for p in parts])
-        ids = np.concatenate([p[0] for p in parts])
-        ends = np.concatenate([p[1] + b for p, b in zip(parts, base, strict=False)])
-        stops = np.concatenate([p[2] for p in parts])
+        if len(parts) == 1:
+            ids, ends, stops = parts[0]
+        else:
+            base = np.cumsum([0] + [len(p[0]) for p in parts])
+            ids = np.concatenate([p[0] for p in parts])
+            ends = np.concatenate([p[1] + b for p, b in zip(parts, base, strict=False)])
+            stops = np.concatenate([p[2] for p in parts])
         places, costs = cuts(ends, stops, self.reach)
         return ids, places, costs
 
@@ -197,9 +239,9 @@ class WordIds:
 def cuts(ends: np.ndarray, stops: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """Places where a document may be cut, and what each costs; its end comes last, free."""
     n = int(ends[-1])
-    places = np.unique(np.append(ends[stops], n))
-    places = places[places > 0]
+    places = np.append(ends[stops], n)
     gaps = np.diff(places, prepend=0)
+    places, gaps = places[gaps > 0], gaps[gaps > 0]
     far = np.flatnonzero(gaps > reach)
     if len(far):
         extra = np.concatenate([np.arange(places[k] - gaps[k] + reach, places[k], reach) for k in far])

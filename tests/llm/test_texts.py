@@ -298,6 +298,36 @@ def test_sets_are_linked_as_by_each_pair(monkeypatch, few):
     assert got == label and len(links) < len(sets)
 
 
+def test_words_are_read_once_whatever_their_case(monkeypatch):
+    """Words of letters go to the tokenizer once, in lower case and with nothing between them; the cache stays bounded."""
+    reader = packing.WordIds(queries.tokenizer_path(), 2)
+    read = []
+
+    class Recorded:
+        def encode_batch_fast(self, texts, **options):
+            read.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    tokenizer, reader.tokenizer = reader.tokenizer, Recorded()
+    text = "Kaden kaden KADEN Kaden. loster, größe Größe"
+    assert next(iter(reader([text])))[0].tolist() == ids_of(text)
+    assert read[0].split() == ["kaden", "loster", "größe", "Größe"] and not any("kaden" in t for t in read[1:])
+    monkeypatch.setattr(packing, "_CACHE", 40)
+    monkeypatch.setattr(packing, "_CHUNK_WORDS", 20)
+    reader = packing.WordIds(queries.tokenizer_path(), 2)
+    cases = ["".join(c.upper() if k >> i & 1 else c for i, c in enumerate("abcdefgh")) for k in range(256)]
+    assert [list(ids) for ids, _, _ in reader([" ".join(cases)] * 3)] == [ids_of(" ".join(cases))] * 3
+    assert len(reader.known) <= 40 + 2 * 20 + 2
+
+
+def test_ids_of_words_whose_case_or_marks_change_how_they_are_read():
+    reader = packing.WordIds(queries.tokenizer_path(), 2)
+    words = ["H\u0331x.", "J\u030ca,", "H\u0331", "T\u0308o!", "İ.", "İx", "ΣΑΣ.", "ΣΑΣ", "Ǆ", "ſ", "ﬁN", "\u1112\u1161\u11ab", "\u0301a", "ªB.", "Ⅷ.", "x²", "It's", "IT'S.", "A\x01B", "A\x85b", "日本語", "日本語。", "</W>", "a</w>", "A</w>b.", "<|ENDOFTEXT|>", "𝔘ab", "\U0001e030Q", "Ꭰ.", "ꭰ", "A-B", "X1", "X1."]
+    for _ in range(2):
+        got = [ids.tolist() for ids, _, _ in reader([*words, " ".join(words)])]
+        assert got == [ids_of(w) for w in [*words, " ".join(words)]]
+
+
 # ---- paragraphs
 
 
