@@ -34,9 +34,12 @@ def to_target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 ids, with their ids."""
-    return packing.pack(docs, queries.tokenizer_path())
+    return packing.pack(docs, queries.tokenizer_path(), cache=PACKING_CACHE)
 
 
+#: Words whose ids a worker keeps: fewer than packing would by itself, as the earlier stages' memory is there too.
+PACKING_CACHE = 200_000
+
 STAGES = [
     ("quality_classifier", good_quality),
     ("simhash_near_dedup", one_of_each_group),

@@ -11,8 +11,8 @@ gives in constant time, or on a cut exactly a power of two back.
 
 A task reads its partition once, holds a block of the stream and the document
 at hand, and settles a block before the next; nothing is shuffled. Ids of
-words are kept in a bounded cache, which keeps the most used when it is full: the tokenizer never merges across white
-space, so a text's ids are those of its words.
+words are kept in a cache bounded by words and by ids, which keeps the most used when it is full: the tokenizer never
+merges across white space, so a text's ids are those of its words. A smaller cache costs time and changes no result.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
 packed as often as they come; other columns are ignored; an empty table gives
@@ -24,7 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import deque
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,8 @@ from tackline.llm.texts import id_and_text
 SENTENCE, INSIDE = 2, 24
 #: Ids settled together, and the most ids between two places where a cut may be.
 BLOCK, REACH = 131_072, 256
-_CACHE = 700_000
+#: Words of a cache, and ids that it may hold for each of them.
+_CACHE, _CACHE_IDS = 700_000, 8
 _CHUNK_WORDS = 100_000
 
 
@@ -72,11 +73,11 @@ class WordIds:
     are those of the word and of the marks. A word of letters alone is one run to it, whose last id alone closes a word.
     """
 
-    def __init__(self, path: str, end_id: int, reach: int = REACH):
+    def __init__(self, path: str, end_id: int, reach: int = REACH, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.reach = Tokenizer.from_file(path), end_id, reach
+        self.tokenizer, self.end_id, self.reach, self.cache = Tokenizer.from_file(path), end_id, reach, cache or _CACHE
         self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -92,16 +93,18 @@ class WordIds:
 
     def _shrink(self):
         """Keep the words that came more than once, half of the cache at most, the most used; what they count is halved."""
-        uses = self.uses[: self.count]
-        least = max(2, int(np.partition(uses, -(_CACHE // 2))[-(_CACHE // 2)]) + 1) if self.count > _CACHE // 2 else 2
+        uses, half = self.uses[: self.count], self.cache // 2
+        least = max(2, int(np.partition(uses, -half)[-half]) + 1) if self.count > half else 2
+        keep = uses >= least
+        keep[0] = False
         # words in several cases share their uses, so that there can be more of them
-        kept = [(w, k) for w, k in self.known.items() if k and uses[k] >= least][-(_CACHE // 2) :]
-        index = np.array([k for _, k in kept], np.int64)
+        index = np.fromiter(self.known.values(), np.int64, len(self.known))
+        kept, index = list(compress(self.known, keep[index].tolist()))[-half:], index[keep[index]][-half:]
         size, stops, uses = self.size[index], self.stops[index], uses[index] // 2
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         self._clear()
-        self._store([w for w, _ in kept], ids, size, stops)
+        self._store(kept, ids, size, stops)
         self.uses[1 : self.count] = uses
 
     def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray, stops: np.ndarray | None = None) -> None:
@@ -178,7 +181,7 @@ class WordIds:
 
     def _chunk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, each word's end among them, and which words end a sentence. An empty word ends a document."""
-        if len(self.known) > _CACHE:
+        if len(self.known) > self.cache or self.used > _CACHE_IDS * self.cache:
             self._shrink()
         index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(index < 0)
@@ -313,12 +316,12 @@ def _powers_of(n: int) -> list[int]:
 _READERS: dict[tuple, WordIds] = {}
 
 
-def word_ids(path: str, end_id: int, reach: int) -> WordIds:
+def word_ids(path: str, end_id: int, reach: int, cache: int | None = None) -> WordIds:
     """The reader of this Python worker; its cache serves task after task and changes no result."""
-    key = (path, end_id, reach)
+    key = (path, end_id, reach, cache)
     if key not in _READERS:
         _READERS.clear()
-        _READERS[key] = WordIds(path, end_id, reach)
+        _READERS[key] = WordIds(path, end_id, reach, cache)
     return _READERS[key]
 
 
@@ -382,10 +385,11 @@ class Packer:
 _PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", cache: int | None = None) -> DataFrame:
     """One row a piece of a document: where it begins in the document and in its sequence, and its ids.
 
-    Sequence ids hold the partition in their upper bits and rise within it.
+    Sequence ids hold the partition in their upper bits and rise within it. ``cache`` bounds the words whose ids a Python
+    worker keeps, some 150 bytes each.
     """
     schema = T.StructType([*_PIECES.fields, T.StructField("ids", T.ArrayType(T.LongType()))]) if with_ids else _PIECES
     arrow = to_arrow_schema(schema)
@@ -395,7 +399,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches):
-        words = word_ids(tokenizer_path, end_id, max(1, min(REACH, window // 2)))
+        words = word_ids(tokenizer_path, end_id, max(1, min(REACH, window // 2)), cache)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

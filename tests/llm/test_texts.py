@@ -7,11 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tackline.llm import mixing, packing, paragraphs, pii, quality, queries, repetition, secrets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, component_id long"
@@ -96,6 +98,28 @@ def test_full_cache_keeps_the_words_in_use(monkeypatch):
     assert words.count <= 300 + 2 * 200 and sum(w.startswith(b"often") for w in learnt) == 50
 
 
+def test_cache_of_long_words_is_bounded_by_their_ids(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE", 10_000)
+    monkeypatch.setattr(packing, "_CHUNK_WORDS", 200)
+    words, most = packing.WordIds(queries.tokenizer_path(), 2), 0
+    texts = [" ".join(f"{n}x{k}." * 40 for k in range(20)) for n in range(80)]
+    for text, (ids, _, _) in zip(texts, words(texts), strict=True):
+        assert ids.tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        most = max(most, words.used)
+    # a block of ten texts stores a word and its core
+    assert most <= 8 * 10_000 + 22 * max(len(words.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts)
+
+
+def test_packing_in_the_pipeline_keeps_few_words(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "PACKING_CACHE", 2_000)
+    texts = [" ".join(f"w{n}q{k}" for k in range(5_000)) for n in range(50)]
+    assert corpus_pipeline.packed(spark, table(spark, texts).coalesce(1), "").count() > 50
+    # the Python worker that packed still has its reader
+    count = lambda batches: (pa.RecordBatch.from_pydict({"n": [max((len(r.known) for r in packing._READERS.values()), default=0)]}) for _ in batches)
+    held = [r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(count, "n long").collect()]
+    assert 0 < max(held) <= 150_000
+
+
 def test_packing_wastes_little(spark):
     rng = random.Random(4)
     docs = table(spark, [prose(rng, rng.randint(50, 900)) for _ in range(400)]).coalesce(1)
