@@ -73,6 +73,16 @@ def test_the_same_wind_meets_some_points_of_a_full_bin(spark, monkeypatch):
         assert {(r["asked_id"], r["copy"]): r["id"] for r in got.collect()} == {k: v[1] for k, v in want.items()}
 
 
+def test_the_same_wind_sends_no_table_through_the_driver(spark):
+    rows = spark.createDataFrame([(k, k % 3, 40.0 + k % 50 / 25, 10.0 + k % 7 / 14) for k in range(300)], "id long, copy int, twa double, tws double")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")  # a broadcast fails
+    try:
+        got = measure.same_wind(rows, rows.where("id % 10 = 0").withColumnRenamed("id", "asked_id"))
+        assert {(r["asked_id"], r["copy"]) for r in got.collect()} == {(k, c) for k in range(0, 300, 10) for c in range(3) if c != k % 3}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_pairs_of_one_model_are_not_made_by_a_broadcast(spark):
     from tackline.operators import catalogue
 
