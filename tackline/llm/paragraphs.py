@@ -13,7 +13,8 @@ Each different paragraph has a MinHash signature, in bands tuned so that
 paragraphs of Jaccard similarity ``threshold`` meet with probability ``recall``
 or more. Paragraphs that collide in a band are compared with the smallest one of
 that bucket by exact similarity, and what it does not resemble in turn with the
-smallest of those. Connected paragraphs form a cluster.
+smallest of those; full buckets are dealt anew first, by rare shingles.
+Connected paragraphs form a cluster.
 Repeated paragraphs and stretches with at most ``GAP`` words between them make a
 run, which is reported when it has at least ``min_run`` words from its first to
 its last; all but a cluster's first place are removals. The ends of a stretch are
@@ -59,8 +60,11 @@ MIN_RUN = 51 - 2 * (SEEDS_APART - 1)
 ROWS = 1_000
 #: Candidate paragraphs up to this many are broadcast as hashes; more are joined by shuffle.
 BROADCAST_PIECES = 1_000_000
-#: Buckets of up to this many different paragraphs are compared within a task, larger ones by joins.
+#: Buckets of up to this many different paragraphs are compared within a task; larger ones are dealt anew.
 FULL_BUCKET = 2_000
+#: Rounds of joins over buckets that are still larger, and pieces of a block of what is left: the driver keeps something of
+#: each round's jobs, so that rounds must not grow with the input.
+ROUNDS, BLOCK = 3, 1_000
 
 
 def tune_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
@@ -328,16 +332,32 @@ def _links_in_tasks(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key").select("band", "key", "piece", "shingles").mapInArrow(run, schema)
 
 
-def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame | None:
-    """The same for buckets of any size, a round at a time over all of them; full has piece, band, key."""
-    links, path, far = None, new_table(full.sparkSession), 1 - threshold + 1e-12
+def _by_rare_shingles(full: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Buckets (piece, band, key) dealt anew, so that similar pieces of one meet in one of the new.
+
+    Shingles are ordered by how many of the bucket's pieces have them. Of n shingles, two pieces of at least the similarity share
+    one of the first n - ceil(threshold * n) + 1; a new bucket holds the pieces that have one shingle there.
+    """
+    held = written(full.select("piece", "band", "key").join(shingles.hint("merge"), "piece").select("piece", "band", "key", F.explode("shingles").alias("shingle")))
+    often = held.groupBy("band", "key", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    own = held.join(often.hint("merge"), ["band", "key", "shingle"]).groupBy("band", "key", "piece").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("xs"))
+    first = F.size("xs") - F.ceil(F.size("xs") * threshold - 1e-9).cast("int") + 1
+    near = own.select("piece", "band", "key", F.explode(F.slice("xs", F.lit(1), first)).alias("x")).where("x.n > 1")
+    return near.select("piece", "band", F.xxhash64("key", "x.shingle").alias("key")).distinct()
+
+
+def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float, path: str) -> DataFrame:
+    """Links of buckets of any size, a round at a time over all of them, added to the table; what is left after ROUNDS of them. full has piece, band, key."""
+    far = 1 - threshold + 1e-12
 
     def with_pivot(rows):
         pivots = rows.groupBy("band", "key").agg(F.min("piece").alias("pivot"), F.max("piece").alias("most")).where("pivot <> most").drop("most")
         return checkpointed(rows.join(pivots.hint("merge"), ["band", "key"]))
 
     full = with_pivot(full)
-    while not full.isEmpty():
+    for _ in range(ROUNDS):
+        if full.isEmpty():
+            break
         others = full.where("piece <> pivot")
         j = checkpointed(_similarity(others.select(F.col("piece").alias("a"), F.col("pivot").alias("b")), shingles))
         placed = checkpointed(others.join(j.hint("merge"), (others["piece"] == j["a"]) & (others["pivot"] == j["b"])).select("band", "key", "piece", "j"))
@@ -345,17 +365,81 @@ def _links_by_joins(full: DataFrame, shingles: DataFrame, threshold: float) -> D
         across = border.join(leaves.select("band", "key", F.col("piece").alias("left"), F.col("j").alias("i")).hint("merge"), ["band", "key"]).where(F.col("i") - F.col("j") <= far)
         more = _similarity(across.select(F.col("piece").alias("a"), F.col("left").alias("b")), shingles)
         # each round's links go to one table, so that the plan does not grow with the rounds
-        links = written(j.union(more).where(F.col("j") >= threshold).select("a", "b"), path)
+        written(j.union(more).where(F.col("j") >= threshold).select("a", "b"), path)
         full = with_pivot(placed.where(F.col("j") < threshold).select("piece", "band", "key"))
-    return links
+    return full.select("piece", "band", "key")
+
+
+def block_links(left: list[tuple[int, set]], right: list[tuple[int, set]], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect all similar pieces of two blocks, one of each, but what such links connect already."""
+    out, root = [], {}
+
+    def top(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for a, x in left:
+        for b, y in right:
+            n = len(x) + len(y)
+            # similar sets share at least this many shingles
+            least = threshold * n / (1 + threshold) - 1e-9
+            if min(len(x), len(y)) >= least and (up := top(a)) != (to := top(b)) and (shared := len(x & y)) >= least and shared / (n - shared) >= threshold:
+                root[up] = to
+                out.append((a, b))
+    return out
+
+
+def _links_by_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """The same for buckets of any size: each is dealt to blocks of about BLOCK pieces, and each two blocks are compared in a task; rows has band, key, piece, n, shingles."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    arrow = to_arrow_schema(schema)
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("piece"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "piece", "shingles")
+
+    def links(two):
+        return bucket_links(two[0], threshold) if two[2] else block_links(two[0], two[1], threshold)
+
+    def run(batches):
+        at, two, out = None, ([], [], True), []
+        for batch in batches:
+            for *key, second, piece, shingles in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if key != at:
+                    out += links(two)
+                    at, two = key, ([], [], key[2] == key[3])
+                two[second].append((piece, set(shingles)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], schema=arrow)
+            out = []
+        out = links(two)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], schema=arrow)
+
+    parts, by = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["band", "key", "low", "high"]
+    return dealt.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Buckets (piece, band, key) of two pieces or more, with how many each has."""
+    return checkpointed(rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), ["band", "key"]))
+
+
+def _links_of_full(full: DataFrame, shingles: DataFrame, threshold: float, most: int, path: str) -> None:
+    """Adds the links of buckets (piece, band, key) that no task can hold to the table, in a bounded number of steps."""
+    full = _counted(written(_by_rare_shingles(full, shingles, threshold)))
+    written(_links_in_tasks(full.where(F.col("n") <= most).join(shingles.hint("merge"), "piece"), threshold), path)
+    full = full.where(F.col("n") > most).drop("n")
+    if not full.isEmpty():
+        left = _counted(_links_by_joins(full, shingles, threshold, path))
+        written(_links_by_blocks(left.join(shingles.hint("merge"), "piece"), threshold), path)
 
 
 def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words: int, width: int, full_bucket: int | None = None) -> DataFrame:
     """Links (a, b) between different pieces of at least the similarity that share a band: enough to connect all such.
 
-    In each round every bucket's smallest piece is compared with the bucket. What it resembles is connected through it and
+    Buckets of more than ``full_bucket`` pieces are dealt anew by their pieces' rarest shingles. What is still as large goes by
+    ROUNDS rounds: every bucket's smallest piece is compared with the bucket, and what it resembles is connected through it and
     leaves with it. Jaccard distance is a metric, so only pieces within twice the distance can resemble what leaves; they
-    are compared with as much of it as the distances to the smallest piece allow.
+    are compared with as much of it as the distances to the smallest piece allow. The rest is compared each with each, in blocks.
     """
     most = FULL_BUCKET if full_bucket is None else full_bucket
     keyed = table.where("bands is not null").select("piece", F.posexplode("bands").alias("band", "key"))
@@ -368,8 +452,9 @@ def similar_links(docs: DataFrame, table: DataFrame, threshold: float, min_words
     links = _links_in_tasks(full.where(F.col("n") <= most).join(shingles.hint("merge"), "piece"), threshold)
     large = full.where(F.col("n") > most).drop("n")
     if not large.isEmpty():
-        more = _links_by_joins(large, shingles, threshold)
-        links = links if more is None else links.union(more)
+        path = new_table(docs.sparkSession)
+        _links_of_full(large, shingles, threshold, most, path)
+        links = written(links, path)
     return links
 
 

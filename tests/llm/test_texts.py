@@ -478,6 +478,42 @@ def test_passages_send_no_table_through_the_driver(spark):
     assert links._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_full_buckets_take_no_more_steps_for_more_paragraphs(spark, monkeypatch, rounds):
+    """One bucket for all paragraphs, most of which resemble none: the driver's steps are bounded, and no similar pair is lost."""
+    rng = random.Random(31)
+    base = [rng.choices(WORDS, k=40) for _ in range(14)]
+    texts = [" ".join(b) + "." for b in base]
+    for b in base[:4]:
+        for _ in range(9):
+            words = list(b)
+            for _ in range(rng.randint(1, 2)):
+                words[rng.choice([0, 1, -1, -2])] = rng.choice(WORDS)
+            texts.append(" ".join(words) + ".")
+    docs = table(spark, texts)
+    one = paragraphs.all_pieces(docs, 8, 5, 4, 2).withColumn("bands", F.expr("if(bands is null, null, array(7L))")).cache()
+    steps, kept = [], paragraphs.checkpointed
+    monkeypatch.setattr(paragraphs, "checkpointed", lambda df: steps.append(1) or kept(df))
+    monkeypatch.setattr(paragraphs, "ROUNDS", rounds, raising=False)
+    monkeypatch.setattr(paragraphs, "BLOCK", 3, raising=False)
+    links = [(r["a"], r["b"]) for r in paragraphs.similar_links(docs, one, 0.8, 8, 5, 2).collect()]
+    assert len(steps) <= 20
+    sets = {}
+    for t in texts:
+        sets |= paragraphs.shingle_sets(t, 8, 5)
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(min(x), max(x)) for x in links} <= similar and len(similar) > 40
+
+    def groups(pairs):
+        root = {k: k for k in sets}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {k: b if v == a else v for k, v in root.items()}
+        return {frozenset(k for k in sets if root[k] == r) for r in root.values()}
+
+    assert groups(links) == groups(similar)
+
+
 def test_passages_of_nothing(spark):
     empty = table(spark, ["x"]).where("false")
     assert paragraphs.repeated_passages(empty).count() == 0
