@@ -203,6 +203,21 @@ def test_gradients_are_those_of_the_loss():
     assert checked > 5
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """However long a text is, here all toxic ones; and several shards do as one."""
+    rows = [r for r in labelled(900) if not r[3]]
+    rows += [(1_000 + k, " ".join([rows[k][1], *["vilest"] * 15_000, rows[k + 1][1]]), "en", 1) for k in range(90)]
+    assert all(len(r[1]) > 100_000 for r in rows if r[3])
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    for shard_rows in (10_000, 300):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", shard_rows, raising=False)
+        model = toxicity.fit(docs, labels, epochs=2)
+        assert model is not None
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+        assert sum((got[r[0]] >= 0.5) == bool(r[3]) for r in rows) >= 0.98 * len(rows)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
